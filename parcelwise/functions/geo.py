@@ -215,13 +215,18 @@ def polygons_intersect(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def polygon_area_deg2(rings: ColumnLike) -> Column:
-    """Signed-ring shoelace area, absolute, in squared degrees."""
+    """Signed-ring shoelace area, absolute, in squared degrees.
+
+    Each ring is taken relative to its first corner to keep small areas exact.
+    """
 
     def cross_sum(r: Column) -> Column:
         return F.aggregate(
             F.sequence(F.lit(1), F.size(r) - 1),
             F.lit(0.0),
-            lambda s, i: s + (r[i - 1]["x"] * r[i]["y"] - r[i]["x"] * r[i - 1]["y"]),
+            lambda s, i: s
+            + (r[i - 1]["x"] - r[0]["x"]) * (r[i]["y"] - r[0]["y"])
+            - (r[i]["x"] - r[0]["x"]) * (r[i - 1]["y"] - r[0]["y"]),
         )
 
     return F.abs(F.aggregate(col(rings), F.lit(0.0), lambda s, r: s + cross_sum(r))) / 2.0

@@ -12,7 +12,8 @@ from .geo import ColumnLike, col
 
 
 def clamp01(x: ColumnLike) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x)))
+    """Clamp to [0, 1]; greatest/least skip nulls, so null is kept explicitly."""
+    return F.when(col(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(x))))
 
 
 def linear(x: ColumnLike, lo: float, hi: float, inverted: bool = False) -> Column:
@@ -274,8 +275,10 @@ def logistic(z: ColumnLike) -> Column:
 
 # ── solar sizing and cost ───────────────────────────────────────────────────
 def suggested_tilt(lat: ColumnLike, array_type: ColumnLike) -> Column:
-    fixed = F.round(F.greatest(F.lit(5.0), F.least(F.lit(35.0), F.abs(col(lat)) - 5.0)), 1)
-    return F.when(col(array_type).isin(2, 3, 4), 0.0).otherwise(fixed)
+    """Tilt of a fixed array, rounded as a decimal; trackers lie flat."""
+    fixed = F.greatest(F.lit(5.0), F.least(F.lit(35.0), F.abs(col(lat)) - 5.0))
+    rounded = F.round(fixed.cast("decimal(18,6)"), 1).cast("double")
+    return F.when(col(array_type).isin(2, 3, 4), 0.0).otherwise(rounded)
 
 
 def capacity_kw(acres: ColumnLike, array_type: ColumnLike) -> Column:

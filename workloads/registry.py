@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("loss",)
+MODULES = ("loss", "spatial", "solar")
 
 
 def collect(attribute: str) -> dict:

@@ -217,7 +217,7 @@ def areal_rollup(spark, sf_dir):
     )
     out = overlap.areal_rollup(rings, tracts, "loc_id", 0.054)
     return out.select(
-        "loc_id", "tracts_intersected", *[F.round(c, 4).alias(c) for c in ("population", "households", "age_18_34", "jobs")],
+        "loc_id", "tracts_intersected", *[F.round(c, 7).alias(c) for c in ("population", "households", "age_18_34", "jobs")],
         F.round("median_income", 2).alias("median_income"),
     )
 
@@ -366,7 +366,7 @@ QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY d, sub_id) = 1"""),
 SELECT loc_id, round(min(sqrt(pow(s.lng - t.lng, 2) + pow(s.lat - t.lat, 2))), 6) AS dist_deg
 FROM sites s CROSS JOIN structures t GROUP BY loc_id"""),
     "nearest_of_layers": with_ctes("sites", "lines", "substations", body=f"""
-, parts AS (SELECT ax, ay, bx, by FROM lines UNION ALL SELECT lng, lat, lng, lat FROM substations),
+, parts AS (SELECT ax, ay, bx, lines.by FROM lines UNION ALL SELECT lng, lat, lng, lat FROM substations),
 near AS (SELECT p.loc_id, min({segment_sql('p', 'e')}) AS d FROM sites p JOIN parts e
   ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5 GROUP BY p.loc_id)
 SELECT loc_id, CASE WHEN d <= 50000 THEN round(d, 2) END AS grid_m FROM sites LEFT JOIN near USING (loc_id)"""),
@@ -394,8 +394,8 @@ FROM pairs JOIN (SELECT loc_id, arg_min(iso, (-c, iso)) AS usual_iso FROM isos G
 , o AS (SELECT s.loc_id, t.*, least(1e0, (least(t.x1, s.lng + 0.04) - greatest(t.x0, s.lng - 0.04)) *
     (least(t.y1, s.lat + 0.03) - greatest(t.y0, s.lat - 0.03)) / ((t.x1 - t.x0) * (t.y1 - t.y0))) AS frac
   FROM stores s JOIN tracts t ON t.x0 <= s.lng + 0.04 AND t.x1 >= s.lng - 0.04 AND t.y0 <= s.lat + 0.03 AND t.y1 >= s.lat - 0.03)
-SELECT loc_id, count(*) AS tracts_intersected, round(sum(coalesce(population, 0e0) * frac), 4) AS population,
-  round(sum(households * frac), 4) AS households, round(sum(age_18_34 * frac), 4) AS age_18_34, round(sum(jobs * frac), 4) AS jobs,
+SELECT loc_id, count(*) AS tracts_intersected, round(sum(coalesce(population, 0e0) * frac), 7) AS population,
+  round(sum(households * frac), 7) AS households, round(sum(age_18_34 * frac), 7) AS age_18_34, round(sum(jobs * frac), 7) AS jobs,
   round(sum(median_income * population * frac) / sum(CASE WHEN median_income IS NOT NULL THEN population * frac END), 2) AS median_income
 FROM o GROUP BY loc_id"""),
     "union_cover": with_ctes("sites", "zones", ZONE_EDGES, f"""lat_pts AS (
@@ -427,4 +427,3 @@ SELECT loc_id, layer, rank, feature_id, round(d, 2) AS dist_m, n_in_radius FROM
 SELECT loc_id, arg_max(tile_name, tile_id) AS tile_name FROM sites s JOIN tiles t
   ON s.lng BETWEEN t.x0 - 1e0 AND t.x1 + 1e0 AND s.lat BETWEEN t.y0 - 1e0 AND t.y1 + 1e0 GROUP BY loc_id"""),
 }
-ORACLES = {k: v.replace(")\n\n, ", "),\n").replace(")\n, ", "),\n") for k, v in ORACLES.items()}
