@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 
 
-def log_bucket(per_unit: float = 64.0) -> Callable[[Column], Column]:
-    """Order-preserving buckets with constant relative width (at most ~90 000)."""
+def magnitude_bucket(per_octave: int = 1024) -> Callable[[Column], Column]:
+    """Order-preserving buckets of constant relative width.
+
+    Twenty octaves of data make about 20 000 buckets, whatever the row count.
+    """
 
     def bucket(v: Column) -> Column:
-        return F.floor(F.signum(v) * F.log1p(F.abs(v)) * per_unit).cast("long")
+        size = F.floor((F.log2(F.abs(v)) + 1100.0) * per_octave).cast("long") + 1
+        return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.signum(v).cast("long") * size)
 
     return bucket
 
@@ -46,7 +50,7 @@ def running_total(
     ``levels`` has one row per (keys, order) value.
     """
     keys = keys or []
-    bucket = bucket or log_bucket()
+    bucket = bucket or magnitude_bucket()
     with_bucket = levels.withColumn("_b", bucket(F.col(order)))
     direction = F.desc if descending else F.asc
     per_bucket = with_bucket.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -65,49 +69,63 @@ def running_total(
     return out.drop("_b", *[f"_off_{v}" for v in values])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: list[float],
-    keys: list[str] | None = None,
-    bucket: Callable[[Column], Column] | None = None,
+Position = Callable[[Column], Column]
+
+
+def values_at(
+    df: DataFrame, value: str, positions: dict[str, Position], keys: list[str] | None = None, bucket=None
 ) -> DataFrame:
-    """Linear-interpolated quantiles, one row per (keys, prob) with ``quantile``."""
+    """Values at 0-based ascending positions, fractional ones interpolated.
+
+    Each position is a function of the row count. One row per (keys, name), with
+    ``quantile``; all positions share one pass.
+    """
     keys = keys or []
     levels = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cum = running_total(levels, value, ["n"], keys, bucket=bucket)
+    wanted = F.array(
+        *[F.struct(F.lit(n).alias("name"), f(F.col("total_n")).cast("double").alias("pos")) for n, f in positions.items()]
+    )
     at = (
-        cum.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_pos", F.col("prob") * (F.col("total_n") - 1))
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.ceil("_pos"))
+        cum.withColumn("_q", F.explode(wanted))
+        .select("*", "_q.*")
+        .withColumn("_lo", F.floor("pos"))
+        .withColumn("_hi", F.ceil("pos"))
     )
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     holds_lo = F.col("_lo").between(first, last)
     holds_hi = F.col("_hi").between(first, last)
-    picked = at.filter(holds_lo | holds_hi).groupBy(*keys, "prob").agg(
+    picked = at.filter(holds_lo | holds_hi).groupBy(*keys, "name").agg(
         F.max(F.when(holds_lo, F.col(value))).alias("_a"),
         F.max(F.when(holds_hi, F.col(value))).alias("_z"),
-        F.max(F.col("_pos") - F.col("_lo")).alias("_w"),
+        F.max(F.col("pos") - F.col("_lo")).alias("_w"),
     )
-    return picked.select(*keys, "prob", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")).alias("quantile"))
+    return picked.select(*keys, "name", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")).alias("quantile"))
 
 
-def quantile_columns(
-    df: DataFrame, value: str, names: dict[str, float], keys: list[str] | None = None, bucket=None
+def linear_position(prob: float) -> Position:
+    return lambda n: (n - 1) * float(prob)
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None, bucket=None
 ) -> DataFrame:
-    """``exact_quantiles`` with one column per named probability."""
-    q = exact_quantiles(df, value, list(names.values()), keys, bucket)
-    picks = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in names.items()]
-    return q.groupBy(*keys).agg(*picks) if keys else q.agg(*picks)
+    """Linear-interpolated quantiles, one row per (keys, prob) with ``quantile``."""
+    at = values_at(df, value, {str(float(p)): linear_position(p) for p in probs}, keys, bucket)
+    return at.withColumn("prob", F.col("name").cast("double")).drop("name")
 
 
-def value_at_rank(df: DataFrame, value: str, position: Callable[[Column], Column], name: str, bucket=None) -> DataFrame:
-    """The value at a 0-based ascending position computed from the row count."""
-    levels = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    cum = running_total(levels, value, ["n"], bucket=bucket)
-    pos = position(F.col("total_n"))
-    return cum.filter(pos.between(F.col("cum_n") - F.col("n"), F.col("cum_n") - 1)).select(F.col(value).alias(name))
+def pivot_values(at: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
+    picks = [F.max(F.when(F.col("name") == n, F.col("quantile"))).alias(n) for n in names]
+    return at.groupBy(*keys).agg(*picks) if keys else at.agg(*picks)
+
+
+def quantile_columns(
+    df: DataFrame, value: str, names: dict[str, float], keys: list[str] | None = None, bucket=None
+) -> DataFrame:
+    """Quantiles with one column per named probability."""
+    at = values_at(df, value, {n: linear_position(p) for n, p in names.items()}, keys, bucket)
+    return pivot_values(at, list(names), keys)
 
 
 def average_ranks(df: DataFrame, value: str, name: str, bucket=None) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions import scoring as S
 from ..operators import aggregates as A
 
 MODEL_INPUTS = ["burn_probability", "distance_to_fuel_m", "canopy_cover_100m", "slope_degrees", "occtype"]
-LOSS_BUCKET = A.log_bucket()
 
 
 def is_res1(occtype: str = "occtype") -> Column:
@@ -43,7 +42,7 @@ def loss_by_occupancy(losses: DataFrame) -> DataFrame:
         F.avg("expected_annual_loss").alias("mean_eal"),
         F.sum("val_struct").alias("total_exposure"),
     )
-    medians = A.quantile_columns(slim, "expected_annual_loss", {"median_eal": 0.5}, ["occ_group"], LOSS_BUCKET)
+    medians = A.quantile_columns(slim, "expected_annual_loss", {"median_eal": 0.5}, ["occ_group"])
     # One row per class, so the unpartitioned window is small.
     share = F.col("total_eal") / F.sum("total_eal").over(W.partitionBy())
     return sums.join(medians, "occ_group").withColumn("share_of_total_eal", share).orderBy(F.desc("total_eal"))
@@ -77,7 +76,7 @@ def exceedance_curve(losses: DataFrame) -> DataFrame:
     Rows tied at a level all count.
     """
     levels = losses.groupBy("val_struct").agg(F.sum("lambda_destroy").alias("freq"))
-    cum = A.running_total(levels, "val_struct", ["freq"], descending=True, bucket=LOSS_BUCKET)
+    cum = A.running_total(levels, "val_struct", ["freq"], descending=True)
     freq = F.col("cum_freq")
     return cum.select(
         F.col("val_struct").alias("loss_amount"),
@@ -119,11 +118,9 @@ def largest_losses(losses: DataFrame, n: int) -> DataFrame:
 
 
 def loss_quantiles(losses: DataFrame) -> DataFrame:
-    q = A.quantile_columns(losses, "expected_annual_loss", {"p5": 0.05, "p95": 0.95}, bucket=LOSS_BUCKET)
+    q = A.quantile_columns(losses, "expected_annual_loss", {"p5": 0.05, "p95": 0.95})
     s = losses.agg(F.max("expected_annual_loss").alias("max_eal"), F.sum("lambda_destroy").alias("total_frequency"))
-    return s.select(
-        q.select("p5").scalar().alias("p5"), q.select("p95").scalar().alias("p95"), "max_eal", "total_frequency"
-    )
+    return s.withColumn("_q", q.select(F.struct("p5", "p95")).scalar()).select("_q.*", "max_eal", "total_frequency")
 
 
 def loss_report(losses: DataFrame, top_tracts: int = 20) -> DataFrame:
@@ -139,13 +136,14 @@ def loss_report(losses: DataFrame, top_tracts: int = 20) -> DataFrame:
         F.avg("expected_annual_loss").alias("mean"),
         F.sum("lambda_destroy").alias("frequency"),
     ).unpivot([], ["expected_annual_loss", "structures", "mean", "frequency"], "label", "value")
-    quantiles = A.exact_quantiles(slim, "expected_annual_loss", [0.05, 0.5, 0.95], bucket=LOSS_BUCKET)
-    quantile_name = F.when(F.col("prob") == 0.05, "p5").when(F.col("prob") == 0.5, "median").otherwise("p95")
+    quantiles = A.values_at(
+        slim, "expected_annual_loss", {n: A.linear_position(p) for n, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))}
+    )
     occupancy = slim.groupBy(F.substring("occtype", 1, 3).alias("occ_group")).agg(F.sum("expected_annual_loss").alias("v"))
     tracts = loss_by_tract(slim).orderBy(F.desc("total_eal"), "tract_fips").limit(top_tracts)
     parts = [
         section("total", totals, F.col("label"), F.col("value")),
-        section("quantile", quantiles, quantile_name, F.col("quantile")),
+        section("quantile", quantiles, F.col("name"), F.col("quantile")),
         section("occupancy", occupancy, F.col("occ_group"), F.col("v")),
         section("histogram", loss_histogram(slim), F.col("bucket"), F.col("n")),
         section("return_period", return_period_losses(exceedance_curve(slim)), F.col("return_period_years"), F.col("loss_amount")),
@@ -155,3 +153,100 @@ def loss_report(losses: DataFrame, top_tracts: int = 20) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ── portfolios ──────────────────────────────────────────────────────────────
+def portfolio_status(records: DataFrame) -> DataFrame:
+    """scored / no_coverage / error per property; persisted zero falls through."""
+    bad = F.col("lat").isNull() | F.col("lng").isNull()
+    matched = F.col("fd_id").isNotNull()
+    return records.withColumn("status", F.when(bad, "error").when(matched, "scored").otherwise("no_coverage"))
+
+
+def portfolio_summary(records: DataFrame) -> DataFrame:
+    """One row: counts by status, totals, order statistics, tiers, perimeter share.
+
+    Order statistics come from the running-count quantiles, and p95 is the value
+    at position int(0.95·n).
+    """
+    r = F.col("annual_risk_usd")
+    ok = r.isNotNull()
+    tier = S.portfolio_tier("annual_risk_usd")
+    held = F.coalesce(F.col("in_perimeter"), F.lit(False)) & ok
+    sums = records.agg(
+        F.count(F.lit(1)).alias("property_count"),
+        F.count("annual_risk_usd").alias("scored_count"),
+        F.count_if(F.col("status") == "error").alias("error_count"),
+        F.count_if(F.col("status") == "no_coverage").alias("no_coverage_count"),
+        F.round(F.sum(r), 2).alias("total_annual_risk"),
+        F.round(F.avg(r), 2).alias("mean_risk"),
+        F.round(F.min(r), 2).alias("min_risk"),
+        F.round(F.max(r), 2).alias("max_risk"),
+        *[F.count_if(tier == t).alias(f"{t}_risk_count") for t in ("high", "moderate", "low")],
+        F.count_if(held).alias("in_perimeter_count"),
+        F.count_if(held & tier.isin("high", "moderate")).alias("in_perimeter_high_or_moderate"),
+    )
+    at = A.values_at(
+        records.select("annual_risk_usd"),
+        "annual_risk_usd",
+        {"median": A.linear_position(0.5), "p95": lambda n: F.least(F.floor(n * 0.95), n - 1)},
+    )
+    ordered = A.pivot_values(at, ["median", "p95"]).select(F.struct("median", "p95").alias("_o")).scalar()
+    return sums.withColumn("_o", ordered).withColumns(
+        {
+            "median_risk": F.round("_o.median", 2),
+            "p95_risk": F.round("_o.p95", 2),
+            "in_perimeter_share": F.round(
+                F.try_divide(F.col("in_perimeter_high_or_moderate"), F.col("in_perimeter_count")), 4
+            ),
+        }
+    ).drop("_o")
+
+
+def portfolio_histogram(records: DataFrame) -> DataFrame:
+    slim = records.filter(F.col("annual_risk_usd").isNotNull()).select("annual_risk_usd")
+    return A.bucket_counts(slim, F.array(A.exclusive_bucket(F.col("annual_risk_usd"))), "annual_risk_usd")
+
+
+def benchmark_mean(losses: DataFrame) -> DataFrame:
+    return losses.filter(F.col("expected_annual_loss").isNotNull()).agg(
+        F.avg("expected_annual_loss").alias("mean_eal"), F.count(F.lit(1)).alias("n_structures")
+    )
+
+
+# fixed values: driver feature, direction (+1 higher is riskier), label
+DRIVERS = (
+    ("burn_probability", 1, "elevated wildfire likelihood", 1e-9),
+    ("distance_to_fuel_m", -1, "direct adjacency to wildland fuel", 1.0),
+    ("canopy_cover_100m", 1, "dense canopy within 100 m", 1e-9),
+    ("slope_degrees", 1, "steep terrain slope", 1e-9),
+)
+
+
+def risk_drivers(records: DataFrame, top: int = 2) -> DataFrame:
+    """Two features farthest above the portfolio median in their risky direction.
+
+    Fewer than two above the median falls back to the two largest regardless.
+    """
+    names = [n for n, *_ in DRIVERS]
+    scored = records.filter(F.col("status") == "scored")
+    long = scored.select(*names).unpivot([], names, "feature", "v")
+    at = A.values_at(long, "v", {"median": A.linear_position(0.5)}, ["feature"])
+    medians = at.agg(
+        F.struct(*[F.max(F.when(F.col("feature") == n, F.col("quantile"))).alias(n) for n in names]).alias("_m")
+    )
+    with_medians = records.withColumn("_m", medians.scalar())
+    entries = []
+    for i, (name, direction, label, floor) in enumerate(DRIVERS):
+        v = F.coalesce(F.col(name), F.lit(0.0))
+        median = F.coalesce(F.col(f"_m.{name}"), F.lit(0.0))
+        m = F.when(median == 0, F.lit(floor)).otherwise(median)
+        if direction > 0:
+            score = (v - m) / F.abs(m)
+        else:
+            score = F.when(v == 0, F.abs(m)).otherwise((m - v) / F.nullif(F.abs(v), F.lit(0.0)))
+        entries.append(F.struct((-score).alias("s"), F.lit(i).alias("i"), F.lit(label).alias("label")))
+    ranked = F.array_sort(F.array(*entries))
+    above = F.filter(ranked, lambda e: e["s"] < 0)
+    picked = F.when(F.size(above) >= top, F.slice(above, 1, top)).otherwise(F.slice(ranked, 1, top))
+    return with_medians.withColumn("drivers", F.transform(picked, lambda e: e["label"])).drop("_m")

@@ -113,13 +113,13 @@ def score_solar(sites: DataFrame, road: Column | None = None) -> DataFrame:
     v_zone = F.when((F.col("conf_excl_flood") > 0) & zone.startswith("V"), "excl_flood")
     exclusions = F.array_sort(F.array_compact(F.array(*hits, v_zone)))
     blocked = (F.col("conf_solar_ghi") == 0) | F.col("capacity_factor_pct").isNull()
-    out = scored.withColumns({"_composite": composite, "exclusions": exclusions, "cannot_assess": blocked})
+    out = scored.withColumns({"composite": composite, "exclusions": exclusions, "cannot_assess": blocked})
     rating = F.when(F.col("cannot_assess"), K.CANNOT_ASSESS).when(F.size("exclusions") > 0, "Excluded").otherwise(
-        S.rating("_composite")
+        S.rating("composite")
     )
     return out.withColumns(
-        {"score": F.when(~F.col("cannot_assess"), F.round("_composite", 4)), "rating": rating, "flood_deduction": F.round(deduction, 4)}
-    ).drop("_composite")
+        {"score": F.when(~F.col("cannot_assess"), F.round("composite", 4)), "rating": rating, "flood_deduction": F.round(deduction, 4)}
+    )
 
 
 def site_measurements(
@@ -256,6 +256,12 @@ def resource_stage(parcels: DataFrame, array_type: int = 2) -> DataFrame:
     )
 
 
+def terrain_irradiance_factor(slope_pct: Column, aspect_deg: Column) -> Column:
+    """Cosine of the deviation from south within [0.7, 1]; 1 below 1 % slope."""
+    f = F.greatest(F.lit(0.7), F.least(F.lit(1.0), F.cos(F.radians(S.south_deviation(aspect_deg)))))
+    return F.when(aspect_deg.isNull() | (slope_pct < 1.0), 1.0).otherwise(F.round(f, 3))
+
+
 def terrain_stage(points: DataFrame, key: str) -> DataFrame:
     """Slope, dominant aspect and uniformity from a lattice of elevations.
 
@@ -288,7 +294,8 @@ def terrain_stage(points: DataFrame, key: str) -> DataFrame:
         S.slope_degrees("_g").alias("mean_slope_deg"),
         "dominant_aspect_deg",
         "elev_std_m",
-        F.when(std < 2, "very uniform").when(std < 5, "uniform").when(std < 15, "moderate").otherwise("rugged").alias("uniformity"),
+        F.when(std < 2, "flat").when(std < 5, "gently rolling").when(std < 15, "variable").otherwise("steep/irregular").alias("terrain_rating"),
+        terrain_irradiance_factor(F.col("_g") * 100.0, F.col("dominant_aspect_deg")).alias("irradiance_factor"),
     )
 
 

@@ -71,7 +71,7 @@ FROM {customer}""",
     "properties": (
         "customer",
         """SELECT c_custkey AS property_id,
-  -1.25e2 + ((c_custkey * 7 * 7919) % 58000 + (c_custkey % 9) - 4) / 1e3 AS lng,
+  -1.25e2 + ((c_custkey * 7 * 7919) % 58000 + ((c_custkey % 9) - 4) * 2) / 1e3 AS lng,
   2.5e1 + ((c_custkey * 7 * 104729) % 24000 + (c_custkey % 5) - 2) / 1e3 AS lat,
   c_mktsegment AS segment
 FROM {customer}""",

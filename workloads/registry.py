@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("loss", "spatial", "solar")
+MODULES = ("loss", "spatial", "solar", "hazard", "trade")
 
 
 def collect(attribute: str) -> dict:

@@ -49,12 +49,14 @@ def source_probe(spark, sf_dir):
 
 def source_coverage(spark, sf_dir):
     """Availability and quality of every source by coverage and reliability."""
-    sites = layer(spark, sf_dir, "sites").withColumn("state", STATE)
+    sites = layer(spark, sf_dir, "sites").withColumn("state", home_state())
     out = E.coverage_availability(sites, "loc_id", "state")
     return out.groupBy("source_id", "quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("available").alias("n_available"))
 
 
-STATE = F.when(F.col("nation_id") < 6, "CA").when(F.col("nation_id") < 12, "TX").when(F.col("nation_id") < 18, "OH").otherwise(F.lit(None))
+def home_state():
+    n = F.col("nation_id")
+    return F.when(n < 6, "CA").when(n < 12, "TX").when(n < 18, "OH")
 
 
 def _selection(workflow):
@@ -145,7 +147,7 @@ def solar_composite(spark, sf_dir):
     """Composite score, rating and exclusions of every site."""
     out = solar_scored(spark, sf_dir)
     return out.select(
-        "loc_id", F.round("score", 4).alias("score"), "rating", F.array_join("exclusions", ",").alias("exclusions"),
+        "loc_id", F.round("composite", 8).alias("composite"), "rating", F.array_join("exclusions", ",").alias("exclusions"),
         "flood_deduction", F.round("s_solar_transmission", 4).alias("s_transmission"), "s_solar_land_cover", "s_solar_soil",
     )
 
@@ -427,7 +429,7 @@ SELECT loc_id, r_name AS region, CASE WHEN r_regionkey % 2 = 0 THEN 'calibrated'
   CASE WHEN r_regionkey % 2 = 0 THEN 0.3e0 ELSE 0.25e0 END AS w_solar_transmission, 0.15e0 AS w_solar_slope
 FROM sites s JOIN tiles t ON s.lng >= t.x0 AND s.lng < t.x1 AND s.lat >= t.y0 AND s.lat < t.y1 JOIN region ON region_id = r_regionkey"""),
     "solar_composite": with_ctes(*SOLAR_CTES, body="""
-SELECT loc_id, round(composite, 4) AS score, CASE WHEN exclusions <> '' THEN 'Excluded' WHEN composite >= 0.7 THEN 'High'
+SELECT loc_id, round(composite, 8) AS composite, CASE WHEN exclusions <> '' THEN 'Excluded' WHEN composite >= 0.7 THEN 'High'
     WHEN composite >= 0.4 THEN 'Moderate' ELSE 'Low' END AS rating, exclusions, round(deduction, 4) AS flood_deduction, s_tx AS s_transmission,
   s_cover AS s_solar_land_cover, s_soil AS s_solar_soil FROM final"""),
     "exclusion_diagnosis": with_ctes(*SOLAR_CTES, body="""
