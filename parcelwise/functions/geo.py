@@ -190,6 +190,32 @@ def ring_edges(rings: ColumnLike) -> Column:
     return F.flatten(F.transform(col(rings), edges))
 
 
+def edges_for_cell(rings: ColumnLike, x_lo: Column, y_lo: Column, y_hi: Column) -> Column:
+    """The edges a rightward ray from any point of the cell can cross.
+
+    Edges above, below or wholly left of the cell never count, so each cell row
+    carries a short list in place of the whole polygon.
+    """
+    slack = 1e-9
+    return F.filter(
+        ring_edges(rings),
+        lambda e: (F.greatest(e["ay"], e["by"]) >= y_lo - slack)
+        & (F.least(e["ay"], e["by"]) <= y_hi + slack)
+        & (F.greatest(e["ax"], e["bx"]) >= x_lo - slack),
+    )
+
+
+def odd_crossings(edges: ColumnLike, lng: ColumnLike, lat: ColumnLike) -> Column:
+    """Even-odd containment from an edge list; half-open edges."""
+    x, y = col(lng), col(lat)
+
+    def crosses(e: Column) -> Column:
+        at = (e["bx"] - e["ax"]) * F.try_divide(y - e["ay"], e["by"] - e["ay"]) + e["ax"]
+        return ((e["ay"] > y) != (e["by"] > y)) & (x < at)
+
+    return F.size(F.filter(col(edges), crosses)) % 2 == 1
+
+
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
 

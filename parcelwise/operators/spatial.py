@@ -95,7 +95,11 @@ def points_in_polygons(
     columns of both sides are kept, so their names must not clash.
     """
     left = own_cell(points, cell)
-    right = cover_cells(polygons, cell, *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    covered = cover_cells(polygons, cell, *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    south = F.col("_cy") * cell
+    right = covered.withColumn("_edges", geo.edges_for_cell("rings", F.col("_cx") * cell, south, south + cell)).drop(
+        "rings"
+    )
     keys = CELL
     if salted:
         left, right = salt_hot_cells(left, right)
@@ -104,8 +108,8 @@ def points_in_polygons(
     return (
         left.join(right, keys)
         .filter(in_box)
-        .filter(geo.contains("rings", "lng", "lat"))
-        .drop(*keys, "rings", "x0", "y0", "x1", "y1")
+        .filter(geo.odd_crossings("_edges", "lng", "lat"))
+        .drop(*keys, "_edges", "x0", "y0", "x1", "y1")
     )
 
 

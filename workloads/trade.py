@@ -78,7 +78,7 @@ def nearest_competitor(spark, sf_dir):
 def circle_counts(spark, sf_dir):
     """Points of interest inside the three circle rings of each store."""
     stores = layer(spark, sf_dir, "stores").select("loc_id", "lng", "lat")
-    return T.ring_competition(T.circle_rings(stores, "loc_id"), layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.1)
+    return T.ring_competition(T.circle_rings(stores, "loc_id"), layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.05)
 
 
 def trade_area_score(spark, sf_dir):
