@@ -190,21 +190,23 @@ def ring_edges(rings: ColumnLike) -> Column:
     return F.flatten(F.transform(col(rings), edges))
 
 
-def edges_for_cell(rings: ColumnLike, x_lo: Column, y_lo: Column, y_hi: Column) -> Column:
-    """The edges a rightward ray from any point of the cell can cross.
+# Slack against rounding of the cell bounds; it only keeps extra edges.
+_EDGE_SLACK = 1e-9
 
-    Edges above, below or wholly left of the cell never count, so each cell row
-    carries a short list in place of the whole polygon.
-    """
-    slack = 1e-9
+
+def edges_in_band(edges: ColumnLike, y_lo: Column, y_hi: Column) -> Column:
+    """Edges that reach into a latitude band."""
     return F.filter(
-        ring_edges(rings),
-        lambda e: (F.greatest(e["ay"], e["by"]) >= y_lo - slack)
-        & (F.least(e["ay"], e["by"]) <= y_hi + slack)
-        & (F.greatest(e["ax"], e["bx"]) >= x_lo - slack),
+        col(edges),
+        lambda e: (F.greatest(e["ay"], e["by"]) >= y_lo - _EDGE_SLACK) & (F.least(e["ay"], e["by"]) <= y_hi + _EDGE_SLACK),
     )
 
 
+def edges_east_of(edges: ColumnLike, x_lo: Column) -> Column:
+    """Edges that a rightward ray starting at or after ``x_lo`` can meet."""
+    return F.filter(col(edges), lambda e: F.greatest(e["ax"], e["bx"]) >= x_lo - _EDGE_SLACK)
+
+
 def odd_crossings(edges: ColumnLike, lng: ColumnLike, lat: ColumnLike) -> Column:
     """Even-odd containment from an edge list; half-open edges."""
     x, y = col(lng), col(lat)

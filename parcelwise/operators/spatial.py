@@ -85,6 +85,25 @@ def with_extent(layer: DataFrame, rings: str = "rings") -> DataFrame:
     return layer.withColumns(geo.ring_extent(rings))
 
 
+def cover_with_edges(polygons: DataFrame, cell: float) -> DataFrame:
+    """One row per cell of a polygon's box with only the edges that cell needs.
+
+    A ray cast to the right from a point of the cell can cross only edges that
+    reach the cell's latitude band and are not wholly to its left, so a long
+    boundary is never repeated whole. Bands are cut first, then cells.
+    """
+    south = F.col("_cy") * cell
+    bands = (
+        polygons.withColumn("_edges", geo.ring_edges("rings"))
+        .drop("rings")
+        .withColumn("_cy", F.explode(F.sequence(cell_index(F.col("y0"), cell), cell_index(F.col("y1"), cell))))
+        .withColumn("_edges", geo.edges_in_band("_edges", south, south + cell))
+    )
+    return bands.withColumn(
+        "_cx", F.explode(F.sequence(cell_index(F.col("x0"), cell), cell_index(F.col("x1"), cell)))
+    ).withColumn("_edges", geo.edges_east_of("_edges", F.col("_cx") * cell))
+
+
 # ── containment ─────────────────────────────────────────────────────────────
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, cell: float, salted: bool = True
@@ -95,11 +114,7 @@ def points_in_polygons(
     columns of both sides are kept, so their names must not clash.
     """
     left = own_cell(points, cell)
-    covered = cover_cells(polygons, cell, *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
-    south = F.col("_cy") * cell
-    right = covered.withColumn("_edges", geo.edges_for_cell("rings", F.col("_cx") * cell, south, south + cell)).drop(
-        "rings"
-    )
+    right = cover_with_edges(polygons, cell)
     keys = CELL
     if salted:
         left, right = salt_hot_cells(left, right)
@@ -309,9 +324,12 @@ def nearest(
     attrs: list[str],
     cell: float = 0.25,
     metric: Metric = HAVERSINE,
+    extent: float = 360.0,
 ) -> DataFrame:
     """Nearest feature with no radius, exact, without a driver loop.
 
+    ``extent`` bounds the coordinate range (degrees, or cells for a raster).
+
     Works on the grid first. For every occupied point cell, find the coarsest
     needed level: the smallest power-of-two cell whose 3×3 neighbourhood holds a
     feature. That bounds the distance, so only feature cells that could beat the
@@ -319,7 +337,7 @@ def nearest(
     """
     base = own_cell(points.select(key, "lng", "lat"), cell)
     feats = own_cell(features, cell, "f_lng", "f_lat")
-    links = cell_candidates(base.select(*CELL).distinct(), feats.select(*CELL).distinct(), cell, metric)
+    links = cell_candidates(base.select(*CELL).distinct(), feats.select(*CELL).distinct(), cell, metric, extent)
     pairs = (
         base.join(links, CELL)
         .drop(*CELL)
@@ -333,9 +351,11 @@ def nearest(
     )
 
 
-def cell_candidates(point_cells: DataFrame, feature_cells: DataFrame, cell: float, metric: Metric) -> DataFrame:
+def cell_candidates(
+    point_cells: DataFrame, feature_cells: DataFrame, cell: float, metric: Metric, extent: float = 360.0
+) -> DataFrame:
     """(point cell, feature cell) pairs that can contain a nearest match."""
-    levels = max(1, math.ceil(math.log2(360.0 / cell)))
+    levels = max(1, math.ceil(math.log2(extent / cell)) + 1)
     f = feature_cells.select(F.col("_cx").alias("_fx"), F.col("_cy").alias("_fy"))
     coarse = f.select(
         F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_l"), "_fx", "_fy"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import relational as R
+from ..session import cut_lineage
 
 
 def state_summary(scored: DataFrame, state: str, kind: str) -> DataFrame:
@@ -75,7 +76,11 @@ def tract_backtest(predicted: DataFrame, actual: DataFrame, key: str) -> DataFra
 
 
 def backtest_metrics(tracts: DataFrame, key: str) -> DataFrame:
-    """Rank correlation, discrimination and dynamic range of a tract back-test."""
+    """Rank correlation, discrimination and dynamic range of a tract back-test.
+
+    The tract table feeds several ranks, so it is checkpointed once.
+    """
+    tracts = cut_lineage(tracts.select(key, "predicted", "actual"))
     rho = A.spearman(tracts, "predicted", "actual")
     disc = A.edge_decile_means(tracts, "actual", "predicted", key).select(
         F.try_divide(F.col("top_mean"), F.col("bottom_mean")).alias("v")

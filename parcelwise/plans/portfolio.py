@@ -130,22 +130,38 @@ def loss_report(losses: DataFrame, top_tracts: int = 20) -> DataFrame:
     def section(name: str, df: DataFrame, label: Column, value: Column) -> DataFrame:
         return df.select(F.lit(name).alias("section"), label.cast("string").alias("label"), value.cast("double").alias("value"))
 
-    totals = slim.agg(
-        F.sum("expected_annual_loss").alias("expected_annual_loss"),
-        F.count(F.lit(1)).cast("double").alias("structures"),
-        F.avg("expected_annual_loss").alias("mean"),
-        F.sum("lambda_destroy").alias("frequency"),
+    # One cube feeds the totals, classes, buckets and tracts; Spark plans its
+    # shuffle once and reuses it.
+    cube = (
+        slim.withColumn("bucket", F.explode(A.overlapping_buckets(F.col("expected_annual_loss"))))
+        .withColumn("_first", F.col("bucket") == A.exclusive_bucket(F.col("expected_annual_loss")))
+        .groupBy(F.substring("occtype", 1, 3).alias("occ_group"), F.substring("cbfips", 1, 11).alias("tract_fips"), "bucket", "_first")
+        .agg(
+            F.sum("expected_annual_loss").alias("eal"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("lambda_destroy").alias("frequency"),
+        )
+    )
+    rows_once = cube.filter("_first")
+    totals = rows_once.agg(
+        F.sum("eal").alias("expected_annual_loss"),
+        F.sum("n").cast("double").alias("structures"),
+        (F.sum("eal") / F.sum("n")).alias("mean"),
+        F.sum("frequency").alias("frequency"),
     ).unpivot([], ["expected_annual_loss", "structures", "mean", "frequency"], "label", "value")
     quantiles = A.values_at(
         slim, "expected_annual_loss", {n: A.linear_position(p) for n, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))}
     )
-    occupancy = slim.groupBy(F.substring("occtype", 1, 3).alias("occ_group")).agg(F.sum("expected_annual_loss").alias("v"))
-    tracts = loss_by_tract(slim).orderBy(F.desc("total_eal"), "tract_fips").limit(top_tracts)
+    occupancy = rows_once.groupBy("occ_group").agg(F.sum("eal").alias("v"))
+    found = cube.groupBy("bucket").agg(F.sum("n").alias("n"))
+    labels = losses.sparkSession.createDataFrame([(b,) for b, _, _ in K.LOSS_BUCKETS], "bucket string")
+    histogram = labels.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    tracts = rows_once.groupBy("tract_fips").agg(F.sum("eal").alias("total_eal")).orderBy(F.desc("total_eal"), "tract_fips").limit(top_tracts)
     parts = [
         section("total", totals, F.col("label"), F.col("value")),
         section("quantile", quantiles, F.col("name"), F.col("quantile")),
         section("occupancy", occupancy, F.col("occ_group"), F.col("v")),
-        section("histogram", loss_histogram(slim), F.col("bucket"), F.col("n")),
+        section("histogram", histogram, F.col("bucket"), F.col("n")),
         section("return_period", return_period_losses(exceedance_curve(slim)), F.col("return_period_years"), F.col("loss_amount")),
         section("top_tract", tracts, F.col("tract_fips"), F.col("total_eal")),
     ]

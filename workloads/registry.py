@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("loss", "spatial", "solar", "hazard", "trade", "evaluation")
+MODULES = ("loss", "spatial", "solar", "hazard", "trade", "evaluation", "tables")
 
 
 def collect(attribute: str) -> dict:
