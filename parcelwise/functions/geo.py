@@ -103,11 +103,18 @@ MERCATOR = Metric("mercator", mercator_m, _reach_mercator, math.degrees(1.0 / WE
 FLAT = Metric("flat", flat_m, _reach_flat, 1.0 / METRES_PER_DEGREE)
 
 
+def metres_per_lng_degree(lat: ColumnLike) -> Column:
+    return F.cos(F.radians(col(lat))) * SPHERE_M_PER_DEG
+
+
 def segment_distance_m(
-    lng: ColumnLike, lat: ColumnLike, ax: ColumnLike, ay: ColumnLike, bx: ColumnLike, by: ColumnLike
+    lng: ColumnLike, lat: ColumnLike, ax: ColumnLike, ay: ColumnLike, bx: ColumnLike, by: ColumnLike, kx: ColumnLike | None = None
 ) -> Column:
-    """Point to segment, in equirectangular metres at the point's latitude."""
-    kx = F.cos(F.radians(col(lat))) * SPHERE_M_PER_DEG
+    """Point to segment, in equirectangular metres at the point's latitude.
+
+    ``kx`` is metres per degree of longitude when the caller has it per point.
+    """
+    kx = metres_per_lng_degree(lat) if kx is None else col(kx)
     px, py = (col(ax) - col(lng)) * kx, (col(ay) - col(lat)) * SPHERE_M_PER_DEG
     dx, dy = (col(bx) - col(ax)) * kx, (col(by) - col(ay)) * SPHERE_M_PER_DEG
     length2 = dx * dx + dy * dy

@@ -16,11 +16,21 @@ def _as_side(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[F.col(c).alias(f"b_{c}") for c in box])
 
 
+def _with_common_area(pairs: DataFrame) -> DataFrame:
+    """Candidate pairs that intersect, with ``_common`` area.
+
+    Only pairs without common area need the exact test, for a shared boundary.
+    """
+    measured = pairs.withColumn("_common", overlap_area("rings", "b_rings"))
+    return measured.filter((F.col("_common") > 0) | geo.polygons_intersect("rings", "b_rings"))
+
+
 def overlap_fractions(rings: DataFrame, areas: DataFrame, key: str, keep: list[str], cell: float) -> DataFrame:
     """Intersecting pairs with ``frac``, the share of each area the ring covers."""
-    pairs = X.polygons_touching(rings.select(key, "rings", "x0", "y0", "x1", "y1"), _as_side(areas, keep), cell)
-    share = F.try_divide(overlap_area("b_rings", "rings"), geo.polygon_area_deg2("b_rings"))
-    return pairs.select(key, *keep, F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0))).alias("frac"))
+    sized = areas.withColumn("_area", geo.polygon_area_deg2("rings"))
+    pairs = X.boxes_meeting(rings.select(key, "rings", "x0", "y0", "x1", "y1"), _as_side(sized, [*keep, "_area"]), cell)
+    share = F.coalesce(F.try_divide(F.col("_common"), F.col("_area")), F.lit(0.0))
+    return _with_common_area(pairs).select(key, *keep, F.least(F.lit(1.0), share).alias("frac"))
 
 
 def areal_rollup(rings: DataFrame, tracts: DataFrame, key: str, cell: float) -> DataFrame:
@@ -42,14 +52,14 @@ def areal_rollup(rings: DataFrame, tracts: DataFrame, key: str, cell: float) ->
 
 def overlap_moments(a: DataFrame, b: DataFrame, key: str, other: str, cell: float) -> DataFrame:
     """Share of ``a`` inside ``b`` per intersecting pair."""
-    pairs = X.polygons_touching(a.select(key, "rings", "x0", "y0", "x1", "y1"), _as_side(b, [other]), cell)
-    share = F.try_divide(overlap_area("rings", "b_rings"), geo.polygon_area_deg2("rings"))
-    return pairs.select(key, other, share.alias("overlap"))
+    sized = a.select(key, "rings", "x0", "y0", "x1", "y1", geo.polygon_area_deg2("rings").alias("_area"))
+    pairs = X.boxes_meeting(sized, _as_side(b, [other]), cell)
+    return _with_common_area(pairs).select(key, other, F.try_divide(F.col("_common"), F.col("_area")).alias("overlap"))
 
 
 def summed_overlap_acres(parcels: DataFrame, layer: DataFrame, key: str, lat: str, cell: float) -> DataFrame:
     """Σ overlap acres per parcel; overlapping features count twice."""
-    pairs = X.polygons_touching(parcels.select(key, lat, "rings", "x0", "y0", "x1", "y1"), _as_side(layer, []), cell)
+    pairs = X.boxes_meeting(parcels.select(key, lat, "rings", "x0", "y0", "x1", "y1"), _as_side(layer, []), cell)
     acres = geo.deg2_to_acres(overlap_area("rings", "b_rings"), lat)
     return pairs.select(key, acres.alias("_a")).groupBy(key).agg(F.sum("_a").alias("overlap_acres"))
 

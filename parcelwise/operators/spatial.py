@@ -150,12 +150,12 @@ def polygon_flags(points: DataFrame, polygons: DataFrame, cell: float, key: str,
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in flags})
 
 
-def polygons_touching(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Inner join of intersecting polygons.
+def boxes_meeting(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Inner join of polygons whose boxes meet, each pair once.
 
-    ``a`` carries rings, x0…y1 and ``b`` the same names prefixed ``b_``. A pair
-    meets in several cells; it is kept only in the cell that holds the lower-left
-    corner of the common box.
+    ``a`` carries x0…y1 and ``b`` the same names prefixed ``b_``. A pair shares
+    several cells; it is kept only in the one that holds the lower-left corner of
+    the common box.
     """
     left = cover_cells(a, cell, *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
     right = cover_cells(b, cell, *[F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
@@ -168,12 +168,12 @@ def polygons_touching(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     home = (F.col("_cx") == cell_index(F.greatest("x0", "b_x0"), cell)) & (
         F.col("_cy") == cell_index(F.greatest("y0", "b_y0"), cell)
     )
-    return (
-        left.join(right, CELL)
-        .filter(overlap & home)
-        .filter(geo.polygons_intersect("rings", "b_rings"))
-        .drop(*CELL)
-    )
+    return left.join(right, CELL).filter(overlap & home).drop(*CELL)
+
+
+def polygons_touching(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Pairs of polygons that share at least a point (``rings`` and ``b_rings``)."""
+    return boxes_meeting(a, b, cell).filter(geo.polygons_intersect("rings", "b_rings"))
 
 
 # ── radius ──────────────────────────────────────────────────────────────────
@@ -242,24 +242,27 @@ def lines_within(
     cell = max(3.0 * reach, 1e-4)
     top = F.least(F.greatest(F.abs("ay"), F.abs("by")) + reach, F.lit(89.0))
     dx, dy = F.lit(reach) / F.cos(F.radians(top)) * (1 + 1e-6), F.lit(reach * (1 + 1e-6))
-    left = own_cell(points, cell)
-    right = cover_cells(
-        segments,
-        cell,
-        F.least("ax", "bx") - dx,
-        F.least("ay", "by") - dy,
-        F.greatest("ax", "bx") + dx,
-        F.greatest("ay", "by") + dy,
+    boxed = segments.withColumns(
+        {
+            "_w": F.least("ax", "bx") - dx,
+            "_s": F.least("ay", "by") - dy,
+            "_e": F.greatest("ax", "bx") + dx,
+            "_n": F.greatest("ay", "by") + dy,
+        }
     )
+    left = own_cell(points.withColumn("_kx", geo.metres_per_lng_degree("lat")), cell)
+    right = cover_cells(boxed, cell, *[F.col(c) for c in ("_w", "_s", "_e", "_n")])
     keys = CELL
     if salted:
         left, right = salt_hot_cells(left, right)
         keys = SALTED
+    in_box = F.col("lng").between(F.col("_w"), F.col("_e")) & F.col("lat").between(F.col("_s"), F.col("_n"))
     return (
         left.join(right, keys)
-        .withColumn("dist", geo.segment_distance_m("lng", "lat", "ax", "ay", "bx", "by"))
+        .filter(in_box)
+        .withColumn("dist", geo.segment_distance_m("lng", "lat", "ax", "ay", "bx", "by", "_kx"))
         .filter(F.col("dist") <= radius_m)
-        .drop(*keys)
+        .drop(*keys, "_kx", "_w", "_s", "_e", "_n")
     )
 
 
