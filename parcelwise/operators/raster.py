@@ -7,10 +7,11 @@ margin, so its size is fixed by the tile edge and never by the data.
 
 from __future__ import annotations
 
-from typing import Iterator
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ from ..functions import geo
 from ..functions import scoring as S
 from . import spatial as X
 
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TILE = 256
 
 
@@ -59,7 +63,7 @@ def slope_aspect(cells: DataFrame, value: str, px: float, py: float, tile: int =
     spread = with_margin(cells.select("row", "col", value), 1, tile).withColumn("_e", raster_extent(cells).scalar())
     spread = spread.select("*", "_e.*").drop("_e")
 
-    def per_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(key[0]), int(key[1])
         r0, r1, c0, c1 = (int(pdf[k].iloc[0]) for k in ("r0", "r1", "c0", "c1"))
         z = _grid(pdf, tr, tc, tile, 1, value)
@@ -105,7 +109,7 @@ def focal_means(cells: DataFrame, value: str, radii_px: dict[str, float], tile:
     margin = max(int(np.ceil(max(r, 1.0))) for r in radii_px.values())
     spread = with_margin(cells.select("row", "col", value), margin, tile)
 
-    def per_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(key[0]), int(key[1])
         z = _grid(pdf, tr, tc, tile, margin, value)
         valid = ~np.isnan(z)
@@ -130,16 +134,49 @@ def focal_means(cells: DataFrame, value: str, radii_px: dict[str, float], tile:
     return grouped.select("row", "col", *[F.nanvl(n, F.lit(None)).alias(n) for n in kernels])
 
 
-def distance_to(cells: DataFrame, is_target: Column, px_m: float) -> DataFrame:
-    """Metres from every cell centre to the nearest target cell; 0 on a target."""
-    tagged = cells.select("row", "col", is_target.alias("_t"))
-    targets = tagged.filter("_t").select(F.col("col").cast("double").alias("f_lng"), F.col("row").cast("double").alias("f_lat"), F.lit(0).alias("tid"))
-    rest = tagged.filter(~F.col("_t")).select(
+def distance_to(cells: DataFrame, is_target: Column, px_m: float, margin: int = 64, tile: int = TILE) -> DataFrame:
+    """Metres from every cell centre to the nearest target cell; 0 on a target.
+
+    Distances up to the margin are exact within a tile and its margin. Cells with
+    nothing that near take the unbounded nearest join.
+    """
+    tagged = cells.select("row", "col", is_target.cast("int").alias("_t"))
+    near = _tile_distance(tagged, margin, tile)
+    targets = tagged.filter("_t = 1").select(
+        F.col("col").cast("double").alias("f_lng"), F.col("row").cast("double").alias("f_lat"), F.lit(0).alias("tid")
+    )
+    far = near.filter(F.col("d").isNull()).select(
         "row", "col", F.struct("row", "col").alias("_id"), F.col("col").cast("double").alias("lng"), F.col("row").cast("double").alias("lat")
     )
-    near = X.nearest(rest, targets, "_id", "tid", [], cell=8.0, metric=geo.DEGREE, extent=float(2**24))
-    far = near.select("row", "col", (F.col("dist") * px_m).alias("distance_m"))
-    return far.unionByName(tagged.filter("_t").select("row", "col", F.lit(0.0).alias("distance_m")))
+    rest = X.nearest(far, targets, "_id", "tid", [], cell=float(margin), metric=geo.DEGREE, extent=float(2**24))
+    found = near.filter(F.col("d").isNotNull()).select("row", "col", (F.col("d") * px_m).alias("distance_m"))
+    return found.unionByName(rest.select("row", "col", (F.col("dist") * px_m).alias("distance_m")))
+
+
+def _tile_distance(tagged: DataFrame, margin: int, tile: int) -> DataFrame:
+    """Cell distance ``d`` where it is at most ``margin``, else null."""
+    spread = with_margin(tagged, margin, tile)
+
+    def per_tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(key[0]), int(key[1])
+        hit = _grid(pdf, tr, tc, tile, margin, "_t") == 1
+        size = hit.shape[1]
+        at = np.arange(size)
+        big = 4.0 * size
+        before = np.maximum.accumulate(np.where(hit, at, -big), axis=1)
+        after = np.minimum.accumulate(np.where(hit, at, big)[:, ::-1], axis=1)[:, ::-1]
+        along_row = np.minimum(at - before, after - at) ** 2
+        inner = slice(margin, margin + tile)
+        best = np.full((tile, tile), np.inf)
+        for dy in range(-margin, margin + 1):
+            np.minimum(best, along_row[margin + dy : margin + dy + tile, inner] + dy * dy, out=best)
+        own = pdf[(pdf["row"] // tile == tr) & (pdf["col"] // tile == tc)]
+        row, col = own["row"].to_numpy(), own["col"].to_numpy()
+        d = np.sqrt(best[row - tr * tile, col - tc * tile])
+        return pd.DataFrame({"row": row, "col": col, "d": np.where(d <= margin, d, np.nan)})
+
+    out = spread.groupBy("_tr", "_tc").applyInPandas(per_tile, "row long, col long, d double")
+    return out.select("row", "col", F.nanvl("d", F.lit(None)).alias("d"))
 
 
 # ── sampling and resampling ─────────────────────────────────────────────────

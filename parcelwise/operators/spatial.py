@@ -74,11 +74,14 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def suggest_cell(layer: DataFrame, floor: float = 1e-4) -> float:
-    """Cell size near the layer's mean box size: a few cells per feature."""
-    box = layer.agg(
-        F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("extent")
-    ).first()
-    return max(floor, float(box["extent"] or 1.0))
+    """Cell size from the layer's root-mean-square box size.
+
+    With this size the whole layer covers at most about four cells per feature,
+    however unequal the features are: Σ(eᵢ/c + 1)² ≤ 2Σ(eᵢ²/c² + 1) = 4n.
+    """
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = layer.agg(F.sqrt(F.avg(extent * extent)).alias("rms")).first()
+    return max(floor, float(box["rms"] or 1.0))
 
 
 def with_extent(layer: DataFrame, rings: str = "rings") -> DataFrame:
@@ -218,6 +221,12 @@ def collapse_copies(features: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     return features.groupBy("f_lng", "f_lat").agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+def one_per_spot(features: DataFrame, feature_key: str, attrs: list[str]) -> DataFrame:
+    """Lowest key per position: ties in distance go to it anyway."""
+    best = features.groupBy("f_lng", "f_lat").agg(F.min(F.struct(feature_key, *attrs)).alias("_f"))
+    return best.select("f_lng", "f_lat", *[F.col(f"_f.{c}").alias(c) for c in (feature_key, *attrs)])
+
+
 def radius_count(
     points: DataFrame, features: DataFrame, key: str, radius: float, metric: Metric = HAVERSINE, name: str = "n"
 ) -> DataFrame:
@@ -282,12 +291,13 @@ def nearest_within(
     ``order_metric`` ranks candidates by another distance (degrees, say) while
     ``dist`` and the radius stay in ``metric``.
     """
-    pairs = within_radius(points.select(key, "lng", "lat"), features, radius, metric)
+    rest = [a for a in attrs if a not in ("dist", feature_key)]
+    pairs = within_radius(points.select(key, "lng", "lat"), one_per_spot(features, feature_key, rest), radius, metric)
     rank = order_metric.distance("lng", "lat", "f_lng", "f_lat") if order_metric else F.col("dist")
     best = pairs.groupBy(key).agg(
-        F.min(F.struct(rank.alias("_rank"), F.col(feature_key), F.col("dist"), *[a for a in attrs if a not in ("dist", feature_key)])).alias("_b")
+        F.min(F.struct(rank.alias("_rank"), F.col(feature_key), F.col("dist"), *rest)).alias("_b")
     )
-    out = [feature_key, "dist", *[a for a in attrs if a not in ("dist", feature_key)]]
+    out = [feature_key, "dist", *rest]
     return points.join(best, key, "left").select(*points.columns, *[F.col(f"_b.{a}").alias(a) for a in out])
 
 
@@ -296,10 +306,12 @@ def k_nearest_within(
 ) -> DataFrame:
     """The k nearest features per point with their rank.
 
-    Each partial group keeps only k rows before the shuffle, so a point with a
-    huge neighbourhood never gathers it in one task.
+    Copies of a position beyond the first k can never be among the k nearest, so
+    they go first. Each partial group keeps only k rows before the shuffle, so a
+    point with a huge neighbourhood never gathers it in one task.
     """
-    pairs = within_radius(points.select(key, "lng", "lat"), features, radius, metric)
+    few = top_k_per_key(features, ["f_lng", "f_lat"], [F.col(feature_key)], k).drop("rank")
+    pairs = within_radius(points.select(key, "lng", "lat"), few, radius, metric)
     return top_k_per_key(pairs, [key], [F.col("dist"), F.col(feature_key)], k)
 
 
@@ -338,16 +350,15 @@ def nearest(
     feature. That bounds the distance, so only feature cells that could beat the
     bound are candidates. The cell tables grow with occupied area, not rows.
     """
+    rest = [a for a in attrs if a not in ("dist", feature_key)]
     base = own_cell(points.select(key, "lng", "lat"), cell)
-    feats = own_cell(features, cell, "f_lng", "f_lat")
-    links = cell_candidates(base.select(*CELL).distinct(), feats.select(*CELL).distinct(), cell, metric, extent)
-    pairs = (
-        base.join(links, CELL)
-        .drop(*CELL)
-        .join(feats.withColumnRenamed("_cx", "_fx").withColumnRenamed("_cy", "_fy"), ["_fx", "_fy"])
-        .withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
+    feats = own_cell(one_per_spot(features, feature_key, rest), cell, "f_lng", "f_lat").withColumnsRenamed(
+        {"_cx": "_fx", "_cy": "_fy"}
     )
-    rest = [a for a in attrs if a not in ("dist", feature_key)]
+    feature_cells = feats.select(F.col("_fx").alias("_cx"), F.col("_fy").alias("_cy")).distinct()
+    links = cell_candidates(base.select(*CELL).distinct(), feature_cells, cell, metric, extent)
+    left, right = salt_hot_cells(base, links.join(feats, ["_fx", "_fy"]).drop("_fx", "_fy"))
+    pairs = left.join(right, SALTED).withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
     best = pairs.groupBy(key).agg(F.min(F.struct("dist", feature_key, *rest)).alias("_b"))
     return points.join(best, key, "left").select(
         *points.columns, *[F.col(f"_b.{a}").alias(a) for a in (feature_key, "dist", *rest)]

@@ -73,12 +73,12 @@ def probe_sources(points: DataFrame, features: DataFrame, key: str, radii: dict[
     """One pass over all table sources: (key, source_id, n, nearest_m).
 
     ``features`` is the union of the layers with a ``source_id``; each source is
-    searched in its own radius.
+    searched in its own radius. Copies of a position count by weight.
     """
-    reach = S.lookup("source_id", radii)
-    tagged = features.withColumn("_radius", reach).filter(F.col("_radius") > 0)
+    spots = features.groupBy("source_id", "f_lng", "f_lat").agg(F.count(F.lit(1)).alias("_w"))
+    tagged = spots.withColumn("_radius", S.lookup("source_id", radii)).filter(F.col("_radius") > 0)
     pairs = X.within_radius(points.select(key, "lng", "lat"), tagged, "_radius", max_radius=max(radii.values()))
-    return pairs.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("nearest_m"))
+    return pairs.groupBy(key, "source_id").agg(F.sum("_w").alias("n"), F.min("dist").alias("nearest_m"))
 
 
 def availability_columns(locations: DataFrame, probes: DataFrame, key: str, probed: list[str]) -> DataFrame:

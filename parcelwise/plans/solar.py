@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import scoring as S
 from ..operators import aggregates as A
+from ..operators import spatial as X
 from ..sources import catalog
 from . import selection as E
 
@@ -348,3 +349,25 @@ def interconnection_stage(sites: DataFrame, equipment_usd: float = K.INTERCONNEC
             "high_cost": per_mw > K.HIGH_COST_PER_MW,
         }
     )
+
+
+def queue_context(sites: DataFrame, queue: DataFrame, key: str, radius_m: float = 50_000.0) -> DataFrame:
+    """Queue projects near each site: counts, megawatts, status mix, usual ISO.
+
+    Projects are summed per (position, ISO) before the radius join, so counties
+    placed on one centroid cost one candidate each.
+    """
+    active = F.col("status") == "Active"
+    solar = active & F.coalesce(F.lower("fuel_type").startswith("solar"), F.lit(False))
+    measures = {
+        "n_projects": F.count(F.lit(1)),
+        "n_active": F.count_if(active),
+        "n_active_solar": F.count_if(solar),
+        "solar_mw": F.sum(F.when(solar, F.col("capacity_mw")).otherwise(0.0)),
+        "n_withdrawn": F.count_if(F.col("status") == "Withdrawn"),
+    }
+    spots = queue.groupBy("f_lng", "f_lat", "iso").agg(*[c.alias(n) for n, c in measures.items()])
+    pairs = X.within_radius(sites.select(key, "lng", "lat"), spots, radius_m)
+    by_iso = pairs.groupBy(key, "iso").agg(*[F.sum(n).alias(n) for n in measures])
+    usual = F.min_by("iso", F.struct(-F.col("n_projects"), F.col("iso")))
+    return by_iso.groupBy(key).agg(*[F.sum(n).alias(n) for n in measures], usual.alias("usual_iso"))

@@ -48,14 +48,15 @@ def test_focal_mean_ignores_missing(spark, dem, tile):
     assert got[(4, 7)] is None
 
 
-def test_distance_equals_brute_force(spark):
+@pytest.mark.parametrize("margin,tile", [(64, 256), (3, 8)])
+def test_distance_equals_brute_force(spark, margin, tile):
     rng = np.random.default_rng(2)
     burn = rng.random((20, 40)) < 0.02
     burn[0, 0] = True
     rows = [(r, c, int(burn[r, c])) for r in range(20) for c in range(40)]
     df = spark.createDataFrame(rows, "row long, col long, b int")
     targets = np.argwhere(burn)
-    for r in G.distance_to(df, F.col("b") == 1, 30.0).collect():
+    for r in G.distance_to(df, F.col("b") == 1, 30.0, margin, tile).collect():
         want = np.sqrt(((targets - [r.row, r.col]) ** 2).sum(1)).min() * 30
         assert r.distance_m == pytest.approx(want)
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
-from parcelwise.operators import aggregates as A
 from parcelwise.operators import overlap
 from parcelwise.operators import spatial as X
+from parcelwise.plans import solar as L
 
 from .layers import (
     CROSSES,
@@ -108,10 +108,9 @@ def probe_nearest(spark, sf_dir):
     pois = as_features(layer(spark, sf_dir, "pois")).withColumn(
         "radius_m", F.when(F.col("layer") == "ECONOMY", 90_000.0).when(F.col("layer") == "SMALL", 60_000.0).otherwise(30_000.0)
     )
-    pairs = X.within_radius(sites, pois.select("layer", "radius_m", "f_lng", "f_lat"), "radius_m", max_radius=90_000.0)
-    return pairs.groupBy("loc_id", "layer").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("dist"), 2).alias("nearest_m")
-    )
+    spots = pois.groupBy("layer", "radius_m", "f_lng", "f_lat").agg(F.count(F.lit(1)).alias("_w"))
+    pairs = X.within_radius(sites, spots, "radius_m", max_radius=90_000.0)
+    return pairs.groupBy("loc_id", "layer").agg(F.sum("_w").alias("n"), F.round(F.min("dist"), 2).alias("nearest_m"))
 
 
 def line_distance(spark, sf_dir):
@@ -189,20 +188,11 @@ def perimeter_preferring_containment(spark, sf_dir):
 
 
 def radius_capacity(spark, sf_dir):
-    """Queue projects within 50 km: counts, megawatts, status mix, usual ISO."""
+    """Queue projects within 50 km: counts, megawatts, status mix, usual ISO."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     queue = as_features(layer(spark, sf_dir, "queue").select("lng", "lat", "status", "fuel_type", "iso", "capacity_mw"))
-    pairs = X.within_radius(sites, queue, 50_000.0)
-    active = F.col("status") == "Active"
-    solar = active & F.coalesce(F.lower("fuel_type").startswith("solar"), F.lit(False))
-    sums = pairs.groupBy("loc_id").agg(
-        F.count(F.lit(1)).alias("n_projects"),
-        F.count_if(active).alias("n_active"),
-        F.count_if(solar).alias("n_active_solar"),
-        F.round(F.sum(F.when(solar, F.col("capacity_mw")).otherwise(0.0)), 3).alias("solar_mw"),
-        F.count_if(F.col("status") == "Withdrawn").alias("n_withdrawn"),
-    )
-    return sums.join(A.mode_by(pairs, ["loc_id"], "iso", "usual_iso"), "loc_id")
+    out = L.queue_context(sites, queue, "loc_id")
+    return out.withColumn("solar_mw", F.round("solar_mw", 3))
 
 
 def areal_rollup(spark, sf_dir):
