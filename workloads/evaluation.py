@@ -187,7 +187,7 @@ def coverage_report(spark, sf_dir):
 def claims_by_tract(spark, sf_dir):
     """Claims, paid and yearly loss per tract."""
     out = B.claims_by_tract(layer(spark, sf_dir, "claims"))
-    return out.select("tract_id", "n", F.round("paid", 4).alias("paid"), "first_loss", "last_loss", F.round("paid_per_claim", 6).alias("paid_per_claim"), F.round("paid_per_year", 4).alias("paid_per_year"))
+    return out.select("tract_id", "n", F.round("paid", 4).alias("paid"), "first_loss", "last_loss", F.round("paid_per_claim", 10).alias("paid_per_claim"), F.round("paid_per_year", 4).alias("paid_per_year"))
 
 
 def recent_claims(spark, sf_dir):
@@ -203,13 +203,13 @@ def _tract_risk(spark, sf_dir):
 def flood_backtest(spark, sf_dir):
     """Predicted mean risk against paid per claim by tract."""
     out = B.tract_backtest(_tract_risk(spark, sf_dir), B.claims_by_tract(layer(spark, sf_dir, "claims")), "tract_id")
-    return out.select("tract_id", "n_structures", "n_claims", F.round("predicted", 4).alias("predicted"), F.round("actual", 6).alias("actual"), F.round("pct_in_sfha", 4).alias("pct_in_sfha"))
+    return out.select("tract_id", "n_structures", "n_claims", F.round("predicted", 4).alias("predicted"), F.round("actual", 10).alias("actual"), F.round("pct_in_sfha", 4).alias("pct_in_sfha"))
 
 
 def flood_backtest_metrics(spark, sf_dir):
     """Rank correlation and decile discrimination of the back-test."""
     t = B.tract_backtest(_tract_risk(spark, sf_dir), B.claims_by_tract(layer(spark, sf_dir, "claims")), "tract_id")
-    t = t.select("tract_id", F.round("predicted", 6).alias("predicted"), F.round("actual", 6).alias("actual"))
+    t = t.select("tract_id", F.round("predicted", 6).alias("predicted"), F.round("actual", 10).alias("actual"))
     out = B.backtest_metrics(t, "tract_id")
     return out.select("n", *[F.round(c, 5).alias(c) for c in ("spearman", "discrimination", "dynamic_range")])
 
@@ -346,14 +346,14 @@ FROM st GROUP BY GROUPING SETS ((st.segment), ())"""),
     "coverage_report": with_ctes("sites", PARCELS, STATE, body="""
 SELECT segment, count(*) AS n, count(DISTINCT score) AS distinct_scores, round(count(*) FILTER (WHERE loc_id % 5 <> 0) * 100e0 / count(*), 5) AS cache_pct, 0 AS silent_failures FROM st GROUP BY segment"""),
     "claims_by_tract": with_ctes("claims", body="""
-SELECT tract_id, count(*) AS n, round(sum(paid + paid_contents), 4) AS paid, min(loss_date) AS first_loss, max(loss_date) AS last_loss, round(sum(paid + paid_contents) / count(*), 6) AS paid_per_claim,
+SELECT tract_id, count(*) AS n, round(sum(paid + paid_contents), 4) AS paid, min(loss_date) AS first_loss, max(loss_date) AS last_loss, round(sum(paid + paid_contents) / count(*), 10) AS paid_per_claim,
   round(sum(paid + paid_contents) / greatest(1e0, (max(loss_date) - min(loss_date)) / 365.25e0), 4) AS paid_per_year FROM claims GROUP BY tract_id"""),
     "recent_claims": with_ctes("claims", body="""
 SELECT tract_id, row_number() OVER (PARTITION BY tract_id ORDER BY loss_ts DESC, claim_id) AS rank, claim_id FROM claims QUALIFY rank <= 10"""),
     "flood_backtest": with_ctes(*RISK, TRACTS, body="""
-SELECT tract_id, n_structures, n_claims, round(predicted, 4) AS predicted, round(actual, 6) AS actual, round(pct, 4) AS pct_in_sfha FROM t"""),
+SELECT tract_id, n_structures, n_claims, round(predicted, 4) AS predicted, round(actual, 10) AS actual, round(pct, 4) AS pct_in_sfha FROM t"""),
     "flood_backtest_metrics": with_ctes(*RISK, TRACTS, body=f"""
-, u AS (SELECT tract_id, round(predicted, 6) AS p, round(actual, 6) AS a FROM t),
+, u AS (SELECT tract_id, round(predicted, 6) AS p, round(actual, 10) AS a FROM t),
 r AS (SELECT *, {AVG_RANK.format('p')} AS rp, {AVG_RANK.format('a')} AS ra, row_number() OVER (ORDER BY a, tract_id) AS ia, row_number() OVER (ORDER BY p, tract_id) AS ip, count(*) OVER () AS n FROM u)
 SELECT count(*) AS n, round(corr(rp, ra), 5) AS spearman,
   round(avg(p) FILTER (WHERE ia > n - greatest(1, n // 10)) / avg(p) FILTER (WHERE ia <= greatest(1, n // 10)), 5) AS discrimination,

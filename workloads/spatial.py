@@ -192,7 +192,7 @@ def radius_capacity(spark, sf_dir):
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     queue = as_features(layer(spark, sf_dir, "queue").select("lng", "lat", "status", "fuel_type", "iso", "capacity_mw"))
     out = L.queue_context(sites, queue, "loc_id")
-    return out.withColumn("solar_mw", F.round("solar_mw", 3))
+    return out.withColumn("solar_mw", F.round("solar_mw", 6))
 
 
 def areal_rollup(spark, sf_dir):
@@ -377,7 +377,7 @@ QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY contains_point DESC
 isos AS (SELECT loc_id, iso, count(*) AS c FROM pairs GROUP BY ALL)
 SELECT loc_id, count(*) AS n_projects, count(*) FILTER (WHERE status = 'Active') AS n_active,
   count(*) FILTER (WHERE status = 'Active' AND solar) AS n_active_solar,
-  round(coalesce(sum(capacity_mw) FILTER (WHERE status = 'Active' AND solar), 0e0), 3) AS solar_mw,
+  round(coalesce(sum(capacity_mw) FILTER (WHERE status = 'Active' AND solar), 0e0), 6) AS solar_mw,
   count(*) FILTER (WHERE status = 'Withdrawn') AS n_withdrawn, any_value(usual_iso) AS usual_iso
 FROM pairs JOIN (SELECT loc_id, arg_min(iso, (-c, iso)) AS usual_iso FROM isos GROUP BY loc_id) USING (loc_id) GROUP BY loc_id"""),
     "areal_rollup": with_ctes("tracts", "stores", body="""
