@@ -227,10 +227,14 @@ def population_within(points: DataFrame, tracts: DataFrame, radius_deg: float, c
 
 
 def regular_grid(boxes: DataFrame, step: float) -> DataFrame:
-    """Lattice over each box by integer steps: box_id, i, j, lng, lat."""
+    """Lattice over each box by integer steps: i, j, lng, lat.
+
+    Columns of the lattice are spread over tasks before their rows are made.
+    """
     nx, ny = F.floor((F.col("x1") - F.col("x0")) / step + 1e-9), F.floor((F.col("y1") - F.col("y0")) / step + 1e-9)
     return (
         boxes.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), nx)))
+        .repartition("i")
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), ny)))
         .withColumns({"lng": F.round(F.col("x0") + F.col("i") * step, 5), "lat": F.round(F.col("y0") + F.col("j") * step, 5)})
     )

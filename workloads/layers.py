@@ -224,7 +224,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The check plans a bare scan and runs nothing. Large inputs have many splits
     and are left alone.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in SPREAD and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)

@@ -29,10 +29,15 @@ def dominant_component(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
-    k = F.col("o_orderkey")
-    old = o.filter(k % 7 != 0).withColumn("version", F.lit(1))
-    new = o.filter(k % 3 == 0).withColumn("o_totalprice", F.when(k % 2 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))).withColumn("version", 1 + (k % 2).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    old = o.filter(F.col("o_orderstatus") != "P").withColumn("version", F.lit(1))
+    new = o.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).withColumns(
+        {
+            "o_totalprice": F.when(urgent, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice")),
+            "version": F.when(urgent, 2).otherwise(1),
+        }
+    )
     return old, new
 
 
@@ -85,8 +90,8 @@ def lookup_found(spark, sf_dir):
 
 def centroid_fallback(spark, sf_dir):
     """Code centroid, else name centroid, else dropped and counted."""
-    by_code = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 3 != 0).select(F.col("s_suppkey").alias("code"), F.col("s_acctbal").alias("a"))
-    by_name = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") % 4 != 0).select(F.col("n_nationkey").alias("name_key"), F.col("n_regionkey").cast("double").alias("b"))
+    by_code = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > 2000).select(F.col("s_suppkey").alias("code"), F.col("s_acctbal").alias("a"))
+    by_name = table(spark, sf_dir, "nation").filter(F.col("n_regionkey") != 4).select(F.col("n_nationkey").alias("name_key"), F.col("n_regionkey").cast("double").alias("b"))
     q = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), (F.col("l_partkey") % 25).alias("name_key"))
     j = q.join(by_code, "code", "left").join(by_name, "name_key", "left").withColumn("at", F.coalesce("a", "b"))
     return j.agg(F.count("at").alias("located"), F.count_if(F.col("at").isNull()).alias("dropped"), F.round(F.sum("at"), 2).alias("total"))
@@ -245,8 +250,9 @@ QUERIES = {f.__name__: f for f in (
     audit_stream_once,
 )}
 
-VERSIONS = """old AS (SELECT o_orderkey, o_totalprice, 1 AS version FROM orders WHERE o_orderkey % 7 <> 0),
-new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice, 1 + o_orderkey % 2 AS version FROM orders WHERE o_orderkey % 3 = 0)"""
+VERSIONS = """old AS (SELECT o_orderkey, o_totalprice, 1 AS version FROM orders WHERE o_orderstatus <> 'P'),
+new AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS version FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))"""
 RASTER = cte("raster")
 _POINT_LAYERS = ("structures", "sites", "pois", "substations", "queue", "plants")
 
@@ -274,8 +280,8 @@ WHERE event_id % 4000 NOT IN (SELECT event_id % 4000 FROM events WHERE event_typ
     "dedup_first": "SELECT p_name, p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY ALL",
     "lookup_found": with_ctes("sites", body="""
 SELECT loc_id, n_name, n_name IS NOT NULL AS found_in_dataset FROM sites LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON nation_id = n_nationkey"""),
-    "centroid_fallback": """WITH j AS (SELECT coalesce(s_acctbal, n_regionkey::DOUBLE) AS pt FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) s ON l_suppkey = s_suppkey
-  LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) n ON l_partkey % 25 = n_nationkey)
+    "centroid_fallback": """WITH j AS (SELECT coalesce(s_acctbal, n_regionkey::DOUBLE) AS pt FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 2000) s ON l_suppkey = s_suppkey
+  LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) n ON l_partkey % 25 = n_nationkey)
 SELECT count(pt) AS located, count(*) - count(pt) AS dropped, round(sum(pt), 2) AS total FROM j""",
     "distinct_list": with_ctes("zones", body="""
 SELECT kind, array_to_string(list_sort(list(DISTINCT flood_zone)), ', ') AS zones, count(DISTINCT flood_zone) AS n FROM zones GROUP BY kind"""),

@@ -59,12 +59,12 @@ def ring_competition(spark, sf_dir, business="urgent_care"):
 
 def competitive_gap(spark, sf_dir):
     """Density per 10 000 people and gap in the ring nearest 10 minutes."""
-    people = T.ring_profiles(box_rings(spark, sf_dir), city_tracts(spark, sf_dir), "loc_id", TRACT_CELL)
-    comp = ring_competition(spark, sf_dir, "coffee_shop")
+    ten = T.pick_ring(box_rings(spark, sf_dir), "loc_id", 10)
+    people = T.ring_profiles(ten, city_tracts(spark, sf_dir), "loc_id", TRACT_CELL)
+    comp = T.ring_competition(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.04)
     both = people.join(comp, ["loc_id", "minutes"], "left")
-    ten = T.pick_ring(both.select("loc_id", "minutes", "population", "competitors"), "loc_id", 10)
     density, gap = T.competitive_gap(F.coalesce(F.col("competitors"), F.lit(0)), F.round("population"), "coffee_shop")
-    return ten.select("loc_id", "minutes", F.round(density, 5).alias("density"), F.round(gap, 5).alias("gap"))
+    return both.select("loc_id", "minutes", F.round(density, 5).alias("density"), F.round(gap, 5).alias("gap"))
 
 
 def nearest_competitor(spark, sf_dir):
@@ -150,12 +150,10 @@ def overlap_shares(spark, sf_dir):
 
 
 def trade_discover(spark, sf_dir):
-    """Lattice over every tract, kept near a point of interest, best 25."""
+    """Lattice over the loaded area, kept near a point of interest, best 25."""
     tracts = layer(spark, sf_dir, "tracts")
-    boxes = tracts.filter(F.col("tract_id") < 100).select("tract_id", "x0", "y0", "x1", "y1")
-    grid = T.regular_grid(boxes, 0.01).filter((F.col("i") < 5) & (F.col("j") < 4)).select(
-        (F.col("tract_id") * 100 + F.col("i") * 10 + F.col("j")).alias("point_id"), "lng", "lat"
-    )
+    area = tracts.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    grid = T.regular_grid(area, 0.01).select((F.col("i") * 1000 + F.col("j")).alias("point_id"), "lng", "lat")
     out = T.discover(grid, layer(spark, sf_dir, "city_pois"), tracts, "coffee_shop", 3_000.0, 25, 0.03)
     return out.select("point_id", "lng", "lat", F.round("population", 0).alias("population"), "competitors", "score")
 
@@ -260,8 +258,10 @@ e AS (SELECT loc_id, w * h / 0.0024e0 AS ov, w * h / 0.0024e0 * (1 / pow(greates
 SELECT loc_id, count(*) AS n_stores, round(max(est), 5) AS max_estimate, round(max(ov), 6) AS max_overlap,
   CASE WHEN max(est) > 0.3 THEN 'High' WHEN max(est) > 0.1 THEN 'Medium' ELSE 'Low' END AS risk FROM e GROUP BY loc_id"""),
     "trade_discover": with_ctes("tracts", "city_pois", body="""
-, g AS (SELECT tract_id * 100 + i * 10 + j AS point_id, round(x0 + i * 0.01e0, 5) AS lng, round(y0 + j * 0.01e0, 5) AS lat FROM tracts
-  CROSS JOIN (SELECT unnest(range(5)) AS i) CROSS JOIN (SELECT unnest(range(4)) AS j) WHERE tract_id < 100),
+, area AS (SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM tracts),
+g AS (SELECT i * 1000 + j AS point_id, round(x0 + i * 0.01e0, 5) AS lng, round(y0 + j * 0.01e0, 5) AS lat FROM area
+  CROSS JOIN (SELECT unnest(range(200)) AS i) CROSS JOIN (SELECT unnest(range(200)) AS j)
+  WHERE i <= floor((x1 - x0) / 0.01e0 + 1e-9) AND j <= floor((y1 - y0) / 0.01e0 + 1e-9)),
 near AS (SELECT g.point_id, count(*) FILTER (WHERE category = 'amenity:cafe') AS c, min(sqrt(pow(g.lng - p.lng, 2) + pow(g.lat - p.lat, 2))) AS d FROM g JOIN city_pois p
   ON abs(g.lng - p.lng) <= 0.015 AND abs(g.lat - p.lat) <= 0.015 AND sqrt(pow(g.lng - p.lng, 2) + pow(g.lat - p.lat, 2)) <= 0.015 GROUP BY g.point_id),
 pop AS (SELECT g.point_id, sum(population) AS pop FROM g JOIN tracts t ON sqrt(pow(greatest(t.x0 - g.lng, 0e0, g.lng - t.x1), 2) + pow(greatest(t.y0 - g.lat, 0e0, g.lat - t.y1), 2)) <= 0.015 GROUP BY g.point_id),
