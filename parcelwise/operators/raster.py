@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions import scoring as S
 from . import spatial as X
 
 # Task functions travel by value, so executors need no copy of this package.

@@ -69,10 +69,6 @@ def salt_hot_cells(
     return salted_points, salted_layer
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
-
-
 def suggest_cell(layer: DataFrame, floor: float = 1e-4) -> float:
     """Cell size from the layer's root-mean-square box size.
 

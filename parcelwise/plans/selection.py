@@ -252,6 +252,20 @@ def confidence_report(selected: DataFrame, workflow: str, key: str) -> DataFrame
     )
 
 
+def display_name(criterion: Column) -> Column:
+    """Reader-facing name; an unknown id stays as it is."""
+    return F.coalesce(S.lookup(criterion, catalog.CRITERION_NAMES), criterion)
+
+
+def gap_rows(selected: DataFrame, workflow: str, key: str) -> DataFrame:
+    """One row per exhausted criterion with its name and message."""
+    rows = selected.select(key, F.explode(gaps(workflow)).alias("criterion_id"))
+    name = display_name(F.col("criterion_id"))
+    return rows.withColumns(
+        {"display_name": name, "message": F.concat(name, F.lit(" data is unavailable at this location."))}
+    )
+
+
 # ── catalog queries ─────────────────────────────────────────────────────────
 def sources_for_workflow(sources: DataFrame, workflow: str) -> DataFrame:
     return sources.filter(F.array_contains("applicable_workflows", workflow)).orderBy("data_category", "source_id")

@@ -12,7 +12,6 @@ from ..functions import scoring as S
 from ..operators import aggregates as A
 from ..operators import spatial as X
 from ..sources import catalog
-from . import selection as E
 
 SCORED = [c.criterion_id for c in catalog.criteria_for(catalog.SOLAR) if c.kind == "scored"]
 AVERAGED = [c for c in SCORED if c != "excl_flood"]
@@ -123,15 +122,6 @@ def score_solar(sites: DataFrame, road: Column | None = None) -> DataFrame:
     )
 
 
-def site_measurements(
-    sites: DataFrame, lines_m: DataFrame, substations_m: DataFrame, flags: DataFrame, flood: DataFrame, key: str
-) -> DataFrame:
-    """Gather the join results of one scoring run by key, each joined once."""
-    return (
-        sites.join(lines_m, key, "left").join(substations_m, key, "left").join(flags, key, "left").join(flood, key, "left")
-    )
-
-
 # ── parcel method (seven criteria) ──────────────────────────────────────────
 def parcel_weights(override: dict[str, float] | None = None) -> dict[str, float]:
     """Weights merged with overrides and renormalised to one."""
@@ -205,6 +195,28 @@ def score_parcels(
     )
 
 
+def enrich_parcels(
+    parcels: DataFrame, key: str, screens: DataFrame, grid: DataFrame, roads: DataFrame, soils: DataFrame, resource: DataFrame, cell: float
+) -> DataFrame:
+    """All measurements of the parcel method for a whole table at once.
+
+    ``screens`` are polygons with a ``kind`` (flood, wetland, protected), ``grid``
+    and ``roads`` are segments, ``soils`` polygons with soil_class and zone_code,
+    ``resource`` points with station_id and ghi. Parcels are points with acreage.
+    """
+    at = parcels.select(key, "lng", "lat")
+    kinds = {f"in_{k}": F.col("kind") == k for k in ("flood", "wetland", "protected")}
+    flags = X.polygon_flags(at, screens.select("kind", "rings", "x0", "y0", "x1", "y1"), cell, key, kinds).drop("lng", "lat")
+    soil = X.first_polygon(at, soils, cell, key, "unit_id", ["unit_id", "soil_class", "zone_code"]).drop("lng", "lat")
+    grid_m = X.lines_within(at, grid, K.SOLAR_V1_DEFAULTS["grid_max_distance_m"]).groupBy(key).agg(F.min("dist").alias("grid_distance_m"))
+    road_m = X.lines_within(at, roads, K.SOLAR_V1_DEFAULTS["road_max_distance_m"]).groupBy(key).agg(F.min("dist").alias("road_distance_m"))
+    station = X.nearest(at, resource, key, "station_id", ["ghi"]).select(key, "station_id", "ghi", F.col("dist").alias("station_m"))
+    out = parcels
+    for side in (flags, soil, grid_m, road_m, station):
+        out = out.join(side, key, "left")
+    return out
+
+
 def passing(cfg: dict) -> Column:
     """Discover screen on enriched parcels; unknown flags count as clear."""
     max_slope_deg = F.lit(float(cfg["max_slope_deg"]))

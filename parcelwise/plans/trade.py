@@ -53,6 +53,13 @@ def ring_competition(rings: DataFrame, pois: DataFrame, key: str, business: str,
     )
 
 
+def competitor_points(rings: DataFrame, pois: DataFrame, key: str, business: str, cell: float, most: int = 500) -> DataFrame:
+    """Same-category points in each ring for a map, at most ``most`` per location."""
+    points = pois.filter(competes("category", business)).select("poi_id", "lng", "lat")
+    hits = X.points_in_polygons(points, rings.select(key, *BOX), cell)
+    return X.top_k_per_key(hits, [key], [F.col("poi_id")], most)
+
+
 def competitive_gap(competitors: Column, population: Column, business: str) -> tuple[Column, Column]:
     """(density per 10 000 people, gap)."""
     reference = K.REFERENCE_DENSITY.get(business, K.DEFAULT_REFERENCE_DENSITY)

@@ -150,6 +150,41 @@ CRITERIA = (
     _scored("ta_flood", TRADE, 0.05, 0.00, 0.10, _either("fema_nfhl")),
 )
 
+# ── fixed values: criterion names shown to readers ──────────────────────────
+CRITERION_NAMES = {
+    "solar_transmission": "Transmission proximity",
+    "solar_ghi": "Solar resource (GHI)",
+    "solar_slope": "Terrain slope",
+    "solar_road": "Road access",
+    "solar_aspect": "Terrain aspect",
+    "solar_land_cover": "Land cover type",
+    "solar_soil": "Soil buildability",
+    "solar_ej": "Environmental Justice",
+    "excl_protected": "Protected areas",
+    "excl_wetlands": "Wetlands",
+    "excl_critical_habitat": "Critical habitat",
+    "excl_flood": "Flood zone",
+    "excl_steep": "Steep slope",
+    "excl_urban": "Developed land",
+    "wf_likelihood": "Wildfire burn probability",
+    "wf_fuel_proximity": "Distance to burnable fuel",
+    "wf_canopy": "Canopy cover (defensible space)",
+    "wf_slope": "Terrain slope (fire behavior)",
+    "wf_structure": "Building vulnerability",
+    "fl_zone": "FEMA flood zone",
+    "fl_depth": "Estimated flood depth",
+    "fl_historical": "Historical flood events",
+    "fl_hydrology": "Hydrological exposure",
+    "fl_building": "Building damage estimate",
+    "ta_population": "Population density",
+    "ta_competitive_gap": "Competitive density",
+    "ta_income": "Household income",
+    "ta_daytime": "Daytime population",
+    "ta_accessibility": "Drive-time accessibility",
+    "ta_complementary": "Complementary businesses",
+    "ta_flood": "Flood zone exposure",
+}
+
 # ── fixed values: criteria without which nothing can be assessed ────────────
 # (workflow, criterion, peril)
 CRITICAL = (

@@ -30,7 +30,7 @@ def con():
 
 def test_contract_shape():
     queries, oracles = contract.queries(), contract.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) >= 120
+    assert set(oracles) <= set(queries) and len(queries) >= 130
     assert set(queries) - set(oracles) == {
         "trade_area_score", "overlap_shares", "model_coefficients", "calibrated_weights", "random_points", "bootstrap_ci",
     }

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelwise.functions import constants as K
 from parcelwise.functions import scoring as S
 from parcelwise.operators import aggregates as A
 from parcelwise.operators import relational as R
-from parcelwise.operators import spatial as X
 from parcelwise.plans import backtest as B
 from parcelwise.plans import calibrate as C
 from parcelwise.plans import hazard as H
@@ -17,7 +15,7 @@ from parcelwise.sources import catalog
 
 from .hazard import FLOOD_IN, NEAREST_CURVE, curves_sql, flood_inputs
 from .layers import CROSSES, ZONE_EDGES, box_polygons, hav, inside, layer, table, with_ctes
-from .solar import PARCELS, enriched_parcels, solar_scored
+from .solar import PARCELS, enriched_parcels
 from .spatial import TILE_CELL, zone_cell, zones
 
 

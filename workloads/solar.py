@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import constants as K
 from parcelwise.functions import scoring as S
-from parcelwise.operators import aggregates as A
-from parcelwise.operators import overlap, relational
+from parcelwise.operators import overlap
 from parcelwise.operators import spatial as X
 from parcelwise.plans import selection as E
 from parcelwise.plans import solar as L
 from parcelwise.sources import catalog
 
-from .layers import CROSSES, ZONE_EDGES, as_features, box_polygons, hav, inside, layer, table, with_ctes
+from .layers import ZONE_EDGES, as_features, box_polygons, hav, inside, layer, table, with_ctes
 from .spatial import TILE_CELL, segment_sql, zone_cell, zones
 
 PROBED = ["hifld_transmission", "osm_substations", "epa_ejscreen", "nwi_wetlands", "usfs_fsim", "landfire_fuels_canopy",
@@ -259,8 +258,33 @@ def interconnection_cost(spark, sf_dir):
     )
 
 
+def gap_messages(spark, sf_dir):
+    """Exhausted criteria per workflow with their names and messages."""
+    base, out = sites_with_sources(spark, sf_dir), None
+    for wf in (catalog.SOLAR, catalog.HAZARD, catalog.TRADE):
+        rows = E.gap_rows(E.select_data(base, wf), wf, "loc_id").withColumn("workflow", F.lit(wf))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("workflow", "criterion_id", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def enrich_parcels(spark, sf_dir):
+    """Measurements of every parcel from the layers."""
+    parcels = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat", "acreage")
+    z = zones(spark, sf_dir, "zone_id", "kind", "gap_status", "flood_zone")
+    screens = z.withColumn("kind", F.when(S.is_sfha("flood_zone"), "flood").otherwise(F.col("kind")))
+    soils = z.select(F.col("zone_id").alias("unit_id"), F.col("gap_status").alias("soil_class"), F.col("flood_zone").alias("zone_code"), "rings", "x0", "y0", "x1", "y1")
+    lines = layer(spark, sf_dir, "lines").select("ax", "ay", "bx", "by", "voltage")
+    grid = lines.filter(F.col("voltage").isNotNull()).drop("voltage")
+    stations = as_features(layer(spark, sf_dir, "substations")).select(F.col("sub_id").alias("station_id"), "f_lng", "f_lat", F.col("f_lat").alias("ghi"))
+    out = L.enrich_parcels(parcels, "loc_id", screens, grid, lines.drop("voltage"), soils, stations, zone_cell(spark, sf_dir))
+    return out.select(
+        "loc_id", "in_flood", "in_wetland", "in_protected", "unit_id", "soil_class", F.round("grid_distance_m", 2).alias("grid_distance_m"),
+        F.round("road_distance_m", 2).alias("road_distance_m"), "station_id",
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    source_probe, source_coverage, composite_confidence, hazard_confidence, critical_gaps, weight_resolution,
+    gap_messages, enrich_parcels, source_probe, source_coverage, composite_confidence, hazard_confidence, critical_gaps, weight_resolution,
     solar_composite, exclusion_diagnosis, solar_v1_score, solar_v1_provisional, discover, discover_summary, batch_rank,
     deep_resource, buildable_area, interconnection_cost,
 )}
@@ -469,6 +493,17 @@ SELECT loc_id, km AS distance_km, rate AS usd_per_km, round(round(km * rate + 35
 from .spatial import ORACLES as _SPATIAL  # noqa: E402
 
 _COVER = _SPATIAL["union_cover"].rsplit("\nSELECT loc_id, kind", 1)[0]
+ORACLES["gap_messages"] = with_ctes("sites", body="SELECT workflow, criterion_id, message, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{c.workflow}' AS workflow, '{c.criterion_id}' AS criterion_id, '{catalog.CRITERION_NAMES[c.criterion_id]} data is unavailable at this location.' AS message, {confidence_sql(c)} AS conf FROM sites"
+    for c in catalog.CRITERIA) + ") WHERE conf = 0 GROUP BY ALL")
+ORACLES["enrich_parcels"] = with_ctes("sites", "lines", "substations", "zones", ZONE_EDGES, inside("sites", "loc_id"), body=f"""
+, hits AS (SELECT loc_id, zone_id, gap_status, CASE WHEN flood_zone LIKE 'A%' OR flood_zone LIKE 'V%' THEN 'flood' ELSE kind END AS kind FROM zone_hits JOIN zones USING (zone_id)),
+f AS (SELECT loc_id, bool_or(kind = 'flood') AS fl, bool_or(kind = 'wetland') AS we, bool_or(kind = 'protected') AS pr, min(zone_id) AS unit_id, arg_min(gap_status, zone_id) AS soil_class FROM hits GROUP BY loc_id),
+d AS (SELECT p.loc_id, e.voltage IS NOT NULL AS live, {segment_sql('p', 'e')} AS d FROM sites p JOIN lines e ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5),
+n AS (SELECT loc_id, min(d) FILTER (WHERE live AND d <= 50000) AS g, min(d) FILTER (WHERE d <= 20000) AS r FROM d GROUP BY loc_id),
+s AS (SELECT p.loc_id, arg_min(b.sub_id, ({hav('p.lng', 'p.lat', 'b.lng', 'b.lat')}, b.sub_id)) AS station_id FROM sites p CROSS JOIN substations b GROUP BY p.loc_id)
+SELECT loc_id, coalesce(fl, FALSE) AS in_flood, coalesce(we, FALSE) AS in_wetland, coalesce(pr, FALSE) AS in_protected, unit_id, f.soil_class,
+  round(g, 2) AS grid_distance_m, round(r, 2) AS road_distance_m, station_id FROM sites LEFT JOIN f USING (loc_id) LEFT JOIN n USING (loc_id) LEFT JOIN s USING (loc_id)""")
 ORACLES["buildable_area"] = _COVER + """, cover AS (SELECT loc_id, any_value(acres) * count(*) / 81e0 AS x
   FROM (SELECT DISTINCT loc_id, acres, kind, i, j FROM hits) GROUP BY loc_id, kind),
 parcels AS (SELECT loc_id, acreage * 4000e0 AS acres, slope_pct FROM sites WHERE acreage > 0),

@@ -17,7 +17,7 @@ from parcelwise.sources import catalog, readers, sinks
 from parcelwise.streaming import audit_stream
 
 from .hazard import FLOOD_IN, NEAREST_CURVE, TIER, curves_sql, flood_inputs
-from .layers import LAYERS, ZONE_EDGES, cte, inside, layer, table, with_ctes
+from .layers import ZONE_EDGES, cte, inside, layer, table, with_ctes
 
 
 # ── keyed tables ────────────────────────────────────────────────────────────

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelwise.functions import constants as K
 from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
 from parcelwise.operators import spatial as X
@@ -12,8 +11,8 @@ from parcelwise.plans import selection as E
 from parcelwise.plans import trade as T
 from parcelwise.sources import catalog
 
-from .layers import CROSSES, ZONE_EDGES, as_features, box_polygons, hav, inside, layer, with_ctes, zone_polygons
-from .solar import available_sql, sites_with_sources
+from .layers import ZONE_EDGES, as_features, box_polygons, hav, inside, layer, with_ctes, zone_polygons
+from .solar import sites_with_sources
 from .spatial import zone_cell, zones
 
 TRACT_CELL = 0.054
@@ -126,6 +125,12 @@ def trade_route(spark, sf_dir):
     return T.route(rows).groupBy("coverage").agg(F.count(F.lit(1)).alias("n"))
 
 
+def competitor_points(spark, sf_dir):
+    """Competitor points per 10-minute ring, up to 500."""
+    ten = T.pick_ring(box_rings(spark, sf_dir), "loc_id", 10)
+    return T.competitor_points(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.04).select("loc_id", "rank", "poi_id")
+
+
 def huff(spark, sf_dir):
     """Cannibalisation of candidate boxes against existing stores."""
     all_stores = layer(spark, sf_dir, "stores")
@@ -194,7 +199,7 @@ def site_suitability(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     profile_ring, category_groups, ring_competition, competitive_gap, nearest_competitor, circle_counts, trade_area_score,
-    trade_composite, partial_score, trade_route, huff, overlap_shares, trade_discover, site_report, site_suitability,
+    trade_composite, competitor_points, partial_score, trade_route, huff, overlap_shares, trade_discover, site_report, site_suitability,
 )}
 
 BOXES = """rings AS (SELECT loc_id, minutes, lng - minutes * 0.004e0 AS x0, lat - minutes * 0.004e0 AS y0, lng + minutes * 0.004e0 AS x1, lat + minutes * 0.004e0 AS y1
@@ -248,6 +253,9 @@ c AS (SELECT loc_id, k, n, CASE WHEN loc_id % 9 = 0 THEN 0.5e0 ELSE 1e0 END AS f
   round(least(1e0, (n - k) / 300e0), 3) AS cm, round(least(1e0, n / 600e0), 3) AS ac FROM stores LEFT JOIN n USING (loc_id)),
 q AS (SELECT *, CASE WHEN k IS NULL THEN 0.05e0 ELSE 0.45e0 END AS w, CASE WHEN k IS NULL THEN fl ELSE (fl * 0.05e0 + gap * 0.2e0 + cm * 0.1e0 + ac * 0.1e0) / 0.45e0 END AS s FROM c)
 SELECT loc_id, k AS competitors_5km, n AS pois_5km, round(s, 6) AS composite, round(w, 2) AS weight_share, {STRONG.format('round(s, 9)')} AS rating FROM q"""),
+    "competitor_points": with_ctes("stores", "city_pois", BOXES, body="""
+SELECT r.loc_id, row_number() OVER (PARTITION BY r.loc_id ORDER BY p.poi_id) AS rank, p.poi_id FROM rings r JOIN city_pois p
+  ON r.minutes = 10 AND p.category = 'amenity:cafe' AND p.lng >= r.x0 AND p.lng < r.x1 AND p.lat >= r.y0 AND p.lat < r.y1 QUALIFY rank <= 500"""),
     "trade_route": with_ctes("sites", body="""
 SELECT CASE WHEN loc_id % 3 <> 0 AND loc_id % 4 <> 0 THEN 'full' WHEN loc_id % 3 <> 0 THEN 'full_euclidean_fallback' ELSE 'national_fallback' END AS coverage, count(*) AS n FROM sites GROUP BY 1"""),
     "huff": with_ctes("stores", body=f"""
