@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import spatial as X
+from ..session import cut_lineage
 from ..sources import catalog
 
 HIGH, SOFTNESS, MIN_POSITIVES = 0.70, 0.03, 20
@@ -120,8 +121,9 @@ def calibrate_weights(matrix: DataFrame, steps: int = 8, rate: float = 0.02) ->
     """Projected gradient ascent on soft high-rate gap + mean gap, per region.
 
     A region with fewer than 20 sites or no random points keeps the defaults.
-    Only improving steps are kept, so the objective never drops below the start.
+    The matrix is read once per step, so it is checkpointed first. Only improving steps are kept, so the objective never drops below the start.
     """
+    matrix = cut_lineage(matrix.select("region", "kind", "scores", "mask"))
     counts = matrix.groupBy("region", "kind").agg(F.count(F.lit(1)).alias("n")).collect()
     n: dict[str, dict[str, int]] = {}
     for r in counts:

@@ -9,6 +9,7 @@ from ..functions import geo
 from ..functions import scoring as S
 from ..operators import aggregates as A
 from ..operators import spatial as X
+from ..session import cut_lineage
 from .portfolio import destruction_log_odds, is_res1
 
 PREDICTORS = ["burn_probability", "distance_to_fuel_m", "canopy_cover_100m", "slope_degrees", "is_res1"]
@@ -52,6 +53,8 @@ def fit_logit(train: DataFrame, label: str = "destroyed", predictors: list[str]
 
     names = predictors or PREDICTORS
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train.select(label, *names))
+    # The fit reads its input once per iteration.
+    vectors = cut_lineage(vectors.select(label, "features"))
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=label, maxIter=200, tol=1e-10)
     return glm.fit(vectors)
 

@@ -70,15 +70,20 @@ def coverage_availability(locations: DataFrame, key: str, state: str, sources=ca
 
 
 def probe_sources(points: DataFrame, features: DataFrame, key: str, radii: dict[str, float] = K.PROBE_RADIUS_M) -> DataFrame:
-    """One pass over all table sources: (key, source_id, n, nearest_m).
+    """Probe of all table sources: (key, source_id, n, nearest_m).
 
     ``features`` is the union of the layers with a ``source_id``; each source is
     searched in its own radius. Copies of a position count by weight.
     """
     spots = features.groupBy("source_id", "f_lng", "f_lat").agg(F.count(F.lit(1)).alias("_w"))
-    tagged = spots.withColumn("_radius", S.lookup("source_id", radii)).filter(F.col("_radius") > 0)
-    pairs = X.within_radius(points.select(key, "lng", "lat"), tagged, "_radius", max_radius=max(radii.values()))
-    return pairs.groupBy(key, "source_id").agg(F.sum("_w").alias("n"), F.min("dist").alias("nearest_m"))
+    at, out = points.select(key, "lng", "lat"), None
+    # One grid per radius: a short-range source is never searched on a long-range grid.
+    for radius in sorted({r for r in radii.values() if r > 0}):
+        names = [s for s, r in radii.items() if r == radius]
+        pairs = X.within_radius(at, spots.filter(F.col("source_id").isin(*names)), radius)
+        part = pairs.groupBy(key, "source_id").agg(F.sum("_w").alias("n"), F.min("dist").alias("nearest_m"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def availability_columns(locations: DataFrame, probes: DataFrame, key: str, probed: list[str]) -> DataFrame:

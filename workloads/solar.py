@@ -42,7 +42,8 @@ def source_probe(spark, sf_dir):
         as_features(layer(spark, sf_dir, "pois")).select(F.lit("osm_pois").alias("source_id"), "f_lng", "f_lat"),
     ]
     feats = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    out = E.probe_sources(sites, feats, "loc_id")
+    radii = {s: K.PROBE_RADIUS_M[s] for s in ("osm_substations", "eia_form860", "osm_pois")}
+    out = E.probe_sources(sites, feats, "loc_id", radii)
     return out.select("loc_id", "source_id", "n", F.round("nearest_m", 2).alias("nearest_m"))
 
 
