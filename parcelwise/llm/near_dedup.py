@@ -5,14 +5,14 @@
 2. One hash of the set fills 128 bins by its top bits (one permutation); empty
    bins borrow from a non-empty one chosen by a fixed random sequence of the bin
    (optimal densification). 32 bands of 4 bins name the buckets.
-3. Each bucket gives a star: edges from its smallest class to the others.
-4. Edges are confirmed on the full shingle sets. A class with many partners is
-   split over salted groups of bounded size.
-5. Confirmed edges are joined up by min-label rounds with checkpoints.
-6. A star can miss a link between two of its outer classes. So buckets that still
-   hold two or more components get the pairs across components confirmed too; a
-   size bound and a one-bit sketch rule pairs out inside the join. Most buckets
-   hold one component by then and give nothing.
+3. Each bucket gives a star: edges from its hub to its other classes. The hub is the class
+   with most company over all its buckets, which is the original rather than an edited copy.
+4. Edges are confirmed on the full shingle sets, in groups of bounded size.
+5. Confirmed edges are joined up by large-star and small-star rounds, each written.
+6. A star can miss a link between two of its outer classes, so classes of a star that are
+   not in the hub's component are compared with all others of that star which are in
+   another component. Those sets meet in blocks of bounded size and only one link for two
+   components comes out. Pairs that are already connected are never formed.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
@@ -37,9 +37,11 @@ from parcelwise.llm import textarrays as X
 BINS = 128
 BANDS = 32
 PERCENT = 80
-#: Members of one confirmation group: bounds a task's memory, not the partners.
-GROUP = 128
+#: Queries and targets of one block: bounds a task's memory, not the partners.
+QUERIES_A_BLOCK = 256
+TARGETS_A_BLOCK = 512
 _TRIES = 256
+# Each bin's fixed sequence of bins to borrow from.
 _BIN_OF = np.random.default_rng(41).integers(0, BINS, (BINS, _TRIES))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -59,19 +61,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         bins = (s >> np.uint64(57)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(s) else np.empty(0, np.int64)
         sig[row, bins[first]] = s[first]
+    return densified(sig)
+
+
+def densified(sig: np.ndarray) -> np.ndarray:
+    """Fill empty bins from full ones of the same row; a row without any stays empty."""
+    bins = sig.shape[1]
     full = sig != _EMPTY
     out = sig.copy()
     rows, cols = np.nonzero(~full & full.any(axis=1)[:, None])
     for k in range(_TRIES):
         if not len(rows):
             break
-        source = _BIN_OF[cols, k]
+        source = _BIN_OF[cols, k] % bins
         ok = full[rows, source]
         out[rows[ok], cols[ok]] = X.mix(sig[rows[ok], source[ok]] + np.uint64(k + 1))
         rows, cols = rows[~ok], cols[~ok]
     for r, c in zip(rows, cols):  # a set so small that its sequence found nothing: the next full bin
-        step = next(j for j in range(1, BINS + 1) if full[r, (c + j) % BINS])
-        out[r, c] = sig[r, (c + step) % BINS]
+        step = next(j for j in range(1, bins + 1) if full[r, (c + j) % bins])
+        out[r, c] = sig[r, (c + step) % bins]
     return out
 
 
@@ -83,20 +91,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """One bit of every bin, in two longs."""
-    bits = (X.mix(sig) >> np.uint64(63)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
 def _profile(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sketch_a", pa.int64()), ("sketch_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
             sets = shingle_sets(batch.column("text"), n)
             sig = signatures(sets)
-            bits = sketches(sig)
             names = np.zeros((len(sets), 2), np.uint64)
             for i, s in enumerate(sets):
                 names[i] = np.add.reduce(X.mix(s)), np.add.reduce(X.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -104,63 +105,91 @@ def _profile(n: int):
             keys = band_keys(sig)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.reshape(-1))
             size = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), *(pa.array(x) for x in (names[:, 0], names[:, 1], bits[:, 0], bits[:, 1])), lists], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), *(pa.array(x) for x in (names[:, 0], names[:, 1])), lists], schema=schema)
 
-    return run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch_a bigint, sketch_b bigint, bands array<bigint>"
+    return run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
 def _rows_of(n: int):
-    """Rows (hub, salt, is_hub, id, set) for confirmation, from rows (doc_id, text, roles)."""
-    schema = pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("is_hub", pa.bool_()), ("id", pa.int64()), ("hashes", pa.binary())])
+    """Rows (block, query, component, id, set), one for each role of a class."""
+    schema = pa.schema([("block", pa.int64()), ("query", pa.bool_()), ("component", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, limit=1 << 20):
             sets = shingle_sets(batch.column("text"), n)
             out: dict[str, list] = {k: [] for k in schema.names}
-            for key, roles, s in zip(batch.column("doc_id").to_pylist(), batch.column("roles").to_pylist(), sets):
+            size = 0
+            for key, component, roles, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "roles")), sets):
                 raw = X.packed(s)
                 for role in roles:
-                    out["hub"].append(role["hub"])
-                    out["salt"].append(role["salt"])
-                    out["is_hub"].append(role["hub"] == key)
-                    out["id"].append(key)
-                    out["hashes"].append(raw)
-                    if len(out["id"]) >= 4000:
+                    for k, v in zip(schema.names, (role["block"], role["query"], component, key, raw)):
+                        out[k].append(v)
+                    size += len(raw)
+                    if size > 8 << 20:
                         yield pa.RecordBatch.from_pydict(out, schema=schema)
-                        out = {k: [] for k in schema.names}
+                        out, size = {k: [] for k in schema.names}, 0
             if out["id"]:
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return run, "hub bigint, salt int, is_hub boolean, id bigint, hashes binary"
-
-
-def _confirm(group: pd.DataFrame) -> pd.DataFrame:
-    hub = group[group.is_hub]
-    if hub.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    linked = []
-    for base in (np.frombuffer(raw, np.uint64) for raw in hub.hashes.unique()):  # several only if an id repeats
-        for key, raw in zip(group.id[~group.is_hub], group.hashes[~group.is_hub]):
-            other = np.frombuffer(raw, np.uint64)
-            common = len(np.intersect1d(base, other, assume_unique=True))
-            if 100 * common >= PERCENT * (len(base) + len(other) - common):
-                linked.append(key)
-    return pd.DataFrame({"a": np.full(len(linked), hub.hub.iloc[0], np.int64), "b": np.array(linked, np.int64)})
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity; `texts` has doc_id and text of each class."""
-    # A hub's partners fall into groups by a hash of the partner, about GROUP to a group.
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("groups"))
-    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
-    roles = salted.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "salt").unionByName(
-        sizes.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
-    )
-    # A class's roles are gathered in lists; written, so that Spark knows their size when it plans the join.
-    lists = roles.groupBy("doc_id", F.pmod(F.xxhash64("hub", "salt"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("hub", "salt")).alias("roles")).drop("part")
-    lists = tables.written(lists, "roles")
+    return run, "block bigint, query boolean, component bigint, id bigint, hashes binary"
+
+
+def _linked(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between queries and targets of different components, one for two components.
+
+    Targets are indexed by shingle, so a query counts its common shingles with all targets at once.
+    """
+    queries, targets = block[block["query"]], block[~block["query"]]
+    a, b = [], []
+    if len(queries) and len(targets):
+        sets = [np.frombuffer(x, np.uint64) for x in targets.hashes]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        shingles, first, counts = np.unique(every[order], return_index=True, return_counts=True)
+        owner = owner[order]
+        ids, of = targets.id.to_numpy(), targets.component.to_numpy()
+        for key, component, raw in zip(queries.id, queries.component, queries.hashes):
+            own = np.frombuffer(raw, np.uint64)
+            at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+            at = at[shingles[at] == own]
+            total = counts[at]
+            places = np.repeat(first[at] - (np.cumsum(total) - total), total) + np.arange(total.sum())
+            common = np.bincount(owner[places], minlength=len(sets))
+            good = np.flatnonzero((100 * common >= PERCENT * (len(own) + size - common)) & (of != component))
+            _, one = np.unique(of[good], return_index=True)
+            a += [key] * len(one)
+            b += ids[good[one]].tolist()
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def confirmed(stars: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """Links (a, b) found in the blocks of stars.
+
+    `stars` has hub, id, component and two flags: `query` rows are compared with `target` rows of
+    the same hub in another component. `rows` has doc_id and text.
+    """
+    sizes = stars.groupBy("hub").agg(
+        F.ceil(F.sum(F.col("query").cast("int")) / QUERIES_A_BLOCK).cast("int").alias("query_parts"),
+        F.ceil(F.sum(F.col("target").cast("int")) / TARGETS_A_BLOCK).cast("int").alias("target_parts"),
+    ).where("query_parts > 0 AND target_parts > 0")
+    sized = stars.join(sizes, "hub")
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    named = lambda q, t: F.xxhash64("hub", q.cast("int"), t.cast("int")).alias("block")
+    asks = sized.where("query").withColumn("other", every("target_parts")).select("id", "component", named(own("query_parts"), F.col("other")), F.lit(True).alias("query"))
+    answers = sized.where("target").withColumn("other", every("query_parts")).select("id", "component", named(F.col("other"), own("target_parts")), F.lit(False).alias("query"))
+    # A class's roles are gathered in lists of bounded length; written, so that Spark knows their size when it plans the join.
+    roles = asks.unionByName(answers).groupBy(F.col("id").alias("doc_id"), "component", F.pmod(F.xxhash64("block"), F.lit(64)).alias("part"))
+    lists = tables.written(roles.agg(F.collect_list(F.struct("block", "query")).alias("roles")).drop("part"), "roles")
     run, schema = _rows_of(n)
-    return texts.join(lists, "doc_id").select("doc_id", "text", "roles").mapInArrow(run, schema).groupBy("hub", "salt").applyInPandas(_confirm, "a bigint, b bigint")
+    met = rows.join(lists, "doc_id").select("doc_id", "text", "component", "roles").mapInArrow(run, schema)
+    return met.groupBy("block").applyInPandas(_linked, "a bigint, b bigint")
+
+
+#: Edges of one partition in the component rounds.
+EDGES_A_TASK = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,18 +199,21 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, and the rounds end when a round changes no edge.
     """
     edges = tables.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    known = _digest(edges)
     while True:
+        # Rounds shrink the graph; a partition for so many edges keeps their tasks few.
+        parts = 1 + known[0] // EDGES_A_TASK
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: partners greater than a point go to its smallest neighbour.
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").coalesce(parts)
         # Small star: a point and its smaller partners go to the smallest of them.
         small_low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        after = tables.written(small, "edges")
-        if _digest(edges) == _digest(after):
-            return after.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(after.select("a", F.col("a").alias("component")).distinct().withColumnRenamed("a", "id"))
-        edges = after
+        small = large.join(small_low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").coalesce(parts)
+        edges = tables.written(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(parts), "edges")
+        before, known = known, _digest(edges)
+        if before == known:
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select("a", F.col("a").alias("component")).distinct().withColumnRenamed("a", "id"))
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -196,23 +228,24 @@ def near_groups(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text"
     name = ["n_shingles", "set_a", "set_b"]
     filled = profile.where("n_shingles > 0")
     classes = filled.groupBy(*name).agg(F.min("doc_id").alias("class_id"))
-    # Rows that stand for their class carry its bands on; a repeated id counts once.
-    heads = (
-        filled.join(classes.where("class_id IS NOT NULL"), name)
-        .where("doc_id = class_id")
-        .groupBy("class_id", *name)
-        .agg(F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"), F.first("bands").alias("bands"))
-    )
-    banded = heads.select("class_id", "n_shingles", "sketch_a", "sketch_b", F.posexplode("bands").alias("band", "bucket")).select("class_id", "n_shingles", "sketch_a", "sketch_b", F.xxhash64("band", "bucket").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("hub")).where("n > 1").select("bucket", "hub")
+    # One row stands for each class and carries its bands on.
+    heads = filled.join(classes.where("class_id IS NOT NULL"), name).where("doc_id = class_id").dropDuplicates(["class_id", *name])
+    banded = heads.select("class_id", F.posexplode("bands").alias("band", "bucket")).select("class_id", F.xxhash64("band", "bucket").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only buckets with company go on.
     members = tables.written(banded.join(shared, "bucket"), "members")
-    star = members.where("class_id <> hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
-    links = tables.written(confirmed(star, rows, n), "links")
+    company = members.groupBy("class_id").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "class_id").groupBy("bucket").agg(F.min(F.struct((-F.col("company")).alias("less"), "class_id")).alias("hub"))
+    hubs = tables.written(hubs.select("bucket", F.col("hub.class_id").alias("hub")), "hubs")
+    spokes = tables.written(members.join(hubs, "bucket").where("class_id <> hub").select("hub", F.col("class_id").alias("id")).distinct(), "spokes")
+    # Classes stand for themselves in the first comparison: each hub asks its own star.
+    no, yes = F.lit(False), F.lit(True)
+    stars = spokes.select("hub", "id", no.alias("query"), yes.alias("target")).unionByName(spokes.select("hub", F.col("hub").alias("id"), yes.alias("query"), no.alias("target")).distinct())
+    links = tables.written(confirmed(stars.withColumn("component", F.col("id")), rows, n), "links")
     found = components(links)
-    across = tables.written(_across(members, found), "across")
-    if not across.isEmpty():
-        found = components(links.unionByName(confirmed(across, rows, n)))
+    placed = _outer(spokes, found)
+    if not placed.isEmpty():
+        found = components(links.unionByName(confirmed(placed, rows, n)))
     found = found.withColumnRenamed("id", "class_id")
     joined = classes.join(found, "class_id", "left").select(*name, F.coalesce("component", "class_id").alias("component_id"))
     linked = profile.select("doc_id", *name).join(joined, name, "left")
@@ -220,17 +253,13 @@ def near_groups(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text"
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _across(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one bucket whose classes are still in different components."""
-    placed = members.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("bucket", "class_id", "n_shingles", "sketch_a", "sketch_b", F.coalesce("component", "class_id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = placed.join(mixed, "bucket").alias("l")
-    right = left.alias("r")
-    small = F.least("l.n_shingles", "r.n_shingles")
-    apart = F.bit_count(F.col("l.sketch_a").bitwiseXOR(F.col("r.sketch_a"))) + F.bit_count(F.col("l.sketch_b").bitwiseXOR(F.col("r.sketch_b")))
-    # At similarity 0.8 a bit differs with probability 0.1: 40 of 128 is eight deviations off. Small sets share bins, so their bits are not independent and they are not ruled out.
-    near = (100 * small >= PERCENT * F.greatest("l.n_shingles", "r.n_shingles")) & ((small < 256) | (apart <= 40))
-    return left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & near).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
+def _outer(spokes: DataFrame, found: DataFrame) -> DataFrame:
+    """Stars with a class outside the hub's component: such classes ask, all classes but the hub answer."""
+    of = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"{name}_component"))
+    placed = spokes.join(of("id"), "id", "left").join(of("hub"), "hub", "left").select(
+        "hub", "id", F.coalesce("id_component", "id").alias("component"), (F.coalesce("id_component", "id") != F.coalesce("hub_component", "hub")).alias("query"), F.lit(True).alias("target")
+    )
+    return tables.written(placed.join(placed.where("query").select("hub").distinct(), "hub", "left_semi"), "outer")
 
 
 def only_kept(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
