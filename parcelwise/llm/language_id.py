@@ -123,22 +123,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("label", pa.string()), ("draw", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())]))
 
 
-def sampled(rows: DataFrame, per_label: int) -> DataFrame:
-    """About `per_label` rows of each label, drawn by a hash; `rows` has key, label and text."""
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(10)), F.lit(1 << 40))
-    return (
-        rows.withColumn("draw", draw)
-        .join(counts, "label")
-        .where(F.col("draw") < F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("total")) * float(1 << 40))
-        .select("label", "draw", "text")
-    )
-
-
 def train(rows: DataFrame, epochs: int = 6, rate: float = 0.6, per_label: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Fit on (key, label, text) rows. The sample of about `per_label` rows a label is the documented bound."""
     got = (
-        sampled(rows.where(F.col("label").isNotNull() & F.col("text").isNotNull()), per_label)
+        tables.drawn(rows.where(F.col("label").isNotNull() & F.col("text").isNotNull()), per_label)
         .mapInArrow(_features, "label string, draw bigint, ids binary, weights binary")
         .toPandas()
         .sort_values(["draw", "label", "ids"], ignore_index=True)

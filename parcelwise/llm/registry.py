@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("pii", "near_dedup", "exact_dedup", "packing", "language_id")
+MODULES = ("pii", "near_dedup", "pieces", "suffix_tree", "exact_dedup", "quality", "packing", "sharding", "fingerprints", "language_id")
 
 
 def collect(attribute: str) -> dict:

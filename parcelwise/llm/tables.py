@@ -41,3 +41,14 @@ def unique_name(columns: list[str], name: str) -> str:
     """A column name that the table does not have yet."""
     taken = {c.lower() for c in columns}
     return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex[:8]}"
+
+
+def drawn(rows: DataFrame, per_label: int) -> DataFrame:
+    """About `per_label` rows of each label, drawn by a hash of `key`; adds that hash as `draw`.
+
+    The expected size is at most `per_label` times the number of labels, whatever the input.
+    """
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
+    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(10)), F.lit(1 << 40))
+    share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("total"))
+    return rows.withColumn("draw", draw).join(counts, "label").where(F.col("draw") < share * float(1 << 40)).drop("total")
