@@ -110,28 +110,33 @@ def _profile(n: int):
     return run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
 
 
-def _rows_of(n: int):
-    """Rows (block, query, component, id, set), one for each role of a class."""
-    schema = pa.schema([("block", pa.int64()), ("query", pa.bool_()), ("component", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary())])
+def _sets(n: int):
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, limit=1 << 20):
+        for batch in X.slices(batches):
             sets = shingle_sets(batch.column("text"), n)
-            out: dict[str, list] = {k: [] for k in schema.names}
-            size = 0
-            for key, component, roles, s in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "roles")), sets):
-                raw = X.packed(s)
-                for role in roles:
-                    for k, v in zip(schema.names, (role["block"], role["query"], component, key, raw)):
-                        out[k].append(v)
-                    size += len(raw)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_pydict(out, schema=schema)
-                        out, size = {k: [] for k in schema.names}, 0
-            if out["id"]:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return run, "block bigint, query boolean, component bigint, id bigint, hashes binary"
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([X.packed(s) for s in sets], pa.binary())], schema=schema)
+
+    return run, "id bigint, hashes binary"
+
+
+def _by_role(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, query, component, id, set), one for each role of a class."""
+    schema = pa.schema([("block", pa.int64()), ("query", pa.bool_()), ("component", pa.int64()), ("id", pa.int64()), ("hashes", pa.binary())])
+    for batch in X.slices(batches, "hashes", 1 << 20):
+        out: dict[str, list] = {k: [] for k in schema.names}
+        size = 0
+        for key, component, roles, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "component", "roles", "hashes"))):
+            for role in roles:
+                for k, v in zip(schema.names, (role["block"], role["query"], component, key, raw)):
+                    out[k].append(v)
+                size += len(raw)
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_pydict(out, schema=schema)
+                    out, size = {k: [] for k in schema.names}, 0
+        if out["id"]:
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
 def _linked(block: pd.DataFrame) -> pd.DataFrame:
@@ -164,11 +169,11 @@ def _linked(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def confirmed(stars: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+def confirmed(stars: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) found in the blocks of stars.
 
     `stars` has hub, id, component and two flags: `query` rows are compared with `target` rows of
-    the same hub in another component. `rows` has doc_id and text.
+    the same hub in another component. `sets` has id and hashes of each class.
     """
     sizes = stars.groupBy("hub").agg(
         F.ceil(F.sum(F.col("query").cast("int")) / QUERIES_A_BLOCK).cast("int").alias("query_parts"),
@@ -180,12 +185,11 @@ def confirmed(stars: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     named = lambda q, t: F.xxhash64("hub", q.cast("int"), t.cast("int")).alias("block")
     asks = sized.where("query").withColumn("other", every("target_parts")).select("id", "component", named(own("query_parts"), F.col("other")), F.lit(True).alias("query"))
     answers = sized.where("target").withColumn("other", every("query_parts")).select("id", "component", named(F.col("other"), own("target_parts")), F.lit(False).alias("query"))
-    # A class's roles are gathered in lists of bounded length; written, so that Spark knows their size when it plans the join.
-    roles = asks.unionByName(answers).groupBy(F.col("id").alias("doc_id"), "component", F.pmod(F.xxhash64("block"), F.lit(64)).alias("part"))
-    lists = tables.written(roles.agg(F.collect_list(F.struct("block", "query")).alias("roles")).drop("part"), "roles")
-    run, schema = _rows_of(n)
-    met = rows.join(lists, "doc_id").select("doc_id", "text", "component", "roles").mapInArrow(run, schema)
-    return met.groupBy("block").applyInPandas(_linked, "a bigint, b bigint")
+    # A class's roles are gathered in lists of bounded length.
+    roles = asks.unionByName(answers).groupBy("id", "component", F.pmod(F.xxhash64("block"), F.lit(64)).alias("part"))
+    lists = roles.agg(F.collect_list(F.struct("block", "query")).alias("roles")).drop("part")
+    met = sets.join(lists.hint("merge"), "id").select("id", "component", "roles", "hashes")
+    return met.mapInArrow(_by_role, "block bigint, query boolean, component bigint, id bigint, hashes binary").groupBy("block").applyInPandas(_linked, "a bigint, b bigint")
 
 
 #: Edges of one partition in the component rounds.
@@ -238,14 +242,18 @@ def near_groups(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text"
     hubs = members.join(company, "class_id").groupBy("bucket").agg(F.min(F.struct((-F.col("company")).alias("less"), "class_id")).alias("hub"))
     hubs = tables.written(hubs.select("bucket", F.col("hub.class_id").alias("hub")), "hubs")
     spokes = tables.written(members.join(hubs, "bucket").where("class_id <> hub").select("hub", F.col("class_id").alias("id")).distinct(), "spokes")
+    # Sets of classes in a star are written once; a merge join takes the same way at every size.
+    starred = spokes.select("id").unionByName(spokes.select(F.col("hub").alias("id"))).distinct()
+    run, schema = _sets(n)
+    sets = tables.written(rows.join(starred.hint("merge"), rows["doc_id"] == starred["id"]).select("doc_id", "text").mapInArrow(run, schema), "sets")
     # Classes stand for themselves in the first comparison: each hub asks its own star.
     no, yes = F.lit(False), F.lit(True)
     stars = spokes.select("hub", "id", no.alias("query"), yes.alias("target")).unionByName(spokes.select("hub", F.col("hub").alias("id"), yes.alias("query"), no.alias("target")).distinct())
-    links = tables.written(confirmed(stars.withColumn("component", F.col("id")), rows, n), "links")
+    links = tables.written(confirmed(stars.withColumn("component", F.col("id")), sets), "links")
     found = components(links)
     placed = _outer(spokes, found)
     if not placed.isEmpty():
-        found = components(links.unionByName(confirmed(placed, rows, n)))
+        found = components(links.unionByName(confirmed(placed, sets)))
     found = found.withColumnRenamed("id", "class_id")
     joined = classes.join(found, "class_id", "left").select(*name, F.coalesce("component", "class_id").alias("component_id"))
     linked = profile.select("doc_id", *name).join(joined, name, "left")
