@@ -249,22 +249,29 @@ def polygons_intersect(a: ColumnLike, b: ColumnLike) -> Column:
     return vertex_inside | edge_cross
 
 
-def polygon_area_deg2(rings: ColumnLike) -> Column:
-    """Signed-ring shoelace area, absolute, in squared degrees.
+def ring_area_deg2(r: Column) -> Column:
+    """Signed area of a closed ring, positive when it runs counter-clockwise.
 
-    Each ring is taken relative to its first corner to keep small areas exact.
+    Corners are taken relative to the first one to keep small areas exact.
     """
+    twice = F.aggregate(
+        F.sequence(F.lit(1), F.size(r) - 1),
+        F.lit(0.0),
+        lambda s, i: s
+        + (r[i - 1]["x"] - r[0]["x"]) * (r[i]["y"] - r[0]["y"])
+        - (r[i]["x"] - r[0]["x"]) * (r[i - 1]["y"] - r[0]["y"]),
+    )
+    return twice / 2.0
 
-    def cross_sum(r: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(r) - 1),
-            F.lit(0.0),
-            lambda s, i: s
-            + (r[i - 1]["x"] - r[0]["x"]) * (r[i]["y"] - r[0]["y"])
-            - (r[i]["x"] - r[0]["x"]) * (r[i - 1]["y"] - r[0]["y"]),
-        )
 
-    return F.abs(F.aggregate(col(rings), F.lit(0.0), lambda s, r: s + cross_sum(r))) / 2.0
+def oriented(rings: ColumnLike) -> Column:
+    """Rings of one polygon with the shell counter-clockwise and holes clockwise."""
+    return F.transform(col(rings), lambda r, i: F.when((F.size(r) > 1) & ((ring_area_deg2(r) > 0) != (i == 0)), F.reverse(r)).otherwise(r))
+
+
+def polygon_area_deg2(rings: ColumnLike) -> Column:
+    """Area in squared degrees; holes run opposite to their shell."""
+    return F.abs(F.aggregate(col(rings), F.lit(0.0), lambda s, r: s + ring_area_deg2(r)))
 
 
 def deg2_to_m2(lat: ColumnLike) -> Column:

@@ -201,7 +201,7 @@ def resample_bilinear(
     targets: DataFrame, key: list[str], source: DataFrame, value: str, nodata: float, x0: float, y0: float, px: float, py: float
 ) -> DataFrame:
     """Mean of the four surrounding centres weighted by distance; missing ones
-    drop out and the rest are rescaled."""
+    drop out and the rest are rescaled; a target without any is null."""
     fx, fy = (F.col("lng") - x0) / px - 0.5, (F.lit(y0) - F.col("lat")) / py - 0.5
     base = targets.withColumns({"_c": F.floor(fx), "_r": F.floor(fy), "_u": fx - F.floor(fx), "_v": fy - F.floor(fy)})
     corner = F.explode(
@@ -219,5 +219,6 @@ def resample_bilinear(
     )
     four = base.select(*key, corner.alias("_k")).select(*key, F.col("_k.row").alias("_sr"), F.col("_k.col").alias("_sc"), F.col("_k.w").alias("_w"))
     side = source.filter(F.col(value) != nodata).select(F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col(value).alias("_val"))
-    hit = four.join(side, ["_sr", "_sc"])
-    return hit.groupBy(*key).agg(F.try_divide(F.sum(F.col("_w") * F.col("_val")), F.sum("_w")).alias(value))
+    hit = four.join(side, ["_sr", "_sc"], "left")
+    known = F.when(F.col("_val").isNotNull(), F.col("_w"))
+    return hit.groupBy(*key).agg(F.try_divide(F.sum(F.col("_w") * F.col("_val")), F.sum(known)).alias(value))

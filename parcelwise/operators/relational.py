@@ -50,25 +50,23 @@ def not_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows to append under ON CONFLICT DO NOTHING: unseen keys, once each."""
-    return not_done(incoming.dropDuplicates([key]), existing, [key])
+    """Rows to append under ON CONFLICT DO NOTHING: unseen keys, once each, the smallest row of a key."""
+    return not_done(keep_first(incoming, [key], [c for c in incoming.columns if c != key]), existing, [key])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first by ``order``."""
     rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
     row = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def guarded(df: DataFrame, limit: int, sample: int = 5) -> tuple[DataFrame, int]:
-    """Result-size guard: everything up to ``limit`` rows, else a small sample.
-
-    The count stops at limit + 1 rows unless the limit is passed.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return df, df.count()
-    return df.limit(sample), df.count()
+    """Result-size guard: everything up to ``limit`` rows, else a small sample; and the full count."""
+    n = df.count()
+    return (df, n) if n <= limit else (df.limit(sample), n)
 
 
 def arithmetic_hash(key: Column, seed: int, modulus: int = 1_000_003) -> Column:

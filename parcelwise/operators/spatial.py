@@ -3,25 +3,21 @@
 The layer side is exploded over the grid cells its (radius-expanded) box covers;
 the point side keeps one row in its own cell. The equi-join on the cell is then
 refined by an exact test, so every pair is found exactly once and no distinct is
-needed. Cells that hold a large share of the points are salted.
+needed. A crowded cell is one key of a plain shuffle join, so adaptive execution
+splits it on either side by its measured size, as many cells as there are.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import HAVERSINE, Metric
 
 CELL = ["_cx", "_cy"]
-SALTED = [*CELL, "_salt"]
-# A (cell, salt) group holds at most about this many points before the join.
-POINTS_PER_GROUP = 500_000
-# The salting table is a top-k, so what is broadcast never exceeds this.
-MAX_SALTED_CELLS = 4096
 
 
 def cell_index(value: Column, cell: float) -> Column:
@@ -39,36 +35,6 @@ def cover_cells(df: DataFrame, cell: float, x0: Column, y0: Column, x1: Column,
     )
 
 
-def salt_hot_cells(
-    points: DataFrame, layer: DataFrame, per_group: int = POINTS_PER_GROUP
-) -> tuple[DataFrame, DataFrame]:
-    """Split the points of crowded cells and repeat only those cells' layer rows.
-
-    The heaviest cells are a top-k of a map-side combined count, so the broadcast
-    table has at most MAX_SALTED_CELLS rows whatever the data size.
-    """
-    heavy = F.broadcast(
-        points.groupBy(*CELL)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > per_group)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_SALTED_CELLS)
-        .select(*CELL, F.ceil(F.col("_n") / per_group).cast("int").alias("_parts"))
-    )
-    spread = F.pmod(F.xxhash64(*[c for c in points.columns if c not in CELL]), F.col("_parts").cast("long"))
-    salted_points = (
-        points.join(heavy, CELL, "left")
-        .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int"))
-        .drop("_parts")
-    )
-    salted_layer = (
-        layer.join(heavy, CELL, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
-        .drop("_parts")
-    )
-    return salted_points, salted_layer
-
-
 def suggest_cell(layer: DataFrame, floor: float = 1e-4) -> float:
     """Cell size from the layer's root-mean-square box size.
 
@@ -104,9 +70,7 @@ def cover_with_edges(polygons: DataFrame, cell: float) -> DataFrame:
 
 
 # ── containment ─────────────────────────────────────────────────────────────
-def points_in_polygons(
-    points: DataFrame, polygons: DataFrame, cell: float, salted: bool = True
-) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Inner join: every (point, polygon) with the point inside.
 
     ``points`` needs lng, lat; ``polygons`` needs rings, x0, y0, x1, y1. Other
@@ -114,16 +78,12 @@ def points_in_polygons(
     """
     left = own_cell(points, cell)
     right = cover_with_edges(polygons, cell)
-    keys = CELL
-    if salted:
-        left, right = salt_hot_cells(left, right)
-        keys = SALTED
     in_box = F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
     return (
-        left.join(right, keys)
+        left.join(right, CELL)
         .filter(in_box)
         .filter(geo.odd_crossings("_edges", "lng", "lat"))
-        .drop(*keys, "_edges", "x0", "y0", "x1", "y1")
+        .drop(*CELL, "_edges", "x0", "y0", "x1", "y1")
     )
 
 
@@ -182,7 +142,6 @@ def within_radius(
     radius: float | str,
     metric: Metric = HAVERSINE,
     max_radius: float | None = None,
-    salted: bool = True,
 ) -> DataFrame:
     """Inner join of points and features no farther apart than the radius.
 
@@ -194,22 +153,14 @@ def within_radius(
     cell = max(3.0 * metric.typical_reach(largest), 1e-4)
     reach = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
     dx, dy = metric.reach(reach, F.col("f_lat"))
-    left = own_cell(points, cell)
-    right = cover_cells(
-        features, cell, F.col("f_lng") - dx, F.col("f_lat") - dy, F.col("f_lng") + dx, F.col("f_lat") + dy
-    )
-    keys = CELL
-    if salted:
-        left, right = salt_hot_cells(left, right)
-        keys = SALTED
+    return _in_boxes(points, features, dx, dy, cell).withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat")).filter(F.col("dist") <= reach)
+
+
+def _in_boxes(points: DataFrame, features: DataFrame, dx: Column, dy: Column, cell: float) -> DataFrame:
+    """Pairs whose coordinates differ by at most dx and dy."""
+    right = cover_cells(features, cell, F.col("f_lng") - dx, F.col("f_lat") - dy, F.col("f_lng") + dx, F.col("f_lat") + dy)
     near_box = (F.abs(F.col("lng") - F.col("f_lng")) <= dx) & (F.abs(F.col("lat") - F.col("f_lat")) <= dy)
-    return (
-        left.join(right, keys)
-        .filter(near_box)
-        .withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
-        .filter(F.col("dist") <= reach)
-        .drop(*keys)
-    )
+    return own_cell(points, cell).join(right, CELL).filter(near_box).drop(*CELL)
 
 
 def collapse_copies(features: DataFrame, aggs: dict[str, Column]) -> DataFrame:
@@ -239,9 +190,7 @@ def radius_count(
     return points.join(counts, ["lng", "lat"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
 
 
-def lines_within(
-    points: DataFrame, segments: DataFrame, radius_m: float, salted: bool = True
-) -> DataFrame:
+def lines_within(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
     """Join to segments (ax, ay, bx, by) within the radius; adds ``dist``."""
     reach = HAVERSINE.typical_reach(radius_m)
     cell = max(3.0 * reach, 1e-4)
@@ -257,17 +206,13 @@ def lines_within(
     )
     left = own_cell(points.withColumn("_kx", geo.metres_per_lng_degree("lat")), cell)
     right = cover_cells(boxed, cell, *[F.col(c) for c in ("_w", "_s", "_e", "_n")])
-    keys = CELL
-    if salted:
-        left, right = salt_hot_cells(left, right)
-        keys = SALTED
     in_box = F.col("lng").between(F.col("_w"), F.col("_e")) & F.col("lat").between(F.col("_s"), F.col("_n"))
     return (
-        left.join(right, keys)
+        left.join(right, CELL)
         .filter(in_box)
         .withColumn("dist", geo.segment_distance_m("lng", "lat", "ax", "ay", "bx", "by", "_kx"))
         .filter(F.col("dist") <= radius_m)
-        .drop(*keys, "_kx", "_w", "_s", "_e", "_n")
+        .drop(*CELL, "_kx", "_w", "_s", "_e", "_n")
     )
 
 
@@ -284,15 +229,25 @@ def nearest_within(
 ) -> DataFrame:
     """Left join to the nearest feature in the radius, ties by feature key.
 
-    ``order_metric`` ranks candidates by another distance (degrees, say) while
-    ``dist`` and the radius stay in ``metric``.
+    With ``order_metric`` the nearest by that distance (degrees, say) is picked
+    first and dropped if it lies beyond the radius in ``metric``; a feature that is
+    second by ``order_metric`` is never a match. Candidates come from a box whose
+    half side is the radius in degrees of longitude, the longer of the two: any
+    feature within the radius lies in it, and what lies outside is beyond the radius.
     """
     rest = [a for a in attrs if a not in ("dist", feature_key)]
-    pairs = within_radius(points.select(key, "lng", "lat"), one_per_spot(features, feature_key, rest), radius, metric)
-    rank = order_metric.distance("lng", "lat", "f_lng", "f_lat") if order_metric else F.col("dist")
-    best = pairs.groupBy(key).agg(
-        F.min(F.struct(rank.alias("_rank"), F.col(feature_key), F.col("dist"), *rest)).alias("_b")
-    )
+    slim, spots = points.select(key, "lng", "lat"), one_per_spot(features, feature_key, rest)
+    if order_metric:
+        # The reach grows with latitude; a tenth more covers a point north of its feature.
+        dx, dy = metric.reach(F.lit(float(radius)), F.col("f_lat"))
+        side = F.greatest(dx, dy) * 1.1
+        pairs = _in_boxes(slim, spots, side, side, max(3.0 * metric.typical_reach(radius), 1e-4))
+        pairs = pairs.withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
+        rank = order_metric.distance("lng", "lat", "f_lng", "f_lat")
+    else:
+        pairs, rank = within_radius(slim, spots, radius, metric), F.col("dist")
+    best = pairs.groupBy(key).agg(F.min(F.struct(rank.alias("_rank"), F.col(feature_key), F.col("dist"), *rest)).alias("_b"))
+    best = best.filter(F.col("_b.dist") <= radius)
     out = [feature_key, "dist", *rest]
     return points.join(best, key, "left").select(*points.columns, *[F.col(f"_b.{a}").alias(a) for a in out])
 
@@ -311,20 +266,10 @@ def k_nearest_within(
     return top_k_per_key(pairs, [key], [F.col("dist"), F.col(feature_key)], k)
 
 
-def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, parts: int = 32) -> DataFrame:
-    """Exact top-k per key in two steps; the first splits hot keys over ``parts``."""
-    from pyspark.sql import Window as W
-
-    spread = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-    local = W.partitionBy(*keys, "_part").orderBy(*order)
-    final = W.partitionBy(*keys).orderBy(*order)
-    return (
-        spread.withColumn("_r", F.row_number().over(local))
-        .filter(F.col("_r") <= k)
-        .drop("_r", "_part")
-        .withColumn("rank", F.row_number().over(final))
-        .filter(F.col("rank") <= k)
-    )
+def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """Exact top-k per key; Spark's group limit cuts each task's rows to k before the shuffle."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
 def nearest(
@@ -353,14 +298,49 @@ def nearest(
     )
     feature_cells = feats.select(F.col("_fx").alias("_cx"), F.col("_fy").alias("_cy")).distinct()
     links = cell_candidates(base.select(*CELL).distinct(), feature_cells, cell, metric, extent)
-    left, right = salt_hot_cells(base, links.join(feats, ["_fx", "_fy"]).drop("_fx", "_fy"))
-    pairs = left.join(right, SALTED).withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
+    right = links.join(feats, ["_fx", "_fy"]).drop("_fx", "_fy")
+    pairs = base.join(right, CELL).withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
     best = pairs.groupBy(key).agg(F.min(F.struct("dist", feature_key, *rest)).alias("_b"))
     return points.join(best, key, "left").select(
         *points.columns, *[F.col(f"_b.{a}").alias(a) for a in (feature_key, "dist", *rest)]
     )
 
 
+def nearest_line(
+    points: DataFrame, segments: DataFrame, key: str, segment_key: str, attrs: list[str], cell: float = 0.5, extent: float = 360.0
+) -> DataFrame:
+    """Nearest segment (ax, ay, bx, by) with no radius, exact, without a driver loop.
+
+    The nearest segment end bounds the distance. A point then looks only into the
+    cells around it at the grid level whose cells are as wide as its bound; segments
+    lie in the cells of every level. A point is a segment with equal ends.
+    """
+    rest = [a for a in attrs if a not in ("dist", segment_key)]
+    at = points.select(key, "lng", "lat").withColumn("_kx", geo.metres_per_lng_degree("lat"))
+    ends = segments.select(F.explode(F.array(geo.point("ax", "ay"), geo.point("bx", "by"))).alias("_e")).select(
+        F.col("_e.x").alias("f_lng"), F.col("_e.y").alias("f_lat"), F.col("_e.x").alias("_ex"), F.col("_e.y").alias("_ey"), F.lit(0).alias("_end")
+    )
+    bound = geo.segment_distance_m("lng", "lat", "_ex", "_ey", "_ex", "_ey", "_kx")
+    bounded = at.join(nearest(at.select(key, "lng", "lat"), ends, key, "_end", ["_ex", "_ey"], cell).select(key, "_ex", "_ey"), key)
+    levels = max(1, math.ceil(math.log2(extent / cell)) + 1)
+    wide = F.greatest(bound / F.greatest(F.col("_kx"), F.lit(1.0)), bound / geo.SPHERE_M_PER_DEG) * (1 + 1e-9)
+    level = F.greatest(F.lit(0), F.least(F.lit(levels), F.ceil(F.log2(F.greatest(wide, F.lit(1e-12)) / cell)).cast("int")))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
+    index = lambda v: F.floor(v / size).cast("long")
+    around = lambda v: F.explode(F.sequence(index(v) - 1, index(v) + 1))
+    left = bounded.withColumn("_l", level).withColumn("_cx", around(F.col("lng"))).withColumn("_cy", around(F.col("lat"))).drop("_ex", "_ey")
+    span = lambda a, b: F.explode(F.sequence(index(F.least(a, b)), index(F.greatest(a, b))))
+    right = (
+        segments.select(segment_key, "ax", "ay", "bx", "by", *rest)
+        .withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+        .withColumn("_cx", span("ax", "bx"))
+        .withColumn("_cy", span("ay", "by"))
+    )
+    pairs = left.join(right, ["_l", *CELL]).withColumn("dist", geo.segment_distance_m("lng", "lat", "ax", "ay", "bx", "by", "_kx"))
+    best = pairs.groupBy(key).agg(F.min(F.struct("dist", segment_key, *rest)).alias("_b"))
+    return points.join(best, key, "left").select(*points.columns, *[F.col(f"_b.{a}").alias(a) for a in (segment_key, "dist", *rest)])
+
+
 def cell_candidates(
     point_cells: DataFrame, feature_cells: DataFrame, cell: float, metric: Metric, extent: float = 360.0
 ) -> DataFrame:

@@ -167,19 +167,28 @@ def factor_violations(cases: DataFrame, expected: str, actual: str, key: str) ->
     return rows.select(key, "factor", v.alias("value"), why.alias("violation")).filter(F.col("violation").isNotNull())
 
 
-def bootstrap_mean_ci(df: DataFrame, value: str, key: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean under Poisson(1) resampling by hash.
+def bootstrap_mean_ci(
+    df: DataFrame, value: str, key: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 42, blocks: int = 1024
+) -> DataFrame:
+    """Percentile interval of the mean under Poisson(1) resampling of hash blocks.
 
-    Each row meets every resample inside its own task; the map-side combine
-    leaves one running sum per resample to shuffle.
+    Rows are summed once into blocks; only the blocks meet the resamples, so the
+    work after the first pass does not grow with the input.
     """
-    draws = df.select(key, F.col(value).alias("_v")).withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.pmod(F.xxhash64(key, "_b", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    mixed = R.arithmetic_hash(F.col(key), seed)
+    parts = df.filter(F.col(value).isNotNull()).groupBy(F.pmod(mixed, F.lit(blocks)).alias("_k")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    draws = parts.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    # Three rounds of a quadratic hash that any SQL engine can repeat.
+    m = F.lit(1_000_003)
+    x = F.pmod((F.col("_k") * 2003 + F.col("_b") + seed) * 48_271, m)
+    y = F.pmod(F.pmod(x * x, m) * 69_621 + x, m)
+    u = F.pmod(y * y + x * 40_692 + y, m) / 1_000_003.0
     # fixed values: Poisson(1) cumulative probabilities
     weight = F.lit(0)
     for cut in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676):
         weight = weight + F.when(u >= cut, 1).otherwise(0)
-    sums = draws.withColumn("_w", weight).groupBy("_b").agg(F.sum(F.col("_w") * F.col("_v")).alias("s"), F.sum("_w").alias("w"))
+    drawn = draws.withColumn("_w", weight)
+    sums = drawn.groupBy("_b").agg(F.sum(F.col("_w") * F.col("_s")).alias("s"), F.sum(F.col("_w") * F.col("_c")).alias("w"))
     means = sums.filter(F.col("w") > 0).select((F.col("s") / F.col("w")).alias("mean"))
     at = A.values_at(
         means, "mean", {"lo": lambda n: F.floor(n * (alpha / 2)), "hi": lambda n: F.floor(n * (1 - alpha / 2)) - 1}

@@ -18,6 +18,8 @@ from ..session import cut_lineage
 from ..sources import catalog
 
 HIGH, SOFTNESS, MIN_POSITIVES = 0.70, 0.03, 20
+# The finest lattice has 2^(rounds - 1) times the first one's points per axis.
+LATTICE_ROUNDS = 8
 CRITERIA = sorted(c for c in catalog.default_weights(catalog.SOLAR) if c != "excl_flood")
 _SPEC = {c.criterion_id: c for c in catalog.criteria_for(catalog.SOLAR)}
 LOW = np.array([_SPEC[c].low for c in CRITERIA])
@@ -46,13 +48,35 @@ def score_matrix(long: DataFrame, key: list[str]) -> DataFrame:
 
 def random_points(regions: DataFrame, region: str, n: int, seed: int, per_axis: int, cell: float) -> DataFrame:
     """n repeatable points per region: a jittered lattice over each polygon's box,
-    kept where it falls inside, first n in hash order."""
-    axis = F.sequence(F.lit(0), F.lit(per_axis - 1))
-    grid = (
-        regions.withColumn("_pid", F.xxhash64(region, "x0", "y0"))
-        .withColumn("_i", F.explode(axis))
-        .withColumn("_j", F.explode(axis))
+    kept where it falls inside, first n in hash order.
+
+    A region whose lattice leaves fewer than n points gets one twice as fine, until
+    it has n; a thin polygon takes more rounds. One without area is an error.
+    """
+    parts: list[DataFrame] = []
+    todo = regions
+    for _ in range(LATTICE_ROUNDS):
+        inside = cut_lineage(_lattice_inside(todo, region, seed, per_axis, cell))
+        enough = cut_lineage(inside.groupBy(region).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select(region))
+        parts.append(inside.join(enough, region, "left_semi"))
+        todo = cut_lineage(todo.join(enough, region, "left_anti"))
+        if todo.isEmpty():
+            break
+        per_axis *= 2
+    else:
+        raise ValueError(f"a region has no area to hold {n} points")
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return X.top_k_per_key(every, [region], [F.col("_h"), F.col("_pid"), F.col("_k")], n).select(
+        region, F.col("rank").alias("point_no"), "lng", "lat"
     )
+
+
+def _lattice_inside(regions: DataFrame, region: str, seed: int, per_axis: int, cell: float) -> DataFrame:
+    axis = F.sequence(F.lit(0), F.lit(per_axis - 1))
+    corner = F.floor((F.col("x0") + 180.0) * 1e3).cast("long") * 360_001 + F.floor((F.col("y0") + 90.0) * 1e3).cast("long")
+    grid = regions.withColumn("_pid", corner).withColumn("_i", F.explode(axis)).withColumn("_j", F.explode(axis))
     jx = R.arithmetic_hash(F.pmod(F.col("_pid"), F.lit(9973)) * 4099 + F.col("_i") * 61 + F.col("_j"), seed) / 1_000_003.0
     jy = R.arithmetic_hash(F.pmod(F.col("_pid"), F.lit(9967)) * 4093 + F.col("_j") * 67 + F.col("_i"), seed + 1) / 1_000_003.0
     pts = grid.select(
@@ -62,13 +86,8 @@ def random_points(regions: DataFrame, region: str, n: int, seed: int, per_axis:
         (F.col("_i") * per_axis + F.col("_j")).alias("_k"),
         "_pid",
     )
-    inside = X.points_in_polygons(pts, regions.select(region, "rings", "x0", "y0", "x1", "y1"), cell).filter(
-        F.col(region) == F.col("_own")
-    )
-    h = R.arithmetic_hash(F.pmod(F.col("_pid"), F.lit(9949)) * 4001 + F.col("_k"), seed + 2)
-    return X.top_k_per_key(inside.withColumn("_h", h), [region], [F.col("_h"), F.col("_pid"), F.col("_k")], n).select(
-        region, F.col("rank").alias("point_no"), "lng", "lat"
-    )
+    inside = X.points_in_polygons(pts, regions.select(region, "rings", "x0", "y0", "x1", "y1"), cell).filter(F.col(region) == F.col("_own"))
+    return inside.withColumn("_h", R.arithmetic_hash(F.pmod(F.col("_pid"), F.lit(9949)) * 4001 + F.col("_k"), seed + 2))
 
 
 def project(w: np.ndarray, low: np.ndarray = LOW, top: np.ndarray = TOP) -> np.ndarray:
@@ -117,11 +136,13 @@ def _gap(terms: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
     return float(diff[1] + diff[2]), diff[3:]
 
 
-def calibrate_weights(matrix: DataFrame, steps: int = 8, rate: float = 0.02) -> dict[str, dict]:
+def calibrate_weights(matrix: DataFrame, rate: float = 0.02, tolerance: float = 1e-9, most_steps: int = 500) -> dict[str, dict]:
     """Projected gradient ascent on soft high-rate gap + mean gap, per region.
 
-    A region with fewer than 20 sites or no random points keeps the defaults.
-    The matrix is read once per step, so it is checkpointed first. Only improving steps are kept, so the objective never drops below the start.
+    A region is done when an accepted step gains less than ``tolerance`` or its step has
+    shrunk below ``tolerance``'s root; ``converged`` says so. A region with fewer than 20 sites or no
+    random points keeps the defaults. The matrix is read once per step, so it is
+    checkpointed first. Only improving steps are kept, so the objective never drops below the start.
     """
     matrix = cut_lineage(matrix.select("region", "kind", "scores", "mask"))
     counts = matrix.groupBy("region", "kind").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -136,19 +157,26 @@ def calibrate_weights(matrix: DataFrame, steps: int = 8, rate: float = 0.02) ->
     if fit:
         trial, rates = {r: project(START) for r in fit}, {r: rate for r in fit}
         grads: dict[str, np.ndarray] = {}
-        only = matrix.filter(F.col("region").isin(fit))
-        for step in range(steps + 1):
-            terms = _objective_terms(only, trial)
-            for r in fit:
+        moving = list(fit)
+        for _ in range(most_steps):
+            terms = _objective_terms(matrix.filter(F.col("region").isin(moving)), {r: trial[r] for r in moving})
+            for r in moving:
                 value, grad = _gap(terms[r])
-                if result[r]["value"] is None or value > result[r]["value"]:
-                    if result[r]["start"] is None:
+                last = result[r]["value"]
+                if last is None or value > last:
+                    if last is None:
                         result[r]["start"] = value
+                    elif value - last < tolerance:
+                        result[r]["converged"] = True
                     result[r]["value"], best[r], grads[r] = value, trial[r], grad
                 else:
                     rates[r] /= 3.0
+                    result[r]["converged"] = rates[r] < tolerance**0.5
                 g = grads[r] / max(float(np.abs(grads[r]).max()), 1e-12)
                 trial[r] = project(best[r] + rates[r] * g)
+            moving = [r for r in moving if not result[r].get("converged")]
+            if not moving:
+                break
     for r in n:
         result[r]["weights"] = {c: float(v) for c, v in zip(CRITERIA, best[r])}
     return result

@@ -70,7 +70,7 @@ def coverage_availability(locations: DataFrame, key: str, state: str, sources=ca
 
 
 def probe_sources(points: DataFrame, features: DataFrame, key: str, radii: dict[str, float] = K.PROBE_RADIUS_M) -> DataFrame:
-    """Probe of all table sources: (key, source_id, n, nearest_m).
+    """Probe of all table sources: (key, source_id, n, nearest_m), with n = 0 where nothing is near.
 
     ``features`` is the union of the layers with a ``source_id``; each source is
     searched in its own radius. Copies of a position count by weight.
@@ -83,7 +83,8 @@ def probe_sources(points: DataFrame, features: DataFrame, key: str, radii: dict[
         pairs = X.within_radius(at, spots.filter(F.col("source_id").isin(*names)), radius)
         part = pairs.groupBy(key, "source_id").agg(F.sum("_w").alias("n"), F.min("dist").alias("nearest_m"))
         out = part if out is None else out.unionByName(part)
-    return out
+    asked = points.select(key, F.explode(F.array(*[F.lit(s) for s, r in radii.items() if r > 0])).alias("source_id"))
+    return asked.join(out, [key, "source_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def availability_columns(locations: DataFrame, probes: DataFrame, key: str, probed: list[str]) -> DataFrame:
@@ -94,7 +95,7 @@ def availability_columns(locations: DataFrame, probes: DataFrame, key: str, prob
     """
     wide = probes.groupBy(key).agg(
         *[F.max(F.when(F.col("source_id") == s, F.col("nearest_m"))).alias(f"nearest_{s}") for s in probed],
-        *[F.bool_or(F.col("source_id") == s).alias(has(s)) for s in probed],
+        *[F.bool_or((F.col("source_id") == s) & (F.col("n") > 0)).alias(has(s)) for s in probed],
     )
     out = locations.join(wide, key, "left")
     fixed = {has(s): c for s, c in catalog_availability().items() if c is not None and s not in probed}

@@ -208,8 +208,8 @@ def enrich_parcels(
     kinds = {f"in_{k}": F.col("kind") == k for k in ("flood", "wetland", "protected")}
     flags = X.polygon_flags(at, screens.select("kind", "rings", "x0", "y0", "x1", "y1"), cell, key, kinds).drop("lng", "lat")
     soil = X.first_polygon(at, soils, cell, key, "unit_id", ["unit_id", "soil_class", "zone_code"]).drop("lng", "lat")
-    grid_m = X.lines_within(at, grid, K.SOLAR_V1_DEFAULTS["grid_max_distance_m"]).groupBy(key).agg(F.min("dist").alias("grid_distance_m"))
-    road_m = X.lines_within(at, roads, K.SOLAR_V1_DEFAULTS["road_max_distance_m"]).groupBy(key).agg(F.min("dist").alias("road_distance_m"))
+    grid_m = X.nearest_line(at, grid.withColumn("_s", F.lit(0)), key, "_s", []).select(key, F.col("dist").alias("grid_distance_m"))
+    road_m = X.nearest_line(at, roads.withColumn("_s", F.lit(0)), key, "_s", []).select(key, F.col("dist").alias("road_distance_m"))
     station = X.nearest(at, resource, key, "station_id", ["ghi"]).select(key, "station_id", "ghi", F.col("dist").alias("station_m"))
     out = parcels
     for side in (flags, soil, grid_m, road_m, station):
@@ -382,4 +382,6 @@ def queue_context(sites: DataFrame, queue: DataFrame, key: str, radius_m: float
     pairs = X.within_radius(sites.select(key, "lng", "lat"), spots, radius_m)
     by_iso = pairs.groupBy(key, "iso").agg(*[F.sum(n).alias(n) for n in measures])
     usual = F.min_by("iso", F.struct(-F.col("n_projects"), F.col("iso")))
-    return by_iso.groupBy(key).agg(*[F.sum(n).alias(n) for n in measures], usual.alias("usual_iso"))
+    found = by_iso.groupBy(key).agg(*[F.sum(n).alias(n) for n in measures], usual.alias("usual_iso"))
+    zeros = {n: F.coalesce(F.col(n), F.lit(0.0 if n == "solar_mw" else 0)) for n in measures}
+    return sites.select(key).join(found, key, "left").withColumns(zeros)

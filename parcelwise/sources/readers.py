@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions import scoring as S
+from ..operators import relational as R
 
 _COORDS = "array<array<array<array<double>>>>"
 DOUBLE = "double"
@@ -49,7 +50,10 @@ def geometry_columns(df: DataFrame) -> DataFrame:
     def paths_of(c: Column) -> Column:
         return F.transform(c, lambda path: F.transform(path, _pair))
 
-    rings = F.when(kind == "Polygon", paths_of(multi_line)).when(kind == "MultiPolygon", paths_of(F.flatten(multi_poly)))
+    # Files turn their rings either way; areas and clipping need holes against their shell.
+    one = geo.oriented(paths_of(multi_line))
+    many = F.flatten(F.transform(multi_poly, lambda polygon: geo.oriented(paths_of(polygon))))
+    rings = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
     paths = F.when(kind == "LineString", paths_of(F.array(line))).when(kind == "MultiLineString", paths_of(multi_line))
     out = df.withColumns(
         {
@@ -183,7 +187,10 @@ OSM_ELEMENT = (
 )
 
 
-def read_osm(spark: SparkSession, path: str) -> DataFrame:
+def read_osm(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Elements of one JSON document per file, or one element per line, which splits across tasks."""
+    if not whole_file:
+        return spark.read.text(path).select(F.from_json("value", OSM_ELEMENT).alias("e")).select("e.*")
     raw = spark.read.schema(f"elements array<{OSM_ELEMENT}>").option("multiLine", True).json(path)
     return raw.select(F.explode("elements").alias("e")).select("e.*")
 
@@ -215,10 +222,15 @@ def osm_lines(elements: DataFrame, key: str = "highway") -> DataFrame:
 
 # ── agency tables ───────────────────────────────────────────────────────────
 def generators_with_plants(generators: DataFrame, plants: DataFrame) -> DataFrame:
-    """Solar generators ⟕ one coordinate row per plant; unlocated rows dropped."""
-    one = plants.dropDuplicates(["plant_code"]).select(
+    """Solar generators ⟕ one coordinate row per plant; unlocated rows dropped.
+
+    A sheet without a technology column holds solar generators only.
+    """
+    one = R.keep_first(plants, ["plant_code"], ["latitude", "longitude"]).select(
         "plant_code", F.col("latitude").try_cast(DOUBLE).alias("lat"), F.col("longitude").try_cast(DOUBLE).alias("lng")
     )
+    if "technology" in generators.columns:
+        generators = generators.filter(F.lower("technology").contains("solar"))
     typed = generators.withColumn("capacity_mw", F.col("capacity_mw").try_cast(DOUBLE))
     return typed.join(one, "plant_code", "left").dropna(subset=["lat", "lng"])
 
@@ -238,22 +250,35 @@ def locate_queue(queue: DataFrame, centroids: DataFrame) -> tuple[DataFrame, Dat
     by_code = centroids.select("fips", F.col("lat").alias("_la"), F.col("lng").alias("_lo"))
     by_name = centroids.select(
         F.lower("county").alias("_c"), F.col("state").alias("_s"), F.col("lat").alias("_lb"), F.col("lng").alias("_lp")
-    ).dropDuplicates(["_c", "_s"])
+    )
+    by_name = R.keep_first(by_name, ["_c", "_s"], ["_lb", "_lp"])
     j = queue.join(by_code, "fips", "left").join(by_name, (F.lower("county") == F.col("_c")) & (F.col("state") == F.col("_s")), "left")
     out = j.withColumns({"lat": F.coalesce("_la", "_lb"), "lng": F.coalesce("_lo", "_lp")}).drop("_la", "_lo", "_lb", "_lp", "_c", "_s")
     return out.filter(F.col("lat").isNotNull()), out.filter(F.col("lat").isNull())
 
 
-def inundation_tiles(df: DataFrame, path: str = "path") -> DataFrame:
-    """Tile box from the file name (…_w_s_e_n.geojson) and risk level by layer."""
+# fixed values: share of observations with water that a level stands for
+WET_PERCENT = {"high": 5.0, "medium": 1.0, "low": 0.5}
+
+
+def inundation_tiles(df: DataFrame, path: str = "path", box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Tile box from the file name (…_south_west_north_east.geojson), risk level and least wet share by layer.
+
+    Layers of another name are dropped. With ``box`` (west, south, east, north) only
+    tiles that overlap it stay.
+    """
     parts = F.regexp_extract_all(F.col(path), F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1))
     n = F.size(parts)
-    boxed = df.withColumns(
-        {name: F.get(parts, n - 4 + i).try_cast(DOUBLE) for i, name in enumerate(("x0", "y0", "x1", "y1"))}
+    out = df.withColumns(
+        {name: F.get(parts, n - 4 + i).try_cast(DOUBLE) for i, name in enumerate(("y0", "x0", "y1", "x1"))}
     )
+    if box:
+        w, s, e, t = box
+        out = out.filter((F.col("x0") < e) & (F.col("x1") > w) & (F.col("y0") < t) & (F.col("y1") > s))
     name = F.lower(F.col("layer"))
-    level = F.when(name.contains("high"), "high").when(name.contains("medium"), "medium").otherwise("low")
-    return boxed.withColumn("risk_level", level)
+    level = F.when(name.contains("high"), "high").when(name.contains("medium"), "medium").when(name.contains("low"), "low")
+    wet = F.create_map(*[F.lit(x) for item in WET_PERCENT.items() for x in item])
+    return out.withColumn("risk_level", level).filter(F.col("risk_level").isNotNull()).withColumn("wet_pct", wet[F.col("risk_level")])
 
 
 def claim_rows(raw: DataFrame, renames: dict[str, tuple[str, str]]) -> DataFrame:
@@ -290,13 +315,13 @@ def facilities(primary: DataFrame, secondary: DataFrame, box: tuple[float, float
     """Two facility lists: preferred decimal coordinates, else packed DMS; in
     bounds; one row per (name, lat, lng)."""
     w, s, e, n = box
-    one = primary.dropDuplicates(["facility_id"])
+    one = R.keep_first(primary, ["facility_id"], [c for c in primary.columns if c != "facility_id"])
     lat = F.coalesce(F.col("pref_latitude").try_cast(DOUBLE), S.dms_degrees(F.col("fac_latitude").try_cast("long")))
     lng = F.coalesce(F.col("pref_longitude").try_cast(DOUBLE), -F.abs(S.dms_degrees(F.col("fac_longitude").try_cast("long"))))
     a = one.select("facility_id", "name", F.lit("TRI").alias("facility_type"), lat.alias("lat"), lng.alias("lng"))
     b = secondary.select("facility_id", "name", F.lit("ECHO").alias("facility_type"), F.col("lat").try_cast(DOUBLE).alias("lat"), F.col("lng").try_cast(DOUBLE).alias("lng"))
     both = a.unionByName(b).filter(F.col("lat").between(s, n) & F.col("lng").between(w, e))
-    return both.dropDuplicates(["name", "lat", "lng"])
+    return R.keep_first(both, ["name", "lat", "lng"], ["facility_type", "facility_id"]).select(*both.columns)
 
 
 def seismic(faults: DataFrame, quakes: DataFrame) -> DataFrame:

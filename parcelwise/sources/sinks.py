@@ -69,5 +69,5 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def append_audit(df: DataFrame, existing: DataFrame | None, path: str, key: str = "execution_id") -> None:
     """Append rows whose key is not yet stored."""
-    fresh = df.dropDuplicates([key]) if existing is None else R.append_new(existing, df, key)
+    fresh = R.append_new(df.limit(0) if existing is None else existing, df, key)
     fresh.write.mode("append").parquet(path)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import relational as R
+
 
 def read_events(
     spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_trigger: int = 16
@@ -18,22 +19,18 @@ def read_events(
     )
 
 
-def first_per_execution(events: DataFrame, key: str = "execution_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """ON CONFLICT DO NOTHING on a stream: repeats inside the watermark drop out.
+def append_audit(events: DataFrame, out: str, checkpoint: str, key: str = "execution_id") -> StreamingQuery:
+    """ON CONFLICT DO NOTHING on a stream: each micro-batch appends the keys not yet stored.
 
-    A timestamp without zone is read as UTC first, since watermarks need a zoned one.
+    A row is never too late. A batch writes to a folder of its own number, so one that
+    is run again after a failure replaces what it wrote and never adds to it.
     """
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
+    def append(batch: DataFrame, number: int) -> None:
+        stored = batch.select(key).limit(0)
+        if number:
+            every = batch.sparkSession.read.parquet(out)  # `batch` is the folder's number
+            stored = every.where(every["batch"] < number).select(key)
+        R.append_new(stored, batch, key).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def append_audit(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write all available events to parquet; offsets and state live in ``checkpoint``."""
-    return (
-        events.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

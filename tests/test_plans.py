@@ -196,7 +196,7 @@ def test_calibration_improves_and_sparse_region_keeps_defaults(spark):
         rows.append(("R", "site" if i % 2 else "random", i, [0.9 if (j == 6 and i % 2) else 0.5 for j in range(8)], [1.0] * 8))
     rows += [("S", "site", 100 + i, [0.5] * 8, [1.0] * 8) for i in range(3)]
     m = spark.createDataFrame(rows, "region string, kind string, id long, scores array<double>, mask array<double>")
-    out = C.calibrate_weights(m, steps=4)
+    out = C.calibrate_weights(m)
     assert out["S"]["method"] == "literature_default"
     assert out["R"]["value"] > out["R"]["start"]
     checks = C.profile_checks(C.profile_table(spark, out)).collect()

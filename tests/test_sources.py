@@ -3,7 +3,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
+from parcelwise.operators import relational
 from parcelwise.sources import readers, sinks
 from parcelwise.streaming import audit_stream
 
@@ -114,7 +116,7 @@ def test_agency_tables(spark):
 
 
 def test_tiles_and_labels(spark):
-    df = spark.createDataFrame([("x/inundation_-98.5_32.0_-97.0_33.5.geojson", "High risk")], "path string, layer string")
+    df = spark.createDataFrame([("x/inundation_history_32.0_-98.5_33.5_-97.0.geojson", "High risk")], "path string, layer string")
     r = readers.inundation_tiles(df).first()
     assert (r.x0, r.y0, r.x1, r.y1, r.risk_level) == (-98.5, 32.0, -97.0, 33.5, "high")
 
@@ -168,7 +170,33 @@ def test_stream_keeps_one_per_execution_over_two_runs(spark, folder):
     rows.coalesce(1).write.parquet(folder + "/in")
     for _ in range(2):
         events = audit_stream.read_events(spark, folder + "/in", schema)
-        q = audit_stream.append_audit(audit_stream.first_per_execution(events), folder + "/out", folder + "/state")
+        q = audit_stream.append_audit(events, folder + "/out", folder + "/state")
         q.awaitTermination()
         rows.coalesce(1).write.mode("append").parquet(folder + "/in")
     assert spark.read.parquet(folder + "/out").count() == 10
+
+
+def test_stream_keeps_rows_that_come_late(spark, folder):
+    schema = "execution_id long, ts timestamp"
+    for k, day in ((1, 20_000), (2, 10), (3, 19_000)):  # the second file is fifty years older
+        spark.range(1).select(F.lit(k).cast("long").alias("execution_id"), F.timestamp_seconds(F.lit(day * 86_400)).alias("ts")).write.mode("append").parquet(folder + "/in")
+        events = audit_stream.read_events(spark, folder + "/in", schema)
+        audit_stream.append_audit(events, folder + "/out", folder + "/state").awaitTermination()
+    assert sorted(r.execution_id for r in spark.read.parquet(folder + "/out").collect()) == [1, 2, 3]
+
+
+def test_rings_are_turned_at_read(spark, folder):
+    shell, hole = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], [[4, 4], [6, 4], [6, 6], [4, 6], [4, 4]]
+    cases = {"Polygon": [shell, hole], "MultiPolygon": [[shell, hole[::-1]], [[[x + 20, y] for x, y in shell[::-1]]]]}
+    features = [{"id": k, "properties": {"name": k}, "geometry": {"type": k, "coordinates": v}} for k, v in cases.items()]
+    os.makedirs(folder, exist_ok=True)
+    with open(folder + "/f.geojson", "w") as f:
+        json.dump({"type": "FeatureCollection", "features": features}, f)
+    got = readers.read_geojson(spark, folder + "/f.geojson", "name string").select("name", geo.polygon_area_deg2("rings").alias("a")).collect()
+    assert {r.name: r.a for r in got} == {"Polygon": 96.0, "MultiPolygon": 196.0}
+
+
+def test_first_row_of_a_repeated_key_is_ordered(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "execution_id string, v int")
+    got = relational.append_new(df.limit(0), df.repartition(3), "execution_id").collect()
+    assert {(r.execution_id, r.v) for r in got} == {("a", 1), ("b", 2)}

@@ -34,13 +34,56 @@ def test_radius_equals_brute_force(spark, world):
     assert got == want
 
 
-def test_salting_keeps_every_pair(spark, world, monkeypatch):
-    pts, feats, p, f = world
-    left, right = X.own_cell(p, 2.0), X.own_cell(f, 2.0, "f_lng", "f_lat")
-    a, b = X.salt_hot_cells(left, right, per_group=10)
-    assert a.agg(F.max("_salt")).first()[0] > 3
-    plain = left.join(right, X.CELL).count()
-    assert a.join(b, X.SALTED).count() == plain
+def test_hot_cells_are_split_by_adaptive_execution(spark, world):
+    """Equal rows of one cell, on either side, spread over several tasks, with every pair kept."""
+    _, _, p, f = world
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        hot = spark.createDataFrame([(10_000 + i, -95.0, 35.0) for i in range(4000)], "pid long, lng double, lat double")
+        for points in (hot, p.unionByName(hot)):
+            out = X.within_radius(points.repartition(16), f, 5_000.0)
+            n = out.count()
+            out.collect()
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+            assert n >= 4000 * 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_nearest_by_degrees_is_picked_before_the_metre_test(spark):
+    """At 60 N: 0.0046 north is 511 m, 0.005 east is 278 m; the first is nearer in degrees and too far in metres."""
+    p = spark.createDataFrame([(1, 10.0, 60.0), (2, 10.0, 0.0)], "pid long, lng double, lat double")
+    f = spark.createDataFrame([(1, 10.0, 60.0046), (2, 10.005, 60.0), (3, 10.001, 0.0)], "fid long, f_lng double, f_lat double")
+    got = {r.pid: r.fid for r in X.nearest_within(p, f, "pid", 500.0, "fid", [], geo.HAVERSINE, geo.DEGREE).collect()}
+    assert got == {1: None, 2: 3}
+
+
+def test_nearest_line_equals_brute_force(spark, world):
+    rng = random.Random(9)
+    pts, _, p, _ = world
+    segs = [(rng.uniform(-101, -89), rng.uniform(29, 41)) for _ in range(60)]
+    segs = [(x, y, x + rng.uniform(-2, 2), y + rng.uniform(-2, 2)) for x, y in segs] + [(-60.0, 10.0, -60.0, 10.0)]
+    s = spark.createDataFrame([(i, *c) for i, c in enumerate(segs)], "sid long, ax double, ay double, bx double, by double")
+    far = spark.createDataFrame([(900, 170.0, -40.0), (901, -60.0, 12.0)], "pid long, lng double, lat double")
+    k = geo.SPHERE_M_PER_DEG
+
+    def plain(x, y, c):
+        kx = math.cos(math.radians(y)) * k
+        px, py, dx, dy = (c[0] - x) * kx, (c[1] - y) * k, (c[2] - c[0]) * kx, (c[3] - c[1]) * k
+        t = max(0.0, min(1.0, -(px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(px + t * dx, py + t * dy)
+
+    got = {r.pid: (r.sid, r.dist) for r in X.nearest_line(p.unionByName(far), s, "pid", "sid", []).collect()}
+    for pid, (x, y) in [*enumerate(pts), (900, (170.0, -40.0)), (901, (-60.0, 12.0))]:
+        want = min((plain(x, y, c), i) for i, c in enumerate(segs))
+        assert got[pid][0] == want[1] and math.isclose(got[pid][1], want[0], rel_tol=1e-9)
 
 
 def test_radius_count_collapses_copies(spark, world):

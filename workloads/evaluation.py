@@ -146,7 +146,7 @@ def criterion_separation(spark, sf_dir):
 def calibrated_weights(spark, sf_dir):
     """Bounded weights per region that widen the site-random gap."""
     m = C.score_matrix(long_scores(spark, sf_dir), ["region", "kind", "loc_id"])
-    profiles = C.profile_table(spark, C.calibrate_weights(m, steps=3))
+    profiles = C.profile_table(spark, C.calibrate_weights(m))
     checks = C.profile_checks(profiles)
     return profiles.join(checks, ["region", "method"]).select(
         "region", "method", F.round("total", 6).alias("total"), "out_of_bounds", (F.col("value") >= F.col("start_value")).alias("not_worse")
@@ -156,7 +156,8 @@ def calibrated_weights(spark, sf_dir):
 def random_points(spark, sf_dir):
     """Repeatable points inside each region's tiles."""
     tiles = box_polygons(layer(spark, sf_dir, "tiles")).select("region_id", "rings", "x0", "y0", "x1", "y1")
-    return C.random_points(tiles, "region_id", 40, 42, 12, TILE_CELL)
+    out = C.random_points(tiles, "region_id", 40, 42, 12, TILE_CELL)
+    return out.select("region_id", "point_no", F.round("lng", 9).alias("lng"), F.round("lat", 9).alias("lat"))
 
 
 def state_rows(spark, sf_dir):
@@ -255,9 +256,8 @@ def harness_summary(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     """Bootstrap interval of the mean claim."""
     c = layer(spark, sf_dir, "claims").select("claim_id", "paid")
-    out = B.bootstrap_mean_ci(c, "paid", "claim_id", resamples=200)
-    mean = c.agg(F.avg("paid")).scalar()
-    return out.select((F.col("lo") < mean).alias("below"), (F.col("hi") > mean).alias("above"))
+    out = B.bootstrap_mean_ci(c, "paid", "claim_id")
+    return out.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def top_precision(spark, sf_dir):
@@ -314,8 +314,8 @@ SELECT segment, count(*) AS n, sum(label)::BIGINT AS n_destroyed, round(avg(labe
 hit AS (SELECT p.oid, e.zone_id FROM ins p JOIN zone_edges e ON e.year_num >= 1990 AND e.gis_acres > 1000 AND {CROSSES} GROUP BY ALL HAVING count(*) % 2 = 1),
 one AS (SELECT oid, arg_min(zone_name, (-gis_acres, zone_name)) AS event FROM hit JOIN zones USING (zone_id) GROUP BY oid),
 near AS (SELECT i.oid, t.fd_id, t.canopy_cover_100m AS cc, {hav('i.lng', 'i.lat', 't.lng', 't.lat')} AS d, sqrt(pow(i.lng - t.lng, 2) + pow(i.lat - t.lat, 2)) AS deg
-  FROM ins i JOIN structures t ON abs(i.lng - t.lng) < 0.0015 AND abs(i.lat - t.lat) < 0.0015),
-best AS (SELECT * FROM near WHERE d <= 100 QUALIFY row_number() OVER (PARTITION BY oid ORDER BY deg, fd_id) = 1)
+  FROM ins i JOIN structures t ON abs(i.lng - t.lng) < 0.003 AND abs(i.lat - t.lat) < 0.003),
+best AS (SELECT * FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY oid ORDER BY deg, fd_id) = 1) WHERE d <= 100)
 SELECT oid, event, fd_id, destroyed, round(d, 2) AS dist_m FROM one JOIN best USING (oid) JOIN ins USING (oid) WHERE cc IS NOT NULL"""),
     "spearman": with_ctes("structures", body=f"""
 , r AS (SELECT {AVG_RANK.format('val_struct')} AS a, {AVG_RANK.format('distance_to_fuel_m')} AS b FROM structures)
@@ -379,4 +379,21 @@ SELECT count(*) AS n, count(*) FILTER (WHERE a <= 10) AS in_range, count(*) FILT
 , top AS (SELECT loc_id FROM rated ORDER BY score DESC, loc_id LIMIT 15)
 SELECT count(*) AS k, count(*) FILTER (WHERE loc_id % 4 = 1) AS net_new, count(*) FILTER (WHERE loc_id % 4 = 0) AS known_found, round(count(*) FILTER (WHERE loc_id % 4 <= 1) / count(*), 6) AS precision,
   round(count(*) FILTER (WHERE loc_id % 4 = 0) / (SELECT count(*) FROM sites WHERE loc_id % 4 = 0), 6) AS coverage FROM top"""),
+    "bootstrap_ci": with_ctes("claims", body=f"""
+, blocks AS (SELECT {HASH.format(key='claim_id', seed=42)} % 1024 AS k, sum(paid) AS s, count(paid) AS c FROM claims WHERE paid IS NOT NULL GROUP BY 1),
+x AS (SELECT *, ((k * 2003 + b + 42) * 48271) % 1000003 AS x FROM blocks CROSS JOIN (SELECT unnest(range(1, 2001)) AS b)),
+y AS (SELECT *, ((x * x) % 1000003 * 69621 + x) % 1000003 AS y FROM x),
+u AS (SELECT *, ((y * y + x * 40692 + y) % 1000003) / 1000003e0 AS u FROM y),
+w AS (SELECT b, s, c, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT
+  + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT + (u >= 0.99991676)::INT AS w FROM u),
+m AS (SELECT sum(w * s) / sum(w * c) AS mean FROM w GROUP BY b HAVING sum(w * c) > 0),
+r AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS i, count(*) OVER () AS n FROM m)
+SELECT round(max(mean) FILTER (WHERE i = floor(n * 0.025)), 6) AS lo, round(max(mean) FILTER (WHERE i = floor(n * 0.975) - 1), 6) AS hi FROM r"""),
+    "random_points": with_ctes("tiles", body=f"""
+, p AS (SELECT *, CAST(floor((x0 + 180) * 1e3) AS BIGINT) * 360001 + CAST(floor((y0 + 90) * 1e3) AS BIGINT) AS pid FROM tiles),
+g AS (SELECT p.*, i, j, {HASH.format(key='(pid % 9973 * 4099 + i * 61 + j)', seed=42)} / 1000003e0 AS jx, {HASH.format(key='(pid % 9967 * 4093 + j * 67 + i)', seed=43)} / 1000003e0 AS jy
+  FROM p CROSS JOIN (SELECT unnest(range(12)) AS i) CROSS JOIN (SELECT unnest(range(12)) AS j)),
+k AS (SELECT region_id, pid, i * 12 + j AS k, x0 + (x1 - x0) * (i + jx) / 12e0 AS lng, y0 + (y1 - y0) * (j + jy) / 12e0 AS lat FROM g)
+SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY {HASH.format(key='(pid % 9949 * 4001 + k)', seed=44)}, pid, k) AS point_no, round(lng, 9) AS lng, round(lat, 9) AS lat
+FROM k QUALIFY point_no <= 40"""),
 }

@@ -118,9 +118,9 @@ def nearest_nsi(spark, sf_dir):
         (F.abs(F.col("lng") - F.col("f_lng")) <= 0.005) & (F.abs(F.col("lat") - F.col("f_lat")) <= 0.005)
     )
     best = pairs.groupBy("property_id").agg(F.min(F.struct("dist", "fd_id", "occtype", "bldgtype")).alias("b"))
-    return best.select(
+    return props.select("property_id").join(best, "property_id", "left").select(
         "property_id", "b.fd_id", F.round(F.col("b.dist") * K.METRES_PER_DEGREE, 2).alias("dist_m"),
-        S.building_label("b.occtype", "b.bldgtype").alias("building"),
+        F.when(F.col("b").isNotNull(), S.building_label("b.occtype", "b.bldgtype")).alias("building"),
     )
 
 
@@ -164,8 +164,8 @@ QUERIES = {f.__name__: f for f in (
 TIER = "CASE WHEN {0} > 500 THEN 'HIGH' WHEN {0} >= 50 THEN 'MODERATE' WHEN {0} IS NOT NULL THEN 'LOW' END"
 RECORDS = f"""near AS (SELECT p.property_id, t.*, {hav('p.lng', 'p.lat', 't.lng', 't.lat')} AS d,
     sqrt(pow(p.lng - t.lng, 2) + pow(p.lat - t.lat, 2)) AS deg
-  FROM properties p JOIN structures t ON abs(p.lat - t.lat) < 0.01 AND abs(p.lng - t.lng) < 0.01),
-picked AS (SELECT * EXCLUDE (lng, lat, segment) FROM near WHERE d <= 500 QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY deg, fd_id) = 1),
+  FROM properties p JOIN structures t ON abs(p.lat - t.lat) < 0.02 AND abs(p.lng - t.lng) < 0.02),
+picked AS (SELECT * FROM (SELECT * EXCLUDE (lng, lat, segment) FROM near QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY deg, fd_id) = 1) WHERE d <= 500),
 model AS (SELECT p.property_id, p.lng, p.lat, k.fd_id, k.d, k.val_struct, coalesce(burn_probability, 0) AS bp, coalesce(distance_to_fuel_m, 0) AS df,
     coalesce(canopy_cover_100m, 0) AS cc, coalesce(slope_degrees, 0) AS sl,
     1e0 / (1e0 + exp(-({C['const']!r} + {C['burn_probability']!r} * burn_probability + {C['distance_to_fuel_m']!r} * distance_to_fuel_m
@@ -261,9 +261,9 @@ SELECT loc_id, wt AS wildfire_tier, ft AS flood_tier, CASE WHEN 'HIGH' IN (wt, f
     "nearest_nsi": with_ctes("properties", "structures", body="""
 , n AS (SELECT p.property_id, t.fd_id, t.occtype, t.bldgtype, sqrt(pow(p.lng - t.lng, 2) + pow(p.lat - t.lat, 2)) AS d FROM properties p JOIN structures t
   ON abs(p.lat - t.lat) <= 0.005 AND abs(p.lng - t.lng) <= 0.005)
-SELECT property_id, fd_id, round(d * 111320, 2) AS dist_m, concat(CASE substr(occtype, 1, 3) WHEN 'RES' THEN 'residential' WHEN 'COM' THEN 'commercial' ELSE 'industrial' END, ' ',
+SELECT property_id, fd_id, dist_m, building FROM properties LEFT JOIN (SELECT property_id, fd_id, round(d * 111320, 2) AS dist_m, concat(CASE substr(occtype, 1, 3) WHEN 'RES' THEN 'residential' WHEN 'COM' THEN 'commercial' ELSE 'industrial' END, ' ',
   CASE bldgtype WHEN 'W' THEN 'wood frame' WHEN 'M' THEN 'masonry' WHEN 'C' THEN 'concrete' ELSE 'steel' END) AS building
-FROM n QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY d, fd_id) = 1"""),
+FROM n QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY d, fd_id) = 1) USING (property_id)"""),
     "portfolio_summary": with_ctes("properties", "structures", "zones", ZONE_EDGES, inside("properties", "property_id"), RECORDS, body=f"""
 , all_rows AS (SELECT *, {TIER.format('risk')} AS tier, property_id IN (SELECT property_id FROM zone_hits) AS held FROM records),
 ordered AS (SELECT risk, row_number() OVER (ORDER BY risk) - 1 AS i, count(*) OVER () AS n FROM all_rows WHERE risk IS NOT NULL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("loss", "spatial", "solar", "hazard", "trade", "evaluation", "tables")
+MODULES = ("loss", "spatial", "solar", "hazard", "trade", "evaluation", "tables", "sources")
 
 
 def collect(attribute: str) -> dict:

@@ -245,17 +245,23 @@ def buildable_area(spark, sf_dir):
 
 
 def interconnection_cost(spark, sf_dir):
-    """Nearest line and substation, cost, congestion."""
+    """Nearest line and substation of every site, capacity near both, cost, congestion."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat", (F.col("acreage") / 7.5).alias("capacity_mw"))
-    lines = X.lines_within(sites.select("loc_id", "lng", "lat"), layer(spark, sf_dir, "lines").drop("owner"), 50_000.0)
-    best = lines.groupBy("loc_id").agg(F.min(F.struct("dist", "line_id", "voltage")).alias("b")).select(
-        "loc_id", F.col("b.dist").alias("line_m"), F.col("b.voltage").alias("line_voltage")
+    at = sites.select("loc_id", "lng", "lat")
+    best = X.nearest_line(at, layer(spark, sf_dir, "lines"), "loc_id", "line_id", ["voltage"]).select(
+        "loc_id", F.col("dist").alias("line_m"), F.col("voltage").alias("line_voltage")
     )
-    plants = as_features(layer(spark, sf_dir, "plants").filter(F.col("operating_status") == "OP")).select("capacity_mw", "f_lng", "f_lat")
-    near = X.within_radius(sites.select("loc_id", "lng", "lat"), plants, K.CONGESTION_RADIUS_M).groupBy("loc_id").agg(F.sum("capacity_mw").alias("nearby_mw"))
-    out = L.interconnection_stage(sites.join(best, "loc_id").join(near, "loc_id", "left"))
+    stations = as_features(layer(spark, sf_dir, "substations")).select("sub_id", "f_lng", "f_lat")
+    station = X.nearest(at, stations, "loc_id", "sub_id", [], cell=0.5).select("loc_id", "sub_id", F.col("dist").alias("sub_m"))
+    plants = as_features(layer(spark, sf_dir, "plants").filter(F.col("operating_status") == "OP")).groupBy("f_lng", "f_lat").agg(
+        F.sum("capacity_mw").alias("mw"), F.count(F.lit(1)).alias("c")
+    )
+    near = X.within_radius(at, plants, K.CONGESTION_RADIUS_M).groupBy("loc_id").agg(F.sum("mw").alias("nearby_mw"), F.sum("c").alias("n_plants"))
+    out = L.interconnection_stage(sites.join(best, "loc_id").join(station, "loc_id").join(near, "loc_id", "left"))
     return out.select(
-        "loc_id", "distance_km", "usd_per_km", F.round(F.col("total_usd") / 1000.0, 0).alias("total_kusd"), "congestion", "distant_line", "high_cost"
+        "loc_id", "distance_km", "usd_per_km", F.round(F.col("total_usd") / 1000.0, 0).alias("total_kusd"), "congestion", "distant_line", "high_cost",
+        "sub_id", F.round("sub_m", 1).alias("sub_m"), F.coalesce("n_plants", F.lit(0)).cast("long").alias("n_plants"),
+        F.round(F.coalesce("nearby_mw", F.lit(0.0)), 3).alias("existing_mw"),
     )
 
 
@@ -427,9 +433,9 @@ ORACLES = {
     "source_probe": with_ctes("sites", "substations", "plants", "pois", body=f"""
 , feats AS (SELECT 'osm_substations' AS source_id, 50000 AS r, lng, lat FROM substations UNION ALL SELECT 'eia_form860', 25000, lng, lat FROM plants
   UNION ALL SELECT 'osm_pois', 5000, lng, lat FROM pois)
-SELECT loc_id, source_id, count(*) AS n, round(min(d), 2) AS nearest_m FROM (
+SELECT loc_id, source_id, coalesce(n, 0) AS n, nearest_m FROM sites CROSS JOIN (SELECT DISTINCT source_id FROM feats) LEFT JOIN (SELECT loc_id, source_id, count(*) AS n, round(min(d), 2) AS nearest_m FROM (
   SELECT s.loc_id, f.source_id, f.r, {hav('s.lng', 's.lat', 'f.lng', 'f.lat')} AS d FROM sites s JOIN feats f ON abs(s.lat - f.lat) < 0.5)
-WHERE d <= r GROUP BY loc_id, source_id"""),
+WHERE d <= r GROUP BY loc_id, source_id) USING (loc_id, source_id)"""),
     "source_coverage": with_ctes("sites", body=f"""
 , src AS (SELECT * FROM (VALUES {_coverage_rows()}) AS v(source_id, cov, rel, fb)),
 q AS (SELECT source_id, CASE WHEN cov = 'national' AND rel = 'verified' THEN 'full' WHEN cov = 'national' AND rel = 'degraded' THEN 'degraded'
@@ -479,17 +485,19 @@ SELECT loc_id, kw AS system_capacity_kw, tilt AS tilt_deg, round(kw * capacity_f
   CASE WHEN capacity_factor_pct >= 23 THEN 'excellent' WHEN capacity_factor_pct >= 20 THEN 'strong' WHEN capacity_factor_pct >= 17 THEN 'moderate'
     WHEN capacity_factor_pct >= 14 THEN 'weak' ELSE 'very weak' END AS cf_class, capacity_factor_pct < 17 AS low_cf_advisory FROM (
   SELECT *, CASE WHEN acreage > 0 THEN round(acreage / 5e0 * 1000e0, 1) ELSE 0e0 END AS kw, round(CAST(greatest(5e0, least(35e0, abs(lat) - 5)) AS DECIMAL(18,6)), 1)::DOUBLE AS tilt FROM sites)"""),
-    "interconnection_cost": with_ctes("sites", "lines", "plants", body=f"""
+    "interconnection_cost": with_ctes("sites", "lines", "substations", "plants", body=f"""
 , best AS (SELECT p.loc_id, min({segment_sql('p', 'e')}) AS d, arg_min(coalesce(e.voltage, ''), ({segment_sql('p', 'e')}, e.line_id)) AS voltage
-  FROM sites p JOIN lines e ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5 GROUP BY p.loc_id),
-mw AS (SELECT s.loc_id, sum(p.capacity_mw) AS mw FROM sites s JOIN plants p ON abs(s.lat - p.lat) < 0.3 AND p.operating_status = 'OP'
+  FROM sites p CROSS JOIN lines e GROUP BY p.loc_id),
+st AS (SELECT loc_id, arg_min(sub_id, (d, sub_id)) AS sub_id, min(d) AS sub_m FROM (
+  SELECT s.loc_id, b.sub_id, {hav('s.lng', 's.lat', 'b.lng', 'b.lat')} AS d FROM sites s CROSS JOIN substations b) GROUP BY loc_id),
+mw AS (SELECT s.loc_id, sum(p.capacity_mw) AS mw, count(*) AS n_plants FROM sites s JOIN plants p ON abs(s.lat - p.lat) < 0.3 AND p.operating_status = 'OP'
   AND {hav('s.lng', 's.lat', 'p.lng', 'p.lat')} <= 25000 GROUP BY s.loc_id),
 c AS (SELECT loc_id, round(d / 1000e0, 2) AS km, CASE voltage WHEN '' THEN 620000e0 WHEN '115000' THEN 620000e0 WHEN '230 kV' THEN 1550000e0
-    WHEN '500000;230000' THEN 1550000e0 ELSE 620000e0 END AS rate, acreage / 7.5e0 AS cap, coalesce(mw, 0e0) AS mw
-  FROM sites JOIN best USING (loc_id) LEFT JOIN mw USING (loc_id) WHERE d <= 50000)
+    WHEN '500000;230000' THEN 1550000e0 ELSE 620000e0 END AS rate, acreage / 7.5e0 AS cap, coalesce(mw, 0e0) AS mw, coalesce(n_plants, 0) AS n_plants, sub_id, sub_m
+  FROM sites JOIN best USING (loc_id) JOIN st USING (loc_id) LEFT JOIN mw USING (loc_id))
 SELECT loc_id, km AS distance_km, rate AS usd_per_km, round(round(km * rate + 3500000e0, 0) / 1000e0, 0) AS total_kusd,
   CASE WHEN mw < 50 THEN 'low' WHEN mw < 200 THEN 'moderate' ELSE 'high' END AS congestion, km > 16.1 AS distant_line,
-  CASE WHEN cap > 0 THEN (km * rate + 3500000e0) / cap > 500000 END AS high_cost FROM c"""),
+  CASE WHEN cap > 0 THEN (km * rate + 3500000e0) / cap > 500000 END AS high_cost, sub_id, round(sub_m, 1) AS sub_m, n_plants, round(mw, 3) AS existing_mw FROM c"""),
 }
 from .spatial import ORACLES as _SPATIAL  # noqa: E402
 
@@ -500,8 +508,8 @@ ORACLES["gap_messages"] = with_ctes("sites", body="SELECT workflow, criterion_id
 ORACLES["enrich_parcels"] = with_ctes("sites", "lines", "substations", "zones", ZONE_EDGES, inside("sites", "loc_id"), body=f"""
 , hits AS (SELECT loc_id, zone_id, gap_status, CASE WHEN flood_zone LIKE 'A%' OR flood_zone LIKE 'V%' THEN 'flood' ELSE kind END AS kind FROM zone_hits JOIN zones USING (zone_id)),
 f AS (SELECT loc_id, bool_or(kind = 'flood') AS fl, bool_or(kind = 'wetland') AS we, bool_or(kind = 'protected') AS pr, min(zone_id) AS unit_id, arg_min(gap_status, zone_id) AS soil_class FROM hits GROUP BY loc_id),
-d AS (SELECT p.loc_id, e.voltage IS NOT NULL AS live, {segment_sql('p', 'e')} AS d FROM sites p JOIN lines e ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5),
-n AS (SELECT loc_id, min(d) FILTER (WHERE live AND d <= 50000) AS g, min(d) FILTER (WHERE d <= 20000) AS r FROM d GROUP BY loc_id),
+d AS (SELECT p.loc_id, e.voltage IS NOT NULL AS live, {segment_sql('p', 'e')} AS d FROM sites p CROSS JOIN lines e),
+n AS (SELECT loc_id, min(d) FILTER (WHERE live) AS g, min(d) AS r FROM d GROUP BY loc_id),
 s AS (SELECT p.loc_id, arg_min(b.sub_id, ({hav('p.lng', 'p.lat', 'b.lng', 'b.lat')}, b.sub_id)) AS station_id FROM sites p CROSS JOIN substations b GROUP BY p.loc_id)
 SELECT loc_id, coalesce(fl, FALSE) AS in_flood, coalesce(we, FALSE) AS in_wetland, coalesce(pr, FALSE) AS in_protected, unit_id, f.soil_class,
   round(g, 2) AS grid_distance_m, round(r, 2) AS road_distance_m, station_id FROM sites LEFT JOIN f USING (loc_id) LEFT JOIN n USING (loc_id) LEFT JOIN s USING (loc_id)""")

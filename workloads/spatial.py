@@ -110,7 +110,11 @@ def probe_nearest(spark, sf_dir):
     )
     spots = pois.groupBy("layer", "radius_m", "f_lng", "f_lat").agg(F.count(F.lit(1)).alias("_w"))
     pairs = X.within_radius(sites, spots, "radius_m", max_radius=90_000.0)
-    return pairs.groupBy("loc_id", "layer").agg(F.sum("_w").alias("n"), F.round(F.min("dist"), 2).alias("nearest_m"))
+    found = pairs.groupBy("loc_id", "layer").agg(F.sum("_w").alias("n"), F.round(F.min("dist"), 2).alias("nearest_m"))
+    # Every site answers for every layer that exists; the layers are a short list of names.
+    layers = sorted(r[0] for r in pois.select("layer").distinct().collect())
+    asked = sites.select("loc_id", F.explode(F.array(*map(F.lit, layers))).alias("layer"))
+    return asked.join(found, ["loc_id", "layer"], "left").select("loc_id", "layer", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nearest_m")
 
 
 def line_distance(spark, sf_dir):
@@ -118,7 +122,7 @@ def line_distance(spark, sf_dir):
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     lines = layer(spark, sf_dir, "lines").select("line_id", "ax", "ay", "bx", "by")
     near = X.lines_within(sites, lines, 50_000.0).groupBy("loc_id").agg(F.min(F.struct("dist", "line_id")).alias("b"))
-    return near.select("loc_id", F.col("b.line_id").alias("line_id"), F.round("b.dist", 2).alias("dist_m"))
+    return sites.join(near, "loc_id", "left").select("loc_id", F.col("b.line_id").alias("line_id"), F.round("b.dist", 2).alias("dist_m"))
 
 
 def nearest_structure(spark, sf_dir):
@@ -146,14 +150,14 @@ def nearest_degree(spark, sf_dir):
 
 
 def nearest_of_layers(spark, sf_dir):
-    """Nearest of lines and substations together, within 50 km."""
+    """Nearest of lines and substations together, however far."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     lines = layer(spark, sf_dir, "lines").select("ax", "ay", "bx", "by")
     subs = layer(spark, sf_dir, "substations").select(
         F.col("lng").alias("ax"), F.col("lat").alias("ay"), F.col("lng").alias("bx"), F.col("lat").alias("by")
     )
-    near = X.lines_within(sites, lines.unionByName(subs), 50_000.0).groupBy("loc_id").agg(F.min("dist").alias("d"))
-    return sites.join(near, "loc_id", "left").select("loc_id", F.round("d", 2).alias("grid_m"))
+    near = X.nearest_line(sites, lines.unionByName(subs).withColumn("_s", F.lit(0)), "loc_id", "_s", [])
+    return near.select("loc_id", F.round("dist", 2).alias("grid_m"))
 
 
 def knearest_poi(spark, sf_dir):
@@ -334,20 +338,21 @@ f AS (SELECT poi_id, radians(lng) * 6378137e0 AS mx, ln(tan(pi() / 4 + radians(l
 SELECT m.loc_id, count(f.poi_id) AS n FROM m LEFT JOIN f ON abs(m.mx - f.mx) <= 80000
   AND sqrt(pow(m.mx - f.mx, 2) + pow(m.my - f.my, 2)) <= 80000 GROUP BY m.loc_id"""),
     "probe_nearest": with_ctes("sites", "pois", body=f"""
-SELECT loc_id, layer, count(*) AS n, round(min(d), 2) AS nearest_m FROM (
+, found AS (SELECT loc_id, layer, count(*) AS n, round(min(d), 2) AS nearest_m FROM (
   SELECT s.loc_id, p.layer, {hav('s.lng', 's.lat', 'p.lng', 'p.lat')} AS d,
     CASE layer WHEN 'ECONOMY' THEN 90000 WHEN 'SMALL' THEN 60000 ELSE 30000 END AS radius
-  FROM sites s JOIN pois p ON abs(s.lat - p.lat) < 0.9) WHERE d <= radius GROUP BY loc_id, layer"""),
+  FROM sites s JOIN pois p ON abs(s.lat - p.lat) < 0.9) WHERE d <= radius GROUP BY loc_id, layer)
+SELECT loc_id, layer, coalesce(n, 0) AS n, nearest_m FROM sites CROSS JOIN (SELECT DISTINCT layer FROM pois) LEFT JOIN found USING (loc_id, layer)"""),
     "line_distance": with_ctes("sites", "lines", body=f"""
-SELECT loc_id, arg_min(line_id, (d, line_id)) AS line_id, round(min(d), 2) AS dist_m FROM (
+SELECT loc_id, b.line_id, b.dist_m FROM sites LEFT JOIN (SELECT loc_id, arg_min(line_id, (d, line_id)) AS line_id, round(min(d), 2) AS dist_m FROM (
   SELECT p.loc_id, e.line_id, {segment_sql('p', 'e')} AS d FROM sites p JOIN lines e
-    ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5) WHERE d <= 50000 GROUP BY loc_id"""),
+    ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5) WHERE d <= 50000 GROUP BY loc_id) b USING (loc_id)"""),
     "nearest_structure": with_ctes("properties", "structures", body=f"""
 , near AS (SELECT p.property_id, t.fd_id, t.occtype, {hav('p.lng', 'p.lat', 't.lng', 't.lat')} AS d,
     sqrt(pow(p.lng - t.lng, 2) + pow(p.lat - t.lat, 2)) AS deg
-  FROM properties p JOIN structures t ON abs(p.lat - t.lat) < 0.01 AND abs(p.lng - t.lng) < 0.01)
+  FROM properties p JOIN structures t ON abs(p.lat - t.lat) < 0.02 AND abs(p.lng - t.lng) < 0.02)
 SELECT p.property_id, b.fd_id, b.occtype, round(b.d, 2) AS dist_m FROM properties p LEFT JOIN (
-  SELECT * FROM near WHERE d <= 500 QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY deg, fd_id) = 1) b USING (property_id)"""),
+  SELECT * FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY deg, fd_id) = 1) WHERE d <= 500) b USING (property_id)"""),
     "nearest_unbounded": with_ctes("sites", "substations", body=f"""
 , d AS (SELECT s.loc_id, b.sub_id, b.voltage, {hav('s.lng', 's.lat', 'b.lng', 'b.lat')} AS d FROM sites s CROSS JOIN substations b)
 SELECT loc_id, sub_id, voltage, round(d, 2) AS dist_m FROM d
@@ -357,9 +362,8 @@ SELECT loc_id, round(min(sqrt(pow(s.lng - t.lng, 2) + pow(s.lat - t.lat, 2))), 6
 FROM sites s CROSS JOIN structures t GROUP BY loc_id"""),
     "nearest_of_layers": with_ctes("sites", "lines", "substations", body=f"""
 , parts AS (SELECT ax, ay, bx, lines.by FROM lines UNION ALL SELECT lng, lat, lng, lat FROM substations),
-near AS (SELECT p.loc_id, min({segment_sql('p', 'e')}) AS d FROM sites p JOIN parts e
-  ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5 GROUP BY p.loc_id)
-SELECT loc_id, CASE WHEN d <= 50000 THEN round(d, 2) END AS grid_m FROM sites LEFT JOIN near USING (loc_id)"""),
+near AS (SELECT p.loc_id, min({segment_sql('p', 'e')}) AS d FROM sites p CROSS JOIN parts e GROUP BY p.loc_id)
+SELECT loc_id, round(d, 2) AS grid_m FROM near"""),
     "knearest_poi": with_ctes("sites", "pois", body=f"""
 SELECT loc_id, rank, poi_id, poi_name, round(d, 2) AS dist_m FROM (
   SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY d, poi_id) AS rank FROM (
@@ -375,11 +379,11 @@ QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY contains_point DESC
 , pairs AS (SELECT s.loc_id, q.status, q.iso, q.capacity_mw, coalesce(lower(q.fuel_type) LIKE 'solar%', FALSE) AS solar
   FROM sites s JOIN queue q ON abs(s.lat - q.lat) < 0.5 AND {hav('s.lng', 's.lat', 'q.lng', 'q.lat')} <= 50000),
 isos AS (SELECT loc_id, iso, count(*) AS c FROM pairs GROUP BY ALL)
-SELECT loc_id, count(*) AS n_projects, count(*) FILTER (WHERE status = 'Active') AS n_active,
+SELECT loc_id, count(status) AS n_projects, count(*) FILTER (WHERE status = 'Active') AS n_active,
   count(*) FILTER (WHERE status = 'Active' AND solar) AS n_active_solar,
   round(coalesce(sum(capacity_mw) FILTER (WHERE status = 'Active' AND solar), 0e0), 6) AS solar_mw,
   count(*) FILTER (WHERE status = 'Withdrawn') AS n_withdrawn, any_value(usual_iso) AS usual_iso
-FROM pairs JOIN (SELECT loc_id, arg_min(iso, (-c, iso)) AS usual_iso FROM isos GROUP BY loc_id) USING (loc_id) GROUP BY loc_id"""),
+FROM sites LEFT JOIN pairs USING (loc_id) LEFT JOIN (SELECT loc_id, arg_min(iso, (-c, iso)) AS usual_iso FROM isos GROUP BY loc_id) USING (loc_id) GROUP BY loc_id"""),
     "areal_rollup": with_ctes("tracts", "stores", body="""
 , o AS (SELECT s.loc_id, t.*, least(1e0, (least(t.x1, s.lng + 0.04) - greatest(t.x0, s.lng - 0.04)) *
     (least(t.y1, s.lat + 0.03) - greatest(t.y0, s.lat - 0.03)) / ((t.x1 - t.x0) * (t.y1 - t.y0))) AS frac

@@ -234,11 +234,11 @@ def methodology_hash(spark, sf_dir):
 
 
 def audit_stream_once(spark, sf_dir):
-    """U2 as a stream: repeats of an execution within the watermark drop out."""
+    """U2 as a stream: an execution that is already stored is not stored again."""
     raw = audit_stream.read_events(spark, sf_dir, "event_id long, ts timestamp_ntz, event_type string", "events.parquet")
     feed = raw.withColumn("execution_id", F.floor(F.col("event_id") / 4)).select("execution_id", "ts")
     out = scratch_folder(spark, "audit")
-    query = audit_stream.append_audit(audit_stream.first_per_execution(feed, late="2 days"), out, scratch_folder(spark, "audit-state"))
+    query = audit_stream.append_audit(feed, out, scratch_folder(spark, "audit-state"))
     query.awaitTermination()
     return spark.read.parquet(out).select("execution_id")
 
@@ -326,7 +326,7 @@ SELECT property_id, "row", "col", CASE WHEN dem <> -9999 THEN dem END AS dem, CA
 k AS (SELECT loc_id, CAST(floor(fy) AS BIGINT) + dr AS "row", CAST(floor(fx) AS BIGINT) + dc AS "col",
   CASE WHEN dr = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END * CASE WHEN dc = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END AS w
   FROM f CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(dr, dc))
-SELECT loc_id, round(sum(w * dem) / sum(w), 6) AS dem FROM k JOIN raster USING ("row", "col") WHERE dem <> -9999 GROUP BY loc_id"""),
+SELECT loc_id, round(sum(w * dem) / sum(CASE WHEN dem IS NOT NULL THEN w END), 6) AS dem FROM k LEFT JOIN (SELECT * FROM raster WHERE dem <> -9999) USING ("row", "col") GROUP BY loc_id"""),
     "terrain_lattice": with_ctes("sites", body="""
 , p AS (SELECT loc_id, i, j, CASE WHEN (loc_id + i * 3 + j) % 37 <> 0 THEN ((loc_id * 7 + i * 13 + j * 5 + i * j) % 61)::DOUBLE END AS z FROM sites
   CROSS JOIN (SELECT unnest(range(5)) AS i) CROSS JOIN (SELECT unnest(range(5)) AS j)),
