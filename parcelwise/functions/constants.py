@@ -8,8 +8,6 @@ WEB_MERCATOR_RADIUS_M = 6_378_137.0
 METRES_PER_DEGREE = 111_320.0
 MIN_COS_LAT = 0.1
 SQUARE_METRES_PER_ACRE = 4046.8564224
-METRES_PER_MILE = 1609.34
-METRES_TO_FEET = 3.280839895
 
 # ── fixed values: wildfire vulnerability model ──────────────────────────────
 WILDFIRE_COEFFICIENTS = {
@@ -21,7 +19,6 @@ WILDFIRE_COEFFICIENTS = {
     "is_res1": 0.24504502964155503,
 }
 WILDFIRE_THRESHOLD = 0.8621269859078249
-WILDFIRE_AUC = 0.7603363261216363
 RETURN_PERIODS_YEARS = (10, 25, 50, 100, 250, 500, 1000)
 # (label, lower, upper); None is unbounded. "$0" means exactly zero.
 LOSS_BUCKETS = (
@@ -281,14 +278,17 @@ PROBE_RADIUS_M = {
 }
 
 # ── fixed values: grid regions and member states ────────────────────────────
-REGION_STATES = {
-    "WECC": ("CA", "NV", "AZ", "CO", "UT", "NM", "OR", "WA", "MT", "WY", "ID"),
-    "ERCOT": ("TX",),
-    "SPP": ("OK", "KS", "NE", "SD", "ND"),
-    "MISO": ("MN", "WI", "IA", "IL", "IN", "MI", "MO", "AR", "LA"),
-    "PJM": ("PA", "NJ", "OH", "VA", "WV", "MD", "DE", "KY", "DC"),
-    "SERC": ("NC", "SC", "GA", "AL", "TN", "MS", "FL"),
-    "NPCC": ("NY", "ME", "NH", "VT", "MA", "RI", "CT"),
+STATE_REGION = {
+    "CA": "WECC", "NV": "WECC", "AZ": "WECC", "CO": "WECC", "UT": "WECC", "NM": "WECC", "OR": "WECC",
+    "WA": "WECC", "MT": "WECC", "WY": "WECC", "ID": "WECC",
+    "TX": "ERCOT",
+    "OK": "SPP", "KS": "SPP", "NE": "SPP", "SD": "SPP", "ND": "SPP",
+    "MN": "MISO", "WI": "MISO", "IA": "MISO", "IL": "MISO", "IN": "MISO", "MI": "MISO", "MO": "MISO",
+    "AR": "MISO", "LA": "MISO",
+    "PA": "PJM", "NJ": "PJM", "OH": "PJM", "VA": "PJM", "WV": "PJM", "MD": "PJM", "DE": "PJM",
+    "KY": "PJM", "DC": "PJM",
+    "NC": "SERC", "SC": "SERC", "GA": "SERC", "AL": "SERC", "TN": "SERC", "MS": "SERC", "FL": "SERC",
+    "NY": "NPCC", "ME": "NPCC", "NH": "NPCC", "VT": "NPCC", "MA": "NPCC", "RI": "NPCC", "CT": "NPCC",
 }
 
 CANNOT_ASSESS = "CANNOT ASSESS"

@@ -230,12 +230,12 @@ def benchmark_mean(losses: DataFrame) -> DataFrame:
     )
 
 
-# fixed values: driver feature, direction (+1 higher is riskier), label
+# Driver feature, direction (+1 higher is riskier), label, floor of the median.
 DRIVERS = (
-    ("burn_probability", 1, "elevated wildfire likelihood", 1e-9),
-    ("distance_to_fuel_m", -1, "direct adjacency to wildland fuel", 1.0),
-    ("canopy_cover_100m", 1, "dense canopy within 100 m", 1e-9),
-    ("slope_degrees", 1, "steep terrain slope", 1e-9),
+    ("burn_probability", 1, "burn probability", 1e-9),
+    ("distance_to_fuel_m", -1, "distance to fuel", 1.0),
+    ("canopy_cover_100m", 1, "canopy cover", 1e-9),
+    ("slope_degrees", 1, "slope", 1e-9),
 )
 
 

@@ -268,7 +268,7 @@ def gap_rows(selected: DataFrame, workflow: str, key: str) -> DataFrame:
     rows = selected.select(key, F.explode(gaps(workflow)).alias("criterion_id"))
     name = display_name(F.col("criterion_id"))
     return rows.withColumns(
-        {"display_name": name, "message": F.concat(name, F.lit(" data is unavailable at this location."))}
+        {"display_name": name, "message": F.concat(name, F.lit(" has no data here."))}
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -53,11 +53,16 @@ def ring_competition(rings: DataFrame, pois: DataFrame, key: str, business: str,
     )
 
 
-def competitor_points(rings: DataFrame, pois: DataFrame, key: str, business: str, cell: float, most: int = 500) -> DataFrame:
-    """Same-category points in each ring for a map, at most ``most`` per location."""
+def competitor_points(rings: DataFrame, pois: DataFrame, key: str, business: str, cell: float, most: int | None = None) -> DataFrame:
+    """Same-category points in each ring for a map, with the full count beside them.
+
+    ``most`` keeps a location's first points only, by id; the count stays that of all.
+    """
     points = pois.filter(competes("category", business)).select("poi_id", "lng", "lat")
     hits = X.points_in_polygons(points, rings.select(key, *BOX), cell)
-    return X.top_k_per_key(hits, [key], [F.col("poi_id")], most)
+    total = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("poi_id"))) if most is None else X.top_k_per_key(hits, [key], [F.col("poi_id")], most)
+    return ranked.join(total, key)
 
 
 def competitive_gap(competitors: Column, population: Column, business: str) -> tuple[Column, Column]:

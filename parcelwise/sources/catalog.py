@@ -240,5 +240,4 @@ def damage_curves(spark: SparkSession) -> DataFrame:
 
 
 def region_states(spark: SparkSession) -> DataFrame:
-    rows = [(s, r) for r, states in K.REGION_STATES.items() for s in states]
-    return spark.createDataFrame(rows, "state string, region string")
+    return spark.createDataFrame(list(K.STATE_REGION.items()), "state string, region string")

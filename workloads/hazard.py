@@ -213,12 +213,12 @@ ORACLES = {
 SELECT property_id, fd_id, round(d, 1) AS match_m, round(p_destroyed, 5) AS damage_probability, round(risk, 3) AS annual_risk_usd,
   {TIER.format('risk')} AS risk_tier, p_destroyed >= {K.WILDFIRE_THRESHOLD!r} AS exceeds_threshold FROM records"""),
     "wildfire_narrative": with_ctes(*BASE, body=f"""
-, f AS (SELECT property_id, risk, list_filter([CASE WHEN df = 0 THEN 'direct adjacency to wildland fuel (0m from fuel)' END,
-    CASE WHEN df > 0 AND df < 30 THEN 'close proximity to wildland fuel' END, CASE WHEN bp > 0.002 THEN 'elevated wildfire likelihood' END,
-    CASE WHEN sl > 15 THEN 'steep terrain' END, CASE WHEN cc > 20 THEN 'dense surrounding canopy' END,
-    CASE WHEN sl > 5 AND sl <= 15 THEN 'moderate terrain slope' END], lambda x: x IS NOT NULL) AS fs FROM records WHERE fd_id IS NOT NULL)
-SELECT property_id, concat('This property has ', {TIER.format('risk')}, ' wildfire risk with an annual risk estimate of $', format('{{:,}}', round(risk, 0)::BIGINT), '.',
-  CASE WHEN len(fs) >= 2 THEN concat(' Key risk factors include ', fs[1], ' and ', fs[2], '.') WHEN len(fs) = 1 THEN concat(' Key risk factor: ', fs[1], '.') ELSE '' END) AS summary FROM f"""),
+, f AS (SELECT property_id, risk, list_filter([CASE WHEN df = 0 THEN 'fuel right at the structure' END,
+    CASE WHEN df > 0 AND df < 30 THEN 'fuel within thirty metres' END, CASE WHEN bp > 0.002 THEN 'a burn probability above 0.2 %' END,
+    CASE WHEN sl > 15 THEN 'a slope above 15 degrees' END, CASE WHEN cc > 20 THEN 'tree cover above a fifth' END,
+    CASE WHEN sl > 5 AND sl <= 15 THEN 'a slope of 5 to 15 degrees' END], lambda x: x IS NOT NULL) AS fs FROM records WHERE fd_id IS NOT NULL)
+SELECT property_id, concat('Wildfire: ', {TIER.format('risk')}, ', $', format('{{:,}}', round(risk, 0)::BIGINT), ' expected a year.',
+  CASE WHEN len(fs) >= 2 THEN concat(' Driven by ', fs[1], ' and ', fs[2], '.') WHEN len(fs) = 1 THEN concat(' Driven by ', fs[1], '.') ELSE '' END) AS summary FROM f"""),
     "wildfire_proxy": with_ctes("sites", "zones", ZONE_EDGES, f"""held AS (SELECT p.loc_id, e.zone_id FROM sites p JOIN zone_edges e ON {CROSSES} GROUP BY ALL HAVING count(*) % 2 = 1),
 close AS (SELECT p.loc_id, e.zone_id FROM sites p JOIN zone_edges e ON abs(p.lng - e.x) < 3.2 AND abs(p.lat - e.y) < 3.2
   GROUP BY ALL HAVING min({segment_sql('p', 'e')}) <= 5000),
@@ -283,9 +283,9 @@ SELECT property_id, round(risk, 3) AS annual_risk_usd FROM records WHERE risk IS
     "risk_drivers": with_ctes(*BASE, body="""
 , m AS (SELECT coalesce(nullif(median(bp), 0), 1e-9) AS m1, coalesce(nullif(median(df), 0), 1e0) AS m2, coalesce(nullif(median(cc), 0), 1e-9) AS m3,
     coalesce(nullif(median(sl), 0), 1e-9) AS m4 FROM records WHERE fd_id IS NOT NULL),
-c AS (SELECT property_id, list_sort([{'s': -(bp - m1) / abs(m1), 'i': 0, 't': 'elevated wildfire likelihood'},
-  {'s': -CASE WHEN df = 0 THEN abs(m2) ELSE (m2 - df) / abs(df) END, 'i': 1, 't': 'direct adjacency to wildland fuel'},
-  {'s': -(cc - m3) / abs(m3), 'i': 2, 't': 'dense canopy within 100 m'}, {'s': -(sl - m4) / abs(m4), 'i': 3, 't': 'steep terrain slope'}]) AS r
+c AS (SELECT property_id, list_sort([{'s': -(bp - m1) / abs(m1), 'i': 0, 't': 'burn probability'},
+  {'s': -CASE WHEN df = 0 THEN abs(m2) ELSE (m2 - df) / abs(df) END, 'i': 1, 't': 'distance to fuel'},
+  {'s': -(cc - m3) / abs(m3), 'i': 2, 't': 'canopy cover'}, {'s': -(sl - m4) / abs(m4), 'i': 3, 't': 'slope'}]) AS r
   FROM records CROSS JOIN m WHERE fd_id IS NOT NULL)
 SELECT property_id, concat(r[1].t, '; ', r[2].t) AS drivers FROM c"""),
 }

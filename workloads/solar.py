@@ -503,7 +503,7 @@ from .spatial import ORACLES as _SPATIAL  # noqa: E402
 
 _COVER = _SPATIAL["union_cover"].rsplit("\nSELECT loc_id, kind", 1)[0]
 ORACLES["gap_messages"] = with_ctes("sites", body="SELECT workflow, criterion_id, message, count(*) AS n FROM (" + " UNION ALL ".join(
-    f"SELECT '{c.workflow}' AS workflow, '{c.criterion_id}' AS criterion_id, '{catalog.CRITERION_NAMES[c.criterion_id]} data is unavailable at this location.' AS message, {confidence_sql(c)} AS conf FROM sites"
+    f"SELECT '{c.workflow}' AS workflow, '{c.criterion_id}' AS criterion_id, '{catalog.CRITERION_NAMES[c.criterion_id]} has no data here.' AS message, {confidence_sql(c)} AS conf FROM sites"
     for c in catalog.CRITERIA) + ") WHERE conf = 0 GROUP BY ALL")
 ORACLES["enrich_parcels"] = with_ctes("sites", "lines", "substations", "zones", ZONE_EDGES, inside("sites", "loc_id"), body=f"""
 , hits AS (SELECT loc_id, zone_id, gap_status, CASE WHEN flood_zone LIKE 'A%' OR flood_zone LIKE 'V%' THEN 'flood' ELSE kind END AS kind FROM zone_hits JOIN zones USING (zone_id)),

@@ -311,7 +311,20 @@ _N = "CASE WHEN nation_id < 6 THEN 'CA' WHEN nation_id < 12 THEN 'TX' WHEN natio
 def _regions() -> str:
     from parcelwise.functions import constants as K
 
-    return ", ".join(f"('{s}', '{r}')" for r, states in K.REGION_STATES.items() for s in states)
+    return ", ".join(f"('{s}', '{r}')" for s, r in K.STATE_REGION.items())
+
+
+def _albers(lng: str, lat: str) -> tuple[str, str]:
+    s = f"sin(radians({lat}))"
+    q = f"(({s} / (1 - {s} * {s} * {geo._E2!r}) - ln((1 - {s} * {geo._E!r}) / (1 + {s} * {geo._E!r})) / {2 * geo._E!r}) * {1 - geo._E2!r})"
+    rho = f"(sqrt({geo._C!r} - {q} * {geo._N!r}) * {geo._A / geo._N!r})"
+    theta = f"(radians({lng} - ({geo._LAM0!r})) * {geo._N!r})"
+    return f"({rho} * sin({theta}))", f"({geo._RHO0!r} - {rho} * cos({theta}) + ({geo._FALSE_NORTHING!r}))"
+
+
+def _envelope() -> str:
+    xs, ys = zip(*(_albers(x, y) for x in ("x0", "x1") for y in ("y0", "y1")))
+    return f"least({', '.join(xs)}) AS px0, least({', '.join(ys)}) AS py0, greatest({', '.join(xs)}) AS px1, greatest({', '.join(ys)}) AS py1"
 
 
 ORACLES = {
@@ -372,6 +385,9 @@ SELECT facility_id, name, facility_type, round(lat, 6) AS lat, round(lng, 6) AS
 SELECT 'fault' AS feature_type, line_id AS feature_id, owner AS name, NULL::DOUBLE AS magnitude FROM lines UNION ALL SELECT 'earthquake', sub_id, NULL, sub_id % 80 / 10e0 FROM substations"""),
     "filtered_roads": with_ctes("lines", body="""
 SELECT line_id, CASE line_id % 3 WHEN 0 THEN 'S1100' ELSE 'S1200' END AS road_class, owner AS road_name FROM lines WHERE line_id % 3 < 2"""),
+    "projected_wetlands": with_ctes("zones", _BOXES, body=f"""
+, f AS (SELECT {_envelope()} FROM (SELECT -110e0 AS x0, 30e0 AS y0, -90e0 AS x1, 42e0 AS y1)), w AS (SELECT zone_id, flood_zone, {_envelope()} FROM boxes WHERE kind = 'wetland')
+SELECT zone_id, flood_zone AS wetland_type FROM w WHERE px0 <= (SELECT px1 FROM f) AND px1 >= (SELECT px0 FROM f) AND py0 <= (SELECT py1 FROM f) AND py1 >= (SELECT py0 FROM f)"""),
     "portfolio_upload": """
 SELECT c_custkey AS property_id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS address, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 90)::DOUBLE END AS lat, (c_custkey % 180)::DOUBLE AS lng,
   c_custkey % 12 = 0 AS bad FROM customer""",

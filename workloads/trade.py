@@ -128,7 +128,7 @@ def trade_route(spark, sf_dir):
 def competitor_points(spark, sf_dir):
     """Competitor points per 10-minute ring, up to 500."""
     ten = T.pick_ring(box_rings(spark, sf_dir), "loc_id", 10)
-    return T.competitor_points(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.04).select("loc_id", "rank", "poi_id")
+    return T.competitor_points(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.04).select("loc_id", "rank", "poi_id", "n_total")
 
 
 def huff(spark, sf_dir):
@@ -254,8 +254,8 @@ c AS (SELECT loc_id, k, n, CASE WHEN loc_id % 9 = 0 THEN 0.5e0 ELSE 1e0 END AS f
 q AS (SELECT *, CASE WHEN k IS NULL THEN 0.05e0 ELSE 0.45e0 END AS w, CASE WHEN k IS NULL THEN fl ELSE (fl * 0.05e0 + gap * 0.2e0 + cm * 0.1e0 + ac * 0.1e0) / 0.45e0 END AS s FROM c)
 SELECT loc_id, k AS competitors_5km, n AS pois_5km, round(s, 6) AS composite, round(w, 2) AS weight_share, {STRONG.format('round(s, 9)')} AS rating FROM q"""),
     "competitor_points": with_ctes("stores", "city_pois", BOXES, body="""
-SELECT r.loc_id, row_number() OVER (PARTITION BY r.loc_id ORDER BY p.poi_id) AS rank, p.poi_id FROM rings r JOIN city_pois p
-  ON r.minutes = 10 AND p.category = 'amenity:cafe' AND p.lng >= r.x0 AND p.lng < r.x1 AND p.lat >= r.y0 AND p.lat < r.y1 QUALIFY rank <= 500"""),
+SELECT r.loc_id, row_number() OVER (PARTITION BY r.loc_id ORDER BY p.poi_id) AS rank, p.poi_id, count(*) OVER (PARTITION BY r.loc_id) AS n_total FROM rings r JOIN city_pois p
+  ON r.minutes = 10 AND p.category = 'amenity:cafe' AND p.lng >= r.x0 AND p.lng < r.x1 AND p.lat >= r.y0 AND p.lat < r.y1"""),
     "trade_route": with_ctes("sites", body="""
 SELECT CASE WHEN loc_id % 3 <> 0 AND loc_id % 4 <> 0 THEN 'full' WHEN loc_id % 3 <> 0 THEN 'full_euclidean_fallback' ELSE 'national_fallback' END AS coverage, count(*) AS n FROM sites GROUP BY 1"""),
     "huff": with_ctes("stores", body=f"""
