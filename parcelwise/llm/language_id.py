@@ -7,7 +7,8 @@ gradient descent in numpy on a bounded sample of labelled rows; every fifth of
 these is held back to set the softmax temperature and the rejection threshold.
 
 Defined results: a null text, an empty text or one without a letter is `und` with
-score 0 and is rejected; a table without a usable label gives `und` everywhere.
+score 0 and is rejected; a table without a usable label gives `und` everywhere and rejects
+only texts without a letter, as nothing is known against the others.
 Repeated rows get equal results; other columns pass through unchanged.
 """
 
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tu
                 column = batch.column(place)
                 letters = np.array([bool(_LETTER.search(x)) for x in X.texts(column)], bool)
                 if m is None:
-                    best, score, rejected = [UNKNOWN] * len(letters), np.zeros(len(letters)), ~np.zeros_like(letters)
+                    best, score, rejected = [UNKNOWN] * len(letters), np.zeros(len(letters)), ~letters
                 else:
                     p = m.probabilities(*X.text_bytes(column))
                     score = np.where(letters, p.max(axis=1), 0.0)
