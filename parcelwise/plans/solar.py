@@ -217,6 +217,33 @@ def enrich_parcels(
     return out
 
 
+# Criterion, condition under which a loose screen fires on it.
+LOOSE_SCREENS = {
+    "excl_protected": "in_protected_zone",
+    "excl_urban": "nlcd_code IN (21, 22, 23, 24)",
+    "excl_flood": "flood_zone LIKE 'A%' OR flood_zone LIKE 'V%'",
+    "excl_steep": "slope_pct > 15",
+    "excl_wetlands": "in_wetland OR hydric_rating = 'Yes'",
+}
+
+
+def exclusion_verdicts(sites: DataFrame, key: str) -> DataFrame:
+    """(key, criterion_id, verdict) for every loose screen that fires.
+
+    `true` where the siting rules exclude: managed-protected land of status 1 or 2, dense
+    development, a coastal zone, a slope of 20 % or more. `false_positive` where they only
+    restrict. Screens without such a rule are `review`.
+    """
+    verdict = {
+        "excl_protected": F.when(F.col("in_gap12"), "true").otherwise("false_positive"),
+        "excl_urban": F.when(F.col("nlcd_code").isin(23, 24), "true").otherwise("false_positive"),
+        "excl_flood": F.when(F.col("flood_zone").startswith("V"), "true").otherwise("false_positive"),
+        "excl_steep": F.when(F.col("slope_pct") >= 20, "true").otherwise("false_positive"),
+    }
+    fired = [F.when(F.expr(when), F.struct(F.lit(c).alias("criterion_id"), verdict.get(c, F.lit("review")).alias("verdict"))) for c, when in LOOSE_SCREENS.items()]
+    return sites.select(key, F.explode(F.array_compact(F.array(*fired))).alias("_e")).select(key, "_e.*")
+
+
 def passing(cfg: dict) -> Column:
     """Discover screen on enriched parcels; unknown flags count as clear."""
     max_slope_deg = F.lit(float(cfg["max_slope_deg"]))

@@ -123,6 +123,7 @@ def measured_sites(spark, sf_dir):
     hits = X.points_in_polygons(slim, zones(spark, sf_dir, "zone_id", "kind", "gap_status", "flood_zone"), zone_cell(spark, sf_dir))
     flags = hits.groupBy("loc_id").agg(
         F.bool_or((F.col("kind") == "protected") & F.col("gap_status").isin(1, 2)).alias("in_gap12"),
+        F.bool_or(F.col("kind") == "protected").alias("in_protected_zone"),
         F.bool_or(F.col("kind") == "wetland").alias("in_wetland"),
         F.bool_or(F.col("kind") == "habitat").alias("in_habitat"),
         F.min_by("flood_zone", "zone_id").alias("_zone"),
@@ -159,6 +160,12 @@ def exclusion_diagnosis(spark, sf_dir):
     return each.groupBy("criterion_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_excl") == 1).alias("n_sole"))
 
 
+def exclusion_classes(spark, sf_dir):
+    """True and false positives of the loose screens, per screen."""
+    sites = measured_sites(spark, sf_dir)
+    return L.exclusion_verdicts(sites, "loc_id").groupBy("criterion_id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("loc_id").alias("first_site"))
+
+
 def solar_parcels(spark, sf_dir):
     """Parcel table with distances and flags for the seven-criterion method."""
     sites = layer(spark, sf_dir, "sites")
@@ -292,7 +299,7 @@ def enrich_parcels(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     gap_messages, enrich_parcels, source_probe, source_coverage, composite_confidence, hazard_confidence, critical_gaps, weight_resolution,
-    solar_composite, exclusion_diagnosis, solar_v1_score, solar_v1_provisional, discover, discover_summary, batch_rank,
+    solar_composite, exclusion_diagnosis, exclusion_classes, solar_v1_score, solar_v1_provisional, discover, discover_summary, batch_rank,
     deep_resource, buildable_area, interconnection_cost,
 )}
 QUERIES |= {
@@ -466,6 +473,16 @@ SELECT loc_id, round(composite, 8) AS composite, CASE WHEN exclusions <> '' THEN
     "exclusion_diagnosis": with_ctes(*SOLAR_CTES, body="""
 SELECT criterion_id, count(*) AS n, count(*) FILTER (WHERE n_excl = 1) AS n_sole FROM (
   SELECT unnest(string_split(exclusions, ',')) AS criterion_id, len(string_split(exclusions, ',')) AS n_excl FROM final WHERE exclusions <> '') GROUP BY 1"""),
+    "exclusion_classes": with_ctes("sites", "zones", ZONE_EDGES, inside("sites", "loc_id"), body="""
+, f AS (SELECT loc_id, bool_or(kind = 'protected') AS pr, bool_or(kind = 'protected' AND gap_status IN (1, 2)) AS g, bool_or(kind = 'wetland') AS we, arg_min(flood_zone, zone_id) AS z
+  FROM zone_hits JOIN zones USING (zone_id) GROUP BY loc_id),
+s AS (SELECT sites.loc_id, nlcd_code, slope_pct, hydric_rating, coalesce(pr, FALSE) AS pr, coalesce(g, FALSE) AS g, coalesce(we, FALSE) AS we, coalesce(z, 'X') AS z FROM sites LEFT JOIN f USING (loc_id)),
+v AS (SELECT loc_id, 'excl_protected' AS criterion_id, CASE WHEN g THEN 'true' ELSE 'false_positive' END AS verdict FROM s WHERE pr
+  UNION ALL SELECT loc_id, 'excl_urban', CASE WHEN nlcd_code IN (23, 24) THEN 'true' ELSE 'false_positive' END FROM s WHERE nlcd_code BETWEEN 21 AND 24
+  UNION ALL SELECT loc_id, 'excl_flood', CASE WHEN z LIKE 'V%' THEN 'true' ELSE 'false_positive' END FROM s WHERE z LIKE 'A%' OR z LIKE 'V%'
+  UNION ALL SELECT loc_id, 'excl_steep', CASE WHEN slope_pct >= 20 THEN 'true' ELSE 'false_positive' END FROM s WHERE slope_pct > 15
+  UNION ALL SELECT loc_id, 'excl_wetlands', 'review' FROM s WHERE we OR hydric_rating = 'Yes')
+SELECT criterion_id, verdict, count(*) AS n, min(loc_id) AS first_site FROM v GROUP BY ALL"""),
     "solar_v1_score": with_ctes("sites", PARCELS, body="""
 SELECT loc_id, score AS suitability_score, rating AS suitability_rating, round(acreage / 5e0, 1) AS capacity_mw, passed_all FROM rated"""),
     "solar_v1_provisional": with_ctes("sites", PARCELS, body="""
