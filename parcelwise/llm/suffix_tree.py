@@ -40,12 +40,16 @@ LEAST_SHARE = 5e-6
 #: A context must also have been seen so often.
 LEAST_COUNT = 8
 GAIN = 5e-7
+#: Contexts whose distributions are worked out at once.
+CONTEXTS_AT_ONCE = 4096
 #: Pseudo-count that a context's suffix contributes to its distribution.
 PRIOR = 4.0
 SPACE, END = 0x20, 0x0A
 BLOCK_BYTES = 16 << 20
 #: Grams that a counting task holds before it passes them on.
-HELD_GRAMS = 3_000_000
+HELD_GRAMS = 2_000_000
+#: Text bytes whose symbols are walked at once.
+WALKED_BYTES = 1 << 20
 _END_WORD = np.uint64(0x1D8E4E27C47D124F)
 
 
@@ -99,7 +103,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in X.slices(batches):
+    for batch in X.slices(batches, limit=WALKED_BYTES):
         keys, counts = np.unique(gram_keys(*symbols(*X.text_bytes(batch.column("text")))), return_counts=True)
         held.append((keys, counts))
         if sum(len(k) for k, _ in held) > HELD_GRAMS:
@@ -115,14 +119,14 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Tree:
-    columns: np.ndarray  # byte -> column; the last column stands for unseen bytes
+    columns: np.ndarray  # byte -> column (32 bits); the last column stands for unseen bytes
     child: np.ndarray  # state x column -> state one symbol further back, or 0
     log10: np.ndarray  # state x column
 
     def symbol_scores(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol."""
         width = self.child.shape[1]
-        state = np.zeros(len(stream), np.int64)
+        state = np.zeros(len(stream), np.int32)
         alive = np.ones(len(stream), bool)
         child = self.child.reshape(-1)
         for back in contexts(stream, offsets):
@@ -142,32 +146,37 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gain: float =
         root[levels[0][1]] = levels[0][2]
     total = root.sum()
     seen = np.flatnonzero(root)
-    columns = np.full(256, len(seen), np.int64)
+    columns = np.full(256, len(seen), np.int32)
     columns[seen] = np.arange(len(seen))
     width = len(seen) + 1
     start = np.append((root[seen] + 0.5) / (total + 128.0), 0.5 / (total + 128.0))
-    probabilities: list[np.ndarray] = [start[None, :]]
+    probabilities: list[np.ndarray] = [start[None, :].astype(np.float32)]
     parents: list[np.ndarray] = [np.zeros(1, np.int64)]  # place of the suffix in the level above
     names: list[np.ndarray] = [np.zeros(1, np.int64)]
     wanted: list[np.ndarray] = [np.ones(1, bool)]
-    for level, (context, symbol, n) in enumerate(levels[1:], 1):
-        own, place = np.unique(context, return_inverse=True)
+    for context, symbol, n in levels[1:]:
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.empty(0, np.int64)
+        own = context[first]
         suffix = own >> 8  # the farthest symbol dropped
-        up = np.searchsorted(names[-1], suffix)
-        ok = (up < len(names[-1])) & (names[-1][np.minimum(up, len(names[-1]) - 1)] == suffix)
-        counts = np.zeros((len(own), width))
-        counts[place, columns[symbol]] = n
-        own, up, counts = own[ok], up[ok], counts[ok]
-        size = counts.sum(axis=1, keepdims=True)
-        above = probabilities[-1][up]
-        p = (counts + prior * above) / (size + prior)
-        share = counts / np.maximum(size, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            bits = np.where(counts > 0, counts * np.log2(share / above), 0).sum(axis=1)
-        probabilities.append(p)
-        parents.append(up)
-        names.append(own)
-        wanted.append(bits >= max(gain * total, 2.0))
+        up = np.minimum(np.searchsorted(names[-1], suffix), len(names[-1]) - 1)
+        known = names[-1][up] == suffix
+        ends = np.append(first[1:], len(context))
+        p = np.empty((len(own), width), np.float32)
+        bits = np.zeros(len(own))
+        for at in range(0, len(own), CONTEXTS_AT_ONCE):
+            part = slice(at, min(at + CONTEXTS_AT_ONCE, len(own)))
+            rows = slice(first[part][0], ends[part][-1])
+            counts = np.zeros((part.stop - at, width))
+            counts[np.repeat(np.arange(part.stop - at), ends[part] - first[part]), columns[symbol[rows]]] = n[rows]
+            size = counts.sum(axis=1, keepdims=True)
+            above = probabilities[-1][up[part]].astype(np.float64)
+            p[part] = (counts + prior * above) / (size + prior)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bits[part] = np.where(counts > 0, counts * np.log2(counts / size / above), 0).sum(axis=1)
+        probabilities.append(p[known])
+        parents.append(up[known])
+        names.append(own[known])
+        wanted.append(bits[known] >= max(gain * total, 2.0))
     for level in range(len(names) - 1, 0, -1):  # suffixes of retained contexts stay
         wanted[level - 1][parents[level][wanted[level]]] = True
     number = [np.where(w, np.cumsum(w) - 1, 0) for w in wanted]
@@ -177,7 +186,8 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gain: float =
         w = wanted[level]
         far = names[level][w] & 255
         child[base[level - 1] + number[level - 1][parents[level][w]], columns[far]] = base[level] + number[level][w]
-    return Tree(columns, child, np.log10(np.concatenate([p[w] for p, w in zip(probabilities, wanted)])).astype(np.float32))
+    kept = np.concatenate([p[w] for p, w in zip(probabilities, wanted)])
+    return Tree(columns, child, np.log10(kept, out=kept))
 
 
 def learn(docs: DataFrame, text: str = "text") -> Tree:
@@ -190,8 +200,11 @@ def learn(docs: DataFrame, text: str = "text") -> Tree:
     level = grams.select(cut.alias("c"), symbol.cast("int").alias("symbol"), "n").groupBy("c.level", "c.context", "symbol").agg(F.sum("n").alias("n"))
     times = F.sum("n").over(Window.partitionBy("level", "context"))
     often = level.withColumn("times", times).where((F.col("level") == 0) | (F.col("times") >= max(LEAST_COUNT, LEAST_SHARE * total))).drop("times")
-    got = often.toPandas().sort_values(["level", "context", "symbol"])
-    return grow([tuple(g[c].to_numpy(np.int64) for c in ("context", "symbol", "n")) for _, g in got.groupby("level")])
+    got = often.select(F.col("level").cast("tinyint"), "context", F.col("symbol").cast("smallint"), "n").toArrow()
+    columns = {c: got.column(c).to_numpy() for c in got.column_names}
+    order = np.lexsort((columns["symbol"], columns["context"], columns["level"]))
+    bounds = np.searchsorted(columns["level"][order], np.arange(DEPTH + 2))
+    return grow([tuple(columns[c][order[i:j]] for c in ("context", "symbol", "n")) for i, j in zip(bounds[:-1], bounds[1:])])
 
 
 # -- base --------------------------------------------------------------------
@@ -220,7 +233,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block_words(table: pa.Table) -> pa.Table:
     """Distinct words of a block."""
     found = [np.array([_END_WORD])]
-    for batch in X.slices(iter(table.combine_chunks().to_batches())):
+    for batch in X.slices(iter(table.to_batches()), limit=WALKED_BYTES):
         found.append(np.unique(X.words(*_lowered(batch.column("text")))[0]))
     words = np.unique(np.concatenate(found))
     return pa.table({"block": np.full(len(words), table.column("block")[0].as_py(), np.int64), "word": words.view(np.int64)})
@@ -237,7 +250,7 @@ def _scored(tree, tokens: int, known: int):
         keys, counts = keys[order], words.column("n").to_numpy()[order]
         end = int(counts[np.searchsorted(keys, _END_WORD)])
         out = []
-        for batch in X.slices(iter(texts.combine_chunks().to_batches())):
+        for batch in X.slices(iter(texts.to_batches()), limit=WALKED_BYTES):
             data, offsets = _lowered(batch.column("text"))
             hashes, bounds = X.words(data, offsets)
             # Words and ends in the order of the symbols; each row has one end more.
