@@ -24,6 +24,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,9 @@ MARK = "▁"
 _FIRST_RANK = 259  # pieces below are controls and bytes
 _SEGMENT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Lattice edges that a Python worker keeps; beyond it the memory starts anew.
-KEPT_EDGES = 24_000_000
+KEPT_EDGES = 12_000_000
 #: Segments longer than this are cut to bound one lattice.
-LONGEST = 4096
+LONGEST = 512
 
 
 class _Codes(dict):
@@ -53,6 +54,21 @@ class _Codes(dict):
         return code
 
 
+_SPREAD, _SCALE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _step(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that are longer by one code point."""
+    return X.mix(hashes * _SPREAD + points * _SCALE + np.uint64(1))
+
+
+def _hash(piece: str) -> int:
+    h = np.zeros(1, np.uint64)
+    for c in piece:
+        h = _step(h, np.array([ord(c)], np.uint64))
+    return int(h[0])
+
+
 class PieceSampler:
     def __init__(self, path: str, sharpness: float = 1.0) -> None:
         import sentencepiece
@@ -64,9 +80,15 @@ class PieceSampler:
         normal = {p: i for i, p in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
         harmonic = math.log(len(names)) + 0.5772
         weight = lambda i: -sharpness * math.log((max(i - _FIRST_RANK, 0) + 1) * harmonic)
-        self.pieces = {p: (i, weight(i)) for p, i in normal.items()}
         self.byte_weight = weight(len(names) + _FIRST_RANK)
-        self.prefixes = {p[:k] for p in normal for k in range(1, len(p))}
+        # Pieces and proper prefixes by length, as sorted hashes of their code points.
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, max(map(len, normal)) + 1):
+            own = [p for p in normal if len(p) == size]
+            hashes = np.array([_hash(p) for p in own], np.uint64)
+            order = np.argsort(hashes)
+            longer = np.unique(np.array([_hash(p[:size]) for p in normal if len(p) > size], np.uint64))
+            self.tables.append((hashes[order], np.array([normal[p] for p in own], np.int64)[order], np.array([weight(normal[p]) for p in own])[order], longer))
         self.bytes_of = [b""] * len(names)
         for p, i in normal.items():
             self.bytes_of[i] = p.replace(MARK, " ").encode()
@@ -76,89 +98,129 @@ class PieceSampler:
 
     def _forget(self) -> None:
         self.codes = _Codes()
-        # Per segment its last node; per edge: cumulative share, source node, place and number of its ids.
+        # Per segment its last and first node; per edge: cumulative share, source node, place and number of its ids.
         self.ends: list[int] = []
+        self.begins: list[int] = []
         self.nodes = 0
-        self.cumulative, self.source = np.empty(0), np.empty(0, np.int64)
-        self.id_at, self.id_count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.edges = 0
+        self.cumulative, self.source = np.empty(1 << 16), np.empty(1 << 16, np.int32)
+        self.id_at, self.id_count, self.ids = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.uint32)
+        self.id_total = 0
 
     def lattice(self, segment: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Edges into each position of a segment: (from, weight, ids)."""
-        view = segment.replace(MARK, "￾").replace(" ", MARK)
-        n = len(view)
-        into: list[list] = [[] for _ in range(n + 1)]
-        pieces, prefixes = self.pieces, self.prefixes
-        for i in range(n):
-            j = i + 1
-            single = False
-            while True:
-                part = view[i:j]
-                got = pieces.get(part)
-                if got:
-                    into[j].append((i, got[1], (got[0],)))
-                    single |= j == i + 1
-                if j == n or part not in prefixes:
-                    break
-                j += 1
-            if not single:
-                raw = segment[i].encode()
-                into[i + 1].append((i, self.byte_weight * len(raw), tuple(self.byte_of[b] for b in raw)))
+        into: list[list] = [[] for _ in range(len(segment) + 1)]
+        start, stop, weight, ids, spelled = self._edges([segment])
+        for i, j, w, k in zip(start.tolist(), stop.tolist(), weight.tolist(), ids.tolist()):
+            into[j].append((i, w, (k,) if k >= 0 else spelled[-1 - k]))
         return into
 
+    def _edges(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+        """All lattice edges of segments laid end to end: from and to (places in the text), weight, id, and
+        the byte ids of edges whose id is below 0."""
+        view = "".join(new).replace(MARK, "\ufffe").replace(" ", MARK)
+        points = np.frombuffer(view.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        room = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # characters left in the segment
+        at, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        parts, single = [], np.zeros(len(points), bool)
+        for length, (known, ids, weights, longer) in enumerate(self.tables, 1):
+            live = room[at] >= length
+            at = at[live]
+            hashes = _step(hashes[live], points[at + length - 1])
+            if len(known):
+                k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[k] == hashes
+                parts.append((at[hit], at[hit] + length, weights[k[hit]], ids[k[hit]]))
+                if length == 1:
+                    single[at[hit]] = True
+            if not len(longer):
+                break
+            go = longer[np.minimum(np.searchsorted(longer, hashes), len(longer) - 1)] == hashes
+            at, hashes = at[go], hashes[go]
+        bare = np.flatnonzero(~single)
+        text = "".join(new)
+        spelled = [tuple(self.byte_of[b] for b in text[i].encode()) for i in bare.tolist()]
+        parts.append((bare, bare + 1, np.array([self.byte_weight * len(x) for x in spelled]), -1 - np.arange(len(bare))))
+        start, stop, weight, ids = (np.concatenate(x) for x in zip(*parts))
+        return start, stop, weight, ids, spelled
+
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
-        cumulative, source, id_at, id_count, ids = [], [], [], [], []
-        base_ids = len(self.ids)
-        exp, log = math.exp, math.log
-        for segment in new:
-            into = self.lattice(segment)
-            first = self.nodes
-            forward = [0.0] * len(into)
-            for j in range(1, len(into)):
-                edges = into[j]
-                logs = [forward[i] + w for i, w, _ in edges]
-                top = max(logs)
-                shares = [exp(x - top) for x in logs]
-                total = sum(shares)
-                forward[j] = top + log(total)
-                node, at = first + j, 0.0
-                for (i, _, own), share in zip(edges, shares):
-                    at += share / total
-                    cumulative.append(node + at)
-                    source.append(first + i)
-                    id_at.append(base_ids + len(ids))
-                    id_count.append(len(own))
-                    ids.extend(own)
-                cumulative[-1] = node + 1.0
-            self.ends.append(first + len(into) - 1)
-            self.nodes += len(into)
-        for name, more in (("cumulative", cumulative), ("source", source), ("id_at", id_at), ("id_count", id_count), ("ids", ids)):
-            old = getattr(self, name)
-            setattr(self, name, np.concatenate((old, np.array(more, old.dtype))))
+        start, stop, weight, ids, spelled = self._edges(new)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        segment = np.repeat(np.arange(len(new)), size)
+        # A segment of n characters has n + 1 nodes, so its nodes lie one further for each segment before it.
+        first = np.cumsum(size) - size
+        source = start + segment[start]
+        target = stop + segment[stop - 1]
+        depth = stop - first[segment[stop - 1]]
+        order = np.lexsort((source, target, depth))
+        source, target, weight, ids, depth = source[order], target[order], weight[order], ids[order], depth[order]
+        forward = np.zeros(int(size.sum()) + len(new))
+        share = np.empty(len(source))
+        bounds = np.searchsorted(depth, np.arange(1, int(size.max()) + 2))
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            paths = forward[source[i:j]] + weight[i:j]
+            heads = np.flatnonzero(np.concatenate(([True], target[i + 1 : j] != target[i : j - 1])))
+            counts = np.diff(np.append(heads, j - i))
+            top = np.maximum.reduceat(paths, heads)
+            parts = np.exp(paths - np.repeat(top, counts))
+            total = np.add.reduceat(parts, heads)
+            forward[target[i + heads]] = top + np.log(total)
+            upto = np.cumsum(parts)
+            before = np.repeat(upto[heads] - parts[heads], counts)
+            cumulative = (upto - before) / np.repeat(total, counts)
+            cumulative[heads + counts - 1] = 1.0
+            share[i:j] = cumulative
+        order = np.argsort(target, kind="stable")
+        source, target, ids, share = source[order], target[order], ids[order], share[order]
+        count = np.ones(len(ids), np.int64)
+        bare = np.flatnonzero(ids < 0)
+        count[bare] = [len(spelled[-1 - k]) for k in ids[bare].tolist()]
+        at = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.uint32)
+        flat[at] = np.maximum(ids, 0)
+        for place, k in zip(at[bare].tolist(), ids[bare].tolist()):
+            own = spelled[-1 - k]
+            flat[place : place + len(own)] = own
+        base = self.nodes
+        more = {"cumulative": base + target + share, "source": base + source, "id_at": self.id_total + at, "id_count": count, "ids": flat}
+        for name, values in more.items():
+            old, used = getattr(self, name), self.id_total if name == "ids" else self.edges
+            if used + len(values) > len(old):
+                grown = np.empty(max(len(old) * 3 // 2, used + len(values)), old.dtype)
+                grown[:used] = old[:used]
+                setattr(self, name, old := grown)
+            old[used : used + len(values)] = values
+        self.edges += len(source)
+        self.id_total += len(flat)
+        self.begins.extend((base + first + np.arange(len(new))).tolist())
+        self.ends.extend((base + first + np.arange(len(new)) + size).tolist())
+        self.nodes += len(forward)
 
     def encode(self, keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's start."""
-        if len(self.source) > KEPT_EDGES:
+        if self.edges > KEPT_EDGES:
             self._forget()
         rows = [_segments(t) for t in texts]
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
         code = self.codes.__getitem__
-        codes = np.fromiter((code(s) for row in rows for s in row), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(code, chain.from_iterable(rows)), np.int64, int(counts.sum()))
         if self.codes.new:
             self._learn()
         row_start = np.cumsum(counts) - counts
         seed = X.mix(np.array(keys, np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         place = (np.arange(len(codes)) - np.repeat(row_start, counts)).astype(np.uint64)
         seeds = X.mix(np.repeat(seed, counts) + place * np.uint64(0xD6E8FEB86659FD93))
-        ends = np.array(self.ends, np.int64)
-        node, live = ends[codes], np.arange(len(codes))
-        starts_at = node - np.fromiter(map(len, (s for row in rows for s in row)), np.int64, len(codes))
+        node, live = np.array(self.ends, np.int64)[codes], np.arange(len(codes))
+        starts_at = np.array(self.begins, np.int64)[codes]
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
+        cumulative = self.cumulative[: self.edges]
         step = 0
         while len(live):
             u = (X.mix(seeds[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.cumulative, node + u, "right")
-            edge = np.minimum(edge, len(self.cumulative) - 1)
+            edge = np.searchsorted(cumulative, node + u, "right")
             drawn.append((live, edge))
             node = self.source[edge]
             go = node > starts_at[live]
@@ -171,7 +233,7 @@ class PieceSampler:
         edges = np.empty(int(steps.sum()), np.int64)
         for k, (where, edge) in enumerate(drawn):
             edges[first[where] + steps[where] - 1 - k] = edge
-        size = self.id_count[edges]
+        size = self.id_count[edges].astype(np.int64)
         stops = np.cumsum(size)
         ids = self.ids[np.repeat(self.id_at[edges] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)]
         per_edge = np.concatenate(([0], stops))
@@ -183,7 +245,7 @@ class PieceSampler:
 
 def _segments(text: str) -> list[str]:
     found = _SEGMENT.findall(text)
-    if any(len(s) > LONGEST for s in found):
+    if max(map(len, found), default=0) > LONGEST:
         found = [s[k : k + LONGEST] for s in found for k in range(0, len(s), LONGEST)]
     return found
 
