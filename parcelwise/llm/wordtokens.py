@@ -8,6 +8,7 @@ met and asks the tokenizer only for new ones.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -53,7 +54,7 @@ class WordTokens:
         base, total = self.starts[-1], int(sizes.sum())
         while base + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[base : base + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[base : base + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts = np.concatenate((self.starts, base + np.cumsum(sizes)))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +65,7 @@ class WordTokens:
         rows = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
         code = self.codes.__getitem__
-        codes = np.fromiter((code(w) for row in rows for w in row), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(code, chain.from_iterable(rows)), np.int64, int(counts.sum()))
         if self.codes.new:
             self._learn()
         first, size = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
