@@ -48,7 +48,8 @@ def drawn(rows: DataFrame, per_label: int) -> DataFrame:
 
     The expected size is at most `per_label` times the number of labels, whatever the input.
     """
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
+    # One row per label; a model has a column for each, so they fit the driver anyway.
+    counts = F.broadcast(rows.groupBy("label").agg(F.count(F.lit(1)).alias("total")))
     draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(10)), F.lit(1 << 40))
     share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("total"))
     return rows.withColumn("draw", draw).join(counts, "label").where(F.col("draw") < share * float(1 << 40)).drop("total")
