@@ -354,8 +354,8 @@ SELECT tract_id, n_structures, n_claims, round(predicted, 4) AS predicted, round
 , u AS (SELECT tract_id, round(predicted, 6) AS p, round(actual, 10) AS a FROM t),
 r AS (SELECT *, {AVG_RANK.format('p')} AS rp, {AVG_RANK.format('a')} AS ra, row_number() OVER (ORDER BY a, tract_id) AS ia, row_number() OVER (ORDER BY p, tract_id) AS ip, count(*) OVER () AS n FROM u)
 SELECT count(*) AS n, round(corr(rp, ra), 5) AS spearman,
-  round(avg(p) FILTER (WHERE ia > n - greatest(1, n // 10)) / avg(p) FILTER (WHERE ia <= greatest(1, n // 10)), 5) AS discrimination,
-  round(avg(p) FILTER (WHERE ip > n - greatest(1, n // 10)) / avg(p) FILTER (WHERE ip <= greatest(1, n // 10)), 5) AS dynamic_range FROM r"""),
+  round(avg(p) FILTER (WHERE ia > n - greatest(1, n // 10)) / nullif(avg(p) FILTER (WHERE ia <= greatest(1, n // 10)), 0), 5) AS discrimination,
+  round(avg(p) FILTER (WHERE ip > n - greatest(1, n // 10)) / nullif(avg(p) FILTER (WHERE ip <= greatest(1, n // 10)), 0), 5) AS dynamic_range FROM r"""),
     "claimed_vs_unclaimed": with_ctes(*RISK, body="""
 , c AS (SELECT DISTINCT tract_id FROM claims WHERE zone_class = 'purchase' AND paid > 150), x AS (SELECT r.*, c.tract_id IS NOT NULL AS has FROM risk r LEFT JOIN c USING (tract_id))
 SELECT count(*) FILTER (WHERE has) AS n_claimed, count(*) FILTER (WHERE NOT has) AS n_unclaimed, round(avg(usd) FILTER (WHERE has), 4) AS claimed_mean,
