@@ -93,9 +93,9 @@ CURVE = """curve AS (
   FROM eal GROUP BY val_struct)"""
 RETURNS = f"""rp AS (SELECT unnest([{', '.join(map(str, K.RETURN_PERIODS_YEARS))}]) AS rp_years),
 targets AS (SELECT rp_years, 1e0 / rp_years AS target,
-    (SELECT arg_max(loss_amount, freq) FROM curve WHERE freq <= 1e0 / rp_years) AS l0,
+    (SELECT arg_max(loss_amount, (freq, loss_amount)) FROM curve WHERE freq <= 1e0 / rp_years) AS l0,
     (SELECT max(freq) FROM curve WHERE freq <= 1e0 / rp_years) AS f0,
-    (SELECT arg_min(loss_amount, freq) FROM curve WHERE freq >= 1e0 / rp_years) AS l1,
+    (SELECT arg_min(loss_amount, (freq, loss_amount)) FROM curve WHERE freq >= 1e0 / rp_years) AS l1,
     (SELECT min(freq) FROM curve WHERE freq >= 1e0 / rp_years) AS f1 FROM rp),
 standard AS (SELECT rp_years, CASE WHEN l0 IS NULL THEN l1 WHEN l1 IS NULL THEN l0 WHEN f1 = f0 THEN l0
     ELSE l0 + (l1 - l0) * (target - f0) / (f1 - f0) END AS loss_amount FROM targets)"""
