@@ -54,6 +54,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", content_ha
         .withColumn("group_size", F.when(F.col("n") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share both hashes")).cast("bigint")))
         .drop("n")
     )
+    # From a written table both sides of the join are plain exchanges, which adaptive execution splits where a class is hot.
+    found = tables.written(found, "classes")
     slim = rows.select("doc_id", "n_chars", content_hash(F.col("norm")).alias("hash"), proof(F.col("norm")).alias("proof"))
     return slim.join(found, ["hash", "proof"]).select(
         "doc_id", "n_chars", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("proof")).alias("text_sha256")
