@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from parcelwise.llm import tables
 
 SHARDS = 16
-#: Rows wanted in a bucket of the exchange.
+#: Most rows and bytes wanted in a bucket of the exchange.
 BUCKET_ROWS = 20_000
+BUCKET_BYTES = 32 << 20
 #: Probes of each splitter in a round, and the share of a bucket's bytes that a splitter may be off.
 PROBES = 24
 TOLERANCE = 0.01
@@ -134,7 +135,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: st
     # A row's place in the written files never changes, whatever task reads it again.
     kept = kept.withColumn(names["place"], F.monotonically_increasing_id())
     slim = kept.select(*(F.col(names[x]).alias(x) for x in ("sort_key", "size", "place")))
-    per_shard = max(1, -(-slim.count() // (shards * bucket_rows)))
+    rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    per_shard = max(1, -(-rows // (shards * bucket_rows)), -(-total // (shards * BUCKET_BYTES)))
     cuts = boundaries(slim, shards * per_shard)
     # Rows before each bucket, counted from its shard's first bucket.
     before = [0, *(c[2] for c in cuts)]
