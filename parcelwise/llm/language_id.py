@@ -35,6 +35,8 @@ DIMENSIONS = 16
 ROWS_PER_LANGUAGE = 800
 #: Share of correct held-back rows that the rejection may cost.
 FALSE_REJECTION = 0.001
+#: Text bytes whose subwords are held at once.
+SLICE_BYTES = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -114,7 +116,7 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in X.slices(batches):
+    for batch in X.slices(batches, limit=SLICE_BYTES):
         ids, starts = subwords(*X.text_bytes(batch.column("text")))
         rows: dict[str, list] = {"label": batch.column("label").to_pylist(), "draw": batch.column("draw").to_pylist(), "ids": [], "weights": []}
         for a, b in zip(starts[:-1], starts[1:]):
@@ -187,7 +189,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tu
         m = shared.value
         for whole in batches:
             named = whole.rename_columns([f"c{i}" for i in range(whole.num_columns)])
-            for batch in X.slices(iter([named]), f"c{place}"):
+            for batch in X.slices(iter([named]), f"c{place}", SLICE_BYTES):
                 column = batch.column(place)
                 letters = np.array([bool(_LETTER.search(x)) for x in X.texts(column)], bool)
                 if m is None:

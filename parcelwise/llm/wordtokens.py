@@ -7,6 +7,7 @@ met and asks the tokenizer only for new ones.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from itertools import chain
@@ -33,6 +34,7 @@ class _Codes(dict):
 
 class WordTokens:
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self._forget()
 
