@@ -149,6 +149,27 @@ def test_tree_equals_plain_version(spark):
     assert np.allclose(got, [score(t) for t in tests], rtol=1e-4)
 
 
+def test_gram_scores_equal_plain_version(spark):
+    texts = [r.text for r in data(spark)[:40]]
+    held = ["", "never seen Ωµ text", "the the the"]
+    rows = spark.createDataFrame([(t, False) for t in texts] + [(t, True) for t in held], "text string, held_out boolean")
+    got = {r.gram: r.log10 for r in suffix_tree.gram_scores(rows).collect()}
+    _, score = plain_tree(texts, 0.0, suffix_tree.PRIOR)
+    for t in [*texts[:5], *held]:
+        keys = suffix_tree.gram_keys(*suffix_tree.symbols(*X.text_bytes(pa.array([t]))))
+        assert math.isclose(sum(got[int(k)] for k in keys), score(t), rel_tol=1e-9)
+
+
+def test_tree_keeps_a_rare_source_in_a_large_corpus(spark):
+    rng = random.Random(5)
+    common = [(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(20_000)), False) for _ in range(40)]
+    rare = [("zqxjk " * 10, False)]  # far less than 5e-6 of the symbols for each context
+    rows = spark.createDataFrame(common + rare, "text string, held_out boolean")
+    got = {r.gram: r.log10 for r in suffix_tree.gram_scores(rows).collect()}
+    gram = suffix_tree.gram_keys(*suffix_tree.symbols(*X.text_bytes(pa.array(["zqxjk zqxjk "]))))
+    assert 10**got[int(gram[9])] > 0.6  # j after " zqx" and its far symbol
+
+
 def test_suffix_tree_odd_rows(spark, odd, none):
     from pyspark.sql import functions as F
 
