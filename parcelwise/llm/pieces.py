@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,7 +40,8 @@ _FIRST_RANK = 259  # pieces below are controls and bytes
 _SEGMENT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Lattice edges that a Python worker keeps; beyond it the memory starts anew.
 KEPT_EDGES = 12_000_000
-#: Segments longer than this are cut to bound one lattice.
+#: A longer segment is filtered and sampled in chunks of so many characters, with every edge across them: its
+#: lattice is never held whole, only 8 bytes a character.
 LONGEST = 512
 
 
@@ -199,12 +201,61 @@ class PieceSampler:
         self.ends.extend((base + first + np.arange(len(new)) + size).tolist())
         self.nodes += len(forward)
 
+    def _edges_into(self, segment: str, a: int, b: int) -> tuple[list[int], list[int], list[float], list[tuple[int, ...]]]:
+        """Of all edges into the places a + 1 to b: bounds by place, sources, weights and ids."""
+        low = max(0, a + 1 - len(self.tables))
+        start, stop, weight, ids, spelled = self._edges([segment[low:b]])
+        order = np.lexsort((start, stop))
+        order = order[stop[order] > a - low]
+        bounds = np.searchsorted(stop[order], np.arange(a + 1, b + 2) - low)
+        named = [(k,) if k >= 0 else spelled[-1 - k] for k in ids[order].tolist()]
+        return bounds.tolist(), (start[order] + low).tolist(), weight[order].tolist(), named
+
+    def _sample_long(self, segment: str, seed: np.uint64) -> list[int]:
+        """Ids of one segment of any length; the draws are those of a lattice held whole."""
+        size, exp, log = len(segment), math.exp, math.log
+        forward = array("d", [0.0])
+        for a in range(0, size, LONGEST):
+            bounds, source, weight, _ = self._edges_into(segment, a, min(a + LONGEST, size))
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                if j == i + 1:
+                    forward.append(forward[source[i]] + weight[i])
+                    continue
+                paths = [forward[source[e]] + weight[e] for e in range(i, j)]
+                top = max(paths)
+                forward.append(top + log(sum([exp(x - top) for x in paths])))
+        drawn: list[tuple[int, ...]] = []
+        at = size
+        for a in range((size - 1) // LONGEST * LONGEST, -1, -LONGEST):
+            if at <= a:
+                continue
+            bounds, source, weight, named = self._edges_into(segment, a, at)
+            steps = np.arange(len(drawn), len(drawn) + at - a).astype(np.uint64)
+            uniform = iter(((X.mix(seed + steps) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist())
+            while at > a:
+                u = next(uniform)
+                edge, last = bounds[at - a - 1], bounds[at - a] - 1
+                upto = exp(forward[source[edge]] + weight[edge] - forward[at])
+                while edge < last and upto <= u:
+                    edge += 1
+                    upto += exp(forward[source[edge]] + weight[edge] - forward[at])
+                drawn.append(named[edge])
+                at = source[edge]
+        return list(chain.from_iterable(reversed(drawn)))
+
     def encode(self, keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's start."""
         if self.edges > KEPT_EDGES:
             self._forget()
-        rows = [_segments(t) for t in texts]
+        rows = [_SEGMENT.findall(t) for t in texts]
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        # Long segments are drawn one by one; a short one stands in their place and is not drawn.
+        long: dict[int, str] = {}
+        for own, first in zip(rows, (np.cumsum(counts) - counts).tolist()):
+            if max(map(len, own), default=0) > LONGEST:
+                for k, segment in enumerate(own):
+                    if len(segment) > LONGEST:
+                        long[first + k], own[k] = segment, "\n"
         code = self.codes.__getitem__
         codes = np.fromiter(map(code, chain.from_iterable(rows)), np.int64, int(counts.sum()))
         if self.codes.new:
@@ -213,7 +264,9 @@ class PieceSampler:
         seed = X.mix(np.array(keys, np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         place = (np.arange(len(codes)) - np.repeat(row_start, counts)).astype(np.uint64)
         seeds = X.mix(np.repeat(seed, counts) + place * np.uint64(0xD6E8FEB86659FD93))
-        node, live = np.array(self.ends, np.int64)[codes], np.arange(len(codes))
+        long_at = np.array(list(long), np.int64)
+        node, live = np.array(self.ends, np.int64)[codes], np.delete(np.arange(len(codes)), long_at)
+        node = node[live]
         starts_at = np.array(self.begins, np.int64)[codes]
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         cumulative = self.cumulative[: self.edges]
@@ -237,19 +290,20 @@ class PieceSampler:
         stops = np.cumsum(size)
         ids = self.ids[np.repeat(self.id_at[edges] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)]
         per_edge = np.concatenate(([0], stops))
-        return ids, per_edge[np.concatenate((first, [len(edges)]))][np.concatenate((row_start, [len(codes)]))]
+        at = per_edge[np.concatenate((first, [len(edges)]))]
+        rows_at = np.concatenate((row_start, [len(codes)]))
+        if not long:
+            return ids, at[rows_at]
+        own = [np.array(self._sample_long(segment, seeds[k]), np.uint32) for k, segment in long.items()]
+        sizes = np.array([len(x) for x in own])
+        more = np.zeros(len(codes) + 1, np.int64)
+        more[long_at + 1] = sizes
+        return np.insert(ids, np.repeat(at[long_at], sizes), np.concatenate(own)), (at + np.cumsum(more))[rows_at]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()
 
 
-def _segments(text: str) -> list[str]:
-    found = _SEGMENT.findall(text)
-    if max(map(len, found), default=0) > LONGEST:
-        found = [s[k : k + LONGEST] for s in found for k in range(0, len(s), LONGEST)]
-    return found
-
-
 _SHARED: dict[tuple[str, float], PieceSampler] = {}
 
 

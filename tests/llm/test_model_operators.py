@@ -69,6 +69,27 @@ def test_pieces_follow_the_path_probabilities():
     assert {tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:])} == {max(paths, key=paths.get)}
 
 
+def test_pieces_of_long_segments_follow_the_whole_lattice(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["there", "的", "thing", "/a", "0", "▁", "😀"]) for _ in range(900)), "go " + "here" * 700 + " on " + "x" * 513, " " * 2000 + "end"]
+    for sharpness in (1.0, 60.0):
+        cut = pieces.PieceSampler(pieces.model_path(), sharpness)
+        ids, at = cut.encode([7, 8, 9], texts)
+        assert [cut.decode(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == texts
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "LONGEST", 1 << 30)
+            whole, whole_at = pieces.PieceSampler(pieces.model_path(), sharpness).encode([7, 8, 9], texts)
+        assert ids.tolist() == whole.tolist() and at.tolist() == whole_at.tolist()
+
+
+def test_pieces_take_the_piece_across_place_512():
+    s = pieces.PieceSampler(pieces.model_path(), sharpness=60.0)
+    for shift in range(4):
+        text = "你" * (512 - shift) + "there"
+        ids, at = s.encode([1], [text])
+        assert ids[-1] == s.encode([1], ["你there"])[0][-1]
+
+
 def test_pieces_odd_rows(odd, none):
     path = pieces.model_path()
     rows = pieces.decode(pieces.encode(odd, path), path).collect()
