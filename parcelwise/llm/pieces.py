@@ -100,12 +100,13 @@ class PieceSampler:
 
     def _forget(self) -> None:
         self.codes = _Codes()
-        # Per segment its last and first node; per edge: cumulative share, source node, place and number of its ids.
+        # Per segment its last and first node; per node its first edge; per edge: cumulative share (the last one into
+        # a node has 1), source node, place and number of its ids.
         self.ends: list[int] = []
         self.begins: list[int] = []
         self.nodes = 0
         self.edges = 0
-        self.cumulative, self.source = np.empty(1 << 16), np.empty(1 << 16, np.int32)
+        self.cumulative, self.source, self.edge_at = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.id_at, self.id_count, self.ids = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.uint32)
         self.id_total = 0
 
@@ -170,13 +171,16 @@ class PieceSampler:
             parts = np.exp(paths - np.repeat(top, counts))
             total = np.add.reduceat(parts, heads)
             forward[target[i + heads]] = top + np.log(total)
-            upto = np.cumsum(parts)
-            before = np.repeat(upto[heads] - parts[heads], counts)
-            cumulative = (upto - before) / np.repeat(total, counts)
-            cumulative[heads + counts - 1] = 1.0
-            share[i:j] = cumulative
+            share[i:j] = parts / np.repeat(total, counts)
         order = np.argsort(target, kind="stable")
         source, target, ids, share = source[order], target[order], ids[order], share[order]
+        edge_at = np.searchsorted(target, np.arange(len(forward)))
+        # Summed node by node, so that a share does not depend on what else is learned.
+        rank = np.arange(len(target)) - edge_at[target]
+        for k in range(1, int(rank.max(initial=0)) + 1):
+            here = np.flatnonzero(rank == k)
+            share[here] += share[here - 1]
+        share[np.append(target[1:] != target[:-1], True)] = 1.0
         count = np.ones(len(ids), np.int64)
         bare = np.flatnonzero(ids < 0)
         count[bare] = [len(spelled[-1 - k]) for k in ids[bare].tolist()]
@@ -187,9 +191,9 @@ class PieceSampler:
             own = spelled[-1 - k]
             flat[place : place + len(own)] = own
         base = self.nodes
-        more = {"cumulative": base + target + share, "source": base + source, "id_at": self.id_total + at, "id_count": count, "ids": flat}
+        more = {"edge_at": self.edges + edge_at, "cumulative": share, "source": base + source, "id_at": self.id_total + at, "id_count": count, "ids": flat}
         for name, values in more.items():
-            old, used = getattr(self, name), self.id_total if name == "ids" else self.edges
+            old, used = getattr(self, name), {"ids": self.id_total, "edge_at": self.nodes}.get(name, self.edges)
             if used + len(values) > len(old):
                 grown = np.empty(max(len(old) * 3 // 2, used + len(values)), old.dtype)
                 grown[:used] = old[:used]
@@ -243,6 +247,15 @@ class PieceSampler:
                 at = source[edge]
         return list(chain.from_iterable(reversed(drawn)))
 
+    def _drawn(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge into each node whose cumulative share is the first above u (below 1)."""
+        edge = self.edge_at[nodes]
+        on = np.flatnonzero(self.cumulative[edge] <= u)
+        while len(on):
+            edge[on] += 1
+            on = on[self.cumulative[edge[on]] <= u[on]]
+        return edge
+
     def encode(self, keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's start."""
         if self.edges > KEPT_EDGES:
@@ -269,11 +282,10 @@ class PieceSampler:
         node = node[live]
         starts_at = np.array(self.begins, np.int64)[codes]
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        cumulative = self.cumulative[: self.edges]
         step = 0
         while len(live):
             u = (X.mix(seeds[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(cumulative, node + u, "right")
+            edge = self._drawn(node, u)
             drawn.append((live, edge))
             node = self.source[edge]
             go = node > starts_at[live]

@@ -90,6 +90,25 @@ def test_pieces_take_the_piece_across_place_512():
         assert ids[-1] == s.encode([1], ["你there"])[0][-1]
 
 
+def test_pieces_draw_stays_at_its_node_wherever_the_segment_lies():
+    s = pieces.PieceSampler(pieces.model_path())
+    s.encode([0], [" there"])
+    end, edges = s.ends[0], s.edges
+    shares = s.cumulative[:edges].copy()
+    for _ in range(20):
+        s.encode([0], [" ".join(f"w{k}x{s.nodes}" for k in range(20_000))])
+    assert s.nodes > 1 << 21
+    s.codes.new.append(" there")
+    s._learn()
+    # Late in the memory the shares are the same to the last bit, and the largest draw takes the node's own last edge.
+    assert np.array_equal(s.cumulative[s.edges - edges : s.edges], shares)
+    late = s.ends[-1]
+    for u in (0.0, 0.3, 1 - 2.0**-53):
+        near, far = s._drawn(np.array([end, late]), np.array([u, u])).tolist()
+        assert far - near == s.edges - edges and s.source[near] < end
+    assert near == edges - 1
+
+
 def test_pieces_odd_rows(odd, none):
     path = pieces.model_path()
     rows = pieces.decode(pieces.encode(odd, path), path).collect()
