@@ -131,9 +131,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: st
     docs = docs.drop("shard", "slot")
     names = {x: tables.unique_name(docs.columns, x) for x in ("sort_key", "size", "place", "bucket")}
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 1
-    kept = tables.written(docs.withColumns({names["sort_key"]: key_of(key), names["size"]: size}), "sized")
-    # A row's place in the written files never changes, whatever task reads it again.
-    kept = kept.withColumn(names["place"], F.monotonically_increasing_id())
+    # The place is written with the row: numbered on reading, it would follow how each job splits the files.
+    kept = tables.written(docs.withColumns({names["sort_key"]: key_of(key), names["size"]: size, names["place"]: F.monotonically_increasing_id()}), "sized")
     slim = kept.select(*(F.col(names[x]).alias(x) for x in ("sort_key", "size", "place")))
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     per_shard = max(1, -(-rows // (shards * bucket_rows)), -(-total // (shards * BUCKET_BYTES)))

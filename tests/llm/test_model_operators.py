@@ -293,6 +293,20 @@ def test_sharding_odd_rows(odd, none):
     assert sharding.sharded(odd).columns == [*odd.columns, "shard", "slot"]
 
 
+def test_slots_do_not_depend_on_how_the_files_are_split(spark):
+    docs = spark.createDataFrame([(None, "x" * (k % 7)) for k in range(4000)], "doc_id bigint, text string").repartition(8)
+    cut = sharding.sharded(docs, bucket_rows=50)
+    split = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in split.items():
+        spark.conf.set(k, v)  # the last job reads all files in one task, unlike those that counted
+    try:
+        rows = cut.collect()
+    finally:
+        for k in split:
+            spark.conf.unset(k)
+    check_shards([r.asDict() for r in rows], [len(r.text) + 1 for r in rows], 0.05)
+
+
 # -- fingerprints ------------------------------------------------------------
 def test_fingerprint_query(spark):
     rows = {r.doc_id: r for r in fingerprints.op9_fingerprints(spark, DATA).collect()}
