@@ -17,6 +17,11 @@ def spark():
     yield session
 
 
+@pytest.fixture(scope="session")
+def data_dir():
+    return DATA
+
+
 @pytest.fixture()
 def folder():
     return tempfile.mkdtemp(prefix="parcelwise-test-")

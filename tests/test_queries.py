@@ -6,8 +6,6 @@ import sys
 import duckdb
 import pytest
 
-from conftest import DATA
-
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as contract  # noqa: E402
@@ -16,10 +14,10 @@ from workloads import registry  # noqa: E402
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(data_dir):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
     return c
 
 
@@ -37,8 +35,8 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.parametrize("name", sorted(registry.collect("ORACLES")))
-def test_query_equals_sql(spark, con, name):
-    df = contract.queries()[name](spark, DATA)
+def test_query_equals_sql(spark, con, data_dir, name):
+    df = contract.queries()[name](spark, data_dir)
     cur = con.execute(contract.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     assert ordered(df.columns, [tuple(r) for r in df.collect()]) == ordered(cols, cur.fetchall())
