@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("pii", "near_dedup", "pieces", "suffix_tree", "exact_dedup", "quality", "packing", "sharding", "fingerprints", "language_id", "collocations")
+MODULES = ("pii", "near_dedup", "pieces", "suffix_tree", "exact_dedup", "quality", "packing", "sharding", "fingerprints", "language_id", "licenses", "hard_negatives", "collocations")
 
 
 def collect(attribute: str) -> dict:
