@@ -1,20 +1,21 @@
 """Phrase collocations by prefix-free parsing.
 
 1. Texts are lower-cased (A-Z), cut into pieces at `.,;:!?` and line breaks, and pieces
-   into words. Inside a piece a new chunk begins where a hash of two neighbouring words
-   hits a trigger, so equal passages fall into equal chunks wherever they stand. A chunk
-   has its own words, the body, and up to three words of the next, so that every phrase of
-   up to four words lies whole in exactly one chunk: the one whose body holds its first word.
+   into words. A new chunk begins where a hash of two neighbouring words hits a trigger, so
+   equal passages fall into equal chunks wherever they stand. A chunk has its own words, the
+   body, and up to three more of the piece it ends in, so that every phrase of up to four
+   words lies whole in exactly one chunk: the one whose body holds its first word.
 2. Distinct chunks of a language form the dictionary, each with its frequency in the parse.
-3. Words and word pairs are counted inside distinct chunks, weighted by that frequency.
-   Blocks of the dictionary send 64-bit names of their phrases; the names' totals come
-   back to the blocks that sent them.
+   A block holds the chunks of one hash value, about BLOCK_BYTES, as one compressed row.
+3. Words and word pairs are counted inside distinct chunks, weighted by that frequency. A block
+   sends its names (64-bit hashes) in sorted runs, one for each range of names; a range adds
+   up all runs and answers each block which of its names are frequent, one bit a name.
 4. A phrase of three or four words can be frequent only if its pairs are. Blocks send those
-   phrases as text, and the text of frequent words and pairs.
+   phrases as text, and the text of the frequent words and pairs that they are the first to have.
 5. Cuts, scores and the test for longer phrases are joins of the frequent phrases.
 
-Nothing is broadcast, and no count or phrase set is held in one place: a block holds about
-BLOCK_BYTES of chunks and the names of its own frequent phrases.
+Nothing is broadcast, and no count or phrase set is held in one place: blocks and ranges are
+of bounded size, and there are as many as the data ask for.
 
 Defined results: a null text counts as empty, a null language as `und`. Repeated rows and
 repeated or null ids count as often as they stand. A text without words, or a table without
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,10 @@ FIRST = 2000
 SCALE = 2_000_000
 #: One pair of neighbouring words in so many begins a chunk.
 TRIGGER = 32
-#: Dictionary bytes of one block: bounds a task's memory.
+#: Text bytes of one block: bounds a task's memory.
 BLOCK_BYTES = 8 << 20
+#: Ranges of names for each block.
+RANGES_A_BLOCK = 2
 _WORD, _GAP, _CUT = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = _GAP
@@ -58,73 +62,96 @@ def _strings(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at])))
 
 
-def chunks(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row, text and body size of every chunk of the rows' texts."""
+def chunks(column: pa.Array, trigger: int = TRIGGER) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row, text and body size of every chunk of the rows' texts; a line break parts pieces."""
     data, offsets = X.text_bytes(column)
     # A line break after each row: no word, pair or piece reaches into the next.
     data = np.insert(X.LOWER[data], offsets[1:], 10)
     kind = _CLASS[data]
     inside = kind == _WORD
-    after = np.concatenate(([False], inside[:-1]))
-    starts = np.flatnonzero(inside & ~after)
+    after = np.concatenate(([False], inside[:-1])) & ~inside
+    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
     if not len(starts):
         return np.empty(0, np.int64), pa.array([], pa.large_string()), np.empty(0, np.int64)
     cuts = np.cumsum(kind == _CUT)[starts]
     row = np.searchsorted(offsets[1:] + np.arange(len(offsets) - 1), starts)
     data[~inside] = 0x20
     hashes = X.span_hashes(data, starts)
-    new_piece = np.concatenate(([True], cuts[1:] != cuts[:-1]))
     pair = X.mix(np.concatenate(([np.uint64(0)], hashes[:-1])) * _STEP + hashes)
-    head = np.flatnonzero(new_piece | (pair % np.uint64(TRIGGER) == 0))
+    head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])) | (pair % np.uint64(trigger) == 0))
     tail = np.append(head[1:], len(starts))
+    new_piece = np.concatenate(([True], cuts[1:] != cuts[:-1]))
     piece_end = np.append(np.flatnonzero(new_piece)[1:], len(starts))
-    stop = np.minimum(tail + LONGEST - 1, piece_end[np.searchsorted(piece_end, head, "right")])
-    # Words end to end, one space after each.
+    stop = np.minimum(tail + LONGEST - 1, piece_end[np.searchsorted(piece_end, tail - 1, "right")])
+    # Words end to end, one byte after each: a space, or a line break where its piece ends.
+    gaps = np.flatnonzero(after)
+    data[gaps[piece_end - 1]] = 10
     line = data[inside | after]
-    at = np.append(np.cumsum(np.append(0, np.flatnonzero(~inside & after) - starts + 1)), 0)[: len(starts) + 1]
+    at = np.concatenate(([0], np.cumsum(gaps - starts + 1)))
     return row[head], _strings(line, at[head], at[stop] - 1 - at[head]), tail - head
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in X.slices(batches, limit=4 * X.SLICE_BYTES):
-        row, text, body = chunks(batch.column("text"))
-        found = pa.table({"lang": batch.column("lang").take(pa.array(row)), "chunk": text, "body": body})
-        found = found.group_by(["lang", "chunk", "body"]).aggregate([([], "count_all")])
-        out = pa.table({"lang": found["lang"].cast(pa.string()), "chunk": found["chunk"].cast(pa.string()), "body": found["body"].cast(pa.int32()), "n": found["count_all"]})
-        yield from out.combine_chunks().to_batches()
+def _parse(trigger: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.slices(batches, limit=4 * X.SLICE_BYTES):
+            row, text, body = chunks(batch.column("text"), trigger)
+            found = pa.table({"lang": batch.column("lang").take(pa.array(row)), "chunk": text, "body": body})
+            found = found.group_by(["lang", "chunk", "body"]).aggregate([([], "count_all")])
+            out = pa.table({"lang": found["lang"].cast(pa.string()), "chunk": found["chunk"].cast(pa.string()), "body": found["body"].cast(pa.int32()), "n": found["count_all"]})
+            yield from out.combine_chunks().to_batches()
+
+    return run, "lang string, chunk string, body int, n bigint"
+
+
+_BLOCK = pa.schema([("block", pa.int32()), ("payload", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.int64()))])
 
 
-def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Distinct chunks of each language: block, lang, chunk, body, n (how often the parse has it)."""
+def _block(rows: pa.Table) -> pa.Table:
+    """The distinct chunks of a block as one compressed row, and its words by language."""
+    block = rows.column("block")[0].as_py()
+    found = rows.group_by(["lang", "chunk", "body"]).aggregate([("n", "sum")]).rename_columns(["lang", "chunk", "body", "n"])
+    sizes = pa.table({"lang": found["lang"], "words": pc.multiply(found["body"].cast(pa.int64()), found["n"])}).group_by("lang").aggregate([("words", "sum")])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(found.combine_chunks())
+    return pa.Table.from_pydict({"block": [block], "payload": [sink.getvalue().to_pybytes()], "langs": [sizes["lang"].to_pylist()], "words": [sizes["words_sum"].to_pylist()]}, schema=_BLOCK)
+
+
+def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", trigger: int = TRIGGER) -> tuple[DataFrame, int]:
+    """Blocks of distinct chunks (block, payload, langs, words), and their number."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parsed = rows.mapInArrow(_parse, "lang string, chunk string, body int, n bigint")
-    block = F.pmod(F.xxhash64("lang", "chunk", "body"), F.lit(1 + size // BLOCK_BYTES)).cast("int")
-    found = parsed.withColumn("block", block).groupBy("block", "lang", "chunk", "body").agg(F.sum("n").alias("n"))
-    # Rows of one block lie together, so that a task meets few blocks.
-    return tables.written(found.sortWithinPartitions("block"), "chunks")
+    blocks = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+    run, schema = _parse(trigger)
+    block = F.pmod(F.xxhash64("lang", "chunk", "body"), F.lit(blocks)).cast("int")
+    parsed = rows.mapInArrow(run, schema).withColumn("block", block)
+    return tables.written(parsed.groupBy("block").applyInArrow(_block, "block int, payload binary, langs array<string>, words array<bigint>"), "chunks"), blocks
 
 
 class Phrases:
-    """Words of dictionary rows as arrays, and names and texts of their phrases."""
+    """Words of a block's chunks as arrays, and names and texts of their phrases."""
 
-    def __init__(self, batch: pa.Table) -> None:
-        self.data, offsets = X.text_bytes(batch.column("chunk").combine_chunks())
+    def __init__(self, payload: bytes) -> None:
+        chunk = pa.ipc.open_stream(payload).read_all().combine_chunks()
+        self.langs = chunk.column("lang")
+        self.data, offsets = X.text_bytes(chunk.column("chunk").combine_chunks())
         self.starts = X.word_starts(self.data, offsets)
         self.hashes = X.span_hashes(self.data, self.starts)
         first = np.searchsorted(self.starts, offsets)
         sizes = np.diff(first)
         self.row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(self.starts)) - first[:-1][self.row]
-        self.left = sizes[self.row] - place
-        self.own = place < batch.column("body").to_numpy()[self.row]
-        self.weight = batch.column("n").to_numpy()[self.row]
-        langs = batch.column("lang").to_pylist()
-        known = {x: _lang_name(x) for x in set(langs)}
-        self.lang = np.array([known[x] for x in langs], np.uint64)[self.row]
-        # A word ends before the space that follows it, or with its row.
-        following = np.append(self.starts[1:], len(self.data))
-        self.ends = np.where(self.left == 1, offsets[1:][self.row], following - 1)
+        words = np.arange(len(self.starts))
+        last = np.zeros(len(self.starts), bool)
+        last[first[1:][sizes > 0] - 1] = True
+        # A word ends before the byte that follows it, or with its row.
+        self.ends = np.where(last, offsets[1:][self.row], np.append(self.starts[1:], len(self.data)) - 1)
+        last |= self.data[np.minimum(self.ends, len(self.data) - 1)] == 10
+        ends = np.flatnonzero(last)
+        self.left = ends[np.searchsorted(ends, words)] - words + 1
+        self.own = words - first[:-1][self.row] < chunk.column("body").to_numpy()[self.row]
+        self.weight = chunk.column("n").to_numpy()[self.row]
+        names = self.langs.to_pylist()
+        known = {x: _lang_name(x) for x in set(names)}
+        self.lang = np.array([known[x] for x in names], np.uint64)[self.row]
 
     def at(self, n: int) -> np.ndarray:
         """Places of the n-word phrases whose first word belongs to the body."""
@@ -134,7 +161,17 @@ class Phrases:
         out = self.lang[at] + np.uint64(n)
         for k in range(n):
             out = X.mix(out * _STEP + self.hashes[at + k])
-        return out.view(np.int64)
+        return out
+
+    def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct names of words and pairs in order, their weights, and a place and size of each."""
+        at = [self.at(n) for n in (1, 2)]
+        names = np.concatenate([self.names(n, a) for n, a in zip((1, 2), at)])
+        order = np.argsort(names)
+        names = names[order]
+        new = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.empty(0, np.int64)
+        weight = np.add.reduceat(self.weight[np.concatenate(at)][order], new) if len(new) else new
+        return names[new], weight, np.concatenate(at)[order[new]], 1 + (order[new] >= len(at[0]))
 
     def texts(self, n: int, at: np.ndarray) -> pa.Array:
         return _strings(self.data, self.starts[at], self.ends[at + n - 1] - self.starts[at])
@@ -144,83 +181,118 @@ def _lang_name(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-_COUNTS = pa.schema([("name", pa.int64()), ("block", pa.int32()), ("n", pa.int64())])
+def _edges(names: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range of names begins in a sorted run."""
+    return np.searchsorted(names, np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64)).tolist() + [len(names)]
+
+
+def _steps(names: np.ndarray) -> bytes:
+    """A sorted run as differences, byte by byte of all of them: the high bytes are zeros, which the shuffle packs."""
+    return np.diff(names, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+_RUNS = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("names", pa.binary()), ("weights", pa.binary())])
+
+
+def _sent(ranges: int):
+    """The names of each block, cut into ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                names, weights, _, _ = Phrases(payload.as_py()).short()
+                edges = _edges(names, ranges)
+                some = [k for k in range(ranges) if edges[k + 1] > edges[k]]
+                runs = [slice(edges[k], edges[k + 1]) for k in some]
+                small = [weights[r].astype(np.min_scalar_type(int(weights[r].max()))) for r in runs]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int32()), pa.array([_steps(names[r]) for r in runs], pa.binary()), pa.array([w.tobytes() for w in small], pa.binary())], schema=_RUNS)
+
+    return run, "range int, block int, names binary, weights binary"
+
 
+_ANSWERS = pa.schema([("block", pa.int32()), ("range", pa.int32()), ("frequent", pa.binary()), ("first", pa.binary()), ("totals", pa.binary())])
 
-def _gathered(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Join short batches up to about `limit` bytes, so that equal names meet before they are sent."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > limit:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks()
 
+def _added(least: int):
+    """Totals of a range; each block learns which of its names are frequent, and the totals of those it is the first to have."""
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted counts of the words and pairs of each block met in a slice."""
-    for rows in _gathered(batches):
+    def run(rows: pa.Table) -> pa.Table:
         blocks = rows.column("block").to_numpy()
-        edges = np.append(np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))), len(blocks))
-        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            phrases = Phrases(rows.slice(start, stop - start))
-            at = [phrases.at(n) for n in (1, 2)]
-            names = np.concatenate([phrases.names(n, a) for n, a in zip((1, 2), at)])
-            order = np.argsort(names)
-            names, weight = names[order], phrases.weight[np.concatenate(at)][order]
-            new = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-            totals = np.add.reduceat(weight, new)
-            yield pa.RecordBatch.from_arrays([pa.array(names[new]), pa.array(np.full(len(new), blocks[start], np.int32)), pa.array(totals)], schema=_COUNTS)
+        order = np.argsort(blocks, kind="stable")
+        runs = [_unsteps(rows.column("names")[int(i)].as_py()) for i in order]
+        raw = [rows.column("weights")[int(i)].as_py() for i in order]
+        weights = np.concatenate([np.frombuffer(w, f"u{len(w) // len(n)}").astype(np.int64) for w, n in zip(raw, runs)])
+        names = np.concatenate(runs)
+        by_name = np.argsort(names, kind="stable")  # of one name, the first block comes first
+        same = names[by_name]
+        new = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+        total = np.add.reduceat(weights[by_name], new)
+        frequent, first, totals = np.zeros(len(names), bool), np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        frequent[by_name] = np.repeat(total >= least, np.diff(np.append(new, len(names))))
+        first[by_name[new[total >= least]]] = True
+        totals[by_name[new]] = total
+        edges = np.concatenate(([0], np.cumsum([len(n) for n in runs])))
+        parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+        number = rows.column("range")[0].as_py()
+        return pa.Table.from_pydict({
+            "block": blocks[order], "range": [number] * len(parts), "frequent": [np.packbits(frequent[p]).tobytes() for p in parts],
+            "first": [np.packbits(first[p]).tobytes() for p in parts], "totals": [totals[p][first[p]].tobytes() for p in parts],
+        }, schema=_ANSWERS)
+
+    return run, "block int, range int, frequent binary, first binary, totals binary"
 
 
 _FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def _long(chunk: pa.Table, frequent: pa.Table) -> pa.Table:
-    """Texts and counts of a block: frequent words and pairs named here, and phrases of frequent pairs."""
-    if not chunk.num_rows or not frequent.num_rows:
-        return _FOUND.empty_table()
-    phrases = Phrases(chunk)
-    names = frequent.column("name").to_numpy()
-    order = np.argsort(names)
-    names, total, here = names[order], frequent.column("f").to_numpy()[order], frequent.column("here").to_numpy()[order]
-    langs = chunk.column("lang")
-    out = []
-
-    def add(n: int, at: np.ndarray, value: np.ndarray, how: str) -> None:
-        rows = pa.table({"lang": langs.take(pa.array(phrases.row[at])), "phrase": phrases.texts(n, at), "f": pa.array(value)})
-        rows = rows.group_by(["lang", "phrase"]).aggregate([("f", how)])
-        out.append(pa.table({"lang": rows["lang"], "phrase": rows["phrase"].cast(pa.string()), "f": rows[f"f_{how}"]}).cast(_FOUND))
-
-    for n in (1, 2):
-        at = phrases.at(n)
-        own = phrases.names(n, at)
-        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
-        good = (names[place] == own) & here[place]
-        add(n, at[good], total[place[good]], "max")
-    # Pairs anywhere in a chunk, the borrowed words too.
-    at = np.flatnonzero(phrases.left >= 2)
-    own = phrases.names(2, at)
-    linked = np.zeros(len(phrases.starts) + LONGEST, bool)
-    linked[at] = names[np.minimum(np.searchsorted(names, own), len(names) - 1)] == own
-    for n in range(3, LONGEST + 1):
-        at = phrases.at(n)
-        at = at[np.logical_and.reduce([linked[at + k] for k in range(n - 1)])]
-        add(n, at, phrases.weight[at], "sum")
-    return pa.concat_tables(out)
-
-
-def frequent_phrases(chunk: DataFrame, least: int = LEAST) -> DataFrame:
+def _texts(ranges: int):
+    """Texts and counts of a block: the frequent names it is the first to have, and phrases of frequent pairs."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not answers.num_rows:
+            return _FOUND.empty_table()
+        phrases = Phrases(blocks.column("payload")[0].as_py())
+        names, _, places, sizes = phrases.short()
+        edges = _edges(names, ranges)
+        frequent, first, totals = np.zeros(len(names), bool), np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+        for r in answers.to_pylist():
+            part = slice(edges[r["range"]], edges[r["range"] + 1])
+            bits = lambda raw: np.unpackbits(np.frombuffer(raw, np.uint8), count=part.stop - part.start).astype(bool)  # noqa: E731, B023
+            frequent[part], first[part] = bits(r["frequent"]), bits(r["first"])
+            totals[part.start + np.flatnonzero(first[part])] = np.frombuffer(r["totals"], np.int64)
+        out = []
+
+        def add(n: int, at: np.ndarray, value: np.ndarray) -> None:
+            rows = pa.table({"lang": phrases.langs.take(pa.array(phrases.row[at])), "phrase": phrases.texts(n, at), "f": pa.array(value)})
+            rows = rows.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            out.append(pa.table({"lang": rows["lang"], "phrase": rows["phrase"].cast(pa.string()), "f": rows["f_sum"]}).cast(_FOUND))
+
+        for n in (1, 2):
+            mine = np.flatnonzero(first & (sizes == n))
+            add(n, places[mine], totals[mine])
+        # Pairs that begin in a body have their bits here; a pair of borrowed words may not, so it does not exclude a phrase.
+        known = phrases.at(2)
+        linked = np.ones(len(phrases.starts) + LONGEST, bool)
+        linked[known] = frequent[np.searchsorted(names, phrases.names(2, known))]
+        for n in range(3, LONGEST + 1):
+            at = phrases.at(n)
+            at = at[np.logical_and.reduce([linked[at + k] for k in range(n - 1)])]
+            add(n, at, phrases.weight[at])
+        return pa.concat_tables(out)
+
+    return run, "lang string, phrase string, f bigint"
+
+
+def frequent_phrases(chunk: DataFrame, blocks: int, least: int = LEAST) -> DataFrame:
     """lang, phrase, f of every phrase of up to four words that stands `least` times or more."""
-    short = chunk.select("block", "lang", "chunk", "body", "n").mapInArrow(_short, "name bigint, block int, n bigint")
-    by_name = Window.partitionBy("name")
-    known = short.select("block", "name", F.sum("n").over(by_name).alias("f"), (F.min("block").over(by_name) == F.col("block")).alias("here")).where(F.col("f") >= least)
-    # A block may send a name from more than one slice.
-    known = known.groupBy("block", "name").agg(F.max("f").alias("f"), F.max("here").alias("here"))
-    met = chunk.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_long, "lang string, phrase string, f bigint")
+    ranges = RANGES_A_BLOCK * blocks
+    sent = chunk.select("block", "payload").mapInArrow(*_sent(ranges))
+    answers = sent.groupBy("range").applyInArrow(*_added(least))
+    met = chunk.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(*_texts(ranges))
     return met.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -251,12 +323,12 @@ def scored(frequent: DataFrame) -> DataFrame:
     return worst.join(longest, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~covered).drop("longer")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int = FIRST) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, first: int = FIRST, trigger: int = TRIGGER) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    chunk = dictionary(docs, text, lang)
-    # Words of a language: every word belongs to the body of one chunk.
-    words = chunk.groupBy("lang").agg(F.sum(F.col("body") * F.col("n")).alias("n"))
-    best = scored(tables.written(frequent_phrases(chunk, least), "phrases"))
+    chunk, blocks = dictionary(docs, text, lang, trigger)
+    # Every word belongs to the body of one chunk.
+    words = chunk.select(F.explode(F.arrays_zip("langs", "words")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.words").alias("n"))
+    best = scored(tables.written(frequent_phrases(chunk, blocks, least), "phrases"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= first)
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
