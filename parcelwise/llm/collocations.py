@@ -44,7 +44,7 @@ SCALE = 2_000_000
 #: One pair of neighbouring words in so many begins a chunk.
 TRIGGER = 32
 #: Text bytes of one block: bounds a task's memory.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Ranges of names for each block.
 RANGES_A_BLOCK = 2
 _WORD, _GAP, _CUT = 0, 1, 2
@@ -93,7 +93,7 @@ def chunks(column: pa.Array, trigger: int = TRIGGER) -> tuple[np.ndarray, pa.Arr
 
 def _parse(trigger: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, limit=4 * X.SLICE_BYTES):
+        for batch in X.slices(batches, limit=2 * X.SLICE_BYTES):
             row, text, body = chunks(batch.column("text"), trigger)
             found = pa.table({"lang": batch.column("lang").take(pa.array(row)), "chunk": text, "body": body})
             found = found.group_by(["lang", "chunk", "body"]).aggregate([([], "count_all")])
