@@ -225,30 +225,6 @@ def odd_crossings(edges: ColumnLike, lng: ColumnLike, lat: ColumnLike) -> Column
     return F.size(F.filter(col(edges), crosses)) % 2 == 1
 
 
-def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-
-
-def segments_cross(p: Column, q: Column) -> Column:
-    d1 = _side(p["ax"], p["ay"], p["bx"], p["by"], q["ax"], q["ay"])
-    d2 = _side(p["ax"], p["ay"], p["bx"], p["by"], q["bx"], q["by"])
-    d3 = _side(q["ax"], q["ay"], q["bx"], q["by"], p["ax"], p["ay"])
-    d4 = _side(q["ax"], q["ay"], q["bx"], q["by"], p["bx"], p["by"])
-    return (d1 * d2 <= 0) & (d3 * d4 <= 0) & ((d1 != 0) | (d2 != 0) | (d3 != 0) | (d4 != 0))
-
-
-def polygons_intersect(a: ColumnLike, b: ColumnLike) -> Column:
-    """A vertex of one lies in the other, or two edges cross."""
-    ra, rb = col(a), col(b)
-    vertex_inside = F.exists(F.flatten(ra), lambda p: contains(rb, p["x"], p["y"])) | F.exists(
-        F.flatten(rb), lambda p: contains(ra, p["x"], p["y"])
-    )
-    edge_cross = F.exists(
-        ring_edges(ra), lambda p: F.exists(ring_edges(rb), lambda q: segments_cross(p, q))
-    )
-    return vertex_inside | edge_cross
-
-
 def ring_area_deg2(r: Column) -> Column:
     """Signed area of a closed ring, positive when it runs counter-clockwise.
 

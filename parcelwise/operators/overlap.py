@@ -2,84 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..functions.clip import overlap_area
+from ..functions import clip, geo
+from ..functions.clip import ring_edges
+from ..functions.sweep import union_area
 from . import spatial as X
 
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BOX = ("x0", "y0", "x1", "y1")
+#: Features of one sweep, on average; a parcel with more is cut into a lattice of windows.
+FEATURES_A_SWEEP = 64
+
 
 # ── overlap ─────────────────────────────────────────────────────────────────
 def _as_side(df: DataFrame, keep: list[str]) -> DataFrame:
-    box = ("rings", "x0", "y0", "x1", "y1")
-    return df.select(*keep, *[F.col(c).alias(f"b_{c}") for c in box])
+    return df.select(*keep, *[F.col(c).alias(f"b_{c}") for c in ("rings", *BOX)])
 
 
-def _with_common_area(pairs: DataFrame) -> DataFrame:
-    """Candidate pairs that intersect, with ``_common`` area.
+def same_shapes(layer: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """Features of one shape (and of equal ``by``) as one row, so that copies are measured once."""
+    return layer.groupBy(*by, "rings", *BOX).agg(*[c.alias(n) for n, c in aggs.items()])
 
-    Only pairs without common area need the exact test, for a shared boundary.
-    """
-    measured = pairs.withColumn("_common", overlap_area("rings", "b_rings"))
-    return measured.filter((F.col("_common") > 0) | geo.polygons_intersect("rings", "b_rings"))
+
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """Candidate pairs that share at least a point, with ``_common``: area and centroid of the common part."""
+    return pairs.withColumn("_common", clip.overlap_parts("rings", "b_rings")).filter("_common.meets")
 
 
 def overlap_fractions(rings: DataFrame, areas: DataFrame, key: str, keep: list[str], cell: float) -> DataFrame:
     """Intersecting pairs with ``frac``, the share of each area the ring covers."""
     sized = areas.withColumn("_area", geo.polygon_area_deg2("rings"))
-    pairs = X.boxes_meeting(rings.select(key, "rings", "x0", "y0", "x1", "y1"), _as_side(sized, [*keep, "_area"]), cell)
-    share = F.coalesce(F.try_divide(F.col("_common"), F.col("_area")), F.lit(0.0))
-    return _with_common_area(pairs).select(key, *keep, F.least(F.lit(1.0), share).alias("frac"))
+    pairs = X.boxes_meeting(rings.select(key, "rings", *BOX), _as_side(sized, [*keep, "_area"]), cell)
+    share = F.coalesce(F.try_divide(F.col("_common.area"), F.col("_area")), F.lit(0.0))
+    return _meeting(pairs).select(key, *keep, F.least(F.lit(1.0), share).alias("frac"))
 
 
 def areal_rollup(rings: DataFrame, tracts: DataFrame, key: str, cell: float) -> DataFrame:
     """Population, households, age band and jobs by overlapped share; income is
-    population-weighted over tracts that publish one."""
-    measures = ["population", "households", "age_18_34", "jobs", "median_income"]
-    w = overlap_fractions(rings, tracts, key, measures, cell)
-    people = F.coalesce(F.col("population"), F.lit(0.0)) * F.col("frac")
+    population-weighted over tracts that publish one.
+
+    Tracts of one shape share their fraction, so their measures are added up first.
+    """
+    people = F.coalesce(F.col("population"), F.lit(0.0))
     known = F.col("median_income").isNotNull() & (people > 0)
+    shares = ("population", "households", "age_18_34", "jobs")
+    measures = {m: F.sum(F.coalesce(F.col(m), F.lit(0.0))) for m in shares}
+    measures |= {"_n": F.count(F.lit(1)), "_earned": F.sum(F.when(known, F.col("median_income") * people)), "_earners": F.sum(F.when(known, people))}
+    w = overlap_fractions(rings, same_shapes(tracts, [], measures), key, list(measures), cell)
+    part = lambda m: F.sum(F.col(m) * F.col("frac"))
     return w.groupBy(key).agg(
-        F.count(F.lit(1)).alias("tracts_intersected"),
-        F.sum(people).alias("population"),
-        *[F.sum(F.coalesce(F.col(m), F.lit(0.0)) * F.col("frac")).alias(m) for m in ("households", "age_18_34", "jobs")],
-        F.try_divide(
-            F.sum(F.when(known, F.col("median_income") * people)), F.sum(F.when(known, people))
-        ).alias("median_income"),
+        F.sum("_n").alias("tracts_intersected"),
+        *[part(m).alias(m) for m in shares],
+        F.try_divide(part("_earned"), part("_earners")).alias("median_income"),
     )
 
 
-def overlap_moments(a: DataFrame, b: DataFrame, key: str, other: str, cell: float) -> DataFrame:
-    """Share of ``a`` inside ``b`` per intersecting pair."""
-    sized = a.select(key, "rings", "x0", "y0", "x1", "y1", geo.polygon_area_deg2("rings").alias("_area"))
-    pairs = X.boxes_meeting(sized, _as_side(b, [other]), cell)
-    return _with_common_area(pairs).select(key, other, F.try_divide(F.col("_common"), F.col("_area")).alias("overlap"))
+def overlap_moments(a: DataFrame, b: DataFrame, keep_a: list[str], keep_b: list[str], cell: float) -> DataFrame:
+    """Intersecting pairs: share of ``a`` inside ``b``, and the centroid of the common part
+    (``c_lng``, ``c_lat``; null where the polygons only touch)."""
+    sized = a.select(*keep_a, "rings", *BOX, geo.polygon_area_deg2("rings").alias("_area"))
+    met = _meeting(X.boxes_meeting(sized, _as_side(b, keep_b), cell))
+    share = F.try_divide(F.col("_common.area"), F.col("_area"))
+    return met.select(*keep_a, *keep_b, share.alias("overlap"), F.col("_common.lng").alias("c_lng"), F.col("_common.lat").alias("c_lat"))
 
 
-def summed_overlap_acres(parcels: DataFrame, layer: DataFrame, key: str, lat: str, cell: float) -> DataFrame:
-    """Σ overlap acres per parcel; overlapping features count twice."""
-    pairs = X.boxes_meeting(parcels.select(key, lat, "rings", "x0", "y0", "x1", "y1"), _as_side(layer, []), cell)
-    acres = geo.deg2_to_acres(overlap_area("rings", "b_rings"), lat)
-    return pairs.select(key, acres.alias("_a")).groupBy(key).agg(F.sum("_a").alias("overlap_acres"))
+def summed_overlap(parcels: DataFrame, layer: DataFrame, key: str, cell: float) -> DataFrame:
+    """Σ overlap area (square degrees) per parcel; overlapping features count each."""
+    shapes = same_shapes(layer, [], {"_n": F.count(F.lit(1))})
+    pairs = X.boxes_meeting(parcels.select(key, "rings", *BOX), _as_side(shapes, ["_n"]), cell)
+    area = clip.overlap_area("rings", "b_rings") * F.col("_n")
+    return pairs.select(key, area.alias("_a")).groupBy(key).agg(F.sum("_a").alias("area_deg2"))
 
 
-def union_cover(
-    parcels: DataFrame, layer: DataFrame, key: str, kind: str, acres: str, n: int, cell: float
-) -> DataFrame:
-    """Acres covered by the union of a layer, by an n×n lattice per parcel.
+def _sweep(key: str, kind: str):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        one = rows.slice(0, 1)
+        parcel = ring_edges(one.column("rings").combine_chunks())
+        features = ring_edges(rows.column("b_rings").combine_chunks())
+        owner = np.concatenate((np.zeros(len(parcel[0]), np.int64), features[0] + 1))
+        window = tuple(one.column(c)[0].as_py() for c in ("_w", "_s", "_e", "_n"))
+        area = union_area(window, owner, *(np.concatenate((p, f)) for p, f in zip(parcel[1:], features[1:])))
+        return pa.table({key: one.column(key), kind: one.column(kind), "area_deg2": [area]})
+
+    return run
+
+
+def union_cover(parcels: DataFrame, layer: DataFrame, key: str, kind: str, cell: float) -> DataFrame:
+    """Exact area (square degrees) of each parcel under the union of the features of a kind.
 
-    A lattice point inside several features counts once.
+    ``parcels`` has rings and box. Copies of a feature count once. A parcel with one feature is
+    measured as a pair; otherwise a plane sweep per window counts covered stretches. A window
+    is the whole parcel, or a square of a lattice fine enough for the number of its features, so that
+    many features over one parcel spread over tasks. Parcels without cover give no row.
     """
-    points = parcels.withColumn(
-        "_p", F.explode(geo.lattice("lng", "lat", geo.parcel_side_m(acres), n))
-    ).select(key, acres, F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), F.col("_p.lng"), F.col("_p.lat"))
-    hits = X.points_in_polygons(points, layer.select(kind, "rings", "x0", "y0", "x1", "y1"), cell)
-    once = hits.select(key, acres, kind, "_i", "_j").distinct()
-    covered = once.groupBy(key, kind).agg(F.count(F.lit(1)).alias("covered_points"), F.first(acres).alias("_acres"))
-    return covered.select(
-        key, kind, "covered_points", (F.col("_acres") * F.col("covered_points") / float(n * n)).alias("covered_acres")
+    shapes = layer.select(kind, "rings", *BOX).distinct()
+    pairs = X.boxes_meeting(parcels.select(key, "rings", *BOX), _as_side(shapes, [kind]), cell)
+    counts = pairs.groupBy(key, kind).agg(F.count(F.lit(1)).alias("_c"))
+    sized = pairs.join(counts, [key, kind])
+    alone = sized.filter(F.col("_c") == 1).select(key, kind, clip.overlap_area("rings", "b_rings").alias("area_deg2"))
+    side = F.ceil(F.sqrt(F.col("_c") / FEATURES_A_SWEEP)).cast("int")
+    many = sized.filter(F.col("_c") > 1).withColumns({"_k": side, "_dx": F.col("x1") - F.col("x0"), "_dy": F.col("y1") - F.col("y0")}).filter("_dx > 0 AND _dy > 0")
+
+    def windows(low: str, extent: str, start: Column, stop: Column) -> Column:
+        place = lambda v: F.least(F.greatest(F.floor((v - F.col(low)) / F.col(extent) * F.col("_k")).cast("int"), F.lit(0)), F.col("_k") - 1)
+        return F.explode(F.sequence(place(start), place(stop)))
+
+    many = many.withColumn("_px", windows("x0", "_dx", F.greatest("x0", "b_x0"), F.least("x1", "b_x1")))
+    many = many.withColumn("_py", windows("y0", "_dy", F.greatest("y0", "b_y0"), F.least("y1", "b_y1")))
+    edge = lambda low, extent, p: F.col(low) + F.col(extent) * p / F.col("_k")
+    many = many.select(
+        key, kind, "_px", "_py", "rings", "b_rings", edge("x0", "_dx", F.col("_px")).alias("_w"), edge("y0", "_dy", F.col("_py")).alias("_s"),
+        edge("x0", "_dx", F.col("_px") + 1).alias("_e"), edge("y0", "_dy", F.col("_py") + 1).alias("_n"),
     )
+    schema = f"{key} {parcels.schema[key].dataType.simpleString()}, {kind} {layer.schema[kind].dataType.simpleString()}, area_deg2 double"
+    swept = many.groupBy(key, kind, "_px", "_py").applyInArrow(_sweep(key, kind), schema)
+    return alone.unionByName(swept).groupBy(key, kind).agg(F.sum("area_deg2").alias("area_deg2")).filter("area_deg2 > 0")
 
 
 # ── boundaries ──────────────────────────────────────────────────────────────

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import clip, geo
 from ..functions.geo import HAVERSINE, Metric
 
 CELL = ["_cx", "_cy"]
@@ -132,7 +132,7 @@ def boxes_meeting(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
 def polygons_touching(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Pairs of polygons that share at least a point (``rings`` and ``b_rings``)."""
-    return boxes_meeting(a, b, cell).filter(geo.polygons_intersect("rings", "b_rings"))
+    return boxes_meeting(a, b, cell).filter(clip.have_common_point("rings", "b_rings"))
 
 
 # ── radius ──────────────────────────────────────────────────────────────────

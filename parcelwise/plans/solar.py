@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import geo
 from ..functions import scoring as S
 from ..operators import aggregates as A
+from ..operators import overlap
+from ..operators import raster as raster_ops
 from ..operators import spatial as X
 from ..sources import catalog
 
@@ -302,8 +305,21 @@ def terrain_irradiance_factor(slope_pct: Column, aspect_deg: Column) -> Column:
     return F.when(aspect_deg.isNull() | (slope_pct < 1.0), 1.0).otherwise(F.round(f, 3))
 
 
-def terrain_stage(points: DataFrame, key: str) -> DataFrame:
-    """Slope, dominant aspect and uniformity from a lattice of elevations.
+def parcel_elevations(parcels: DataFrame, key: str, raster: DataFrame, value: str, nodata: float, n: int, **affine: float) -> DataFrame:
+    """Elevations on an n×n lattice over each parcel, read from the raster's cells.
+
+    ``parcels``: key, lng, lat, acres. A lattice point outside the raster or on nodata is null.
+    """
+    side = geo.parcel_side_m("acres")
+    lattice = F.explode(geo.lattice("lng", "lat", side, n)).alias("_p")
+    points = parcels.filter(F.col("acres") > 0).select(key, (side / (n - 1)).alias("dx_m"), (side / (n - 1)).alias("dy_m"), lattice)
+    points = points.select(key, "dx_m", "dy_m", "_p.i", "_p.j", "_p.lng", "_p.lat")
+    read = raster_ops.sample(points, raster.select("row", "col", value), [value], nodata, **affine)
+    return read.select(key, "i", "j", F.col(value).alias("elev"), "dx_m", "dy_m")
+
+
+def terrain_cells(points: DataFrame, key: str) -> DataFrame:
+    """Slope (rise over run) and downslope aspect of the interior lattice points.
 
     ``points``: key, i, j, elev, dx_m, dy_m. Neighbours meet by an equi-join on
     (key, i, j); only interior points with four known neighbours count.
@@ -319,11 +335,16 @@ def terrain_stage(points: DataFrame, key: str) -> DataFrame:
     slope, _ = S.stencil_slope_aspect("e", "w", "n", "s", F.col("dx_m") * 2.0, F.col("dy_m") * 2.0)
     dz_dx, dz_dy = (F.col("e") - F.col("w")) / (F.col("dx_m") * 2.0), (F.col("n") - F.col("s")) / (F.col("dy_m") * 2.0)
     aspect = F.pmod(F.degrees(F.atan2(-dz_dx, -dz_dy)) + 360.0, F.lit(360.0))
-    cells = stencil.withColumns({"_slope": slope, "_aspect": aspect})
+    return stencil.select(key, "i", "j", slope.alias("slope"), aspect.alias("aspect_deg"))
+
+
+def terrain_stage(points: DataFrame, key: str) -> DataFrame:
+    """Slope, dominant aspect and uniformity from a lattice of elevations."""
+    cells = terrain_cells(points, key)
     grades = cells.groupBy(key).agg(
         F.count(F.lit(1)).alias("interior_cells"),
-        F.avg("_slope").alias("_g"),
-        A.circular_mean(F.col("_slope"), F.col("_aspect")).alias("dominant_aspect_deg"),
+        F.avg("slope").alias("_g"),
+        A.circular_mean(F.col("slope"), F.col("aspect_deg")).alias("dominant_aspect_deg"),
     )
     spread = points.groupBy(key).agg(F.stddev_pop("elev").alias("elev_std_m"))
     std = F.col("elev_std_m")
@@ -355,11 +376,29 @@ def buildable_stage(parcels: DataFrame, exclusions: DataFrame, key: str, array_t
     )
 
 
-def steep_acres(points: DataFrame, key: str, acres: str, threshold_pct: float) -> DataFrame:
-    """Share of lattice slopes at or over the threshold × parcel acres."""
-    return points.groupBy(key).agg(
-        (F.first(acres) * F.count_if(F.col("slope_pct") >= threshold_pct) / F.count("slope_pct")).alias("overlap_acres")
-    )
+def steep_acres(cells: DataFrame, parcels: DataFrame, key: str, threshold_pct: float) -> DataFrame:
+    """Share of interior lattice slopes at or over the threshold × parcel acres."""
+    share = F.count_if(F.col("slope") * 100.0 >= threshold_pct) / F.count(F.lit(1))
+    return cells.groupBy(key).agg(share.alias("_s")).join(parcels.select(key, "acres"), key).select(key, (F.col("_s") * F.col("acres")).alias("overlap_acres"))
+
+
+def exclusion_layers(parcels: DataFrame, key: str, summed: dict[str, DataFrame], unions: DataFrame, cells: DataFrame, steep_pct: float, setbacks: dict[str, float], cell: float) -> DataFrame:
+    """Acres of each parcel lost to each layer, as (key, layer, overlap_acres); layers without loss give no row.
+
+    ``summed`` layers count every feature, ``unions`` (column ``layer``) count overlapping features
+    once, both by exact areas; ``cells`` are the parcels' terrain cells; setbacks are flat shares.
+    """
+    size = parcels.select(key, "lat", "acres")
+
+    def acres(areas: DataFrame) -> DataFrame:
+        return areas.join(size, key).select(key, "layer", geo.deg2_to_acres("area_deg2", "lat").alias("overlap_acres"))
+
+    parts = [acres(overlap.union_cover(parcels, unions, key, "layer", cell))]
+    parts += [acres(overlap.summed_overlap(parcels, layer, key, cell).withColumn("layer", F.lit(name))) for name, layer in summed.items()]
+    parts.append(steep_acres(cells, parcels, key, steep_pct).select(key, F.lit("steep_slope").alias("layer"), "overlap_acres"))
+    parts += [size.select(key, F.lit(name).alias("layer"), setback_acres(F.col("acres"), share).alias("overlap_acres")) for name, share in setbacks.items()]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select(key, "layer", F.round("overlap_acres", 2).alias("overlap_acres")).filter("overlap_acres > 0")
 
 
 def setback_acres(acres: Column, percent: float) -> Column:

@@ -172,34 +172,29 @@ def route(locations: DataFrame) -> DataFrame:
 def huff(pairs: DataFrame, key: str, beta: float = 2.0) -> DataFrame:
     """Existing-store capture and the largest cannibalisation per candidate.
 
-    ``pairs``: key, store_id, overlap (0–1), t_new_m, t_ex_m.
+    ``pairs``: key, overlap (0–1), t_new_m, t_ex_m, and n_stores where a row stands for several.
     """
     t_new, t_ex = F.greatest(F.col("t_new_m"), F.lit(1.0)), F.greatest(F.col("t_ex_m"), F.lit(1.0))
     p_ex = F.lit(1.0) / (F.pow(t_ex / t_new, F.lit(beta)) + 1.0)
     est = pairs.withColumn("capture", p_ex).withColumn("estimate", F.col("overlap") * F.col("capture"))
-    out = est.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_stores"), F.max("estimate").alias("max_estimate"), F.max("overlap").alias("max_overlap")
-    )
+    stores = F.sum("n_stores") if "n_stores" in pairs.columns else F.count(F.lit(1))
+    out = est.groupBy(key).agg(stores.alias("n_stores"), F.max("estimate").alias("max_estimate"), F.max("overlap").alias("max_overlap"))
     e = F.col("max_estimate")
     return out.withColumn("risk", F.when(e > 0.30, "High").when(e > 0.10, "Medium").otherwise("Low"))
 
 
-def candidate_store_pairs(candidates: DataFrame, stores: DataFrame, half_x: float, half_y: float, reach_m: float) -> DataFrame:
-    """Overlap share and centroid distances of box catchments.
+def catchment_pairs(candidates: DataFrame, stores: DataFrame, key: str, cell: float) -> DataFrame:
+    """Overlap share of each candidate's catchment with the stores' catchments, and how far
+    the candidate and the store are from the middle of the common part.
 
-    For boxes the common part is a box, so area and centroid are closed form.
+    Both sides have lng, lat, rings and box. Stores that share place and catchment become one
+    row with their number.
     """
-    feats = stores.select(F.col("loc_id").alias("store_id"), F.col("lng").alias("f_lng"), F.col("lat").alias("f_lat"))
-    pairs = X.within_radius(candidates.select("loc_id", "lng", "lat"), feats, reach_m)
-    w = F.greatest(F.lit(0.0), 2.0 * half_x - F.abs(F.col("lng") - F.col("f_lng")))
-    h = F.greatest(F.lit(0.0), 2.0 * half_y - F.abs(F.col("lat") - F.col("f_lat")))
-    mx, my = (F.col("lng") + F.col("f_lng")) / 2.0, (F.col("lat") + F.col("f_lat")) / 2.0
-    return pairs.filter((w > 0) & (h > 0)).select(
-        "loc_id",
-        "store_id",
-        (w * h / (4.0 * half_x * half_y)).alias("overlap"),
-        geo.haversine_m("lng", "lat", mx, my).alias("t_new_m"),
-        geo.haversine_m("f_lng", "f_lat", mx, my).alias("t_ex_m"),
+    placed = stores.withColumnsRenamed({"lng": "f_lng", "lat": "f_lat"})
+    shapes = overlap.same_shapes(placed, ["f_lng", "f_lat"], {"n_stores": F.count(F.lit(1))})
+    met = overlap.overlap_moments(candidates, shapes, [key, "lng", "lat"], ["f_lng", "f_lat", "n_stores"], cell)
+    return met.select(
+        key, "n_stores", "overlap", geo.haversine_m("lng", "lat", "c_lng", "c_lat").alias("t_new_m"), geo.haversine_m("f_lng", "f_lat", "c_lng", "c_lat").alias("t_ex_m")
     )
 
 

@@ -1,10 +1,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parcelwise.functions import geo
+from parcelwise.functions import clip, geo
+from parcelwise.functions.sweep import union_area
 from parcelwise.operators import overlap
 from parcelwise.operators import spatial as X
 
@@ -174,12 +177,66 @@ def test_overlap_area_concave_and_symmetric(spark):
     assert ab == pytest.approx(ba) and ab == pytest.approx(hits * 16 / n / n, abs=0.03)
 
 
+def _boxes(spark, rows, key="kind"):
+    df = spark.createDataFrame(rows, f"{key} string, x0 double, y0 double, x1 double, y1 double")
+    return df.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1"))
+
+
 def test_union_cover_counts_overlap_once(spark):
     parcel = spark.createDataFrame([(1, 0.0, 0.0, 1000.0)], "loc_id long, lng double, lat double, acres double")
-    layer = spark.createDataFrame([("w", -1.0, -1.0, 1.0, 1.0), ("w", -1.0, -1.0, 1.0, 1.0)], "kind string, x0 double, y0 double, x1 double, y1 double")
-    layer = layer.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1"))
-    r = overlap.union_cover(parcel, layer, "loc_id", "kind", "acres", 5, 1.0).first()
-    assert (r.covered_points, r.covered_acres) == (25, 1000.0)
-    boxed = parcel.withColumn("rings", geo.parcel_rings("lng", "lat", "acres"))
-    summed = overlap.summed_overlap_acres(X.with_extent(boxed), layer, "loc_id", "lat", 1.0).first()
-    assert summed.overlap_acres == pytest.approx(2000.0, rel=1e-6)
+    layer = _boxes(spark, [("w", -1.0, -1.0, 1.0, 1.0), ("w", -1.0, -1.0, 1.0, 1.0)])
+    boxed = X.with_extent(parcel.withColumn("rings", geo.parcel_rings("lng", "lat", "acres")))
+    acres = geo.deg2_to_acres("area_deg2", F.lit(0.0)).alias("acres")
+    assert overlap.union_cover(boxed, layer, "loc_id", "kind", 1.0).select(acres).first().acres == pytest.approx(1000.0)
+    assert overlap.summed_overlap(boxed, layer, "loc_id", 1.0).select(acres).first().acres == pytest.approx(2000.0)
+
+
+def test_union_cover_equals_coordinate_compression(spark):
+    """Rectangles on whole coordinates, up to hundreds over one parcel, copies included: cells counted one by one."""
+    rng = np.random.default_rng(6)
+    parcels = _boxes(spark, [("a", 0.0, 0.0, 40.0, 30.0), ("b", 50.0, 50.0, 60.0, 70.0), ("c", 200.0, 200.0, 201.0, 201.0), ("d", 5.0, 5.0, 5.0, 9.0)], "loc_id")
+    rows = [("few", 1.0, 1.0, 4.0, 4.0), ("few", 55.0, 40.0, 80.0, 60.0)]
+    for _ in range(500):
+        x, y = rng.integers(-5, 45), rng.integers(-5, 35)
+        rows.append(("many", float(x), float(y), float(x + rng.integers(1, 4)), float(y + rng.integers(1, 4))))
+    rows += rows[2:200]
+    got = {(r.loc_id, r.kind): r.area_deg2 for r in overlap.union_cover(parcels, _boxes(spark, rows), "loc_id", "kind", 3.0).collect()}
+    grid = np.zeros((40, 30), bool)
+    for kind, x0, y0, x1, y1 in rows[2:]:
+        grid[max(int(x0), 0) : max(int(x1), 0), max(int(y0), 0) : max(int(y1), 0)] = True
+    assert got == {("a", "few"): pytest.approx(9.0), ("b", "few"): pytest.approx(50.0), ("a", "many"): pytest.approx(float(grid.sum()))}
+
+
+def _star(rng, x, y):
+    angle = np.sort(np.arange(9) * 2 * np.pi / 9 + rng.uniform(0, 0.6, 9))
+    r = rng.uniform(0.2, 1.0, 9)
+    px, py = x + r * np.cos(angle), y + r * np.sin(angle)
+    return [[{"x": float(a), "y": float(b)} for a, b in zip([*px, px[0]], [*py, py[0]])]]
+
+
+def test_overlap_kernel_and_sweep_agree_on_concave_polygons():
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    rng = np.random.default_rng(2)
+    a, b = (pa.array([_star(rng, *rng.uniform(-120, -119, 2)) for _ in range(80)], kind) for _ in range(2))
+    parts = clip.common_parts(a, b).to_pylist()
+    ea, eb = clip.ring_edges(a), clip.ring_edges(b)
+    for i, part in enumerate(parts):
+        m, n = ea[0] == i, eb[0] == i
+        edges = [np.concatenate((p[m], q[n])) for p, q in zip(ea[1:], eb[1:])]
+        owner = np.repeat([0, 1], [m.sum(), n.sum()])
+        assert union_area((-130.0, -130.0, -110.0, -110.0), owner, *edges) == pytest.approx(part["area"], abs=1e-12)
+        if part["area"] > 0.3:
+            # The centroid by sampling.
+            p = rng.uniform(-121.2, -117.8, (60_000, 2))
+            held = np.ones(len(p), bool)
+            for e, mask in ((ea, m), (eb, n)):
+                odd = np.zeros(len(p), bool)
+                for x0, y0, x1, y1 in zip(*(c[mask] for c in e[1:])):
+                    odd ^= ((y0 > p[:, 1]) != (y1 > p[:, 1])) & (p[:, 0] < (x1 - x0) * (p[:, 1] - y0) / (y1 - y0) + x0)
+                held &= odd
+            assert np.allclose(p[held].mean(axis=0), [part["lng"], part["lat"]], atol=0.03)
+    assert sum(p["area"] > 0.3 for p in parts) > 5
+    square = lambda x0, y0, x1, y1: [[{"x": float(x), "y": float(y)} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]]
+    pairs = [(square(0, 0, 1, 1), square(1, 1, 2, 2)), (square(0, 0, 1, 1), square(0.2, 0.2, 0.3, 0.3)), (square(0, 0, 1, 1), square(1.5, 0, 2, 1)), (square(0.2, 0.2, 0.3, 0.3), square(0, 0, 1, 1))]
+    found = clip.common_parts(pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)).to_pylist()
+    assert [p["meets"] for p in found] == [True, True, False, True] and found[0]["area"] == 0 and found[0]["lng"] is None

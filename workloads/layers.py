@@ -244,6 +244,23 @@ def box_polygons(df: DataFrame) -> DataFrame:
     return df.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1"))
 
 
+RASTER_AFFINE = {"x0": -125.0, "y0": 49.0, "px": 58.0 / 120, "py": 0.192}
+
+
+def catchments(stores: DataFrame) -> DataFrame:
+    """Four-cornered catchments of unequal size around every store."""
+    half = 0.02 + F.pmod(F.col("loc_id"), F.lit(5)) * 0.002
+    corners = [(F.col("lng") + half * dx, F.col("lat") + half * dy) for dx, dy in ZONE_CORNERS]
+    return stores.withColumn("rings", geo.ring(corners)).withColumns(geo.ring_extent("rings"))
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square parcels around every site; a site without acreage has an empty one."""
+    sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat", (F.col("acreage") * 4000.0).alias("acres"))
+    sized = sites.withColumn("rings", geo.parcel_rings("lng", "lat", "acres"))
+    return sized.withColumns(geo.ring_extent("rings"))
+
+
 def as_features(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("lng", "f_lng").withColumnRenamed("lat", "f_lat")
 
@@ -281,3 +298,56 @@ def hav(lng1: str, lat1: str, lng2: str, lat2: str) -> str:
         f"(2e0 * 6371000e0 * asin(least(1e0, sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2e0), 2) + "
         f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2e0), 2)))))"
     )
+
+
+PARCELS = """parcels AS (
+  SELECT *, lng - hx AS x0, lat - hy AS y0, lng + hx AS x1, lat + hy AS y1 FROM (
+    SELECT loc_id, lng, lat, acreage * 4000e0 AS acres, sqrt(acreage * 4000e0 * 4046.8564224e0) / (greatest(cos(radians(lat)), 1e-1) * 111320e0) / 2e0 AS hx,
+      sqrt(acreage * 4000e0 * 4046.8564224e0) / 111320e0 / 2e0 AS hy FROM sites))"""
+
+
+def strip_areas(name: str, windows: str, key: str, parts: str, outlines: str) -> str:
+    """Brute-force CTEs: exact area, per window and part, under the union of its convex outlines.
+
+    ``windows`` has the key and a box; ``parts`` joins ``w`` (windows) to part and shape; ``outlines``
+    has shape, ax, ay, bx, by. Every edge end and crossing starts a strip, in which all bounds are straight.
+    """
+    group = f"{key}, part"
+    return f"""{name}_near AS (SELECT w.{key}, w.x0, w.y0, w.x1, w.y1, part, shape FROM {windows} w JOIN {parts}),
+{name}_segs AS (SELECT n.*, least(e.ax, e.bx) AS sx, greatest(e.ax, e.bx) AS tx, CASE WHEN e.ax < e.bx THEN e.ay ELSE e.by END AS sy, CASE WHEN e.ax < e.bx THEN e.by ELSE e.ay END AS ty
+  FROM {name}_near n JOIN {outlines} e USING (shape) WHERE e.ax <> e.bx),
+{name}_events AS (SELECT DISTINCT {group}, x FROM (
+  SELECT {group}, x0, x1, unnest([x0, x1, sx, tx, CASE WHEN sy <> ty THEN sx + (y0 - sy) * (tx - sx) / (ty - sy) END, CASE WHEN sy <> ty THEN sx + (y1 - sy) * (tx - sx) / (ty - sy) END]) AS x FROM {name}_segs
+  UNION ALL SELECT {group}, x0, x1, (p - q - m * px + n * qx) / (n - m) AS x FROM (
+    SELECT a.{key}, a.part, a.x0, a.x1, a.sx AS px, a.sy AS p, (a.ty - a.sy) / (a.tx - a.sx) AS m, b.sx AS qx, b.sy AS q, (b.ty - b.sy) / (b.tx - b.sx) AS n
+    FROM {name}_segs a JOIN {name}_segs b ON a.{key} = b.{key} AND a.part = b.part AND a.shape < b.shape AND a.sx < b.tx AND b.sx < a.tx) WHERE m <> n)
+  WHERE x BETWEEN x0 AND x1),
+{name}_strips AS (SELECT * FROM (SELECT {group}, x AS xa, lead(x) OVER (PARTITION BY {group} ORDER BY x) AS xb FROM {name}_events) WHERE xb > xa),
+{name}_bands AS (SELECT {group}, xa, xb, shape, greatest(min(y), any_value(y0)) AS lo, least(max(y), any_value(y1)) AS hi FROM (
+  SELECT s.*, g.shape, g.y0, g.y1, g.sy + (g.ty - g.sy) / (g.tx - g.sx) * ((xa + xb) / 2e0 - g.sx) AS y
+  FROM {name}_strips s JOIN {name}_segs g ON g.{key} = s.{key} AND g.part = s.part AND g.sx < (xa + xb) / 2e0 AND g.tx > (xa + xb) / 2e0) GROUP BY {group}, xa, xb, shape),
+{name}_seen AS (SELECT *, max(hi) OVER (PARTITION BY {group}, xa ORDER BY lo, shape ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {name}_bands WHERE lo < hi),
+{name} AS (SELECT {group}, sum(greatest(0e0, hi - greatest(lo, coalesce(top, lo))) * (xb - xa)) AS area FROM {name}_seen GROUP BY {group})"""
+
+
+#: Catchments of the stores (see `catchments`): half sizes, edges from west to east, extents.
+CATCHMENTS = f"""halves AS (SELECT *, 0.02e0 + (loc_id % 5) * 0.002e0 AS half FROM stores),
+sides AS (SELECT loc_id, lng + half * least(dax, dbx) AS sx, lat + half * CASE WHEN dax < dbx THEN day ELSE dby END AS sy, lng + half * greatest(dax, dbx) AS tx, lat + half * CASE WHEN dax < dbx THEN dby ELSE day END AS ty
+  FROM halves CROSS JOIN (VALUES {_CORNER_ROWS}) AS c(k, dax, day, dbx, dby)),
+extents AS (SELECT loc_id, any_value(segment) AS segment, min(sx) AS x0, max(tx) AS x1, min(least(sy, ty)) AS y0, max(greatest(sy, ty)) AS y1 FROM sides JOIN halves USING (loc_id) GROUP BY loc_id)"""
+#: Area of a catchment of half size 1, by the shoelace rule.
+CATCHMENT_AREA = sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(ZONE_CORNERS, ZONE_CORNERS[1:] + ZONE_CORNERS[:1])) / 2.0
+
+#: The raster's elevation at a 5 × 5 lattice over every parcel, and slopes at the inner points.
+TERRAIN = """lat_pts AS (SELECT loc_id, side, i, j, lng - hx + hx * 2e0 * j / 4 AS plng, lat - hy + hy * 2e0 * i / 4 AS plat
+  FROM (SELECT *, sqrt(acres * 4046.8564224e0) AS side FROM parcels WHERE acres > 0) CROSS JOIN (SELECT unnest(range(5)) AS i) CROSS JOIN (SELECT unnest(range(5)) AS j)),
+elevations AS (SELECT loc_id, side, i, j, CASE WHEN dem <> -9999 THEN dem END AS z FROM (
+  SELECT *, CAST(floor((49e0 - plat) / 0.192e0) AS BIGINT) AS r, CAST(floor((plng + 125e0) / (58e0 / 120)) AS BIGINT) AS c FROM lat_pts) LEFT JOIN raster ON "row" = r AND "col" = c),
+inner_points AS (SELECT c.loc_id, (e.z - w.z) / (c.side / 4 * 2e0) AS dx, (n.z - s.z) / (c.side / 4 * 2e0) AS dy FROM elevations c
+  JOIN elevations e ON e.loc_id = c.loc_id AND e.i = c.i AND e.j = c.j + 1 JOIN elevations w ON w.loc_id = c.loc_id AND w.i = c.i AND w.j = c.j - 1
+  JOIN elevations n ON n.loc_id = c.loc_id AND n.j = c.j AND n.i = c.i + 1 JOIN elevations s ON s.loc_id = c.loc_id AND s.j = c.j AND s.i = c.i - 1
+  WHERE c.z IS NOT NULL AND e.z IS NOT NULL AND w.z IS NOT NULL AND n.z IS NOT NULL AND s.z IS NOT NULL)"""
+#: Outlines of the zones for `strip_areas`, and the zones near a window.
+ZONE_SHAPES = """zone_shapes AS (SELECT zone_id AS shape, e.ax, e.ay, e.bx, e.by FROM zone_edges e),
+zone_boxes AS (SELECT zone_id AS shape, any_value(kind) AS kind, any_value(flood_zone) AS flood_zone, min(ax) AS zx0, min(ay) AS zy0, max(ax) AS zx1, max(ay) AS zy1 FROM zone_edges GROUP BY zone_id)"""
+NEAR_ZONE = "zx0 < w.x1 AND zx1 > w.x0 AND zy0 < w.y1 AND zy1 > w.y0"

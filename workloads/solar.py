@@ -12,7 +12,10 @@ from parcelwise.plans import selection as E
 from parcelwise.plans import solar as L
 from parcelwise.sources import catalog
 
-from .layers import ZONE_EDGES, as_features, box_polygons, hav, inside, layer, table, with_ctes
+from .layers import (
+    NEAR_ZONE, RASTER_AFFINE, TERRAIN, ZONE_EDGES, ZONE_SHAPES, as_features, box_polygons, hav, inside, layer, parcels, strip_areas, table, with_ctes,
+)
+from .layers import PARCELS as PARCEL_BOXES
 from .spatial import TILE_CELL, segment_sql, zone_cell, zones
 
 PROBED = ["hifld_transmission", "osm_substations", "epa_ejscreen", "nwi_wetlands", "usfs_fsim", "landfire_fuels_canopy",
@@ -238,17 +241,31 @@ def deep_resource(spark, sf_dir):
     return out.select("loc_id", "system_capacity_kw", "tilt_deg", "annual_kwh", "cf_class", "low_cf_advisory")
 
 
+STEEP_PCT = 0.4  # parcels here are county-sized, so are the raster's cells
+SETBACKS = {"perimeter_setback": 2.0, "road_setback": 3.0}
+
+
+def _exclusions(spark, sf_dir):
+    own = parcels(spark, sf_dir)
+    z = zones(spark, sf_dir, "kind", "flood_zone")
+    unions = z.filter("kind <> 'wetland'").withColumnRenamed("kind", "layer").drop("flood_zone")
+    flood = z.filter(S.is_sfha("flood_zone")).select(F.lit("flood").alias("layer"), *unions.columns[1:])
+    elevations = L.parcel_elevations(own, "loc_id", layer(spark, sf_dir, "raster"), "dem", -9999.0, 5, **RASTER_AFFINE)
+    cells = L.terrain_cells(elevations, "loc_id")
+    return own, L.exclusion_layers(own, "loc_id", {"wetland": z.filter("kind = 'wetland'")}, unions.unionByName(flood), cells, STEEP_PCT, SETBACKS, zone_cell(spark, sf_dir))
+
+
+def excluded_acres(spark, sf_dir):
+    """Acres of every parcel lost to each layer: wetlands summed, other layers as unions, steep cells, setbacks."""
+    _, lost = _exclusions(spark, sf_dir)
+    return lost.select("loc_id", "layer", F.round("overlap_acres", 1).alias("overlap_acres"))
+
+
 def buildable_area(spark, sf_dir):
-    """Parcel acres minus the acres each exclusion layer covers."""
-    parcels = layer(spark, sf_dir, "sites").filter(F.col("acreage") > 0).select(
-        "loc_id", "lng", "lat", (F.col("acreage") * 4000.0).alias("acres"), "slope_pct"
-    )
-    cover = overlap.union_cover(parcels, zones(spark, sf_dir, "kind"), "loc_id", "kind", "acres", 9, zone_cell(spark, sf_dir))
-    setback = parcels.select("loc_id", (L.setback_acres(F.col("acres"), 2.0) + L.setback_acres(F.col("acres"), 3.0)).alias("overlap_acres"))
-    steep = parcels.filter(F.col("slope_pct") >= 20).select("loc_id", (F.col("acres") * 0.1).alias("overlap_acres"))
-    lost = cover.select("loc_id", F.col("covered_acres").alias("overlap_acres")).unionByName(setback).unionByName(steep)
-    out = L.buildable_stage(parcels, lost, "loc_id")
-    return out.select("loc_id", F.round("total_exclusion_acres", 1).alias("total_exclusion_acres"), F.round("buildable_pct", 1).alias("buildable_pct"))
+    """Acres of every parcel left after all exclusion layers."""
+    own, lost = _exclusions(spark, sf_dir)
+    out = L.buildable_stage(own.select("loc_id", "acres"), lost, "loc_id")
+    return out.select("loc_id", F.round("total_exclusion_acres", 1).alias("total_exclusion_acres"), F.round("buildable_pct", 1).alias("buildable_pct"), F.round("adjusted_capacity_mw", 0).alias("adjusted_capacity_mw"))
 
 
 def interconnection_cost(spark, sf_dir):
@@ -300,7 +317,7 @@ def enrich_parcels(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     gap_messages, enrich_parcels, source_probe, source_coverage, composite_confidence, hazard_confidence, critical_gaps, weight_resolution,
     solar_composite, exclusion_diagnosis, exclusion_classes, solar_v1_score, solar_v1_provisional, discover, discover_summary, batch_rank,
-    deep_resource, buildable_area, interconnection_cost,
+    deep_resource, excluded_acres, buildable_area, interconnection_cost,
 )}
 QUERIES |= {
     "select_alternatives": _selection(catalog.SOLAR),
@@ -516,9 +533,6 @@ SELECT loc_id, km AS distance_km, rate AS usd_per_km, round(round(km * rate + 35
   CASE WHEN mw < 50 THEN 'low' WHEN mw < 200 THEN 'moderate' ELSE 'high' END AS congestion, km > 16.1 AS distant_line,
   CASE WHEN cap > 0 THEN (km * rate + 3500000e0) / cap > 500000 END AS high_cost, sub_id, round(sub_m, 1) AS sub_m, n_plants, round(mw, 3) AS existing_mw FROM c"""),
 }
-from .spatial import ORACLES as _SPATIAL  # noqa: E402
-
-_COVER = _SPATIAL["union_cover"].rsplit("\nSELECT loc_id, kind", 1)[0]
 ORACLES["gap_messages"] = with_ctes("sites", body="SELECT workflow, criterion_id, message, count(*) AS n FROM (" + " UNION ALL ".join(
     f"SELECT '{c.workflow}' AS workflow, '{c.criterion_id}' AS criterion_id, '{catalog.CRITERION_NAMES[c.criterion_id]} has no data here.' AS message, {confidence_sql(c)} AS conf FROM sites"
     for c in catalog.CRITERIA) + ") WHERE conf = 0 GROUP BY ALL")
@@ -530,11 +544,19 @@ n AS (SELECT loc_id, min(d) FILTER (WHERE live) AS g, min(d) AS r FROM d GROUP B
 s AS (SELECT p.loc_id, arg_min(b.sub_id, ({hav('p.lng', 'p.lat', 'b.lng', 'b.lat')}, b.sub_id)) AS station_id FROM sites p CROSS JOIN substations b GROUP BY p.loc_id)
 SELECT loc_id, coalesce(fl, FALSE) AS in_flood, coalesce(we, FALSE) AS in_wetland, coalesce(pr, FALSE) AS in_protected, unit_id, f.soil_class,
   round(g, 2) AS grid_distance_m, round(r, 2) AS road_distance_m, station_id FROM sites LEFT JOIN f USING (loc_id) LEFT JOIN n USING (loc_id) LEFT JOIN s USING (loc_id)""")
-ORACLES["buildable_area"] = _COVER + """, cover AS (SELECT loc_id, any_value(acres) * count(*) / 81e0 AS x
-  FROM (SELECT DISTINCT loc_id, acres, kind, i, j FROM hits) GROUP BY loc_id, kind),
-parcels AS (SELECT loc_id, acreage * 4000e0 AS acres, slope_pct FROM sites WHERE acreage > 0),
-lost AS (SELECT loc_id, x FROM cover UNION ALL SELECT loc_id, acres * 5e-2 FROM parcels
-  UNION ALL SELECT loc_id, acres * 1e-1 FROM parcels WHERE slope_pct >= 20),
-t AS (SELECT loc_id, round(sum(x), 2) AS total FROM lost GROUP BY loc_id)
-SELECT loc_id, round(total, 1) AS total_exclusion_acres, round(round(greatest(0e0, acres - total) * 100e0 / acres, 2), 1) AS buildable_pct
-FROM parcels JOIN t USING (loc_id)"""
+_LOST = (
+    "sites", "zones", "raster", ZONE_EDGES, PARCEL_BOXES, ZONE_SHAPES, TERRAIN,
+    "union_parts AS (SELECT *, kind AS part FROM zone_boxes WHERE kind <> 'wetland' UNION ALL SELECT *, 'flood' FROM zone_boxes WHERE flood_zone LIKE 'A%' OR flood_zone LIKE 'V%')",
+    strip_areas("cover", "parcels", "loc_id", f"union_parts ON {NEAR_ZONE}", "zone_shapes"),
+    strip_areas("wet", "parcels", "loc_id", f"(SELECT *, shape AS part FROM zone_boxes WHERE kind = 'wetland') ON {NEAR_ZONE}", "zone_shapes"),
+    f"""areas AS (SELECT loc_id, part, area FROM cover UNION ALL SELECT loc_id, 'wetland', sum(area) FROM wet GROUP BY loc_id),
+lost AS (SELECT loc_id, layer, round(x, 2) AS x FROM (
+  SELECT loc_id, part AS layer, area * pow(111320e0, 2) * cos(radians(lat)) / 4046.8564224e0 AS x FROM areas JOIN parcels USING (loc_id)
+  UNION ALL SELECT loc_id, 'perimeter_setback', acres * 2e0 / 100e0 FROM parcels UNION ALL SELECT loc_id, 'road_setback', acres * 3e0 / 100e0 FROM parcels
+  UNION ALL SELECT loc_id, 'steep_slope', any_value(acres) * count(*) FILTER (WHERE sqrt(dx * dx + dy * dy) * 100e0 >= {STEEP_PCT}) / count(*) FROM inner_points JOIN parcels USING (loc_id) GROUP BY loc_id) WHERE round(x, 2) > 0)""",
+)
+ORACLES["excluded_acres"] = with_ctes(*_LOST, body="SELECT loc_id, layer, round(x, 1) AS overlap_acres FROM lost")
+ORACLES["buildable_area"] = with_ctes(*_LOST, body=f"""
+, t AS (SELECT loc_id, round(sum(x), 2) AS total FROM lost GROUP BY loc_id)
+SELECT loc_id, round(coalesce(total, 0e0), 1) AS total_exclusion_acres, CASE WHEN acres > 0 THEN round(round(greatest(0e0, acres - coalesce(total, 0e0)) * 100e0 / acres, 2), 1) ELSE 0e0 END AS buildable_pct,
+  round(round(greatest(0e0, acres - coalesce(total, 0e0)) / {K.ACRES_PER_MW[2]!r}, 2), 0) AS adjusted_capacity_mw FROM parcels LEFT JOIN t USING (loc_id)""")

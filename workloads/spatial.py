@@ -12,12 +12,17 @@ from parcelwise.plans import solar as L
 
 from .layers import (
     CROSSES,
+    NEAR_ZONE,
+    PARCELS,
     ZONE_EDGES,
+    ZONE_SHAPES,
     as_features,
     box_polygons,
     hav,
     inside,
     layer,
+    parcels,
+    strip_areas,
     table,
     with_ctes,
     zone_polygons,
@@ -216,15 +221,16 @@ def areal_rollup(spark, sf_dir):
     )
 
 
+KINDS = ("habitat", "protected", "wetland")
+
+
 def union_cover(spark, sf_dir):
-    """Acres of each parcel covered by the union of each zone kind (lattice)."""
-    parcels = layer(spark, sf_dir, "sites").filter(F.col("acreage") > 0).select(
-        "loc_id", "lng", "lat", (F.col("acreage") * 4000.0).alias("acres")
-    )
-    out = overlap.union_cover(
-        parcels, zones(spark, sf_dir, "kind"), "loc_id", "kind", "acres", 9, zone_cell(spark, sf_dir)
-    )
-    return out.select("loc_id", "kind", "covered_points", F.round("covered_acres", 3).alias("covered_acres"))
+    """Acres of each parcel under the union of each zone kind, none included."""
+    own = parcels(spark, sf_dir)
+    covered = overlap.union_cover(own, zones(spark, sf_dir, "kind"), "loc_id", "kind", zone_cell(spark, sf_dir))
+    every = own.select("loc_id", "lat", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
+    acres = F.coalesce(geo.deg2_to_acres("area_deg2", "lat"), F.lit(0.0))
+    return every.join(covered, ["loc_id", "kind"], "left").select("loc_id", "kind", F.round(acres, 2).alias("covered_acres"))
 
 
 def bbox_layer(spark, sf_dir):
@@ -392,16 +398,9 @@ SELECT loc_id, count(*) AS tracts_intersected, round(sum(coalesce(population, 0e
   round(sum(households * frac), 7) AS households, round(sum(age_18_34 * frac), 7) AS age_18_34, round(sum(jobs * frac), 7) AS jobs,
   round(sum(median_income * population * frac) / sum(CASE WHEN median_income IS NOT NULL THEN population * frac END), 2) AS median_income
 FROM o GROUP BY loc_id"""),
-    "union_cover": with_ctes("sites", "zones", ZONE_EDGES, f"""lat_pts AS (
-  SELECT loc_id, acres, i, j, s_lng - hx + hx * 2e0 * j / 8 AS lng, s_lat - hy + hy * 2e0 * i / 8 AS lat FROM (
-    SELECT loc_id, acreage * 4000e0 AS acres, lng AS s_lng, lat AS s_lat,
-      sqrt(acreage * 4000e0 * 4046.8564224e0) / (greatest(cos(radians(lat)), 1e-1) * 111320e0) / 2e0 AS hx,
-      sqrt(acreage * 4000e0 * 4046.8564224e0) / 111320e0 / 2e0 AS hy FROM sites WHERE acreage > 0)
-  CROSS JOIN (SELECT unnest(range(9)) AS i) CROSS JOIN (SELECT unnest(range(9)) AS j)),
-hits AS (SELECT p.loc_id, p.acres, p.i, p.j, e.zone_id, any_value(e.kind) AS kind FROM lat_pts p JOIN zone_edges e ON {CROSSES}
-  AND abs(p.lat - e.y) < 1.2 GROUP BY ALL HAVING count(*) % 2 = 1)""", body="""
-SELECT loc_id, kind, count(*) AS covered_points, round(any_value(acres) * count(*) / 81e0, 3) AS covered_acres
-FROM (SELECT DISTINCT loc_id, acres, kind, i, j FROM hits) GROUP BY loc_id, kind"""),
+    "union_cover": with_ctes("sites", "zones", ZONE_EDGES, PARCELS, ZONE_SHAPES, strip_areas("cover", "parcels", "loc_id", f"(SELECT *, kind AS part FROM zone_boxes) ON {NEAR_ZONE}", "zone_shapes"), body="""
+SELECT p.loc_id, k.kind, round(coalesce(area, 0e0) * pow(111320e0, 2) * cos(radians(lat)) / 4046.8564224e0, 2) AS covered_acres
+FROM parcels p CROSS JOIN (VALUES ('habitat'), ('protected'), ('wetland')) AS k(kind) LEFT JOIN cover c ON c.loc_id = p.loc_id AND c.part = k.kind"""),
     "bbox_layer": with_ctes("zones", ZONE_EDGES, body="""
 , boxes AS (SELECT zone_id, any_value(flood_zone) AS flood_zone, min(ax) AS x0, min(ay) AS y0, max(ax) AS x1, max(ay) AS y1
   FROM zone_edges GROUP BY zone_id)

@@ -17,7 +17,7 @@ from parcelwise.sources import catalog, readers, sinks
 from parcelwise.streaming import audit_stream
 
 from .hazard import FLOOD_IN, NEAREST_CURVE, TIER, curves_sql, flood_inputs
-from .layers import ZONE_EDGES, cte, inside, layer, table, with_ctes
+from .layers import PARCELS, RASTER_AFFINE, TERRAIN, ZONE_EDGES, cte, inside, layer, parcels, table, with_ctes
 
 
 # ── keyed tables ────────────────────────────────────────────────────────────
@@ -183,34 +183,29 @@ def raster_distance(spark, sf_dir):
     return out.select("row", "col", F.round("distance_m", 5).alias("distance_m"))
 
 
-AFFINE = {"x0": -125.0, "y0": 49.0, "px": 58.0 / 120, "py": 0.192}
 
 
 def raster_sample(spark, sf_dir):
     """Raster values at properties; outside and nodata give null."""
     pts = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
-    out = G.sample(pts, layer(spark, sf_dir, "raster"), ["dem", "canopy"], -9999.0, **AFFINE)
+    out = G.sample(pts, layer(spark, sf_dir, "raster"), ["dem", "canopy"], -9999.0, **RASTER_AFFINE)
     return out.select("property_id", "row", "col", "dem", F.col("canopy").cast("double").alias("canopy"))
 
 
 def raster_resample(spark, sf_dir):
     """Bilinear value at arbitrary centres with missing cells dropped."""
     pts = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
-    out = G.resample_bilinear(pts, ["loc_id"], layer(spark, sf_dir, "raster").select("row", "col", "dem"), "dem", -9999.0, **AFFINE)
+    out = G.resample_bilinear(pts, ["loc_id"], layer(spark, sf_dir, "raster").select("row", "col", "dem"), "dem", -9999.0, **RASTER_AFFINE)
     return out.select("loc_id", F.round("dem", 6).alias("dem"))
 
 
 def terrain_lattice(spark, sf_dir):
-    """5×5 lattice slope, dominant aspect and spread per site."""
-    s = layer(spark, sf_dir, "sites").select("loc_id")
-    axis = F.sequence(F.lit(0), F.lit(4))
-    pts = s.withColumn("i", F.explode(axis)).withColumn("j", F.explode(axis))
-    k = F.col("loc_id")
-    elev = F.when((k + F.col("i") * 3 + F.col("j")) % 37 != 0, ((k * 7 + F.col("i") * 13 + F.col("j") * 5 + F.col("i") * F.col("j")) % 61).cast("double"))
-    pts = pts.withColumns({"elev": elev, "dx_m": F.lit(50.0), "dy_m": F.lit(50.0)})
+    """Slope, dominant aspect, irradiance factor and spread of each parcel from the raster."""
+    own = parcels(spark, sf_dir).select("loc_id", "lng", "lat", "acres")
+    pts = L.parcel_elevations(own, "loc_id", layer(spark, sf_dir, "raster"), "dem", -9999.0, 5, **RASTER_AFFINE)
     out = L.terrain_stage(pts, "loc_id")
     return out.select("loc_id", "interior_cells", F.round("mean_slope_pct", 6).alias("mean_slope_pct"), F.round("dominant_aspect_deg", 4).alias("dominant_aspect_deg"),
-                      F.round("elev_std_m", 6).alias("elev_std_m"), "terrain_rating")
+                      F.round("elev_std_m", 6).alias("elev_std_m"), "terrain_rating", F.round("irradiance_factor", 3).alias("irradiance_factor"))
 
 
 # ── audit ───────────────────────────────────────────────────────────────────
@@ -327,16 +322,13 @@ k AS (SELECT loc_id, CAST(floor(fy) AS BIGINT) + dr AS "row", CAST(floor(fx) AS
   CASE WHEN dr = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END * CASE WHEN dc = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END AS w
   FROM f CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(dr, dc))
 SELECT loc_id, round(sum(w * dem) / sum(CASE WHEN dem IS NOT NULL THEN w END), 6) AS dem FROM k LEFT JOIN (SELECT * FROM raster WHERE dem <> -9999) USING ("row", "col") GROUP BY loc_id"""),
-    "terrain_lattice": with_ctes("sites", body="""
-, p AS (SELECT loc_id, i, j, CASE WHEN (loc_id + i * 3 + j) % 37 <> 0 THEN ((loc_id * 7 + i * 13 + j * 5 + i * j) % 61)::DOUBLE END AS z FROM sites
-  CROSS JOIN (SELECT unnest(range(5)) AS i) CROSS JOIN (SELECT unnest(range(5)) AS j)),
-d AS (SELECT c.loc_id, (e.z - w.z) / 100e0 AS dx, (n.z - s.z) / 100e0 AS dy FROM p c JOIN p e ON e.loc_id = c.loc_id AND e.i = c.i AND e.j = c.j + 1 JOIN p w ON w.loc_id = c.loc_id AND w.i = c.i AND w.j = c.j - 1
-  JOIN p n ON n.loc_id = c.loc_id AND n.j = c.j AND n.i = c.i + 1 JOIN p s ON s.loc_id = c.loc_id AND s.j = c.j AND s.i = c.i - 1
-  WHERE c.z IS NOT NULL AND e.z IS NOT NULL AND w.z IS NOT NULL AND n.z IS NOT NULL AND s.z IS NOT NULL),
-g AS (SELECT loc_id, sqrt(dx * dx + dy * dy) AS g, radians((degrees(atan2(-dx, -dy)) + 360e0) % 360e0) AS a FROM d),
-m AS (SELECT loc_id, count(*) AS n, avg(g) AS g, sum(g * sin(a)) AS x, sum(g * cos(a)) AS y FROM g GROUP BY loc_id), s AS (SELECT loc_id, stddev_pop(z) AS sd FROM p GROUP BY loc_id)
-SELECT loc_id, n AS interior_cells, round(g * 100e0, 6) AS mean_slope_pct, CASE WHEN sqrt(x * x + y * y) > 1e-9 THEN round((degrees(atan2(x, y)) + 360e0) % 360e0, 4) END AS dominant_aspect_deg,
-  round(sd, 6) AS elev_std_m, CASE WHEN sd < 2 THEN 'flat' WHEN sd < 5 THEN 'gently rolling' WHEN sd < 15 THEN 'variable' ELSE 'steep/irregular' END AS terrain_rating FROM m JOIN s USING (loc_id)"""),
+    "terrain_lattice": with_ctes("sites", "raster", PARCELS, TERRAIN, body="""
+, g AS (SELECT loc_id, sqrt(dx * dx + dy * dy) AS g, radians((degrees(atan2(-dx, -dy)) + 360e0) % 360e0) AS a FROM inner_points),
+m AS (SELECT loc_id, count(*) AS n, avg(g) AS g, sum(g * sin(a)) AS x, sum(g * cos(a)) AS y FROM g GROUP BY loc_id), s AS (SELECT loc_id, stddev_pop(z) AS sd FROM elevations GROUP BY loc_id),
+t AS (SELECT *, CASE WHEN sqrt(x * x + y * y) > 1e-9 THEN (degrees(atan2(x, y)) + 360e0) % 360e0 END AS aspect FROM m JOIN s USING (loc_id))
+SELECT loc_id, n AS interior_cells, round(g * 100e0, 6) AS mean_slope_pct, round(aspect, 4) AS dominant_aspect_deg,
+  round(sd, 6) AS elev_std_m, CASE WHEN sd < 2 THEN 'flat' WHEN sd < 5 THEN 'gently rolling' WHEN sd < 15 THEN 'variable' ELSE 'steep/irregular' END AS terrain_rating,
+  CASE WHEN aspect IS NULL OR g * 100e0 < 1 THEN 1e0 ELSE round(greatest(0.7e0, least(1e0, cos(radians(least(abs(aspect - 180e0), 360e0 - abs(aspect - 180e0)))))), 3) END AS irradiance_factor FROM t"""),
     "audit_events": with_ctes("structures", "zones", ZONE_EDGES, inside("structures", "fd_id"), FLOOD_IN, curves_sql(), body=f"""
 , hit AS (SELECT w.*, v.s, v.c {NEAREST_CURVE.format('wet')}),
 l AS (SELECT *, (val_struct * coalesce(s, 0e0) / 100e0 + val_cont * coalesce(c, 0e0) / 100e0) * aep AS usd, sfha AND coalesce(static_bfe <= -9000, TRUE) AS warn FROM hit),

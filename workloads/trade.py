@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
+from parcelwise.operators import overlap
 from parcelwise.operators import spatial as X
 from parcelwise.plans import selection as E
 from parcelwise.plans import trade as T
 from parcelwise.sources import catalog
 
-from .layers import ZONE_EDGES, as_features, box_polygons, hav, inside, layer, with_ctes, zone_polygons
+from .layers import (
+    CATCHMENT_AREA, CATCHMENTS, NEAR_ZONE, ZONE_EDGES, ZONE_SHAPES, as_features, box_polygons, catchments, hav, inside, layer, strip_areas, with_ctes, zone_polygons,
+)
 from .solar import sites_with_sources
 from .spatial import zone_cell, zones
 
@@ -132,25 +135,21 @@ def competitor_points(spark, sf_dir):
 
 
 def huff(spark, sf_dir):
-    """Cannibalisation of candidate boxes against existing stores."""
-    all_stores = layer(spark, sf_dir, "stores")
-    existing = all_stores.filter(F.col("segment") == "BUILDING")
-    candidates = all_stores.filter(F.col("segment") != "BUILDING")
-    pairs = T.candidate_store_pairs(candidates, existing, 0.03, 0.02, 7_200.0)
+    """Cannibalisation of candidate catchments (polygons) against existing stores'."""
+    stores = catchments(layer(spark, sf_dir, "stores").select("loc_id", "lng", "lat", "segment"))
+    pairs = T.catchment_pairs(stores.filter("segment <> 'BUILDING'"), stores.filter("segment = 'BUILDING'"), "loc_id", 0.06)
     out = T.huff(pairs, "loc_id")
     return out.select("loc_id", "n_stores", F.round("max_estimate", 5).alias("max_estimate"), F.round("max_overlap", 6).alias("max_overlap"), "risk")
 
 
 def overlap_shares(spark, sf_dir):
-    """J18 on polygons: share of each 10-minute ring inside each wetland-free zone box."""
-    from parcelwise.operators import overlap
-
+    """Share of a box around each site inside each zone."""
     z = zone_polygons(spark, sf_dir)
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     rings = box_polygons(
         sites.select("loc_id", (F.col("lng") - 0.5).alias("x0"), (F.col("lat") - 0.4).alias("y0"), (F.col("lng") + 0.5).alias("x1"), (F.col("lat") + 0.4).alias("y1"))
     )
-    out = overlap.overlap_moments(rings, z, "loc_id", "zone_id", zone_cell(spark, sf_dir))
+    out = overlap.overlap_moments(rings, z, ["loc_id"], ["zone_id"], zone_cell(spark, sf_dir))
     return out.select("loc_id", "zone_id", F.round("overlap", 6).alias("overlap"))
 
 
@@ -258,13 +257,30 @@ SELECT r.loc_id, row_number() OVER (PARTITION BY r.loc_id ORDER BY p.poi_id) AS
   ON r.minutes = 10 AND p.category = 'amenity:cafe' AND p.lng >= r.x0 AND p.lng < r.x1 AND p.lat >= r.y0 AND p.lat < r.y1"""),
     "trade_route": with_ctes("sites", body="""
 SELECT CASE WHEN loc_id % 3 <> 0 AND loc_id % 4 <> 0 THEN 'full' WHEN loc_id % 3 <> 0 THEN 'full_euclidean_fallback' ELSE 'national_fallback' END AS coverage, count(*) AS n FROM sites GROUP BY 1"""),
-    "huff": with_ctes("stores", body=f"""
-, p AS (SELECT a.loc_id, b.loc_id AS store_id, 0.06e0 - abs(a.lng - b.lng) AS w, 0.04e0 - abs(a.lat - b.lat) AS h,
-  {hav('a.lng', 'a.lat', '((a.lng + b.lng) / 2e0)', '((a.lat + b.lat) / 2e0)')} AS tn, {hav('b.lng', 'b.lat', '((a.lng + b.lng) / 2e0)', '((a.lat + b.lat) / 2e0)')} AS te
-  FROM stores a JOIN stores b ON a.segment <> 'BUILDING' AND b.segment = 'BUILDING' AND abs(a.lng - b.lng) < 0.06 AND abs(a.lat - b.lat) < 0.04),
-e AS (SELECT loc_id, w * h / 0.0024e0 AS ov, w * h / 0.0024e0 * (1 / pow(greatest(te, 1e0), 2)) / (1 / pow(greatest(tn, 1e0), 2) + 1 / pow(greatest(te, 1e0), 2)) AS est FROM p WHERE w > 0 AND h > 0)
+    "huff": with_ctes("stores", CATCHMENTS, body=f"""
+, p AS (SELECT a.loc_id, b.loc_id AS store_id, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1 FROM extents a JOIN extents b
+  ON a.segment <> 'BUILDING' AND b.segment = 'BUILDING' AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+e AS (SELECT p.*, who, sx, sy, tx, ty FROM p JOIN sides s ON s.loc_id = p.loc_id CROSS JOIN (SELECT 0 AS who)
+  UNION ALL SELECT p.*, who, sx, sy, tx, ty FROM p JOIN sides s ON s.loc_id = p.store_id CROSS JOIN (SELECT 1 AS who)),
+v AS (SELECT DISTINCT loc_id, store_id, x FROM (SELECT loc_id, store_id, x0, x1, unnest([x0, x1, sx, tx]) AS x FROM e
+  UNION ALL SELECT a.loc_id, a.store_id, a.x0, a.x1, (a.sy - b.sy - m * a.sx + n * b.sx) / (n - m) FROM (SELECT *, (ty - sy) / (tx - sx) AS m FROM e WHERE who = 0) a
+    JOIN (SELECT *, (ty - sy) / (tx - sx) AS n FROM e WHERE who = 1) b USING (loc_id, store_id) WHERE a.m <> b.n AND a.sx < b.tx AND b.sx < a.tx) WHERE x BETWEEN x0 AND x1),
+t AS (SELECT * FROM (SELECT loc_id, store_id, x AS xa, lead(x) OVER (PARTITION BY loc_id, store_id ORDER BY x) AS xb FROM v) WHERE xb > xa),
+y AS (SELECT t.*, who, sy + (ty - sy) / (tx - sx) * (xa - sx) AS ya, sy + (ty - sy) / (tx - sx) * (xb - sx) AS yb FROM t JOIN e USING (loc_id, store_id)
+  WHERE sx < (xa + xb) / 2e0 AND tx > (xa + xb) / 2e0),
+w AS (SELECT loc_id, store_id, xa, xb, who, arg_min((ya, yb), ya + yb) AS lo, arg_max((ya, yb), ya + yb) AS hi FROM y GROUP BY ALL),
+b AS (SELECT loc_id, store_id, xa, xb, arg_max(lo, lo[1] + lo[2]) AS lo, arg_min(hi, hi[1] + hi[2]) AS hi FROM w GROUP BY loc_id, store_id, xa, xb HAVING count(*) = 2),
+h AS (SELECT loc_id, store_id, xa, xb, lo[1] AS la, lo[2] AS lb, hi[1] AS ua, hi[2] AS ub, hi[1] - lo[1] AS ha, hi[2] - lo[2] AS hb FROM b WHERE hi[1] + hi[2] > lo[1] + lo[2]),
+m AS (SELECT loc_id, store_id, sum((xb - xa) * (ha + hb) / 2e0) AS area, sum((xb - xa) / 6e0 * (xa * (2e0 * ha + hb) + xb * (ha + 2e0 * hb))) AS mx,
+  sum((xb - xa) / 6e0 * (ua * ua + ua * ub + ub * ub - la * la - la * lb - lb * lb)) AS my FROM h GROUP BY loc_id, store_id),
+d AS (SELECT m.loc_id, area / (pow(a.half, 2) * {CATCHMENT_AREA:e}) AS ov, {hav('a.lng', 'a.lat', '(mx / area)', '(my / area)')} AS tn, {hav('c.lng', 'c.lat', '(mx / area)', '(my / area)')} AS te
+  FROM m JOIN halves a ON a.loc_id = m.loc_id JOIN halves c ON c.loc_id = m.store_id),
+f AS (SELECT loc_id, ov, ov * (1 / pow(greatest(te, 1e0), 2)) / (1 / pow(greatest(tn, 1e0), 2) + 1 / pow(greatest(te, 1e0), 2)) AS est FROM d)
 SELECT loc_id, count(*) AS n_stores, round(max(est), 5) AS max_estimate, round(max(ov), 6) AS max_overlap,
-  CASE WHEN max(est) > 0.3 THEN 'High' WHEN max(est) > 0.1 THEN 'Medium' ELSE 'Low' END AS risk FROM e GROUP BY loc_id"""),
+  CASE WHEN max(est) > 0.3 THEN 'High' WHEN max(est) > 0.1 THEN 'Medium' ELSE 'Low' END AS risk FROM f GROUP BY loc_id"""),
+    "overlap_shares": with_ctes("sites", "zones", ZONE_EDGES, ZONE_SHAPES, "boxes AS (SELECT loc_id, lng - 0.5 AS x0, lat - 0.4 AS y0, lng + 0.5 AS x1, lat + 0.4 AS y1 FROM sites)",
+        strip_areas("common", "boxes", "loc_id", f"(SELECT *, shape AS part FROM zone_boxes) ON {NEAR_ZONE}", "zone_shapes"), body="""
+SELECT loc_id, part AS zone_id, round(area / 0.8e0, 6) AS overlap FROM common WHERE area > 0"""),
     "trade_discover": with_ctes("tracts", "city_pois", body="""
 , area AS (SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM tracts),
 g AS (SELECT i * 1000 + j AS point_id, round(x0 + i * 0.01e0, 5) AS lng, round(y0 + j * 0.01e0, 5) AS lat FROM area
