@@ -174,22 +174,6 @@ def one_per_spot(features: DataFrame, feature_key: str, attrs: list[str]) -> Dat
     return best.select("f_lng", "f_lat", *[F.col(f"_f.{c}").alias(c) for c in (feature_key, *attrs)])
 
 
-def radius_count(
-    points: DataFrame, features: DataFrame, key: str, radius: float, metric: Metric = HAVERSINE, name: str = "n"
-) -> DataFrame:
-    """Count of features within the radius of each point; 0 when none.
-
-    Copies at one coordinate are collapsed on both sides first, so a group of
-    identical positions costs one candidate instead of its square.
-    """
-    spots = points.select("lng", "lat").distinct()
-    weights = collapse_copies(features, {"_w": F.count(F.lit(1))})
-    counts = (
-        within_radius(spots, weights, radius, metric).groupBy("lng", "lat").agg(F.sum("_w").alias(name))
-    )
-    return points.join(counts, ["lng", "lat"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
-
-
 def lines_within(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
     """Join to segments (ax, ay, bx, by) within the radius; adds ``dist``."""
     reach = HAVERSINE.typical_reach(radius_m)

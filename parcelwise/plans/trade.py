@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import geo
 from ..functions import scoring as S
-from ..operators import overlap
+from ..operators import counts, overlap
 from ..operators import spatial as X
 
 BOX = ("rings", "x0", "y0", "x1", "y1")
@@ -42,15 +42,12 @@ def ring_profiles(rings: DataFrame, tracts: DataFrame, key: str, cell: float) ->
     return out.select(f"_ring.{key}", "_ring.minutes", *[c for c in out.columns if c != "_ring"])
 
 
-def ring_competition(rings: DataFrame, pois: DataFrame, key: str, business: str, cell: float) -> DataFrame:
+def ring_competition(rings: DataFrame, pois: DataFrame, key: str, business: str) -> DataFrame:
     """Competitors, complements and all POIs inside each ring."""
-    points = pois.select("lng", "lat", competes("category", business).alias("_c"))
-    hits = X.points_in_polygons(points, rings.select(key, "minutes", *BOX), cell)
-    return hits.groupBy(key, "minutes").agg(
-        F.count_if("_c").alias("competitors"),
-        F.count_if(~F.col("_c")).alias("complements"),
-        F.count(F.lit(1)).alias("poi_count"),
-    )
+    points = pois.select(F.col("lng").alias("f_lng"), F.col("lat").alias("f_lat"), competes("category", business).alias("_c"))
+    measures = {"competitors": F.count_if("_c"), "complements": F.count_if(~F.col("_c")), "poi_count": F.count(F.lit(1))}
+    found = counts.sums_in_polygons(rings.withColumn("_ring", F.struct(key, "minutes")), points, "_ring", measures)
+    return found.select(f"_ring.{key}", "_ring.minutes", *measures)
 
 
 def competitor_points(rings: DataFrame, pois: DataFrame, key: str, business: str, cell: float, most: int | None = None) -> DataFrame:
@@ -115,7 +112,7 @@ def score_trade_area(
     """Rings → demographics and competition → ring pick → composite."""
     rings = circle_rings(locations, key)
     people = ring_profiles(rings.filter(F.col("minutes") == 10), tracts, key, cell).drop("minutes")
-    comp = ring_competition(rings.filter(F.col("minutes").isin(5, 10)), pois, key, business, cell)
+    comp = ring_competition(rings.filter(F.col("minutes").isin(5, 10)), pois, key, business)
     ten = comp.filter(F.col("minutes") == 10).select(key, "competitors")
     five = comp.filter(F.col("minutes") == 5).select(
         key, F.col("complements").alias("complements_5"), F.col("poi_count").alias("poi_count_5")
@@ -272,11 +269,11 @@ def site_report(inputs: DataFrame) -> DataFrame:
     return out.withColumn("composite", F.bround(total / 5.0))
 
 
-def site_suitability(counts: DataFrame, key: str, weights: dict[str, float], layers: list[str]) -> DataFrame:
+def site_suitability(hits: DataFrame, key: str, weights: dict[str, float], layers: list[str]) -> DataFrame:
     """Log-scaled densities over every layer; a layer with no hits counts as 0.
 
-    ``counts``: key, layer, n for layers with hits.
+    ``hits``: key, layer, n for layers with hits.
     """
     weight = S.lookup("layer", {name: float(weights.get(name, 0.5)) for name in layers}, 0.5)
     total = sum(float(weights.get(name, 0.5)) for name in layers)
-    return counts.groupBy(key).agg((F.sum(S.log_density("n", weight)) / (total or 1.0)).alias("overall_score"))
+    return hits.groupBy(key).agg((F.sum(S.log_density("n", weight)) / (total or 1.0)).alias("overall_score"))

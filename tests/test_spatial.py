@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import clip, geo
+from parcelwise.functions.cells import disk_cells, squares
 from parcelwise.functions.sweep import union_area
-from parcelwise.operators import overlap
+from parcelwise.operators import counts, overlap
 from parcelwise.operators import spatial as X
 
 
@@ -91,7 +92,7 @@ def test_nearest_line_equals_brute_force(spark, world):
 
 def test_radius_count_collapses_copies(spark, world):
     pts, feats, p, f = world
-    got = {r.pid: r.n for r in X.radius_count(p, f, "pid", 60_000.0).collect()}
+    got = {r.pid: r.n for r in counts.radius_count(p, f, "pid", 60_000.0).collect()}
     assert got == {i: sum(hav(a, b) <= 60_000.0 for b in feats) for i, a in enumerate(pts)}
 
 
@@ -240,3 +241,56 @@ def test_overlap_kernel_and_sweep_agree_on_concave_polygons():
     pairs = [(square(0, 0, 1, 1), square(1, 1, 2, 2)), (square(0, 0, 1, 1), square(0.2, 0.2, 0.3, 0.3)), (square(0, 0, 1, 1), square(1.5, 0, 2, 1)), (square(0.2, 0.2, 0.3, 0.3), square(0, 0, 1, 1))]
     found = clip.common_parts(pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)).to_pylist()
     assert [p["meets"] for p in found] == [True, True, False, True] and found[0]["area"] == 0 and found[0]["lng"] is None
+
+
+def _odd(rings, x, y):
+    odd = np.zeros(len(x), bool)
+    for ring in rings:
+        for p, q in zip(ring, ring[1:]):
+            if p["y"] != q["y"]:
+                odd ^= ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * ((y - p["y"]) / (q["y"] - p["y"])) + p["x"])
+    return odd
+
+
+def test_sums_in_polygons_equal_brute_force(spark):
+    """Concave shapes, one far larger than the grid, one with a hole, one tiny; a third of the features on one spot."""
+    rng = np.random.default_rng(11)
+    x, y = np.concatenate((rng.uniform(-121, -119, 800), np.full(400, -120.1))), np.concatenate((rng.uniform(-121, -119, 800), np.full(400, -120.2)))
+    group, weight = rng.integers(0, 3, len(x)), rng.integers(1, 9, len(x))
+    square = lambda a, b, c, d: [{"x": float(p), "y": float(q)} for p, q in ((a, b), (c, b), (c, d), (a, d), (a, b))]
+    shapes = [_star(rng, *rng.uniform(-120.5, -119.5, 2)) for _ in range(25)]
+    shapes += [[square(-150, -150, -119.9, -100)], [square(-120.6, -120.6, -119.6, -119.6), square(-120.2, -120.3, -120.0, -120.0)], [square(-120.11, -120.21, -120.09, -120.19)], [square(0, 0, 1, 1)]]
+    polygons = X.with_extent(spark.createDataFrame([(i, r) for i, r in enumerate(shapes)], "shape long, rings array<array<struct<x:double,y:double>>>"))
+    features = spark.createDataFrame([(float(a), float(b), int(g), int(w)) for a, b, g, w in zip(x, y, group, weight)], "f_lng double, f_lat double, g int, w long")
+    measures = {"n": F.count(F.lit(1)), "heavy": F.sum("w")}
+    want = {}
+    for i, r in enumerate(shapes):
+        held = _odd(r, x, y)
+        want |= {(i, g): (int(m.sum()), int(weight[m].sum())) for g in range(3) if (m := held & (group == g)).any()}
+    got = {(r.shape, r.g): (r.n, r.heavy) for r in counts.sums_in_polygons(polygons, features, "shape", measures, ["g"]).collect()}
+    assert got == want and len(got) > 60
+
+
+@pytest.mark.parametrize("metric, radius", [(geo.HAVERSINE, 70_000.0), (geo.MERCATOR, 70_000.0), (geo.DEGREE, 0.6), (geo.FLAT, 60_000.0)])
+def test_sums_within_radius_equal_pair_list(spark, metric, radius):
+    rng = np.random.default_rng(12)
+    features = spark.createDataFrame([(float(a), float(b)) for a, b in rng.uniform(0, 3, (900, 2)) + [-100, 55]] + [(-98.5, 56.5)] * 300, "f_lng double, f_lat double")
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.5, 3.5, (60, 2)) + [-100, 55])] + [(100 + i, -98.5, 56.5) for i in range(20)], "pid long, lng double, lat double")
+    pairs = X.within_radius(points, features, radius, metric).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    got = counts.sums_within_radius(points, features, "pid", radius, {"n": F.count(F.lit(1))}, metric)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 60
+
+
+def test_a_disk_costs_its_boundary_not_its_features():
+    """16 times the features cost about 4 times the rows a disk; the pair list costs 16 times."""
+    rng, rows, pairs = np.random.default_rng(1), [], []
+    for n in (4_000, 64_000):
+        p = rng.uniform(0, 10, (n, 2))
+        cell = math.sqrt(100 / n)
+        c0, r0, state = disk_cells(5.0, 5.0, (2.0, 2.0), 2.0, "degree", cell)
+        level, _, _ = squares(c0, r0, state, int(math.log2(2.0 / cell)))
+        place = np.floor(p / cell).astype(int) - [c0, r0]
+        near = ((place >= 0) & (place < state.shape)).all(axis=1)
+        rows.append(len(level) + (state[tuple(place[near].T)] == 1).sum())
+        pairs.append((np.hypot(*(p - 5).T) <= 2).sum())
+    assert pairs[1] > 12 * pairs[0] and rows[1] < 5 * rows[0] and rows[1] < pairs[1] / 4

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import constants as K
 from parcelwise.functions import scoring as S
-from parcelwise.operators import overlap
+from parcelwise.operators import counts, overlap
 from parcelwise.operators import spatial as X
 from parcelwise.plans import selection as E
 from parcelwise.plans import solar as L
@@ -277,10 +277,8 @@ def interconnection_cost(spark, sf_dir):
     )
     stations = as_features(layer(spark, sf_dir, "substations")).select("sub_id", "f_lng", "f_lat")
     station = X.nearest(at, stations, "loc_id", "sub_id", [], cell=0.5).select("loc_id", "sub_id", F.col("dist").alias("sub_m"))
-    plants = as_features(layer(spark, sf_dir, "plants").filter(F.col("operating_status") == "OP")).groupBy("f_lng", "f_lat").agg(
-        F.sum("capacity_mw").alias("mw"), F.count(F.lit(1)).alias("c")
-    )
-    near = X.within_radius(at, plants, K.CONGESTION_RADIUS_M).groupBy("loc_id").agg(F.sum("mw").alias("nearby_mw"), F.sum("c").alias("n_plants"))
+    plants = as_features(layer(spark, sf_dir, "plants").filter(F.col("operating_status") == "OP"))
+    near = counts.sums_within_radius(at, plants, "loc_id", K.CONGESTION_RADIUS_M, {"nearby_mw": F.sum("capacity_mw"), "n_plants": F.count(F.lit(1))})
     out = L.interconnection_stage(sites.join(best, "loc_id").join(station, "loc_id").join(near, "loc_id", "left"))
     return out.select(
         "loc_id", "distance_km", "usd_per_km", F.round(F.col("total_usd") / 1000.0, 0).alias("total_kusd"), "congestion", "distant_line", "high_cost",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
-from parcelwise.operators import overlap
+from parcelwise.operators import counts, overlap
 from parcelwise.operators import spatial as X
 from parcelwise.plans import solar as L
 
@@ -97,14 +97,14 @@ def radius_count(spark, sf_dir):
     """Structures within 60 km of each site (great-circle)."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     feats = as_features(layer(spark, sf_dir, "structures").select("lng", "lat"))
-    return X.radius_count(sites, feats, "loc_id", 60_000.0).select("loc_id", "n")
+    return counts.radius_count(sites, feats, "loc_id", 60_000.0).select("loc_id", "n")
 
 
 def radius_count_mercator(spark, sf_dir):
     """J5 in projected metres, as buffers drawn on the web map count."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     feats = as_features(layer(spark, sf_dir, "pois").select("lng", "lat"))
-    return X.radius_count(sites, feats, "loc_id", 80_000.0, geo.MERCATOR).select("loc_id", "n")
+    return counts.radius_count(sites, feats, "loc_id", 80_000.0, geo.MERCATOR).select("loc_id", "n")
 
 
 def probe_nearest(spark, sf_dir):

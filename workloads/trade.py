@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
-from parcelwise.operators import overlap
+from parcelwise.operators import counts, overlap
 from parcelwise.operators import spatial as X
 from parcelwise.plans import selection as E
 from parcelwise.plans import trade as T
@@ -48,14 +48,13 @@ def category_groups(spark, sf_dir):
     """Points of interest per category group in each 10-minute ring."""
     rings = box_rings(spark, sf_dir).filter(F.col("minutes") == 10)
     pts = layer(spark, sf_dir, "city_pois").select("lng", "lat", F.split("category", ":")[0].alias("grp"))
-    hits = X.points_in_polygons(pts, rings.select("loc_id", *T.BOX), 0.04)
-    return hits.groupBy("loc_id", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return counts.sums_in_polygons(rings, as_features(pts), "loc_id", {"n": F.count(F.lit(1))}, ["grp"])
 
 
 def ring_competition(spark, sf_dir, business="urgent_care"):
     """Competitors and complements per ring."""
     return T.ring_competition(
-        box_rings(spark, sf_dir), layer(spark, sf_dir, "city_pois"), "loc_id", business, 0.04
+        box_rings(spark, sf_dir), layer(spark, sf_dir, "city_pois"), "loc_id", business
     )
 
 
@@ -63,7 +62,7 @@ def competitive_gap(spark, sf_dir):
     """Density per 10 000 people and gap in the ring nearest 10 minutes."""
     ten = T.pick_ring(box_rings(spark, sf_dir), "loc_id", 10)
     people = T.ring_profiles(ten, city_tracts(spark, sf_dir), "loc_id", TRACT_CELL)
-    comp = T.ring_competition(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.04)
+    comp = T.ring_competition(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop")
     both = people.join(comp, ["loc_id", "minutes"], "left")
     density, gap = T.competitive_gap(F.coalesce(F.col("competitors"), F.lit(0)), F.round("population"), "coffee_shop")
     return both.select("loc_id", "minutes", F.round(density, 5).alias("density"), F.round(gap, 5).alias("gap"))
@@ -80,7 +79,7 @@ def nearest_competitor(spark, sf_dir):
 def circle_counts(spark, sf_dir):
     """Points of interest inside the three circle rings of each store."""
     stores = layer(spark, sf_dir, "stores").select("loc_id", "lng", "lat")
-    return T.ring_competition(T.circle_rings(stores, "loc_id"), layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.05)
+    return T.ring_competition(T.circle_rings(stores, "loc_id"), layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop")
 
 
 def trade_area_score(spark, sf_dir):
@@ -112,10 +111,8 @@ def partial_score(spark, sf_dir):
     """Score from 5 km counts outside the loaded area."""
     stores = layer(spark, sf_dir, "stores").select("loc_id", "lng", "lat")
     pts = layer(spark, sf_dir, "city_pois").select(F.col("lng").alias("f_lng"), F.col("lat").alias("f_lat"), T.competes("category", "coffee_shop").alias("_c"))
-    spots = X.collapse_copies(pts, {"_n": F.count(F.lit(1)), "_k": F.count_if("_c")})
-    near = X.within_radius(stores, spots, 5_000.0).groupBy("loc_id").agg(
-        F.sum("_k").alias("competitors_5km"), F.sum(F.col("_n") - F.col("_k")).alias("complements_5km"), F.sum("_n").alias("pois_5km")
-    )
+    measures = {"competitors_5km": F.count_if("_c"), "complements_5km": F.count_if(~F.col("_c")), "pois_5km": F.count(F.lit(1))}
+    near = counts.sums_within_radius(stores, pts, "loc_id", 5_000.0, measures)
     rows = stores.join(near, "loc_id", "left").withColumn("in_sfha", F.col("loc_id") % 9 == 0)
     out = T.partial_score(rows)
     return out.select("loc_id", "competitors_5km", "pois_5km", F.round("composite", 6).alias("composite"), F.round("weight_share", 2).alias("weight_share"), "rating")
@@ -131,7 +128,7 @@ def trade_route(spark, sf_dir):
 def competitor_points(spark, sf_dir):
     """Competitor points per 10-minute ring, up to 500."""
     ten = T.pick_ring(box_rings(spark, sf_dir), "loc_id", 10)
-    return T.competitor_points(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop", 0.04).select("loc_id", "rank", "poi_id", "n_total")
+    return T.competitor_points(ten, layer(spark, sf_dir, "city_pois"), "loc_id", "coffee_shop").select("loc_id", "rank", "poi_id", "n_total")
 
 
 def huff(spark, sf_dir):
@@ -173,13 +170,9 @@ def site_report(spark, sf_dir):
     }
     flags = X.polygon_flags(sites, zones(spark, sf_dir, "flood_zone", "kind"), zone_cell(spark, sf_dir), "loc_id", zone_flags)
     feats = as_features(pois.select("lng", "lat", "category"))
-    spots = X.collapse_copies(
-        feats,
-        {"t": F.count_if(F.col("category").startswith("shop")), "e": F.count_if(F.col("category") == "amenity:clinic"), "p": F.count(F.lit(1))},
-    )
-    near = X.within_radius(sites, spots, 90_000.0, geo.MERCATOR).groupBy("loc_id").agg(
-        F.sum("t").alias("transit_count"), F.sum("e").alias("facility_count"), F.sum("p").alias("poi_count")
-    )
+    category = F.col("category")
+    measures = {"transit_count": F.count_if(category.startswith("shop")), "facility_count": F.count_if(category == "amenity:clinic"), "poi_count": F.count(F.lit(1))}
+    near = counts.sums_within_radius(sites, feats, "loc_id", 90_000.0, measures, geo.MERCATOR)
     rows = flags.join(near, "loc_id", "left").fillna(0, ["transit_count", "facility_count", "poi_count"])
     out = T.site_report(rows)
     return out.select("loc_id", "transit_factor", "environment_factor", "competition_factor", "composite")
@@ -189,10 +182,9 @@ def site_suitability(spark, sf_dir):
     """Weighted log densities over the layers."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     feats = as_features(layer(spark, sf_dir, "pois").select("layer", "lng", "lat"))
-    pairs = X.within_radius(sites, feats, 100_000.0, geo.MERCATOR)
-    counts = pairs.groupBy("loc_id", "layer").agg(F.count(F.lit(1)).alias("n"))
+    hits = counts.sums_within_radius(sites, feats, "loc_id", 100_000.0, {"n": F.count(F.lit(1))}, geo.MERCATOR, ["layer"])
     layers = ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE"]
-    out = T.site_suitability(counts, "loc_id", {"ECONOMY": 0.8, "PROMO": 0.2}, layers)
+    out = T.site_suitability(hits, "loc_id", {"ECONOMY": 0.8, "PROMO": 0.2}, layers)
     return sites.join(out, "loc_id", "left").select("loc_id", F.round(F.coalesce("overall_score", F.lit(0.0)), 6).alias("overall_score"))
 
 
