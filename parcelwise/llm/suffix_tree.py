@@ -11,7 +11,9 @@ Both tests are absolute, so the tree grows with the corpus. Distributions are
 smoothed towards the suffix's one, the root towards uniform, so any text has a
 probability. A symbol is scored in the longest retained context of its last symbols.
 A token's probability is the mean of two: the tree's for its symbols, and its
-frequency in the base, which takes any unseen word as one event.
+frequency in the base. The base takes all unseen words as one event; each unseen word
+gets that event's probability times the tree's for its spelling. So the probabilities of
+all words after a text's beginning, the end among them, add up to one at most.
 
 Contexts, their distributions and the retained ones are tables, a level for each length, joined
 level by level. The last join gives each distinct gram (a whole context and its symbol) of all
@@ -29,7 +31,6 @@ training texts all counts are 0 and the model is uniform. Null ids fold as empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,6 @@ DEPTH = 5
 #: A context must have been seen so often and tell so many bits more than its suffix in all, at any corpus size.
 LEAST_COUNT = 8
 LEAST_BITS = 2.0
-#: Shares of the corpus asked for beside these: none.
-LEAST_SHARE, GAIN = 0.0, 0.0
-#: Contexts whose distributions are worked out at once.
-CONTEXTS_AT_ONCE = 4096
 #: Pseudo-count that a context's suffix contributes to its distribution.
 PRIOR = 4.0
 SPACE, END = 0x20, 0x0A
@@ -125,79 +122,6 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
 
 
-@dataclass
-class Tree:
-    columns: np.ndarray  # byte -> column (32 bits); the last column stands for unseen bytes
-    child: np.ndarray  # state x column -> state one symbol further back, or 0
-    log10: np.ndarray  # state x column
-
-    def symbol_scores(self, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol."""
-        width = self.child.shape[1]
-        state = np.zeros(len(stream), np.int32)
-        alive = np.ones(len(stream), bool)
-        child = self.child.reshape(-1)
-        for back in contexts(stream, offsets):
-            further = child[state * width + self.columns[back]]
-            alive &= further > 0
-            state = np.where(alive, further, state)
-        return self.log10.reshape(-1)[state * width + self.columns[stream]].astype(np.float64)
-
-
-def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gain: float = GAIN, prior: float = PRIOR) -> Tree:
-    """The tree from counts: per level (context, symbol, count) sorted by context; level 0 has the empty context.
-
-    A context is its symbols packed in a number, the nearest one highest.
-    """
-    root = np.zeros(256)
-    if levels and len(levels[0][0]):
-        root[levels[0][1]] = levels[0][2]
-    total = root.sum()
-    seen = np.flatnonzero(root)
-    columns = np.full(256, len(seen), np.int32)
-    columns[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    start = np.append((root[seen] + 0.5) / (total + 128.0), 0.5 / (total + 128.0))
-    probabilities: list[np.ndarray] = [start[None, :].astype(np.float32)]
-    parents: list[np.ndarray] = [np.zeros(1, np.int64)]  # place of the suffix in the level above
-    names: list[np.ndarray] = [np.zeros(1, np.int64)]
-    wanted: list[np.ndarray] = [np.ones(1, bool)]
-    for context, symbol, n in levels[1:]:
-        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.empty(0, np.int64)
-        own = context[first]
-        suffix = own >> 8  # the farthest symbol dropped
-        up = np.minimum(np.searchsorted(names[-1], suffix), len(names[-1]) - 1)
-        known = names[-1][up] == suffix
-        ends = np.append(first[1:], len(context))
-        p = np.empty((len(own), width), np.float32)
-        bits = np.zeros(len(own))
-        for at in range(0, len(own), CONTEXTS_AT_ONCE):
-            part = slice(at, min(at + CONTEXTS_AT_ONCE, len(own)))
-            rows = slice(first[part][0], ends[part][-1])
-            counts = np.zeros((part.stop - at, width))
-            counts[np.repeat(np.arange(part.stop - at), ends[part] - first[part]), columns[symbol[rows]]] = n[rows]
-            size = counts.sum(axis=1, keepdims=True)
-            above = probabilities[-1][up[part]].astype(np.float64)
-            p[part] = (counts + prior * above) / (size + prior)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bits[part] = np.where(counts > 0, counts * np.log2(counts / size / above), 0).sum(axis=1)
-        probabilities.append(p[known])
-        parents.append(up[known])
-        names.append(own[known])
-        wanted.append(bits[known] >= max(gain * total, LEAST_BITS))
-    for level in range(len(names) - 1, 0, -1):  # suffixes of retained contexts stay
-        wanted[level - 1][parents[level][wanted[level]]] = True
-    number = [np.where(w, np.cumsum(w) - 1, 0) for w in wanted]
-    base = np.concatenate(([0], np.cumsum([int(w.sum()) for w in wanted])))
-    child = np.zeros((base[-1], width), np.int32)
-    for level in range(1, len(names)):
-        w = wanted[level]
-        far = names[level][w] & 255
-        child[base[level - 1] + number[level - 1][parents[level][w]], columns[far]] = base[level] + number[level][w]
-    kept = np.concatenate([p[w] for p, w in zip(probabilities, wanted)])
-    return Tree(columns, child, np.log10(kept, out=kept))
-
-
 def _levels(rows: DataFrame) -> DataFrame:
     """Training count of every (level, context, symbol) of all rows; one that only held-out rows have counts 0."""
     counted = rows.select("text", "held_out").mapInArrow(_gram_counts, "gram bigint, n bigint")
@@ -238,18 +162,6 @@ def gram_scores(rows: DataFrame) -> DataFrame:
     return tables.written(best.select((F.shiftleft("context", 8) + F.col("symbol")).alias("gram"), F.log10("p").alias("log10")), "scores")
 
 
-def learn(docs: DataFrame, text: str = "text") -> Tree:
-    """The same tree held in one place, for corpora whose contexts fit it; `scores` does not use it."""
-    level = _levels(docs.select(F.col(text).alias("text"), F.lit(False).alias("held_out")))
-    times = F.sum("n").over(Window.partitionBy("level", "context"))
-    often = level.withColumn("times", times).where((F.col("level") == 0) | (F.col("times") >= LEAST_COUNT)).drop("times")
-    got = often.select(F.col("level").cast("tinyint"), "context", F.col("symbol").cast("smallint"), "n").toArrow()
-    columns = {c: got.column(c).to_numpy() for c in got.column_names}
-    order = np.lexsort((columns["symbol"], columns["context"], columns["level"]))
-    bounds = np.searchsorted(columns["level"][order], np.arange(DEPTH + 2))
-    return grow([tuple(columns[c][order[i:j]] for c in ("context", "symbol", "n")) for i, j in zip(bounds[:-1], bounds[1:])])
-
-
 # -- base --------------------------------------------------------------------
 def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = X.text_bytes(column)
@@ -310,7 +222,7 @@ def _scored(tokens: int, known: int):
             base = np.log10((every + 0.5) / (tokens + 0.5 * (known + 1)))
             stream, starts = symbols(data, offsets)
             spelled = np.add.reduceat(log10[np.searchsorted(grams, gram_keys(stream, starts))], token_starts(stream))
-            both = np.logaddexp2(base / np.log10(2), spelled / np.log10(2)) - 1
+            both = np.logaddexp2((base + np.where(every > 0, 0.0, spelled)) / np.log10(2), spelled / np.log10(2)) - 1
             out.append(pa.record_batch([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(rows)), pa.array(X.row_sums((every > 0).astype(np.int64), rows)),
                 pa.array(X.row_sums(base, rows)), pa.array(X.row_sums(both * np.log10(2), rows)),

@@ -1,6 +1,7 @@
 """Pieces, suffix tree, quality, sharding, fingerprints against plain versions."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -143,8 +144,8 @@ def test_symbols():
     assert [out[a:b].tobytes() for a, b in zip(at[:-1], at[1:])] == [plain_symbols(t or "") for t in texts]
 
 
-def plain_tree(texts, gain, prior):
-    """Counts, retained contexts and a probability function, by plain dictionaries."""
+def plain_tree(texts):
+    """A function that gives log10 of every symbol's probability in its longest retained context, by plain dictionaries."""
     depth = suffix_tree.DEPTH
     count = collections.defaultdict(collections.Counter)
     for t in texts:
@@ -152,41 +153,69 @@ def plain_tree(texts, gain, prior):
         for i in range(depth, len(s)):
             for k in range(depth + 1):
                 count[s[i - k : i]][s[i]] += 1
-    total = sum(count[b""].values())
-    least = max(suffix_tree.LEAST_COUNT, suffix_tree.LEAST_SHARE * total)
-    often = {c for c in count if not c or sum(count[c].values()) >= least}
+    often = {c for c in count if not c or sum(count[c].values()) >= suffix_tree.LEAST_COUNT}
 
     def p(context, x):
         if not context:
-            return (count[b""][x] + 0.5) / (total + 128)
+            return (count[b""][x] + 0.5) / (sum(count[b""].values()) + 128)
         n = sum(count[context].values())
-        return (count[context][x] + prior * p(context[1:], x)) / (n + prior)
+        return (count[context][x] + suffix_tree.PRIOR * p(context[1:], x)) / (n + suffix_tree.PRIOR)
 
     keep = {b""}
     for c in often - {b""}:
         n = sum(count[c].values())
-        if sum(m * math.log2(m / n / p(c[1:], x)) for x, m in count[c].items()) >= max(gain * total, 2.0):
+        if sum(m * math.log2(m / n / p(c[1:], x)) for x, m in count[c].items()) >= suffix_tree.LEAST_BITS:
             keep |= {c[k:] for k in range(len(c) + 1)}
 
-    def score(text):
-        s, out = b"\n" * depth + plain_symbols(text), 0.0
-        for i in range(depth, len(s)):
-            state = next(s[i - k : i] for k in range(depth, -1, -1) if s[i - k : i] in keep)
-            out += math.log10(p(state, s[i]))
-        return out
+    def logs(text):
+        s = b"\n" * depth + plain_symbols(text)
+        states = (next(s[i - k : i] for k in range(depth, -1, -1) if s[i - k : i] in keep) for i in range(depth, len(s)))
+        return [math.log10(p(state, x)) for state, x in zip(states, s[depth:])]
+
+    return logs
+
+
+def plain_scores(texts, held):
+    """The whole model's log10 probability of every text, token by token."""
+    lowered = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    count = collections.Counter(w for t, h in zip(lowered, held) if not h for w in [*WORD.findall(t), None])
+    n, v = sum(count.values()), len(count)
+    logs, out = plain_tree([t for t, h in zip(lowered, held) if not h]), []
+    for t in lowered:
+        symbol, at, total = logs(t), 0, 0.0
+        for w in [*WORD.findall(t), None]:
+            size = 1 if w is None else len(w.encode()) + 1
+            tree = 10 ** math.fsum(symbol[at : at + size])
+            base = (count[w] + 0.5) / (n + 0.5 * (v + 1))
+            total += math.log10((tree + (base if count[w] else base * tree)) / 2)
+            at += size
+        out.append(total)
+    return out
+
+
+def test_suffix_tree_scores_equal_plain_version(spark):
+    rows = data(spark)[:60]
+    texts = [r.text for r in rows[:55]] + ["", "never seen Ωµ text", "the the the", "zzqy" * 20, None]
+    held = [i % 5 == 1 or i >= 55 for i in range(len(texts))]
+    from pyspark.sql import functions as F
 
-    return len(keep), score
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id bigint, text string, held boolean")
+    got = {r.doc_id: r.score for r in suffix_tree.scores(df, F.col("held")).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], plain_scores(texts, held), rtol=1e-9)
 
 
-def test_tree_equals_plain_version(spark):
-    texts = [r.text for r in data(spark)[:40]]
-    tree = suffix_tree.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
-    size, score = plain_tree(texts, suffix_tree.GAIN, suffix_tree.PRIOR)
-    assert len(tree.log10) == size
-    tests = [*texts[:5], "", "never seen Ωµ text", "the the the"]
-    stream, at = suffix_tree.symbols(*X.text_bytes(pa.array(tests)))
-    got = X.row_sums(tree.symbol_scores(stream, at), at)
-    assert np.allclose(got, [score(t) for t in tests], rtol=1e-4)
+def test_suffix_tree_score_is_a_probability(spark):
+    """All texts of one word of three letters, and the training texts, share a probability of one at most."""
+    from pyspark.sql import functions as F
+
+    training = ["abc abd", "abc", "b", "", "cab cab abc bb"] * 8
+    words = {"".join(w) for w in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3)}
+    rows = [(i, t, False) for i, t in enumerate(training)] + [(1000 + i, w, True) for i, w in enumerate(sorted(words - {"abc"}))]
+    got = suffix_tree.scores(spark.createDataFrame(rows, "doc_id bigint, text string, held boolean"), F.col("held")).collect()
+    seen = {}
+    for r in got:
+        seen[r.doc_id if r.held_out else training[r.doc_id]] = r.score
+    assert len(seen) == 26**3 - 1 + 5 and 0.2 < math.fsum(10**x for x in seen.values()) <= 1 + 1e-9
 
 
 def test_gram_scores_equal_plain_version(spark):
@@ -194,10 +223,10 @@ def test_gram_scores_equal_plain_version(spark):
     held = ["", "never seen Ωµ text", "the the the"]
     rows = spark.createDataFrame([(t, False) for t in texts] + [(t, True) for t in held], "text string, held_out boolean")
     got = {r.gram: r.log10 for r in suffix_tree.gram_scores(rows).collect()}
-    _, score = plain_tree(texts, 0.0, suffix_tree.PRIOR)
+    logs = plain_tree(texts)
     for t in [*texts[:5], *held]:
         keys = suffix_tree.gram_keys(*suffix_tree.symbols(*X.text_bytes(pa.array([t]))))
-        assert math.isclose(sum(got[int(k)] for k in keys), score(t), rel_tol=1e-9)
+        assert math.isclose(sum(got[int(k)] for k in keys), sum(logs(t)), rel_tol=1e-9)
 
 
 def test_tree_keeps_a_rare_source_in_a_large_corpus(spark):
