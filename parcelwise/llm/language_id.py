@@ -40,6 +40,11 @@ SLICE_BYTES = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; number signs such as ½ or ① match the pattern but are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def _edges() -> np.ndarray:
     table = X.LOWER.copy()
     for b in range(128):
@@ -191,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tu
             named = whole.rename_columns([f"c{i}" for i in range(whole.num_columns)])
             for batch in X.slices(iter([named]), f"c{place}", SLICE_BYTES):
                 column = batch.column(place)
-                letters = np.array([bool(_LETTER.search(x)) for x in X.texts(column)], bool)
+                letters = np.array([has_letter(x) for x in X.texts(column)], bool)
                 if m is None:
                     best, score, rejected = [UNKNOWN] * len(letters), np.zeros(len(letters)), ~letters
                 else:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm import tables
@@ -271,9 +271,16 @@ def _outer(spokes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def only_kept(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group, the one with the smallest id, with the columns of `docs`; ids must be unique."""
-    stay = near_groups(docs, n, key, text).where("kept").select(F.col("doc_id").alias(tables.unique_name(docs.columns, "stay_id")))
-    return docs.join(stay, docs[key].eqNullSafe(stay[stay.columns[0]]), "left_semi")
+    """One row of each group, the one with the smallest id, with the columns of `docs`.
+
+    Rows that repeat an id are one document: the row whose hash is smallest stays. Rows
+    without an id stay if no row with an id is in their group, once for each text.
+    """
+    stay = near_groups(docs, n, key, text).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
+    full = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("doc_id"), F.when(F.col(key).isNull(), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("apart"))
+    kept = full.join(stay, full["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
+    first = Window.partitionBy("doc_id", "apart").orderBy(F.xxhash64("row"))
+    return kept.withColumn("place", F.row_number().over(first)).where(F.col("place") == 1).select("row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,3 +319,7 @@ def test_packing_odd_rows(odd, none):
     check_packed(rows)
     assert sum(r.doc_id == 4 for r in rows) == 2 and next(r.length for r in rows if r.doc_id == 1) == 1
     assert packing.packed(packing.pieces(none, path)).count() == 0
+
+
+def test_number_signs_are_no_letters():
+    assert [language_id.has_letter(t) for t in ("½ ½", "①²", "", "_9", "é", "½ a", "的", "x²")] == [False, False, False, False, True, True, True, True]
