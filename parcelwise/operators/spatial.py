@@ -229,25 +229,61 @@ def nearest_within(
         pairs = pairs.withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
         rank = order_metric.distance("lng", "lat", "f_lng", "f_lat")
     else:
-        pairs, rank = within_radius(slim, spots, radius, metric), F.col("dist")
+        pairs, rank = close_pairs(slim, spots, radius, 1, metric), F.col("dist")
     best = pairs.groupBy(key).agg(F.min(F.struct(rank.alias("_rank"), F.col(feature_key), F.col("dist"), *rest)).alias("_b"))
     best = best.filter(F.col("_b.dist") <= radius)
     out = [feature_key, "dist", *rest]
     return points.join(best, key, "left").select(*points.columns, *[F.col(f"_b.{a}").alias(a) for a in out])
 
 
+#: Grids of a nearest search, each half as wide as the one before.
+SEARCH_LEVELS = 14
+
+
+def close_pairs(points: DataFrame, spots: DataFrame, radius: float, k: int, metric: Metric = HAVERSINE) -> DataFrame:
+    """Pairs within the radius that hold the k nearest spots of every point (positions must differ), with ``dist``.
+
+    A point's search starts at the finest grid whose cell around the point holds k spots:
+    their distance is at most the cell's diagonal, so only spots within that bound are candidates,
+    however many the radius holds. A point without such a cell searches the whole radius.
+    Spots lie in the cells of every grid.
+    """
+    if metric.name == "mercator":
+        raise ValueError("cells do not bound projected distances")
+    widest = metric.typical_reach(radius) / math.sqrt(2.0)
+    size = F.lit(widest) / F.pow(F.lit(2.0), F.col("_l"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(SEARCH_LEVELS)))
+    index = lambda c: F.floor(F.col(c) / size).cast("long")
+    spread = spots.withColumn("_l", levels).withColumns({"_cx": index("f_lng"), "_cy": index("f_lat")})
+    crowded = spread.groupBy("_l", *CELL).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).select("_l", *CELL)
+    own = points.withColumn("_l", levels).withColumns({"_cx": index("lng"), "_cy": index("lat")})
+    start = own.join(crowded, ["_l", *CELL], "left_semi").groupBy(*points.columns).agg(F.max("_l").alias("_l"))
+    started = points.join(start, points.columns, "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
+    # Slack keeps the corners of the cell within the bound.
+    bound = F.least(F.lit(float(radius)), size * (math.sqrt(2.0) / metric.degrees_per_unit * (1 + 1e-9)))
+    bounded = started.withColumn("_bound", F.when(F.col("_l") > 0, bound).otherwise(float(radius)))
+    dx, dy = metric.reach(F.col("_bound"), F.col("lat"))
+    around = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - d) / size).cast("long"), F.floor((F.col(c) + d) / size).cast("long")))
+    left = bounded.withColumns({"_dx": dx, "_dy": dy}).withColumn("_cx", around("lng", F.col("_dx"))).withColumn("_cy", around("lat", F.col("_dy"))).drop("_dx", "_dy")
+    pairs = left.join(spread, ["_l", *CELL]).withColumn("dist", metric.distance("lng", "lat", "f_lng", "f_lat"))
+    return pairs.filter(F.col("dist") <= F.col("_bound")).drop("_l", *CELL, "_bound")
+
+
 def k_nearest_within(
     points: DataFrame, features: DataFrame, key: str, radius: float, feature_key: str, k: int, metric: Metric = HAVERSINE
 ) -> DataFrame:
-    """The k nearest features per point with their rank.
+    """The k nearest features per point with their rank, ties by feature key.
 
     Copies of a position beyond the first k can never be among the k nearest, so
-    they go first. Each partial group keeps only k rows before the shuffle, so a
-    point with a huge neighbourhood never gathers it in one task.
+    they go first; the rest of a spot's copies travel as a list. Only spots that can be among
+    the k nearest become pairs, and each task keeps k rows a point before the shuffle.
     """
-    few = top_k_per_key(features, ["f_lng", "f_lat"], [F.col(feature_key)], k).drop("rank")
-    pairs = within_radius(points.select(key, "lng", "lat"), few, radius, metric)
-    return top_k_per_key(pairs, [key], [F.col("dist"), F.col(feature_key)], k)
+    rest = [c for c in features.columns if c not in ("f_lng", "f_lat")]
+    few = top_k_per_key(features, ["f_lng", "f_lat"], [F.col(feature_key)], k)
+    spots = few.groupBy("f_lng", "f_lat").agg(F.collect_list(F.struct(*rest)).alias("_copies"))
+    pairs = close_pairs(points.select(key, "lng", "lat"), spots, radius, k, metric)
+    every = pairs.select(key, "lng", "lat", "f_lng", "f_lat", "dist", F.explode("_copies").alias("_f")).select("*", "_f.*").drop("_f")
+    return top_k_per_key(every, [key], [F.col("dist"), F.col(feature_key)], k)
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -262,13 +298,14 @@ def nearest(
     key: str,
     feature_key: str,
     attrs: list[str],
-    cell: float = 0.25,
+    cell: float | None = None,
     metric: Metric = HAVERSINE,
     extent: float = 360.0,
 ) -> DataFrame:
     """Nearest feature with no radius, exact, without a driver loop.
 
-    ``extent`` bounds the coordinate range (degrees, or cells for a raster).
+    ``extent`` bounds the coordinate range (degrees, or cells for a raster). Without a ``cell``
+    the grid is as fine as the features are dense.
 
     Works on the grid first. For every occupied point cell, find the coarsest
     needed level: the smallest power-of-two cell whose 3×3 neighbourhood holds a
@@ -276,6 +313,7 @@ def nearest(
     bound are candidates. The cell tables grow with occupied area, not rows.
     """
     rest = [a for a in attrs if a not in ("dist", feature_key)]
+    cell = cell or density_cell(features)
     base = own_cell(points.select(key, "lng", "lat"), cell)
     feats = own_cell(one_per_spot(features, feature_key, rest), cell, "f_lng", "f_lat").withColumnsRenamed(
         {"_cx": "_fx", "_cy": "_fy"}
@@ -290,6 +328,21 @@ def nearest(
     )
 
 
+#: Features that share a cell of a density grid with a feature, on average.
+MATES = 4.0
+
+
+def density_cell(features: DataFrame, coarsest: float = 1.0, levels: int = 16) -> float:
+    """The widest cell (``coarsest`` halved some times) whose features have few others in their cell, however uneven they lie."""
+    size = F.lit(float(coarsest)) / F.pow(F.lit(2.0), F.col("_l"))
+    index = lambda c: F.floor(F.col(c) / size).cast("long")
+    spots = features.select("f_lng", "f_lat").distinct()
+    cells = spots.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels)))).groupBy("_l", index("f_lng").alias("_cx"), index("f_lat").alias("_cy")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    mates = cells.groupBy("_l").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mates"))
+    fit = mates.filter(F.col("mates") <= MATES).agg(F.min("_l")).first()[0]
+    return coarsest / 2.0 ** (levels if fit is None else fit)
+
+
 def nearest_line(
     points: DataFrame, segments: DataFrame, key: str, segment_key: str, attrs: list[str], cell: float = 0.5, extent: float = 360.0
 ) -> DataFrame:

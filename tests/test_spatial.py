@@ -294,3 +294,25 @@ def test_a_disk_costs_its_boundary_not_its_features():
         rows.append(len(level) + (state[tuple(place[near].T)] == 1).sum())
         pairs.append((np.hypot(*(p - 5).T) <= 2).sum())
     assert pairs[1] > 12 * pairs[0] and rows[1] < 5 * rows[0] and rows[1] < pairs[1] / 4
+
+
+def test_nearest_in_a_dense_place_meets_few_candidates(spark):
+    """3,000 features in one cell of 0.01 degrees, some far away: a bounded number of candidates a point, the right answers."""
+    rng = np.random.default_rng(21)
+    xy = np.concatenate((rng.uniform(0, 0.01, (3000, 2)) + [-100, 40], rng.uniform(-1, 1, (30, 2)) + [-100, 40]))
+    at = np.concatenate((rng.uniform(0, 0.01, (40, 2)) + [-100, 40], rng.uniform(-0.4, 0.4, (10, 2)) + [-100, 40]))
+    features = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(9000 + i, float(xy[0][0]), float(xy[0][1])) for i in range(500)], "fid long, f_lng double, f_lat double")
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at)], "pid long, lng double, lat double")
+    spots = X.one_per_spot(features, "fid", [])
+    per_point = {r.pid: r.n for r in X.close_pairs(points, spots, 80_000.0, 3).groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(per_point[i] for i in range(40)) < 150 and len(per_point) == 50
+    everything = [(i, *p) for i, p in enumerate(xy)] + [(9000 + i, *xy[0]) for i in range(500)]
+    want = {(pid, rank + 1): f for pid, p in enumerate(at) for rank, (_, f) in enumerate(sorted((hav(p, q[1:]), q[0]) for q in everything if hav(p, q[1:]) <= 80_000)[:3])}
+    assert {(r.pid, r.rank): r.fid for r in X.k_nearest_within(points, features, "pid", 80_000.0, "fid", 3).collect()} == want
+    # The grid of an unbounded search follows the density.
+    cell = X.density_cell(features)
+    cells = X.own_cell(spots, cell, "f_lng", "f_lat")
+    links = X.cell_candidates(X.own_cell(points, cell).select(*X.CELL).distinct(), cells.select(*X.CELL).distinct(), cell, geo.HAVERSINE)
+    pairs = X.own_cell(points, cell).join(links, X.CELL).join(cells.withColumnsRenamed({"_cx": "_fx", "_cy": "_fy"}), ["_fx", "_fy"]).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    assert max(r.n for r in pairs.collect()) < 300
+    assert {r.pid: r.fid for r in X.nearest(points, features, "pid", "fid", []).collect()} == {p: f for (p, rank), f in want.items() if rank == 1}

@@ -276,7 +276,7 @@ def interconnection_cost(spark, sf_dir):
         "loc_id", F.col("dist").alias("line_m"), F.col("voltage").alias("line_voltage")
     )
     stations = as_features(layer(spark, sf_dir, "substations")).select("sub_id", "f_lng", "f_lat")
-    station = X.nearest(at, stations, "loc_id", "sub_id", [], cell=0.5).select("loc_id", "sub_id", F.col("dist").alias("sub_m"))
+    station = X.nearest(at, stations, "loc_id", "sub_id", []).select("loc_id", "sub_id", F.col("dist").alias("sub_m"))
     plants = as_features(layer(spark, sf_dir, "plants").filter(F.col("operating_status") == "OP"))
     near = counts.sums_within_radius(at, plants, "loc_id", K.CONGESTION_RADIUS_M, {"nearby_mw": F.sum("capacity_mw"), "n_plants": F.count(F.lit(1))})
     out = L.interconnection_stage(sites.join(best, "loc_id").join(station, "loc_id").join(near, "loc_id", "left"))

@@ -142,7 +142,7 @@ def nearest_unbounded(spark, sf_dir):
     """Nearest substation however far away."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     subs = as_features(layer(spark, sf_dir, "substations").select("sub_id", "voltage", "lng", "lat"))
-    out = X.nearest(sites, subs, "loc_id", "sub_id", ["voltage"], cell=0.5)
+    out = X.nearest(sites, subs, "loc_id", "sub_id", ["voltage"])
     return out.select("loc_id", "sub_id", "voltage", F.round("dist", 2).alias("dist_m"))
 
 
@@ -150,7 +150,7 @@ def nearest_degree(spark, sf_dir):
     """J10 ordered by degrees over every structure."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     feats = as_features(layer(spark, sf_dir, "structures").select("fd_id", "lng", "lat"))
-    out = X.nearest(sites, feats, "loc_id", "fd_id", [], cell=0.25, metric=geo.DEGREE)
+    out = X.nearest(sites, feats, "loc_id", "fd_id", [], metric=geo.DEGREE)
     return out.select("loc_id", F.round("dist", 6).alias("dist_deg"))
 
 

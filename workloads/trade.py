@@ -72,7 +72,7 @@ def nearest_competitor(spark, sf_dir):
     """Nearest same-category point for every store, no radius."""
     stores = layer(spark, sf_dir, "stores").select("loc_id", "lng", "lat")
     pts = as_features(layer(spark, sf_dir, "city_pois").filter(T.competes("category", "coffee_shop")).select("poi_id", "lng", "lat"))
-    out = X.nearest(stores, pts, "loc_id", "poi_id", [], cell=0.02)
+    out = X.nearest(stores, pts, "loc_id", "poi_id", [])
     return out.select("loc_id", F.round("dist", 1).alias("nearest_m"))
 
 
