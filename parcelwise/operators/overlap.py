@@ -158,7 +158,7 @@ def nearest_boundaries(
     return X.top_k_per_key(near, [key], [F.col("dist"), F.col(poly_key)], k)
 
 
-# ── boxes and dissolve ──────────────────────────────────────────────────────
+# ── boxes ──────────────────────────────────────────────────────
 def bbox_filter(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Features whose box meets the envelope; plain comparisons push to the scan."""
     if not (west < east and south < north):
@@ -176,25 +176,3 @@ def first_box(points: DataFrame, boxes: DataFrame, key: str, order: str, name: s
         F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
     )
     return held.groupBy(key).agg(F.min_by(name, order).alias(name))
-
-
-def dissolve(polygons: DataFrame, group: str) -> DataFrame:
-    """Merged layer in long form: members keep their rings under the group id.
-
-    Containment and intersection against the group equal those against the union
-    of its disjoint members, and no group is gathered into one row.
-    """
-    return polygons.withColumn("member", F.monotonically_increasing_id()).select(
-        group, "member", "rings", "x0", "y0", "x1", "y1"
-    )
-
-
-def dissolve_summary(polygons: DataFrame, group: str) -> DataFrame:
-    return polygons.groupBy(group).agg(
-        F.count(F.lit(1)).alias("members"),
-        F.min("x0").alias("x0"),
-        F.min("y0").alias("y0"),
-        F.max("x1").alias("x1"),
-        F.max("y1").alias("y1"),
-        F.sum(geo.polygon_area_deg2("rings")).alias("area_deg2"),
-    )

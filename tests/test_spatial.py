@@ -10,6 +10,7 @@ from parcelwise.functions import clip, geo
 from parcelwise.functions.cells import disk_cells, squares
 from parcelwise.functions.sweep import union_area
 from parcelwise.operators import counts, overlap
+from parcelwise.operators import dissolve as D
 from parcelwise.operators import spatial as X
 
 
@@ -316,3 +317,22 @@ def test_nearest_in_a_dense_place_meets_few_candidates(spark):
     pairs = X.own_cell(points, cell).join(links, X.CELL).join(cells.withColumnsRenamed({"_cx": "_fx", "_cy": "_fy"}), ["_fx", "_fy"]).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     assert max(r.n for r in pairs.collect()) < 300
     assert {r.pid: r.fid for r in X.nearest(points, features, "pid", "fid", []).collect()} == {p: f for (p, rank), f in want.items() if rank == 1}
+
+
+def test_dissolve_gives_one_ring_with_the_exact_perimeter(spark):
+    """Tiles of unequal size (corners on neighbours' edges), a hole, a copy, a tile that touches in one corner."""
+    tiles = [("one", i, 0, i + 1, 1) for i in range(6)] + [("one", 0, 1, 2, 2), ("one", 2, 1, 6, 2), ("one", 2, 1, 6, 2)]
+    tiles += [("ring", x, y, x + 1, y + 1) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [("ring", 3, 3, 4, 4), (None, 0, 0, 1, 1)]
+    df = _boxes(spark, [(g, *map(float, t)) for g, *t in tiles], "region")
+    out = {}
+    for r in D.dissolve(df, "region").collect():
+        out.setdefault((r.region, r.ring), {})[r.place] = (r.ax, r.ay, r.bx, r.by)
+    rings = {}
+    for (region, _), steps in out.items():
+        path = [steps[i] for i in range(len(steps))]
+        assert all(p[2:] == q[:2] for p, q in zip(path, path[1:] + path[:1]))
+        area = sum(a * d - c * b for a, b, c, d in path) / 2
+        rings.setdefault(region, []).append((area, sum(math.hypot(c - a, d - b) for a, b, c, d in path)))
+    assert {k: sorted(v) for k, v in rings.items()} == {"one": [(12.0, 16.0)], "ring": [(-1.0, 4.0), (1.0, 4.0), (9.0, 12.0)]}
+    summary = {r.region: (r.members, r.rings, r.perimeter_deg, r.area_deg2) for r in D.dissolve_summary(df, "region").collect()}
+    assert summary == {"one": (8, 1, 16.0, 12.0), "ring": (9, 3, 20.0, 9.0)}

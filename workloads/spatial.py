@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
 from parcelwise.operators import counts, overlap
+from parcelwise.operators import dissolve as D
 from parcelwise.operators import spatial as X
 from parcelwise.plans import solar as L
 
@@ -241,10 +242,17 @@ def bbox_layer(spark, sf_dir):
 
 
 def dissolve(spark, sf_dir):
-    """Member polygons merged by region: extent, members and area."""
-    tiles = box_polygons(layer(spark, sf_dir, "tiles"))
-    out = overlap.dissolve_summary(tiles, "region_id")
-    return out.select("region_id", "members", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "area_deg2")])
+    """Tiles of a region merged: members, rings, extent, perimeter and area of the union."""
+    out = D.dissolve_summary(box_polygons(layer(spark, sf_dir, "tiles")), "region_id")
+    return out.select("region_id", "members", "rings", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "perimeter_deg", "area_deg2")])
+
+
+def dissolved_rings(spark, sf_dir):
+    """Every ring of the merged regions with its corners in order."""
+    out = D.dissolve(box_polygons(layer(spark, sf_dir, "tiles")), "region_id")
+    first = out.groupBy("region_id", "ring").agg(F.count(F.lit(1)).alias("corners"), F.min_by(F.struct("ax", "ay"), "place").alias("a"), F.max_by(F.struct("bx", "by"), "place").alias("z"))
+    closed = (F.col("a.ax") == F.col("z.bx")) & (F.col("a.ay") == F.col("z.by"))
+    return first.groupBy("region_id", "corners").agg(F.count(F.lit(1)).alias("rings"), F.bool_and(closed).alias("closed"))
 
 
 def enrich_layers(spark, sf_dir):
@@ -277,7 +285,7 @@ QUERIES = {f.__name__: f for f in (
     pip_pairs, pip_region, pip_exists, parcel_touches_zone, radius_count, radius_count_mercator, probe_nearest,
     line_distance, nearest_structure, nearest_unbounded, nearest_degree, nearest_of_layers, knearest_poi,
     nearest_perimeters, perimeter_preferring_containment, radius_capacity, areal_rollup, union_cover, bbox_layer,
-    dissolve, enrich_layers, state_by_box,
+    dissolve, dissolved_rings, enrich_layers, state_by_box,
 )}
 
 M_PER_DEG = repr(geo.SPHERE_M_PER_DEG)
@@ -303,6 +311,15 @@ boundary AS (
     CASE WHEN h.contains_point THEN 0e0 ELSE n.d END AS dist
   FROM edge_near n LEFT JOIN holds h USING (property_id, zone_id) WHERE n.d <= 8047 OR h.contains_point)"""
 
+#: Edges of all tiles that no neighbour of the region has the other way round, and the smallest edge that each can reach.
+DISSOLVED = ("tiles", """tile_edges AS (SELECT region_id, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS by FROM tiles UNION ALL SELECT region_id, x1, y0, x1, y1 FROM tiles
+  UNION ALL SELECT region_id, x1, y1, x0, y1 FROM tiles UNION ALL SELECT region_id, x0, y1, x0, y0 FROM tiles),
+outer_edges AS (SELECT row_number() OVER (ORDER BY region_id, e.ax, e.ay, e.bx, e.by) AS id, e.* FROM tile_edges e WHERE NOT EXISTS (
+  SELECT 1 FROM tile_edges o WHERE o.region_id = e.region_id AND o.ax = e.bx AND o.ay = e.by AND o.bx = e.ax AND o.by = e.ay)),
+followed AS (SELECT e.id, arg_max(n.id, (atan2((e.bx - e.ax) * (n.by - n.ay) - (e.by - e.ay) * (n.bx - n.ax), (e.bx - e.ax) * (n.bx - n.ax) + (e.by - e.ay) * (n.by - n.ay)), n.id)) AS next
+  FROM outer_edges e JOIN outer_edges n ON n.region_id = e.region_id AND n.ax = e.bx AND n.ay = e.by GROUP BY e.id),
+named AS (WITH RECURSIVE r(id, met) AS (SELECT id, id FROM followed UNION SELECT r.id, f.next FROM r JOIN followed f ON f.id = r.met) SELECT id, min(met) AS ring FROM r GROUP BY id)""")
+
 ORACLES = {
     "pip_pairs": with_ctes("structures", "zones", ZONE_EDGES, inside("structures", "fd_id"), body="""
 SELECT fd_id, count(*) AS n_zones, arg_max(zone_id, (gis_acres, -zone_id)) AS zone_id, max(gis_acres) AS gis_acres
@@ -406,9 +423,13 @@ FROM parcels p CROSS JOIN (VALUES ('habitat'), ('protected'), ('wetland')) AS k(
   FROM zone_edges GROUP BY zone_id)
 SELECT zone_id, flood_zone, round(x0, 6) AS x0, round(y0, 6) AS y0 FROM boxes
 WHERE x0 <= -90 AND x1 >= -110 AND y0 <= 42 AND y1 >= 30"""),
-    "dissolve": with_ctes("tiles", body="""
-SELECT region_id, count(*) AS members, round(min(x0), 6) AS x0, round(min(y0), 6) AS y0, round(max(x1), 6) AS x1,
-  round(max(y1), 6) AS y1, round(sum((x1 - x0) * (y1 - y0)), 6) AS area_deg2 FROM tiles GROUP BY region_id"""),
+    "dissolve": with_ctes(*DISSOLVED, body="""
+SELECT region_id, any_value(members) AS members, count(DISTINCT ring) AS rings, round(min(ax), 6) AS x0, round(min(ay), 6) AS y0, round(max(ax), 6) AS x1, round(max(ay), 6) AS y1,
+  round(sum(abs(bx - ax) + abs(dy)), 6) AS perimeter_deg, any_value(area) AS area_deg2
+FROM (SELECT o.*, o.by - o.ay AS dy, ring FROM outer_edges o JOIN named USING (id)) JOIN (
+  SELECT region_id, count(*) AS members, round(sum((x1 - x0) * (y1 - y0)), 6) AS area FROM tiles GROUP BY region_id) USING (region_id) GROUP BY region_id"""),
+    "dissolved_rings": with_ctes(*DISSOLVED, body="""
+SELECT region_id, corners, count(*) AS rings, TRUE AS closed FROM (SELECT region_id, ring, count(*) AS corners FROM outer_edges JOIN named USING (id) GROUP BY region_id, ring) GROUP BY region_id, corners"""),
     "enrich_layers": with_ctes("sites", "pois", "substations", body=f"""
 , feats AS (SELECT layer, poi_id AS feature_id, lng, lat FROM pois UNION ALL SELECT 'SUBSTATION', sub_id, lng, lat FROM substations),
 pairs AS (SELECT s.loc_id, f.layer, f.feature_id, {hav('s.lng', 's.lat', 'f.lng', 'f.lat')} AS d
