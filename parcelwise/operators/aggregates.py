@@ -30,13 +30,26 @@ def magnitude_bucket(per_octave: int = 1024) -> Callable[[Column], Column]:
     return bucket
 
 
-def linear_bucket(width: float) -> Callable[[Column], Column]:
+#: Buckets of a histogram: one window each.
+PARTS = 128
+
+
+def histogram_bucket(df: DataFrame, value: str, parts: int = PARTS) -> Callable[[Column], Column]:
+    """Order-preserving buckets that hold about equally many rows of ``df``, wherever its values crowd."""
+    edges = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(edges)))) if edges else F.array().cast("array<double>")
+
     def bucket(v: Column) -> Column:
-        return F.floor(v / width).cast("long")
+        return F.size(F.filter(bounds, lambda b: b < v)).cast("long")
 
     return bucket
 
 
+def text_bucket(v: Column) -> Column:
+    """Order-preserving buckets of texts: their first three bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(v.cast("binary"), 1, 3)), 6, "0"), 16, 10).cast("long")
+
+
 def running_total(
     levels: DataFrame,
     order: str,
@@ -160,21 +173,30 @@ def spearman(df: DataFrame, x: str, y: str, bucket=None) -> DataFrame:
 def edge_decile_means(df: DataFrame, rank_by: str, value: str, key: str, bucket=None) -> DataFrame:
     """Means of ``value`` in the lowest and highest n//10 rows (at least one).
 
-    Rows tied on ``rank_by`` at an edge are split by ``key``.
+    Rows tied on ``rank_by`` at an edge are split by ``key``. Values wholly on one side need no
+    ranks; the at most two values that an edge cuts are ranked in buckets of their keys, so one
+    value for all rows is no more work for a task than any other.
     """
-    levels = df.groupBy(rank_by).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.filter(F.col(rank_by).isNotNull())
+    levels = rows.groupBy(rank_by).agg(F.count(F.lit(1)).alias("n"))
     cum = running_total(levels, rank_by, ["n"], bucket=bucket).select(
-        rank_by, (F.col("cum_n") - F.col("n")).alias("_before"), "n", F.col("total_n").alias("_total")
+        rank_by, (F.col("cum_n") - F.col("n")).alias("_before"), F.col("cum_n").alias("_after"), F.col("total_n").alias("_total")
     )
     take = F.greatest(F.lit(1), F.floor(F.col("_total") / 10))
-    edge = cum.filter((F.col("_before") < take) | (F.col("_before") + F.col("n") > F.col("_total") - take))
-    ranked = (
-        df.join(edge, rank_by)
-        .withColumn("_pos", F.col("_before") + F.row_number().over(W.partitionBy(rank_by).orderBy(key)) - 1)
-    )
-    low, high = F.col("_pos") < take, F.col("_pos") >= F.col("_total") - take
-    return ranked.agg(
-        F.avg(F.when(low, F.col(value))).alias("bottom_mean"), F.avg(F.when(high, F.col(value))).alias("top_mean")
+    low_end, high_start = take, F.col("_total") - take
+    edge = cum.withColumns({
+        "_low": F.col("_after") <= low_end, "_high": F.col("_before") >= high_start,
+        "_cut": ((F.col("_before") < low_end) & (F.col("_after") > low_end)) | ((F.col("_before") < high_start) & (F.col("_after") > high_start)),
+    }).filter(F.col("_low") | F.col("_high") | F.col("_cut"))
+    slim = rows.select(rank_by, key, value).join(edge, rank_by)
+    whole = slim.filter(~F.col("_cut")).select(value, F.col("_low"), F.col("_high"))
+    cut = slim.filter("_cut")
+    numbers = dict(df.dtypes)[key] not in ("string", "binary")
+    ranks = running_total(cut.groupBy(rank_by, key).agg(F.count(F.lit(1)).alias("n")), key, ["n"], [rank_by], bucket=None if numbers else text_bucket)
+    place = F.col("_before") + F.col("cum_n") - 1
+    ranked = cut.join(ranks.select(rank_by, key, "cum_n"), [rank_by, key]).select(value, (place < low_end).alias("_low"), (place >= high_start).alias("_high"))
+    return whole.unionByName(ranked).agg(
+        F.avg(F.when(F.col("_low"), F.col(value))).alias("bottom_mean"), F.avg(F.when(F.col("_high"), F.col(value))).alias("top_mean")
     )
 
 
@@ -243,7 +265,7 @@ def score_levels(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"),
     )
-    return running_total(levels, score, ["pos", "neg"], descending=True, bucket=linear_bucket(1.0 / 8192))
+    return running_total(levels, score, ["pos", "neg"], descending=True, bucket=histogram_bucket(levels, score))
 
 
 def auc_gini(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -275,7 +297,7 @@ def youden(df: DataFrame, score: str, label: str) -> DataFrame:
 def quantile_bins(df: DataFrame, score: str, name: str = "decile", bins: int = 10) -> DataFrame:
     """Bin number from the distinct quantile edges, as many as differ."""
     probs = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(df, score, probs, bucket=linear_bucket(1.0 / 8192))
+    edges = exact_quantiles(df, score, probs, bucket=histogram_bucket(df, score))
     inner = edges.agg(F.array_sort(F.collect_set("quantile")).alias("_e")).select(
         F.expr("slice(_e, 2, greatest(size(_e) - 2, 0))").alias("_e")
     )

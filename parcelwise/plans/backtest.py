@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,28 +171,44 @@ def factor_violations(cases: DataFrame, expected: str, actual: str, key: str) ->
     return rows.select(key, "factor", v.alias("value"), why.alias("violation")).filter(F.col("violation").isNotNull())
 
 
-def bootstrap_mean_ci(
-    df: DataFrame, value: str, key: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 42, blocks: int = 1024
-) -> DataFrame:
-    """Percentile interval of the mean under Poisson(1) resampling of hash blocks.
+# fixed values: Poisson(1) cumulative probabilities
+POISSON_CUTS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+#: Rows whose weights are drawn at once.
+DRAWN_ROWS = 256
+_P = 2_147_483_647
+
+
+def _draws(resamples: int, seed: int, value: str, key: str):
+    """Per task and resample: the weighted sum and the weights of the task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = np.arange(1, resamples + 1, dtype=np.int64) * 1_000_003
+        sums, weights = np.zeros(resamples), np.zeros(resamples, np.int64)
+        for batch in batches:
+            keys, values = batch.column(key).to_numpy(), batch.column(value).to_numpy()
+            row = (keys % _P * 48_271 + keys // _P % _P * 69_621 + seed) % _P
+            for at in range(0, len(row), DRAWN_ROWS):
+                # Rounds of a quadratic hash that any SQL engine can repeat.
+                x = (row[at : at + DRAWN_ROWS, None] + b) % _P
+                y = (x * x % _P * 48_271 + x) % _P
+                u = (y * y % _P + y * 69_621) % _P / float(_P)
+                w = np.searchsorted(POISSON_CUTS, u.ravel(), "right").reshape(u.shape)
+                sums += values[at : at + DRAWN_ROWS] @ w
+                weights += w.sum(axis=0)
+        if weights.any():
+            yield pa.RecordBatch.from_pydict({"b": np.arange(1, resamples + 1), "s": sums, "w": weights})
+
+    return run
+
+
+def bootstrap_mean_ci(df: DataFrame, value: str, key: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean under Poisson(1) resampling of rows.
 
-    Rows are summed once into blocks; only the blocks meet the resamples, so the
-    work after the first pass does not grow with the input.
+    Every row draws its own weight in every resample, from a hash of its key, so a lost task
+    draws the same again. A task adds up its rows and sends one row a resample.
     """
-    mixed = R.arithmetic_hash(F.col(key), seed)
-    parts = df.filter(F.col(value).isNotNull()).groupBy(F.pmod(mixed, F.lit(blocks)).alias("_k")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    draws = parts.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    # Three rounds of a quadratic hash that any SQL engine can repeat.
-    m = F.lit(1_000_003)
-    x = F.pmod((F.col("_k") * 2003 + F.col("_b") + seed) * 48_271, m)
-    y = F.pmod(F.pmod(x * x, m) * 69_621 + x, m)
-    u = F.pmod(y * y + x * 40_692 + y, m) / 1_000_003.0
-    # fixed values: Poisson(1) cumulative probabilities
-    weight = F.lit(0)
-    for cut in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676):
-        weight = weight + F.when(u >= cut, 1).otherwise(0)
-    drawn = draws.withColumn("_w", weight)
-    sums = drawn.groupBy("_b").agg(F.sum(F.col("_w") * F.col("_s")).alias("s"), F.sum(F.col("_w") * F.col("_c")).alias("w"))
+    rows = df.filter(F.col(value).isNotNull()).select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias(key), F.col(value).cast("double").alias(value))
+    sums = rows.mapInArrow(_draws(resamples, seed, value, key), "b long, s double, w long").groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
     means = sums.filter(F.col("w") > 0).select((F.col("s") / F.col("w")).alias("mean"))
     at = A.values_at(
         means, "mean", {"lo": lambda n: F.floor(n * (alpha / 2)), "hi": lambda n: F.floor(n * (1 - alpha / 2)) - 1}

@@ -99,3 +99,31 @@ def test_upsert_and_guard(spark):
 def test_drivers_and_curve_tables():
     assert all(len(s) == len(c) == 29 for _, s, c in K.DEPTH_DAMAGE.values())
     assert sum(len(v) for v in K.FRAGILITY_MEDIANS.values()) == 28
+
+
+@pytest.mark.parametrize("key", ["k", "name"])
+@pytest.mark.parametrize("shape", ["one value", "few values", "distinct"])
+def test_edge_deciles_split_ties_by_key(spark, key, shape):
+    rng = np.random.default_rng(4)
+    n = 500
+    rank = {"one value": np.zeros(n), "few values": rng.integers(0, 3, n).astype(float), "distinct": rng.permutation(n).astype(float)}[shape]
+    keys, value = rng.permutation(n) * 7 + 1, rng.normal(size=n)
+    rows = [(int(k), f"id{k:05d}", float(r), float(v)) for k, r, v in zip(keys, rank, value)]
+    df = spark.createDataFrame(rows + [(0, "x", None, 1.0)], "k long, name string, r double, v double")
+    order = np.lexsort((keys, rank))
+    got = A.edge_decile_means(df, "r", "v", key).first()
+    assert got.bottom_mean == pytest.approx(value[order[:50]].mean()) and got.top_mean == pytest.approx(value[order[-50:]].mean())
+
+
+def test_histogram_buckets_are_even_wherever_values_crowd(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate((rng.uniform(0, 1e-9, 6000), rng.uniform(0, 1, 2000), 0.5 + rng.uniform(0, 1e-7, 4000)))
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    bucket = A.histogram_bucket(df, "v")
+    sizes = df.groupBy(bucket(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+    assert len(sizes) > 100 and max(r.n for r in sizes) < 3 * len(values) / len(sizes)
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+    # One value for all rows: ranks come from buckets of the keys.
+    tied = spark.range(1, 100_001).select("id", F.lit(0.25).alias("r"), (F.col("id") % 10).cast("double").alias("v"))
+    spread = tied.groupBy(A.magnitude_bucket()(F.col("id"))).count().agg(F.max("count")).first()[0]
+    assert spread < 100 and A.edge_decile_means(tied, "r", "v", "id").first().bottom_mean == pytest.approx(4.5)

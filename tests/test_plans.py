@@ -209,8 +209,15 @@ def test_recorded_case_summary(spark):
     assert (round(r.mae, 1), round(r.rmse, 2), round(r.bias, 1), r.in_range) == (11.0, 13.78, 2.8, 4)
 
 
-def test_bootstrap_brackets_the_mean(spark):
-    df = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("v"))
-    r = B.bootstrap_mean_ci(df, "v", "id", resamples=300).first()
-    assert r.lo < 4.5 < r.hi and r.hi - r.lo < 1.2
-
+def test_bootstrap_equals_a_row_bootstrap(spark):
+    """Heavy-tailed rows over several tasks: the interval of numpy's row bootstrap within its sampling error."""
+    rng = np.random.default_rng(3)
+    values = np.exp(rng.normal(0, 1.5, 600))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)] + [(700, None)], "id long, v double").repartition(5)
+    r = B.bootstrap_mean_ci(df, "v", "id").first()
+    means = values[rng.integers(0, len(values), (20_000, len(values)))].mean(axis=1)
+    lo, hi = np.quantile(means, [0.025, 0.975])
+    assert r.lo == pytest.approx(lo, rel=0.03) and r.hi == pytest.approx(hi, rel=0.04)
+    again = B.bootstrap_mean_ci(df.coalesce(1), "v", "id").first()
+    assert (again.lo, again.hi) == pytest.approx((r.lo, r.hi), rel=1e-12)
+    assert B.bootstrap_mean_ci(df.limit(0), "v", "id").first().lo is None

@@ -379,14 +379,14 @@ SELECT count(*) AS n, count(*) FILTER (WHERE a <= 10) AS in_range, count(*) FILT
 , top AS (SELECT loc_id FROM rated ORDER BY score DESC, loc_id LIMIT 15)
 SELECT count(*) AS k, count(*) FILTER (WHERE loc_id % 4 = 1) AS net_new, count(*) FILTER (WHERE loc_id % 4 = 0) AS known_found, round(count(*) FILTER (WHERE loc_id % 4 <= 1) / count(*), 6) AS precision,
   round(count(*) FILTER (WHERE loc_id % 4 = 0) / (SELECT count(*) FROM sites WHERE loc_id % 4 = 0), 6) AS coverage FROM top"""),
-    "bootstrap_ci": with_ctes("claims", body=f"""
-, blocks AS (SELECT {HASH.format(key='claim_id', seed=42)} % 1024 AS k, sum(paid) AS s, count(paid) AS c FROM claims WHERE paid IS NOT NULL GROUP BY 1),
-x AS (SELECT *, ((k * 2003 + b + 42) * 48271) % 1000003 AS x FROM blocks CROSS JOIN (SELECT unnest(range(1, 2001)) AS b)),
-y AS (SELECT *, ((x * x) % 1000003 * 69621 + x) % 1000003 AS y FROM x),
-u AS (SELECT *, ((y * y + x * 40692 + y) % 1000003) / 1000003e0 AS u FROM y),
-w AS (SELECT b, s, c, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT
+    "bootstrap_ci": with_ctes("claims", body="""
+, r0 AS (SELECT (claim_id % 2147483647 * 48271 + claim_id // 2147483647 % 2147483647 * 69621 + 42) % 2147483647 AS r, paid FROM claims WHERE paid IS NOT NULL),
+x AS (SELECT b, paid, (r + b * 1000003) % 2147483647 AS x FROM r0 CROSS JOIN (SELECT unnest(range(1, 2001)) AS b)),
+y AS (SELECT b, paid, (x * x % 2147483647 * 48271 + x) % 2147483647 AS y FROM x),
+u AS (SELECT b, paid, ((y * y % 2147483647 + y * 69621) % 2147483647) / 2147483647e0 AS u FROM y),
+w AS (SELECT b, paid, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT
   + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT + (u >= 0.99991676)::INT AS w FROM u),
-m AS (SELECT sum(w * s) / sum(w * c) AS mean FROM w GROUP BY b HAVING sum(w * c) > 0),
+m AS (SELECT sum(w * paid) / sum(w) AS mean FROM w GROUP BY b HAVING sum(w) > 0),
 r AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS i, count(*) OVER () AS n FROM m)
 SELECT round(max(mean) FILTER (WHERE i = floor(n * 0.025)), 6) AS lo, round(max(mean) FILTER (WHERE i = floor(n * 0.975) - 1), 6) AS hi FROM r"""),
     "random_points": with_ctes("tiles", body=f"""
