@@ -151,12 +151,12 @@ def calibrate_weights(matrix: DataFrame, rate: float = 0.02, tolerance: float =
         n.setdefault(r["region"], {})[r["kind"]] = r["n"]
     fit = [r for r, c in n.items() if c.get("site", 0) >= MIN_POSITIVES and c.get("random", 0) > 0]
     best = {r: START.copy() for r in n}
+    grads: dict[str, np.ndarray] = {}
     result = {
         r: {"method": "constrained_optimization" if r in fit else "literature_default", "start": None, "value": None} for r in n
     }
     if fit:
         trial, rates = {r: project(START) for r in fit}, {r: rate for r in fit}
-        grads: dict[str, np.ndarray] = {}
         moving = list(fit)
         for _ in range(most_steps):
             terms = _objective_terms(matrix.filter(F.col("region").isin(moving)), {r: trial[r] for r in moving})
@@ -179,13 +179,21 @@ def calibrate_weights(matrix: DataFrame, rate: float = 0.02, tolerance: float =
                 break
     for r in n:
         result[r]["weights"] = {c: float(v) for c, v in zip(CRITERIA, best[r])}
+        result[r]["residual"] = _residual(best[r], grads[r]) if r in fit else None
     return result
 
 
+def _residual(weights: np.ndarray, gradient: np.ndarray, step: float = 1e-6) -> float:
+    """How far a small step along the gradient moves feasible weights, per unit: 0 at a constrained optimum."""
+    g = gradient / max(float(np.abs(gradient).max()), 1e-12)
+    return float(np.abs(project(weights + step * g) - weights).max() / step)
+
+
 def profile_table(spark, calibrated: dict[str, dict]) -> DataFrame:
-    rows = [(r, p["method"], p["weights"], p["start"], p["value"]) for r, p in calibrated.items()]
+    """Weights per region with the objective before and after, whether the search ended by itself, and the optimality residual."""
+    rows = [(r, p["method"], p["weights"], p["start"], p["value"], p.get("converged"), p["residual"]) for r, p in calibrated.items()]
     return spark.createDataFrame(
-        rows, "region string, method string, weights map<string,double>, start_value double, value double"
+        rows, "region string, method string, weights map<string,double>, start_value double, value double, converged boolean, residual double"
     )
 
 

@@ -84,7 +84,9 @@ def model_coefficients(spark, sf_dir):
         }
     )
     fit = M.fit_logit(frame)
-    return M.coefficient_table(fit, frame).select("feature", F.round("coef", 6).alias("coef"), F.round("standardized", 6).alias("standardized"))
+    return M.coefficient_table(fit, frame).select(
+        "feature", F.round("coef", 6).alias("coef"), F.round("std_error", 6).alias("std_error"), F.round("z", 4).alias("z"), F.round("standardized", 6).alias("standardized")
+    )
 
 
 def spearman(spark, sf_dir):
@@ -149,7 +151,7 @@ def calibrated_weights(spark, sf_dir):
     profiles = C.profile_table(spark, C.calibrate_weights(m))
     checks = C.profile_checks(profiles)
     return profiles.join(checks, ["region", "method"]).select(
-        "region", "method", F.round("total", 6).alias("total"), "out_of_bounds", (F.col("value") >= F.col("start_value")).alias("not_worse")
+        "region", "method", F.round("total", 6).alias("total"), "out_of_bounds", F.round("start_value", 6).alias("start_value"), (F.col("value") >= F.col("start_value")).alias("not_worse"),
     )
 
 
@@ -295,7 +297,47 @@ t AS (SELECT tract_id, avg(usd) AS predicted, any_value(per) AS actual, count(*)
 AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0"
 STATE = """st AS (SELECT segment, CASE WHEN loc_id % 2 = 0 THEN 'site' ELSE 'random' END AS kind, score, CASE WHEN passed_all THEN rating ELSE 'Excluded' END AS rating, loc_id FROM rated)"""
 
+
+
+def newton_sql(rows: str, names: list[str], label: str, steps: int = 9) -> str:
+    """Brute-force CTEs: maximum-likelihood logit by Newton steps, each a Gaussian elimination written out.
+
+    ``rows`` has the predictors and the label. The last CTE, ``fit``, has b0, b1, ... (the constant last) and v0, v1, ..., the diagonal of the inverse information.
+    """
+    n = len(names) + 1
+    x = [*names, "1e0"]
+    parts = ["beta0 AS (SELECT " + ", ".join(f"0e0 AS b{i}" for i in range(n)) + ")"]
+    width = 2 * n + 1  # information, score, identity
+    for step in range(steps):
+        eta = " + ".join(f"b{i} * {x[i]}" for i in range(n))
+        info = ", ".join(f"sum(p * (1 - p) * {x[i]} * {x[j]}) AS a{i}_{j}" for i in range(n) for j in range(n))
+        score = ", ".join(f"sum(({label} - p) * {x[i]}) AS a{i}_{n}" for i in range(n))
+        unit = ", ".join(f"{1 if i == j - n - 1 else 0}e0 AS a{i}_{j}" for i in range(n) for j in range(n + 1, width))
+        parts.append(f"m{step}_0 AS (SELECT {info}, {score}, {unit} FROM (SELECT *, 1e0 / (1e0 + exp(-({eta}))) AS p FROM {rows} CROSS JOIN beta{step}))")
+        for k in range(n):
+            cells = ", ".join(f"a{k}_{j} / a{k}_{k} AS a{i}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in range(n) for j in range(width))
+            parts.append(f"m{step}_{k + 1} AS (SELECT {cells} FROM m{step}_{k})")
+        moved = ", ".join(f"b{i} + a{i}_{n} AS b{i}" for i in range(n))
+        spread = ", ".join(f"a{i}_{n + 1 + i} AS v{i}" for i in range(n))
+        parts.append(f"beta{step + 1} AS MATERIALIZED (SELECT {moved}, {spread} FROM m{step}_{n} CROSS JOIN beta{step})")
+    return ",\n".join([*parts, f"fit AS (SELECT * FROM beta{steps})"])
+
+
+TRAINED = """trained AS (SELECT *, CASE WHEN occtype LIKE 'RES1%' THEN 1e0 ELSE 0e0 END AS is_res1, CASE WHEN (fd_id * 17 + 5) % 100 < 30 + slope_degrees THEN 1 ELSE 0 END AS destroyed
+  FROM structures WHERE canopy_cover_100m IS NOT NULL)"""
+
+_N = len(C.CRITERIA)
+_WIDE = "wide AS (SELECT region, kind, loc_id, " + ", ".join(f"max(score) FILTER (WHERE criterion_id = {c!r}) AS s{i}" for i, c in enumerate(C.CRITERIA)) + " FROM longs GROUP BY ALL)"
 ORACLES = {
+    "calibrated_weights": with_ctes("sites", LONG, _WIDE, body=f"""
+, composites AS (SELECT region, kind, coalesce(({' + '.join(f'coalesce({float(w)!r} * s{i}, 0e0)' for i, w in enumerate(C.START))}) / nullif({' + '.join(f'CASE WHEN s{i} IS NOT NULL THEN {float(w)!r} ELSE 0e0 END' for i, w in enumerate(C.START))}, 0e0), 0e0) AS c FROM wide),
+means AS (SELECT region, kind, count(*) AS n, avg(c) + avg(1e0 / (1e0 + exp(-(c - {C.HIGH}) / {C.SOFTNESS}))) AS v FROM composites GROUP BY ALL),
+fitted AS (SELECT s.region, s.n >= {C.MIN_POSITIVES} AS fits, s.v - r.v AS gap FROM means s JOIN means r ON s.kind = 'site' AND r.kind = 'random' AND s.region = r.region)
+SELECT region, CASE WHEN fits THEN 'constrained_optimization' ELSE 'literature_default' END AS method, 1e0 AS total, 0 AS out_of_bounds,
+  CASE WHEN fits THEN round(gap, 6) END AS start_value, CASE WHEN fits THEN TRUE END AS not_worse FROM fitted"""),
+    "model_coefficients": with_ctes("structures", TRAINED, newton_sql("trained", M.PREDICTORS, "destroyed"), body=" UNION ALL ".join(
+        f"SELECT '{name}' AS feature, round(b{i}, 6) AS coef, round(sqrt(v{i}), 6) AS std_error, round(b{i} / sqrt(v{i}), 4) AS z, "
+        + (f"round(b{i} * (SELECT stddev_samp({name}) FROM trained), 6)" if name != "const" else "NULL::DOUBLE") + " AS standardized FROM fit" for i, name in enumerate([*M.PREDICTORS, "const"]))),
     "auc_gini": with_ctes("structures", PRED, body="""
 , r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS rk FROM pred),
 a AS (SELECT sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n, sum(rk) FILTER (WHERE label = 1) AS s FROM r)
