@@ -96,6 +96,19 @@ def gram_keys(stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (key << np.uint64(8)) | stream
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a sorted table; looked up in order, so that neighbours share memory."""
+    order = np.argsort(keys)
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.searchsorted(table, keys[order])
+    return places
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -189,9 +202,9 @@ def _block_keys(table: pa.Table) -> pa.Table:
     """Distinct words and grams of a block."""
     found, grams = [np.array([_END_WORD])], []
     for batch in X.slices(iter(table.to_batches()), limit=WALKED_BYTES):
-        found.append(np.unique(X.words(*_lowered(batch.column("text")))[0]))
-        grams.append(np.unique(gram_keys(*symbols(*X.text_bytes(batch.column("text"))))))
-    words, grams = np.unique(np.concatenate(found)), np.unique(np.concatenate(grams))
+        found.append(_distinct(X.words(*_lowered(batch.column("text")))[0]))
+        grams.append(_distinct(gram_keys(*symbols(*X.text_bytes(batch.column("text"))))))
+    words, grams = _distinct(np.concatenate(found)), _distinct(np.concatenate(grams))
     block = np.full(len(words) + len(grams), table.column("block")[0].as_py(), np.int64)
     return pa.table({"block": block, "is_gram": np.arange(len(block)) >= len(words), "key": np.concatenate((words, grams)).view(np.int64)})
 
@@ -217,11 +230,11 @@ def _scored(tokens: int, known: int):
             data, offsets = _lowered(batch.column("text"))
             hashes, bounds = X.words(data, offsets)
             # Words and ends in the order of the symbols; each row has one end more.
-            every = np.insert(counts[np.searchsorted(keys, hashes)], bounds[1:], end)
+            every = np.insert(counts[_found(keys, hashes)], bounds[1:], end)
             rows = bounds + np.arange(len(bounds))
             base = np.log10((every + 0.5) / (tokens + 0.5 * (known + 1)))
             stream, starts = symbols(data, offsets)
-            spelled = np.add.reduceat(log10[np.searchsorted(grams, gram_keys(stream, starts))], token_starts(stream))
+            spelled = np.add.reduceat(log10[_found(grams, gram_keys(stream, starts))], token_starts(stream))
             both = np.logaddexp2((base + np.where(every > 0, 0.0, spelled)) / np.log10(2), spelled / np.log10(2)) - 1
             out.append(pa.record_batch([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(rows)), pa.array(X.row_sums((every > 0).astype(np.int64), rows)),
