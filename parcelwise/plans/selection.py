@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scoring as S
+from ..operators import overlap
 from ..operators import spatial as X
 from ..sources import catalog
 from ..sources.catalog import Criterion
@@ -87,6 +88,33 @@ def probe_sources(points: DataFrame, features: DataFrame, key: str, radii: dict[
     return asked.join(out, [key, "source_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def probe_layers(
+    locations: DataFrame, key: str, points: DataFrame, lines: DataFrame, polygons: DataFrame, known: DataFrame, named: dict[str, list[str]], cell: float,
+    radii: dict[str, float] = K.PROBE_RADIUS_M,
+) -> DataFrame:
+    """Probe of sources of every kind: (key, source_id, n, nearest_m), with n = 0 where nothing is near.
+
+    ``points``, ``lines`` and ``polygons`` (with ``feature_id``) carry a ``source_id`` and are searched
+    within its radius; a polygon that holds the location is at distance 0. ``known`` lists the
+    (key, source_id) whose table or raster has a value at the location. ``named`` lists the sources of
+    each of the four.
+    """
+    at = locations.select(key, "lng", "lat")
+    parts = [probe_sources(locations, points, key, {s: radii[s] for s in named["points"]}).filter("n > 0")]
+    for radius in sorted({radii[s] for s in named["lines"]}):
+        names = [s for s in named["lines"] if radii[s] == radius]
+        near = X.lines_within(at, lines.filter(F.col("source_id").isin(names)), radius)
+        parts.append(near.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("nearest_m")))
+    for radius in sorted({radii[s] for s in named["polygons"]}):
+        names = [s for s in named["polygons"] if radii[s] == radius]
+        near = overlap.boundary_distances(at, polygons.filter(F.col("source_id").isin(names)), key, "feature_id", ["source_id"], radius, cell)
+        parts.append(near.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("nearest_m")))
+    parts.append(known.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("nearest_m")))
+    found = reduce(DataFrame.unionByName, parts)
+    every = F.explode(F.array(*[F.lit(s) for names in named.values() for s in names])).alias("source_id")
+    return locations.select(key, every).join(found, [key, "source_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def availability_columns(locations: DataFrame, probes: DataFrame, key: str, probed: list[str]) -> DataFrame:
     """Wide form: ``has_<source>`` and ``nearest_<source>`` per location.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import constants as K
 from parcelwise.functions import scoring as S
 from parcelwise.operators import counts, overlap
+from parcelwise.operators import raster as G
 from parcelwise.operators import spatial as X
 from parcelwise.plans import selection as E
 from parcelwise.plans import solar as L
@@ -18,22 +22,61 @@ from .layers import (
 from .layers import PARCELS as PARCEL_BOXES
 from .spatial import TILE_CELL, segment_sql, zone_cell, zones
 
-PROBED = ["hifld_transmission", "osm_substations", "epa_ejscreen", "nwi_wetlands", "usfs_fsim", "landfire_fuels_canopy",
-          "osm_pois", "census_lehd", "google_inundation_history"]
+#: Sources probed in the layers: points, lines, polygons, and values known at the site.
+PROBED_BY = {
+    "points": ["osm_substations", "eia_form860", "osm_pois"],
+    "lines": ["hifld_transmission"],
+    "polygons": ["nwi_wetlands", "usgs_padus", "usfws_critical_habitat", "google_inundation_history"],
+    "known": ["epa_ejscreen", "census_lehd", "usfs_fsim", "landfire_fuels_canopy"],
+}
+PROBED = [s for names in PROBED_BY.values() for s in names]
+
+
+def site_probes(spark, sf_dir):
+    """(loc_id, source_id, n, nearest_m) of every probed source."""
+    sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat", "ej_percentile")
+    of = lambda name, df: df.withColumn("source_id", F.lit(name))
+    at = lambda name: as_features(layer(spark, sf_dir, name).select("lng", "lat"))
+    points = of("osm_substations", at("substations")).unionByName(of("eia_form860", at("plants"))).unionByName(of("osm_pois", at("pois")))
+    lines = of("hifld_transmission", layer(spark, sf_dir, "lines").select("ax", "ay", "bx", "by"))
+    z = zones(spark, sf_dir, "zone_id", "kind", "flood_zone")
+    kinds = F.create_map(*map(F.lit, ("wetland", "nwi_wetlands", "protected", "usgs_padus", "habitat", "usfws_critical_habitat")))
+    box = ("rings", "x0", "y0", "x1", "y1")
+    flooded = of("google_inundation_history", z.filter(S.is_sfha("flood_zone"))).select(F.concat(F.lit("f"), "zone_id").alias("feature_id"), "source_id", *box)
+    polygons = z.select(F.concat(F.lit("k"), "zone_id").alias("feature_id"), kinds[F.col("kind")].alias("source_id"), *box).unionByName(flooded)
+    tracts = box_polygons(layer(spark, sf_dir, "tracts").select("tract_id", "x0", "y0", "x1", "y1"))
+    cells = G.sample(sites.select("loc_id", "lng", "lat"), layer(spark, sf_dir, "raster"), ["dem", "canopy"], -9999.0, **RASTER_AFFINE)
+    known = [
+        of("epa_ejscreen", sites.filter("ej_percentile IS NOT NULL").select("loc_id")),
+        of("census_lehd", X.points_in_polygons(sites.select("loc_id", "lng", "lat"), tracts, 0.054).select("loc_id")),
+        of("usfs_fsim", cells.filter("dem IS NOT NULL").select("loc_id")),
+        of("landfire_fuels_canopy", cells.filter("canopy IS NOT NULL").select("loc_id")),
+    ]
+    return E.probe_layers(sites, "loc_id", points, lines, polygons, reduce(DataFrame.unionByName, known), PROBED_BY, zone_cell(spark, sf_dir))
 
 
 def sites_with_sources(spark, sf_dir):
-    """Availability columns: half the table sources are found by a hash of the site key."""
-    sites = layer(spark, sf_dir, "sites")
-    found = {s: F.pmod(F.col("loc_id") * (7 + 6 * i), F.lit(11 + i)) < 6 for i, s in enumerate(PROBED)}
-    # REST services marked verified are always there; the two primary resource services drop out now and then.
-    fixed = {E.has(s): c for s, c in E.catalog_availability().items() if c is not None}
-    fixed[E.has("nrel_pvwatts_v8")] = F.pmod(F.col("loc_id"), F.lit(7)) != 0
-    fixed[E.has("nrel_nsrdb_ghi")] = F.pmod(F.col("loc_id"), F.lit(5)) != 0
-    fixed[E.has("fema_nfhl")] = F.pmod(F.col("loc_id"), F.lit(9)) != 0
-    fixed[E.has("usgs_nhdplus")] = F.pmod(F.col("loc_id"), F.lit(4)) != 0
-    fixed[E.has("hazus_ddfs")] = F.lit(True)
-    return sites.withColumns({**fixed, **{E.has(s): c for s, c in found.items()}})
+    """Availability columns: table sources by probes of their layers, services by the catalog and by outages."""
+    wide = E.availability_columns(layer(spark, sf_dir, "sites"), site_probes(spark, sf_dir), "loc_id", PROBED)
+    # Services marked verified are there, but for outages of some now and then.
+    outages = {"nrel_pvwatts_v8": 7, "nrel_nsrdb_ghi": 5, "fema_nfhl": 9, "usgs_nhdplus": 4}
+    return wide.withColumns({E.has(s): F.pmod(F.col("loc_id"), F.lit(n)) != 0 for s, n in outages.items()})
+
+
+def availability_record(spark, sf_dir):
+    """Every probed source of every site: how many features are near and how far the nearest is."""
+    return site_probes(spark, sf_dir).select("loc_id", "source_id", "n", F.round("nearest_m", 2).alias("nearest_m"))
+
+
+def source_document(spark, sf_dir):
+    """The sources that a workflow's criteria name, in catalog order, with the sites that have them."""
+    base = sites_with_sources(spark, sf_dir)
+    names = sorted({n.source_id for c in catalog.CRITERIA for n in c.tree})
+    has = F.explode(F.array(*[F.struct(F.lit(s).alias("source_id"), F.coalesce(F.col(E.has(s)), F.lit(False)).alias("has")) if E.has(s) in base.columns else F.struct(F.lit(s).alias("source_id"), F.lit(False).alias("has")) for s in names])).alias("x")
+    counted = base.select(has).groupBy(F.col("x.source_id").alias("source_id")).agg(F.count_if("x.has").alias("n_sites"))
+    uses = [(c.workflow, n.source_id) for c in catalog.CRITERIA for n in c.tree]
+    listed = spark.createDataFrame(sorted(set(uses)), "workflow string, source_id string")
+    return listed.join(counted, "source_id").select("workflow", "source_id", "n_sites")
 
 
 def source_probe(spark, sf_dir):
@@ -315,7 +358,7 @@ def enrich_parcels(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     gap_messages, enrich_parcels, source_probe, source_coverage, composite_confidence, hazard_confidence, critical_gaps, weight_resolution,
     solar_composite, exclusion_diagnosis, exclusion_classes, solar_v1_score, solar_v1_provisional, discover, discover_summary, batch_rank,
-    deep_resource, excluded_acres, buildable_area, interconnection_cost,
+    availability_record, source_document, deep_resource, excluded_acres, buildable_area, interconnection_cost,
 )}
 QUERIES |= {
     "select_alternatives": _selection(catalog.SOLAR),
@@ -324,7 +367,24 @@ QUERIES |= {
 }
 
 # ── SQL twins ───────────────────────────────────────────────────────────────
-_FOUND = {s: f"((loc_id * {7 + 6 * i}) % {11 + i} < 6)" for i, s in enumerate(PROBED)}
+_FOUND = {s: f"has_{s}" for s in PROBED}
+_RADII = {s: int(K.PROBE_RADIUS_M[s]) for s in PROBED}
+PROBES = ("sites", "substations", "plants", "pois", "lines", "zones", "tracts", "raster", ZONE_EDGES, inside("sites", "loc_id"), f"""probe_points AS (
+  SELECT 'osm_substations' AS source_id, {_RADII['osm_substations']} AS r, lng, lat FROM substations UNION ALL SELECT 'eia_form860', {_RADII['eia_form860']}, lng, lat FROM plants
+  UNION ALL SELECT 'osm_pois', {_RADII['osm_pois']}, lng, lat FROM pois),
+zone_gaps AS (SELECT loc_id, zone_id, min(d) AS d FROM (SELECT p.loc_id, e.zone_id, {segment_sql('p', 'e')} AS d FROM sites p JOIN zone_edges e
+    ON p.lat BETWEEN least(e.ay, e.by) - 0.06 AND greatest(e.ay, e.by) + 0.06 UNION ALL SELECT loc_id, zone_id, 0e0 FROM zone_hits) WHERE d <= 5000 GROUP BY loc_id, zone_id),
+site_cells AS (SELECT loc_id, dem, canopy FROM sites JOIN raster ON "row" = CAST(floor((49e0 - lat) / 0.192e0) AS BIGINT) AND "col" = CAST(floor((lng + 125e0) / (58e0 / 120)) AS BIGINT)),
+probe_hits AS (
+  SELECT s.loc_id, f.source_id, {hav('s.lng', 's.lat', 'f.lng', 'f.lat')} AS d, f.r FROM sites s JOIN probe_points f ON abs(s.lat - f.lat) < 0.5
+  UNION ALL SELECT p.loc_id, 'hifld_transmission', {segment_sql('p', 'e')}, {_RADII['hifld_transmission']} FROM sites p JOIN lines e ON p.lat BETWEEN least(e.ay, e.by) - 0.5 AND greatest(e.ay, e.by) + 0.5
+  UNION ALL SELECT loc_id, CASE kind WHEN 'wetland' THEN 'nwi_wetlands' WHEN 'protected' THEN 'usgs_padus' ELSE 'usfws_critical_habitat' END, d, 1000 FROM zone_gaps JOIN zones USING (zone_id)
+  UNION ALL SELECT loc_id, 'google_inundation_history', d, 5000 FROM zone_gaps JOIN zones USING (zone_id) WHERE flood_zone LIKE 'A%' OR flood_zone LIKE 'V%'
+  UNION ALL SELECT loc_id, 'epa_ejscreen', 0e0, 0 FROM sites WHERE ej_percentile IS NOT NULL
+  UNION ALL SELECT loc_id, 'census_lehd', 0e0, 0 FROM sites s JOIN tracts t ON s.lng >= t.x0 AND s.lng < t.x1 AND s.lat >= t.y0 AND s.lat < t.y1
+  UNION ALL SELECT loc_id, 'usfs_fsim', 0e0, 0 FROM site_cells WHERE dem <> -9999 UNION ALL SELECT loc_id, 'landfire_fuels_canopy', 0e0, 0 FROM site_cells WHERE canopy <> -9999),
+probe_counts AS (SELECT loc_id, source_id, count(*) AS n, min(d) AS nearest_m FROM probe_hits WHERE d <= r GROUP BY loc_id, source_id),
+probed AS (SELECT s.*, {', '.join(f"s.loc_id IN (SELECT loc_id FROM probe_counts WHERE source_id = '{s}') AS has_{s}" for s in PROBED)} FROM sites s)""")
 _OUTAGE = {"nrel_pvwatts_v8": "(loc_id % 7 <> 0)", "nrel_nsrdb_ghi": "(loc_id % 5 <> 0)", "fema_nfhl": "(loc_id % 9 <> 0)",
            "usgs_nhdplus": "(loc_id % 4 <> 0)", "hazus_ddfs": "TRUE", "nwi_wetlands_rest": "FALSE"}
 
@@ -354,13 +414,13 @@ TIER = "CASE WHEN {0} >= 0.85 THEN 'HIGH' WHEN {0} >= 0.65 THEN 'MODERATE' WHEN
 def selection_sql(workflow: str) -> str:
     parts = [
         f"SELECT loc_id, '{c.criterion_id}' AS criterion_id, '{c.tree_type}' AS relationship, {confidence_sql(c)} AS confidence, "
-        f"{source_sql(c)} AS selected_source, {source_sql(c, 'quality')} AS quality FROM sites"
+        f"{source_sql(c)} AS selected_source, {source_sql(c, 'quality')} AS quality FROM probed"
         for c in catalog.criteria_for(workflow)
     ]
-    return with_ctes("sites", body=f"SELECT *, {TIER.format('confidence', 'NONE')} AS tier FROM (" + "\nUNION ALL ".join(parts) + ")")
+    return with_ctes(*PROBES, body=f"SELECT *, {TIER.format('confidence', 'NONE')} AS tier FROM (" + "\nUNION ALL ".join(parts) + ")")
 
 
-def conf_cte(workflow: str, avail=available_sql, source: str = "sites") -> str:
+def conf_cte(workflow: str, avail=available_sql, source: str = "probed") -> str:
     cols = ", ".join(f"{confidence_sql(c, avail)} AS conf_{c.criterion_id}" for c in catalog.criteria_for(workflow))
     return f"conf AS (SELECT *, {cols} FROM {source})"
 
@@ -463,13 +523,13 @@ WHERE d <= r GROUP BY loc_id, source_id) USING (loc_id, source_id)"""),
 q AS (SELECT source_id, CASE WHEN cov = 'national' AND rel = 'verified' THEN 'full' WHEN cov = 'national' AND rel = 'degraded' THEN 'degraded'
     WHEN cov = 'national' THEN 'unavailable' WHEN fb THEN 'fallback' ELSE 'out_of_coverage' END AS quality FROM src CROSS JOIN sites)
 SELECT source_id, quality, count(*) AS n, count(*) FILTER (WHERE quality IN ('full', 'degraded', 'fallback')) AS n_available FROM q GROUP BY ALL"""),
-    "composite_confidence": with_ctes("sites", conf_cte(catalog.SOLAR), body=f"""
+    "composite_confidence": with_ctes(*PROBES, conf_cte(catalog.SOLAR), body=f"""
 SELECT loc_id, round(c, 4) AS composite, {TIER.format('c', 'INSUFFICIENT')} AS tier, completeness, gaps, weakest, n_strong, critical_gaps FROM (
   SELECT loc_id, {composite_sql(catalog.SOLAR)} AS c,
     format('{{}} of 9 scored criteria, {{}} of 5 exclusion criteria', {count_sql(catalog.SOLAR, '> 0', 'scored')}, {count_sql(catalog.SOLAR, '> 0', 'exclusion')}) AS completeness,
     {list_sql(catalog.SOLAR, '= 0')} AS gaps, {list_sql(catalog.SOLAR, 'IN (0.4, 0.5)')} AS weakest, {count_sql(catalog.SOLAR, '>= 0.85')} AS n_strong,
     CASE WHEN conf_solar_ghi = 0 THEN 'solar_ghi' ELSE '' END AS critical_gaps FROM conf)"""),
-    "hazard_confidence": with_ctes("sites", conf_cte(catalog.HAZARD), body=f"""
+    "hazard_confidence": with_ctes(*PROBES, conf_cte(catalog.HAZARD), body=f"""
 SELECT loc_id, round({composite_sql(catalog.HAZARD)}, 4) AS composite, round({composite_sql(catalog.HAZARD, 'wf_')}, 4) AS wildfire,
   round({composite_sql(catalog.HAZARD, 'fl_')}, 4) AS flood,
   concat_ws(',', CASE WHEN conf_wf_likelihood = 0 THEN 'wf_likelihood' END, CASE WHEN conf_fl_zone = 0 THEN 'fl_zone' END) AS critical_gaps FROM conf"""),
@@ -531,8 +591,13 @@ SELECT loc_id, km AS distance_km, rate AS usd_per_km, round(round(km * rate + 35
   CASE WHEN mw < 50 THEN 'low' WHEN mw < 200 THEN 'moderate' ELSE 'high' END AS congestion, km > 16.1 AS distant_line,
   CASE WHEN cap > 0 THEN (km * rate + 3500000e0) / cap > 500000 END AS high_cost, sub_id, round(sub_m, 1) AS sub_m, n_plants, round(mw, 3) AS existing_mw FROM c"""),
 }
-ORACLES["gap_messages"] = with_ctes("sites", body="SELECT workflow, criterion_id, message, count(*) AS n FROM (" + " UNION ALL ".join(
-    f"SELECT '{c.workflow}' AS workflow, '{c.criterion_id}' AS criterion_id, '{catalog.CRITERION_NAMES[c.criterion_id]} has no data here.' AS message, {confidence_sql(c)} AS conf FROM sites"
+ORACLES["availability_record"] = with_ctes(*PROBES, body=f"""
+SELECT loc_id, source_id, coalesce(n, 0) AS n, round(nearest_m, 2) AS nearest_m FROM sites CROSS JOIN (SELECT unnest([{', '.join(repr(s) for s in PROBED)}]) AS source_id) LEFT JOIN probe_counts USING (loc_id, source_id)""")
+ORACLES["source_document"] = with_ctes(*PROBES, body=" UNION ALL ".join(
+    f"SELECT '{w}' AS workflow, '{s}' AS source_id, (SELECT count(*) FROM probed WHERE {available_sql(s)}) AS n_sites"
+    for w, s in sorted({(c.workflow, n.source_id) for c in catalog.CRITERIA for n in c.tree})))
+ORACLES["gap_messages"] = with_ctes(*PROBES, body="SELECT workflow, criterion_id, message, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{c.workflow}' AS workflow, '{c.criterion_id}' AS criterion_id, '{catalog.CRITERION_NAMES[c.criterion_id]} has no data here.' AS message, {confidence_sql(c)} AS conf FROM probed"
     for c in catalog.CRITERIA) + ") WHERE conf = 0 GROUP BY ALL")
 ORACLES["enrich_parcels"] = with_ctes("sites", "lines", "substations", "zones", ZONE_EDGES, inside("sites", "loc_id"), body=f"""
 , hits AS (SELECT loc_id, zone_id, gap_status, CASE WHEN flood_zone LIKE 'A%' OR flood_zone LIKE 'V%' THEN 'flood' ELSE kind END AS kind FROM zone_hits JOIN zones USING (zone_id)),
