@@ -113,10 +113,10 @@ def queue_extract(spark, sf_dir):
     raw = o.select(
         F.col("o_orderkey").cast("string").alias("q_id"), F.lit("ISO").alias("entity"), F.when(F.col("o_orderstatus") == "F", "Active").otherwise("withdrawn").alias("q_status"),
         F.when(F.col("o_orderkey") % 2 == 0, "Solar+Battery").otherwise("Wind").alias("type_clean"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("P"), F.col("o_orderkey"))).alias("project_name"),
-        (F.col("o_orderkey") % 300).cast("string").alias("mw1"), F.concat(F.lit("County"), F.col("o_orderkey") % 20).alias("county"), F.lit("TX").alias("state"), (F.col("o_orderkey") % 25).cast("string").alias("fips_codes"),
+        (F.col("o_orderkey") % 300).cast("string").alias("mw1"), F.concat(F.lit("County"), F.col("o_orderkey") % 991).alias("county"), F.lit("TX").alias("state"), (F.col("o_orderkey") % 997).cast("string").alias("fips_codes"),
     )
-    s = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") <= 24)
-    lines = s.select(F.col("s_suppkey").cast("string").alias("GEOID"), F.lit("TX").alias("USPS"), F.concat(F.lit("County"), F.col("s_suppkey")).alias("NAME"), (F.col("s_suppkey") / 2.0).alias("INTPTLAT"), (-F.col("s_suppkey")).alias("INTPTLONG"))
+    s = table(spark, sf_dir, "supplier")
+    lines = s.select(F.col("s_suppkey").cast("string").alias("GEOID"), F.lit("TX").alias("USPS"), F.concat(F.lit("County"), F.col("s_suppkey")).alias("NAME"), (F.col("s_suppkey") % 90 / 2.0).alias("INTPTLAT"), (-(F.col("s_suppkey") % 180)).alias("INTPTLONG"))
     centroids = readers.read_gazetteer(spark, csv_lines(lines, "gazetteer", sep="\t"))
     located, unlocated = readers.locate_queue(readers.active_solar_queue(raw), centroids)
     return located.unionByName(unlocated).select("queue_id", "project_name", "capacity_mw", "county", "fips", "lat", "lng")
@@ -282,7 +282,7 @@ def report_csv(spark, sf_dir):
 def guarded_result(spark, sf_dir):
     """a result over the limit gives its count and a sample of five; the rest of the check counts."""
     o = table(spark, sf_dir, "orders")
-    small, n_small = relational.guarded(o.filter(F.col("o_orderkey") <= 50), 1000)
+    small, n_small = relational.guarded(table(spark, sf_dir, "nation"), 1000)
     large, n_large = relational.guarded(o, 10)
     return small.agg(F.count(F.lit(1)).alias("rows_small")).select("rows_small", F.lit(n_small).alias("n_small"), F.lit(large.count()).alias("rows_large"), F.lit(n_large).alias("n_large"))
 
@@ -349,10 +349,10 @@ one AS (SELECT * FROM plants QUALIFY row_number() OVER (PARTITION BY plant_code
 SELECT p_partkey % 400 AS plant_code, p_partkey AS generator_id, CASE WHEN p_partkey % 11 <> 0 THEN p_size::DOUBLE END AS capacity_mw, la::DOUBLE AS lat, lo::DOUBLE AS lng
 FROM part JOIN one ON plant_code = p_partkey % 400 WHERE p_partkey % 3 = 0""",
     "queue_extract": """
-WITH q AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0), s AS (SELECT s_suppkey AS g FROM supplier WHERE s_suppkey <= 24)
+WITH q AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0), s AS (SELECT s_suppkey AS g FROM supplier)
 SELECT concat('Q-', substr(sha256(concat(k, '|ISO')), 1, 16)) AS queue_id, CASE WHEN k % 3 <> 0 THEN concat('P', k) ELSE CAST(k AS STRING) END AS project_name, (k % 300)::DOUBLE AS capacity_mw,
-  concat('County', k % 20) AS county, lpad(CAST(k % 25 AS STRING), 5, '0') AS fips, coalesce(a.g, b.g) / 2e0 AS lat, -coalesce(a.g, b.g)::DOUBLE AS lng
-FROM q LEFT JOIN s a ON a.g = k % 25 LEFT JOIN s b ON b.g = k % 20""",
+  concat('County', k % 991) AS county, lpad(CAST(k % 997 AS STRING), 5, '0') AS fips, coalesce(a.g, b.g) % 90 / 2e0 AS lat, -(coalesce(a.g, b.g) % 180)::DOUBLE AS lng
+FROM q LEFT JOIN s a ON a.g = k % 997 LEFT JOIN s b ON b.g = k % 991""",
     "rdb_flows": "SELECT concat('site', event_id) AS site_no, CASE WHEN event_id % 4 <> 0 THEN user_id END AS peak, event_type AS kind FROM events",
     "gtfs_stops": """
 SELECT 'A' AS agency, p_partkey AS stop_id, trim(p_name) AS stop_name, (p_partkey % 90)::DOUBLE AS lat, (p_partkey % 180)::DOUBLE AS lng FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 4 IN (0, 1)
@@ -399,7 +399,7 @@ SELECT CASE WHEN c_custkey % 4 = 1 THEN (c_custkey % 90)::DOUBLE WHEN c_custkey
 SELECT region, count(*) AS n FROM sites JOIN (VALUES {_regions()}) AS r(state, region) ON r.state = {_N} GROUP BY region"""),
     "layer_write": with_ctes("zones", _BOXES, body="SELECT zone_id, kind, round(x0, 6) AS x0, 6 AS n_columns FROM boxes"),
     "report_csv": with_ctes("structures", body="SELECT occtype, count(*) AS n, round(sum(val_struct), 0)::BIGINT AS value FROM structures GROUP BY occtype"),
-    "guarded_result": "SELECT count(*) FILTER (WHERE o_orderkey <= 50) AS rows_small, count(*) FILTER (WHERE o_orderkey <= 50) AS n_small, 5 AS rows_large, count(*) AS n_large FROM orders",
+    "guarded_result": "SELECT (SELECT count(*) FROM nation) AS rows_small, (SELECT count(*) FROM nation) AS n_small, 5 AS rows_large, count(*) AS n_large FROM orders",
     "benchmark_mean": with_ctes("structures", body="""
 SELECT round(avg(val_struct * burn_probability) FILTER (WHERE val_struct > 0), 6) AS mean_eal, count(*) FILTER (WHERE val_struct > 0) AS n_structures FROM structures"""),
 }

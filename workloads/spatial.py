@@ -205,6 +205,14 @@ def radius_capacity(spark, sf_dir):
     return out.withColumn("solar_mw", F.round("solar_mw", 6))
 
 
+def largest_projects(spark, sf_dir):
+    """The five largest active projects within 50 km of each site, and the megawatts in operation there."""
+    sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
+    queue = as_features(layer(spark, sf_dir, "queue").select("queue_id", "lng", "lat", "status", "capacity_mw"))
+    out = L.largest_projects(sites, queue, as_features(layer(spark, sf_dir, "plants")), "loc_id")
+    return out.select("loc_id", "rank", "queue_id", F.round("capacity_mw", 3).alias("capacity_mw"), F.round("dist", 1).alias("dist_m"), F.round("operating_mw", 3).alias("operating_mw"), "n_operating")
+
+
 def areal_rollup(spark, sf_dir):
     """Tract measures weighted by the overlapped share of each tract."""
     tracts = box_polygons(layer(spark, sf_dir, "tracts"))
@@ -284,7 +292,7 @@ def state_by_box(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pip_pairs, pip_region, pip_exists, parcel_touches_zone, radius_count, radius_count_mercator, probe_nearest,
     line_distance, nearest_structure, nearest_unbounded, nearest_degree, nearest_of_layers, knearest_poi,
-    nearest_perimeters, perimeter_preferring_containment, radius_capacity, areal_rollup, union_cover, bbox_layer,
+    nearest_perimeters, perimeter_preferring_containment, radius_capacity, largest_projects, areal_rollup, union_cover, bbox_layer,
     dissolve, dissolved_rings, enrich_layers, state_by_box,
 )}
 
@@ -407,6 +415,11 @@ SELECT loc_id, count(status) AS n_projects, count(*) FILTER (WHERE status = 'Act
   round(coalesce(sum(capacity_mw) FILTER (WHERE status = 'Active' AND solar), 0e0), 6) AS solar_mw,
   count(*) FILTER (WHERE status = 'Withdrawn') AS n_withdrawn, any_value(usual_iso) AS usual_iso
 FROM sites LEFT JOIN pairs USING (loc_id) LEFT JOIN (SELECT loc_id, arg_min(iso, (-c, iso)) AS usual_iso FROM isos GROUP BY loc_id) USING (loc_id) GROUP BY loc_id"""),
+    "largest_projects": with_ctes("sites", "queue", "plants", body=f"""
+, p AS (SELECT s.loc_id, q.queue_id, q.capacity_mw, {hav('s.lng', 's.lat', 'q.lng', 'q.lat')} AS d FROM sites s JOIN queue q ON q.status = 'Active' AND abs(s.lat - q.lat) < 0.5),
+top AS (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY capacity_mw DESC, queue_id) AS rank FROM p WHERE d <= 50000 QUALIFY rank <= 5),
+o AS (SELECT s.loc_id, sum(p.capacity_mw) AS mw, count(*) AS n FROM sites s JOIN plants p ON p.operating_status = 'OP' AND abs(s.lat - p.lat) < 0.5 AND {hav('s.lng', 's.lat', 'p.lng', 'p.lat')} <= 50000 GROUP BY s.loc_id)
+SELECT loc_id, rank, queue_id, round(capacity_mw, 3) AS capacity_mw, round(d, 1) AS dist_m, round(coalesce(mw, 0e0), 3) AS operating_mw, coalesce(n, 0) AS n_operating FROM top LEFT JOIN o USING (loc_id)"""),
     "areal_rollup": with_ctes("tracts", "stores", body="""
 , o AS (SELECT s.loc_id, t.*, least(1e0, (least(t.x1, s.lng + 0.04) - greatest(t.x0, s.lng - 0.04)) *
     (least(t.y1, s.lat + 0.03) - greatest(t.y0, s.lat - 0.03)) / ((t.x1 - t.x0) * (t.y1 - t.y0))) AS frac

@@ -192,6 +192,36 @@ def raster_sample(spark, sf_dir):
     return out.select("property_id", "row", "col", "dem", F.col("canopy").cast("double").alias("canopy"))
 
 
+def slope_at_properties(spark, sf_dir):
+    """Slope and aspect of the raster, read at every property."""
+    terrain = G.slope_aspect(_clean(spark, sf_dir, "dem"), "dem", 30.0, 30.0)
+    pts = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
+    out = G.sample(pts, terrain, ["slope_deg", "aspect_deg"], -9999.0, **RASTER_AFFINE)
+    return out.select("property_id", F.round("slope_deg", 6).alias("slope_deg"), F.round("aspect_deg", 5).alias("aspect_deg"))
+
+
+def raster_summary(spark, sf_dir):
+    """Six rasters sampled at the properties: known values, extremes, quartiles and tails of each."""
+    raster = layer(spark, sf_dir, "raster")
+    canopy = F.col("canopy").cast("double")
+    terrain = G.slope_aspect(_clean(spark, sf_dir, "dem"), "dem", 30.0, 30.0)
+    disks = G.focal_means(_clean(spark, sf_dir, "canopy"), "canopy", {"canopy_30m": 1.0, "canopy_300m": 10.0})
+    names = ["dem", "canopy", "slope_deg", "aspect_deg", "canopy_30m", "canopy_300m"]
+    cells = raster.select("row", "col", "dem", canopy.alias("canopy")).join(terrain.select("row", "col", "slope_deg", "aspect_deg"), ["row", "col"], "left").join(disks, ["row", "col"], "left")
+    pts = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
+    long = G.sample(pts, cells, names, -9999.0, **RASTER_AFFINE).unpivot(["property_id"], names, "raster", "value").filter("value IS NOT NULL")
+    probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    marks = A.quantile_columns(long, "value", probs, ["raster"])
+    ends = long.groupBy("raster").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return ends.join(marks, "raster").select("raster", "n", *[F.round(c, 4).alias(c) for c in ("least", *probs, "most")])
+
+
+def raster_nearest(spark, sf_dir):
+    """Value of the cell that holds each centre, by the nearest form."""
+    pts = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
+    return G.resample_nearest(pts, layer(spark, sf_dir, "raster").select("row", "col", "dem"), "dem", -9999.0, **RASTER_AFFINE).select("loc_id", "dem")
+
+
 def raster_resample(spark, sf_dir):
     """Bilinear value at arbitrary centres with missing cells dropped."""
     pts = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
@@ -241,7 +271,7 @@ def audit_stream_once(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     dominant_component, upsert_latest, backfill, table_diff, resume_antijoin, append_new, dedup_first, lookup_found, centroid_fallback,
     distinct_list, mode_by_group, layer_inventory, json_properties, geojson_points, scalar_parsing, land_cover_labels, raster_slope,
-    raster_focal, raster_distance, raster_sample, raster_resample, terrain_lattice, audit_events, module_history, methodology_hash,
+    raster_focal, raster_distance, raster_sample, slope_at_properties, raster_summary, raster_nearest, raster_resample, terrain_lattice, audit_events, module_history, methodology_hash,
     audit_stream_once,
 )}
 
@@ -261,6 +291,15 @@ def _focal(name: str, radius: float) -> str:
   JOIN v n ON n."row" = c."row" + k.dy AND n."col" = c."col" + k.dx WHERE c.v IS NOT NULL GROUP BY ALL)"""
 
 
+_SLOPES = """
+, v AS (SELECT "row", "col", CASE WHEN dem > -9999 THEN dem END AS z FROM raster), x AS (SELECT min("row") AS r0, max("row") AS r1, min("col") AS c0, max("col") AS c1 FROM v),
+d AS (SELECT c."row", c."col", c.z,
+  CASE WHEN c."col" = c0 THEN (e.z - c.z) / 30e0 WHEN c."col" = c1 THEN (c.z - w.z) / 30e0 ELSE (e.z - w.z) / 60e0 END AS dx,
+  CASE WHEN c."row" = r0 THEN (s.z - c.z) / 30e0 WHEN c."row" = r1 THEN (c.z - n.z) / 30e0 ELSE (s.z - n.z) / 60e0 END AS ds
+  FROM v c CROSS JOIN x LEFT JOIN v e ON e."row" = c."row" AND e."col" = c."col" + 1 LEFT JOIN v w ON w."row" = c."row" AND w."col" = c."col" - 1
+  LEFT JOIN v s ON s."col" = c."col" AND s."row" = c."row" + 1 LEFT JOIN v n ON n."col" = c."col" AND n."row" = c."row" - 1)"""
+_AT_PROPERTIES = 'SELECT property_id, CAST(floor((49e0 - lat) / 0.192e0) AS BIGINT) AS "row", CAST(floor((lng + 125e0) / (58e0 / 120)) AS BIGINT) AS "col" FROM properties'
+
 ORACLES = {
     "dominant_component": """SELECT l_orderkey, l_quantity, l_partkey, l_linenumber FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) = 1""",
@@ -299,15 +338,23 @@ SELECT k AS p_partkey, CASE WHEN v > 1000 THEN round_even(v / 1000e0, 0) ELSE ro
 SELECT loc_id, label, grp, score, CASE zone_code WHEN 'A-1' THEN 'agricultural' WHEN 'R-1' THEN 'residential' WHEN 'C-2' THEN 'commercial' WHEN 'M-1' THEN 'industrial' ELSE 'rural' END AS land_use,
   CASE WHEN hydric_rating = 'Yes' THEN 0.2e0 WHEN drainage_class = 'Well drained' THEN 1e0 WHEN drainage_class = 'Moderately well drained' THEN 0.8e0
     WHEN drainage_class = 'Somewhat poorly drained' THEN 0.5e0 WHEN drainage_class = 'Poorly drained' THEN 0.3e0 ELSE 0.6e0 END AS drainage FROM sites JOIN lc USING (nlcd_code)"""),
-    "raster_slope": with_ctes("raster", body="""
-, v AS (SELECT "row", "col", CASE WHEN dem > -9999 THEN dem END AS z FROM raster), x AS (SELECT min("row") AS r0, max("row") AS r1, min("col") AS c0, max("col") AS c1 FROM v),
-d AS (SELECT c."row", c."col", c.z,
-  CASE WHEN c."col" = c0 THEN (e.z - c.z) / 30e0 WHEN c."col" = c1 THEN (c.z - w.z) / 30e0 ELSE (e.z - w.z) / 60e0 END AS dx,
-  CASE WHEN c."row" = r0 THEN (s.z - c.z) / 30e0 WHEN c."row" = r1 THEN (c.z - n.z) / 30e0 ELSE (s.z - n.z) / 60e0 END AS ds
-  FROM v c CROSS JOIN x LEFT JOIN v e ON e."row" = c."row" AND e."col" = c."col" + 1 LEFT JOIN v w ON w."row" = c."row" AND w."col" = c."col" - 1
-  LEFT JOIN v s ON s."col" = c."col" AND s."row" = c."row" + 1 LEFT JOIN v n ON n."col" = c."col" AND n."row" = c."row" - 1)
+    "raster_slope": with_ctes("raster", body=_SLOPES + """
 SELECT "row", "col", round(degrees(atan(sqrt(dx * dx + ds * ds))) + 0e0 * z, 6) AS slope_deg,
   CASE WHEN sqrt(dx * dx + ds * ds) >= 1e-4 AND z IS NOT NULL THEN round((degrees(atan2(-dx, ds)) + 360e0) % 360e0, 5) END AS aspect_deg FROM d"""),
+    "slope_at_properties": with_ctes("properties", "raster", body=_SLOPES + f""", t AS (SELECT "row", "col", degrees(atan(sqrt(dx * dx + ds * ds))) + 0e0 * z AS slope,
+  CASE WHEN sqrt(dx * dx + ds * ds) >= 1e-4 AND z IS NOT NULL THEN (degrees(atan2(-dx, ds)) + 360e0) % 360e0 END AS aspect FROM d)
+SELECT property_id, round(slope, 6) AS slope_deg, round(aspect, 5) AS aspect_deg FROM ({_AT_PROPERTIES}) p LEFT JOIN t USING ("row", "col")"""),
+    "raster_summary": with_ctes("properties", "raster", 'v0 AS (SELECT "row", "col", CASE WHEN canopy > -9999 THEN canopy::DOUBLE END AS v FROM raster)', body=_SLOPES + f""",
+near AS (SELECT c."row", c."col", avg(o.v) FILTER (WHERE pow(o."row" - c."row", 2) + pow(o."col" - c."col", 2) <= 1) AS f30, avg(o.v) AS f300 FROM v0 c JOIN v0 o
+  ON o."row" BETWEEN c."row" - 10 AND c."row" + 10 AND pow(o."row" - c."row", 2) + pow(o."col" - c."col", 2) <= 100 GROUP BY ALL),
+t AS (SELECT d."row", d."col", z AS dem, v0.v AS canopy, degrees(atan(sqrt(dx * dx + ds * ds))) + 0e0 * z AS slope_deg,
+  CASE WHEN sqrt(dx * dx + ds * ds) >= 1e-4 AND z IS NOT NULL THEN (degrees(atan2(-dx, ds)) + 360e0) % 360e0 END AS aspect_deg, CASE WHEN v0.v IS NOT NULL THEN f30 END AS canopy_30m, CASE WHEN v0.v IS NOT NULL THEN f300 END AS canopy_300m
+  FROM d JOIN v0 USING ("row", "col") JOIN near USING ("row", "col")),
+long AS (UNPIVOT (SELECT dem, canopy, slope_deg, aspect_deg, canopy_30m, canopy_300m FROM ({_AT_PROPERTIES}) p JOIN t USING ("row", "col")) ON dem, canopy, slope_deg, aspect_deg, canopy_30m, canopy_300m INTO NAME raster VALUE value)
+SELECT raster, count(*) AS n, round(min(value), 4) AS least, round(quantile_cont(value, 0.05), 4) AS p5, round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS median,
+  round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.95), 4) AS p95, round(max(value), 4) AS most FROM long GROUP BY raster"""),
+    "raster_nearest": with_ctes("sites", "raster", body="""
+SELECT loc_id, CASE WHEN dem <> -9999 THEN dem END AS dem FROM (SELECT loc_id, CAST(floor((49e0 - lat) / 0.192e0) AS BIGINT) AS "row", CAST(floor((lng + 125e0) / (58e0 / 120)) AS BIGINT) AS "col" FROM sites) LEFT JOIN raster USING ("row", "col")"""),
     "raster_focal": with_ctes("raster", 'v AS (SELECT "row", "col", CASE WHEN canopy > -9999 THEN canopy::DOUBLE END AS v FROM raster)', _focal("a", 1.0), _focal("b", 100 / 30), _focal("c", 10.0), body="""
 SELECT v."row", v."col", round(a.m, 7) AS c30, round(b.m, 7) AS c100, round(c.m, 7) AS c300 FROM v LEFT JOIN a USING ("row", "col") LEFT JOIN b USING ("row", "col") LEFT JOIN c USING ("row", "col")"""),
     "raster_distance": with_ctes("raster", body="""
