@@ -263,20 +263,26 @@ def dissolved_rings(spark, sf_dir):
     return first.groupBy("region_id", "corners").agg(F.count(F.lit(1)).alias("rings"), F.bool_and(closed).alias("closed"))
 
 
+ENRICH_LIMIT = 20
+
+
 def enrich_layers(spark, sf_dir):
-    """Per layer, features within 60 km: count, nearest, first few."""
+    """Per layer of points the nearest within 60 km, per layer of polygons those that hold the site; limit / layers of each, and how many there are."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
     union = as_features(layer(spark, sf_dir, "pois")).select("layer", F.col("poi_id").alias("feature_id"), "f_lng", "f_lat").unionByName(
         as_features(layer(spark, sf_dir, "substations")).select(
             F.lit("SUBSTATION").alias("layer"), F.col("sub_id").alias("feature_id"), "f_lng", "f_lat"
         )
     )
-    pairs = X.within_radius(sites, union, 60_000.0)
-    stats = pairs.groupBy("loc_id", "layer").agg(F.count(F.lit(1)).alias("n_in_radius"))
-    first = X.top_k_per_key(pairs, ["loc_id", "layer"], [F.col("dist"), F.col("feature_id")], 2)
-    return first.join(stats, ["loc_id", "layer"]).select(
-        "loc_id", "layer", "rank", "feature_id", F.round("dist", 2).alias("dist_m"), "n_in_radius"
-    )
+    each = max(1, ENRICH_LIMIT // 10)  # six layers of pois, the substations, three of zones
+    found = counts.sums_within_radius(sites, union, "loc_id", 60_000.0, {"n_in_radius": F.count(F.lit(1))}, by=["layer"])
+    few = X.top_k_per_key(union, ["layer", "f_lng", "f_lat"], [F.col("feature_id")], each).drop("rank")
+    near = X.top_k_per_key(X.within_radius(sites, few, 60_000.0), ["loc_id", "layer"], [F.col("dist"), F.col("feature_id")], each)
+    held = X.points_in_polygons(sites, zones(spark, sf_dir, F.col("zone_id").alias("feature_id"), F.upper("kind").alias("layer")), zone_cell(spark, sf_dir))
+    total = held.groupBy("loc_id", "layer").agg(F.count(F.lit(1)).alias("n_in_radius"))
+    inside = X.top_k_per_key(held.withColumn("dist", F.lit(0.0)), ["loc_id", "layer"], [F.col("feature_id")], each)
+    columns = ["loc_id", "layer", "rank", "feature_id", F.round("dist", 2).alias("dist_m"), "n_in_radius"]
+    return near.join(found, ["loc_id", "layer"]).select(*columns).unionByName(inside.join(total, ["loc_id", "layer"]).select(*columns))
 
 
 def state_by_box(spark, sf_dir):
@@ -443,13 +449,14 @@ FROM (SELECT o.*, o.by - o.ay AS dy, ring FROM outer_edges o JOIN named USING (i
   SELECT region_id, count(*) AS members, round(sum((x1 - x0) * (y1 - y0)), 6) AS area FROM tiles GROUP BY region_id) USING (region_id) GROUP BY region_id"""),
     "dissolved_rings": with_ctes(*DISSOLVED, body="""
 SELECT region_id, corners, count(*) AS rings, TRUE AS closed FROM (SELECT region_id, ring, count(*) AS corners FROM outer_edges JOIN named USING (id) GROUP BY region_id, ring) GROUP BY region_id, corners"""),
-    "enrich_layers": with_ctes("sites", "pois", "substations", body=f"""
+    "enrich_layers": with_ctes("sites", "pois", "substations", "zones", ZONE_EDGES, inside("sites", "loc_id"), body=f"""
 , feats AS (SELECT layer, poi_id AS feature_id, lng, lat FROM pois UNION ALL SELECT 'SUBSTATION', sub_id, lng, lat FROM substations),
 pairs AS (SELECT s.loc_id, f.layer, f.feature_id, {hav('s.lng', 's.lat', 'f.lng', 'f.lat')} AS d
-  FROM sites s JOIN feats f ON abs(s.lat - f.lat) < 0.6)
+  FROM sites s JOIN feats f ON abs(s.lat - f.lat) < 0.6),
+every AS (SELECT * FROM pairs WHERE d <= 60000 UNION ALL SELECT loc_id, upper(kind), zone_id, 0e0 FROM zone_hits JOIN zones USING (zone_id))
 SELECT loc_id, layer, rank, feature_id, round(d, 2) AS dist_m, n_in_radius FROM (
   SELECT *, row_number() OVER (PARTITION BY loc_id, layer ORDER BY d, feature_id) AS rank,
-    count(*) OVER (PARTITION BY loc_id, layer) AS n_in_radius FROM pairs WHERE d <= 60000) WHERE rank <= 2"""),
+    count(*) OVER (PARTITION BY loc_id, layer) AS n_in_radius FROM every) WHERE rank <= {ENRICH_LIMIT // 10}"""),
     "state_by_box": with_ctes("sites", "tiles", body="""
 SELECT loc_id, arg_max(tile_name, tile_id) AS tile_name FROM sites s JOIN tiles t
   ON s.lng BETWEEN t.x0 - 1e0 AND t.x1 + 1e0 AND s.lat BETWEEN t.y0 - 1e0 AND t.y1 + 1e0 GROUP BY loc_id"""),
