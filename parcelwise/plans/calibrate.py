@@ -131,6 +131,10 @@ def _objective_terms(matrix: DataFrame, weights: dict[str, np.ndarray]) -> dict[
     return out
 
 
+#: Longest step of one weight.
+WIDEST_STEP = 0.2
+
+
 def _gap(terms: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
     diff = terms["site"] - terms["random"]
     return float(diff[1] + diff[2]), diff[3:]
@@ -168,6 +172,8 @@ def calibrate_weights(matrix: DataFrame, rate: float = 0.02, tolerance: float =
                         result[r]["start"] = value
                     elif value - last < tolerance:
                         result[r]["converged"] = True
+                    if last is not None:
+                        rates[r] = min(rates[r] * 1.6, WIDEST_STEP)
                     result[r]["value"], best[r], grads[r] = value, trial[r], grad
                 else:
                     rates[r] /= 3.0

@@ -15,7 +15,7 @@ from parcelwise.sources import catalog
 
 from .hazard import FLOOD_IN, NEAREST_CURVE, curves_sql, flood_inputs
 from .layers import CROSSES, ZONE_EDGES, box_polygons, hav, inside, layer, table, with_ctes
-from .solar import PARCELS, enriched_parcels
+from .solar import SOLAR_CTES, solar_scored, PARCELS, enriched_parcels
 from .spatial import TILE_CELL, zone_cell, zones
 
 
@@ -123,13 +123,11 @@ def prefer_then_fill(spark, sf_dir):
 
 
 def long_scores(spark, sf_dir):
-    k = F.col("loc_id")
-    sites = layer(spark, sf_dir, "sites").select("loc_id", F.col("segment").alias("region"), F.when(k % 3 == 0, "random").otherwise("site").alias("kind"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("criterion_id"), F.lit(i).alias("i")) for i, c in enumerate(C.CRITERIA)])
-    rows = sites.withColumn("_c", F.explode(pairs)).select("loc_id", "region", "kind", "_c.*")
-    raw = (F.col("loc_id") * (13 + F.col("i") * 6) % 101) / 100.0
-    lifted = F.when((F.col("kind") == "site") & (F.col("i") % 2 == 0), F.least(F.lit(1.0), raw + 0.2)).otherwise(raw)
-    return rows.select("region", "kind", "loc_id", "criterion_id", F.when((F.col("loc_id") + F.col("i")) % 11 != 0, lifted).alias("score"))
+    """Every sub-score of the solar composite per site; a site without a measure has none. A third of the sites stand for random points."""
+    scored = solar_scored(spark, sf_dir).withColumn("s_solar_ej", F.when(F.col("ej_percentile").isNotNull(), F.col("s_solar_ej")))
+    long = scored.unpivot(["loc_id", "segment"], [f"s_{c}" for c in C.CRITERIA], "criterion_id", "score")
+    kind = F.when(F.col("loc_id") % 3 == 0, "random").otherwise("site")
+    return long.select(F.col("segment").alias("region"), kind.alias("kind"), "loc_id", F.substring("criterion_id", 3, 99).alias("criterion_id"), "score")
 
 
 def masked_composite(spark, sf_dir):
@@ -282,9 +280,10 @@ PRED = """pred AS (SELECT fd_id, segment, (fd_id * 31 % 997) / 997e0 AS score, C
 LEVELS = """lv AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM pred GROUP BY score),
 cu AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM lv)"""
 HASH = "(({key} % 1000003 + {seed}) * 48271) % 1000003"
-LONG = "longs AS (SELECT segment AS region, CASE WHEN loc_id % 3 = 0 THEN 'random' ELSE 'site' END AS kind, loc_id, criterion_id, w, CASE WHEN (loc_id + i) % 11 <> 0 THEN " \
-    "CASE WHEN loc_id % 3 <> 0 AND i % 2 = 0 THEN least(1e0, (loc_id * (13 + i * 6) % 101) / 100e0 + 0.2e0) ELSE (loc_id * (13 + i * 6) % 101) / 100e0 END END AS score " \
-    f"FROM sites CROSS JOIN (VALUES {', '.join(f'({i}, {c!r}, {w!r})' for i, (c, w) in enumerate(zip(C.CRITERIA, [float(w) for w in C.START])))}) AS v(i, criterion_id, w))"
+_SCORES = {"solar_aspect": "s_aspect", "solar_ej": "s_ej", "solar_ghi": "s_ghi", "solar_land_cover": "s_cover", "solar_road": "0.5e0", "solar_slope": "s_slope", "solar_soil": "s_soil", "solar_transmission": "s_tx"}
+LONG = "longs AS (" + " UNION ALL ".join(
+    f"SELECT segment AS region, CASE WHEN loc_id % 3 = 0 THEN 'random' ELSE 'site' END AS kind, loc_id, '{c}' AS criterion_id, {float(w)!r} AS w, {_SCORES[c]} AS score FROM rounded"
+    for c, w in zip(C.CRITERIA, C.START)) + ")"
 RISK = (
     "structures", "zones", ZONE_EDGES, inside("structures", "fd_id"), FLOOD_IN, curves_sql(),
     f"hit AS (SELECT w.*, v.s, v.c {NEAREST_CURVE.format('wet')})",
@@ -329,7 +328,7 @@ TRAINED = """trained AS (SELECT *, CASE WHEN occtype LIKE 'RES1%' THEN 1e0 ELSE
 _N = len(C.CRITERIA)
 _WIDE = "wide AS (SELECT region, kind, loc_id, " + ", ".join(f"max(score) FILTER (WHERE criterion_id = {c!r}) AS s{i}" for i, c in enumerate(C.CRITERIA)) + " FROM longs GROUP BY ALL)"
 ORACLES = {
-    "calibrated_weights": with_ctes("sites", LONG, _WIDE, body=f"""
+    "calibrated_weights": with_ctes(*SOLAR_CTES, LONG, _WIDE, body=f"""
 , composites AS (SELECT region, kind, coalesce(({' + '.join(f'coalesce({float(w)!r} * s{i}, 0e0)' for i, w in enumerate(C.START))}) / nullif({' + '.join(f'CASE WHEN s{i} IS NOT NULL THEN {float(w)!r} ELSE 0e0 END' for i, w in enumerate(C.START))}, 0e0), 0e0) AS c FROM wide),
 means AS (SELECT region, kind, count(*) AS n, avg(c) + avg(1e0 / (1e0 + exp(-(c - {C.HIGH}) / {C.SOFTNESS}))) AS v FROM composites GROUP BY ALL),
 fitted AS (SELECT s.region, s.n >= {C.MIN_POSITIVES} AS fits, s.v - r.v AS gap FROM means s JOIN means r ON s.kind = 'site' AND r.kind = 'random' AND s.region = r.region)
@@ -372,9 +371,9 @@ SELECT segment, loc_id FROM sites QUALIFY row_number() OVER (PARTITION BY segmen
     "prefer_then_fill": with_ctes("sites", body=f"""
 , s AS (SELECT *, CASE WHEN nlcd_code >= 70 THEN 0 WHEN nlcd_code = 11 THEN 2 ELSE 1 END AS pref FROM sites)
 SELECT segment, loc_id, pref FROM s QUALIFY row_number() OVER (PARTITION BY segment ORDER BY pref, {HASH.format(key='loc_id', seed=7)}, loc_id) <= 150"""),
-    "masked_composite": with_ctes("sites", LONG, body="""
+    "masked_composite": with_ctes(*SOLAR_CTES, LONG, body="""
 SELECT loc_id, round(coalesce(sum(score * w) / sum(CASE WHEN score IS NOT NULL THEN w END), 0e0), 7) AS composite FROM longs GROUP BY loc_id"""),
-    "criterion_separation": with_ctes("sites", LONG, body="""
+    "criterion_separation": with_ctes(*SOLAR_CTES, LONG, body="""
 SELECT region, criterion_id, round(avg(score) FILTER (WHERE kind = 'site') - avg(score) FILTER (WHERE kind = 'random'), 6) AS separation FROM longs GROUP BY region, criterion_id"""),
     "state_backtest": with_ctes("sites", PARCELS, STATE, body="""
 SELECT coalesce(segment, 'ALL') AS segment, count(*) FILTER (WHERE kind = 'site') AS n_sites, count(*) FILTER (WHERE kind = 'random') AS n_random,
