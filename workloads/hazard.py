@@ -10,6 +10,7 @@ from parcelwise.functions import scoring as S
 from parcelwise.operators import overlap
 from parcelwise.operators import spatial as X
 from parcelwise.plans import hazard as H
+from parcelwise.plans import model as M
 from parcelwise.plans import portfolio as P
 from parcelwise.plans import selection as E
 from parcelwise.sources import catalog
@@ -41,6 +42,12 @@ def wildfire_risk(spark, sf_dir):
     )
 
 
+def model_probability(spark, sf_dir):
+    """M8: the fitted model applied to every structure; null where a predictor is missing."""
+    out = M.apply_model(layer(spark, sf_dir, "structures"), K.WILDFIRE_COEFFICIENTS, K.WILDFIRE_THRESHOLD)
+    return out.select("fd_id", F.round("log_odds", 6).alias("log_odds"), F.round("p_destroyed", 6).alias("p_destroyed"), "exceeds")
+
+
 def wildfire_narrative(spark, sf_dir):
     """Tier, money and the first two risk factors in a sentence."""
     out = wildfire_records(spark, sf_dir).filter(F.col("fd_id").isNotNull())
@@ -156,7 +163,7 @@ def risk_drivers(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    wildfire_risk, wildfire_narrative, wildfire_proxy, flood_risk, ddf_lookup, quake_damage, hazard_worst, nearest_nsi,
+    wildfire_risk, model_probability, wildfire_narrative, wildfire_proxy, flood_risk, ddf_lookup, quake_damage, hazard_worst, nearest_nsi,
     portfolio_summary, portfolio_histogram, portfolio_top10, risk_drivers,
 )}
 
@@ -252,6 +259,10 @@ u AS (SELECT *, (val_struct + val_cont * 0.5e0) * ratio / 2475e0 AS usd FROM r)
 SELECT fd_id, building_type, code_level, site_class, round(coalesce(pga, 0e0), 5) AS pga_g, round(p2, 6) AS p_moderate, round(ratio, 6) AS damage_ratio,
   round(usd, 3) AS annual_risk_usd, {TIER.format('usd')} AS risk_tier,
   CASE WHEN bedrock_pga_g >= 0.4 THEN 'high' WHEN bedrock_pga_g >= 0.15 THEN 'moderate' ELSE 'low' END AS hazard_label FROM u"""),
+    "model_probability": with_ctes("structures", body=f"""
+, z AS (SELECT fd_id, {C['const']!r} + {C['burn_probability']!r} * burn_probability + {C['distance_to_fuel_m']!r} * distance_to_fuel_m + {C['canopy_cover_100m']!r} * canopy_cover_100m
+  + {C['slope_degrees']!r} * slope_degrees + {C['is_res1']!r} * CASE WHEN occtype LIKE 'RES1%' THEN 1e0 ELSE 0e0 END AS z FROM structures)
+SELECT fd_id, round(z, 6) AS log_odds, round(1e0 / (1e0 + exp(-z)), 6) AS p_destroyed, 1e0 / (1e0 + exp(-z)) >= {K.WILDFIRE_THRESHOLD!r} AS exceeds FROM z"""),
     "hazard_worst": with_ctes("sites", body=f"""
 , t AS (SELECT loc_id, CASE WHEN loc_id % 6 <> 0 THEN ((loc_id * 17) % 900)::DOUBLE END AS w, CASE WHEN loc_id % 5 <> 0 THEN ((loc_id * 29) % 1100)::DOUBLE END AS f,
   {available_sql('fema_nfhl')} AS fk FROM sites),

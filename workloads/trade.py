@@ -8,6 +8,7 @@ from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
 from parcelwise.operators import counts, overlap
 from parcelwise.operators import spatial as X
+from parcelwise.plans import backtest as B
 from parcelwise.plans import selection as E
 from parcelwise.plans import trade as T
 from parcelwise.sources import catalog
@@ -178,6 +179,20 @@ def site_report(spark, sf_dir):
     return out.select("loc_id", "transit_factor", "environment_factor", "competition_factor", "composite")
 
 
+#: Ranges that a site's factors are expected in; the last one is not measured.
+EXPECTED = {"transit": (20.0, 100.0), "environment": (60.0, 100.0), "competition": (40.0, 80.0), "walkability": (0.0, 100.0)}
+
+
+def factor_violations(spark, sf_dir):
+    """Factors of the site report outside their expected range, or missing."""
+    rows = site_report(spark, sf_dir)
+    pairs = lambda items: F.create_map(*(x for k, v in items for x in (F.lit(k), v)))
+    expected = pairs((k, F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))) for k, (lo, hi) in EXPECTED.items())
+    actual = pairs((k, F.col(f"{k}_factor")) for k in EXPECTED if k != "walkability")
+    out = B.factor_violations(rows.select("loc_id", expected.alias("expected"), actual.alias("actual")), "expected", "actual", "loc_id")
+    return out.groupBy("factor", "violation").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 3).alias("least"), F.round(F.max("value"), 3).alias("most"))
+
+
 def site_suitability(spark, sf_dir):
     """Weighted log densities over the layers."""
     sites = layer(spark, sf_dir, "sites").select("loc_id", "lng", "lat")
@@ -190,7 +205,7 @@ def site_suitability(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     profile_ring, category_groups, ring_competition, competitive_gap, nearest_competitor, circle_counts, trade_area_score,
-    trade_composite, competitor_points, partial_score, trade_route, huff, overlap_shares, trade_discover, site_report, site_suitability,
+    trade_composite, competitor_points, partial_score, trade_route, huff, overlap_shares, trade_discover, site_report, factor_violations, site_suitability,
 )}
 
 BOXES = """rings AS (SELECT loc_id, minutes, lng - minutes * 0.004e0 AS x0, lat - minutes * 0.004e0 AS y0, lng + minutes * 0.004e0 AS x1, lat + minutes * 0.004e0 AS y1
@@ -302,3 +317,6 @@ n AS (SELECT m.loc_id, layer, count(*) AS n FROM m JOIN f ON abs(m.mx - f.mx) <=
 s AS (SELECT loc_id, sum(least(log10(n + 1e0) / 3e0, 1e0) * CASE layer WHEN 'ECONOMY' THEN 0.8e0 WHEN 'PROMO' THEN 0.2e0 ELSE 0.5e0 END) / 3e0 AS s FROM n GROUP BY loc_id)
 SELECT loc_id, round(coalesce(s, 0e0), 6) AS overall_score FROM sites LEFT JOIN s USING (loc_id)"""),
 }
+ORACLES["factor_violations"] = f"WITH r AS ({ORACLES['site_report']})" + " UNION ALL ".join(
+    f" SELECT '{k}' AS factor, 'outside' AS violation, count(*) AS n, round(min({k}_factor), 3) AS least, round(max({k}_factor), 3) AS most FROM r WHERE {k}_factor NOT BETWEEN {lo} AND {hi} HAVING count(*) > 0"
+    if k != "walkability" else " SELECT 'walkability', 'missing', count(*), NULL, NULL FROM r" for k, (lo, hi) in EXPECTED.items())
