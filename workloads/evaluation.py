@@ -11,11 +11,12 @@ from parcelwise.plans import backtest as B
 from parcelwise.plans import calibrate as C
 from parcelwise.plans import hazard as H
 from parcelwise.plans import model as M
+from parcelwise.session import cut_lineage
 from parcelwise.sources import catalog
 
 from .hazard import FLOOD_IN, NEAREST_CURVE, curves_sql, flood_inputs
 from .layers import CROSSES, ZONE_EDGES, box_polygons, hav, inside, layer, table, with_ctes
-from .solar import SOLAR_CTES, solar_scored, PARCELS, enriched_parcels
+from .solar import PARCELS, SOLAR_CTES, enriched_parcels, solar_scored
 from .spatial import TILE_CELL, zone_cell, zones
 
 
@@ -220,6 +221,14 @@ def claimed_vs_unclaimed(spark, sf_dir):
     return out.select("n_claimed", "n_unclaimed", *[F.round(c, 4).alias(c) for c in ("claimed_mean", "unclaimed_mean", "sfha_hit_pct", "ratio")])
 
 
+def claim_rank_correlation(spark, sf_dir):
+    """Spearman of mean risk against the number of claims, over all tracts; a tract without claims has 0."""
+    risk = _tract_risk(spark, sf_dir).groupBy("tract_id").agg(F.round(F.avg("annual_risk_usd"), 6).alias("risk"))
+    n = layer(spark, sf_dir, "claims").groupBy("tract_id").agg(F.count(F.lit(1)).alias("n_claims"))
+    both = risk.join(n, "tract_id", "left").withColumn("n_claims", F.coalesce("n_claims", F.lit(0)).cast("double"))
+    return A.spearman(cut_lineage(both.select("risk", "n_claims")), "risk", "n_claims").select("n", F.round("spearman", 8).alias("spearman"))
+
+
 def zone_spread(spark, sf_dir):
     """Spread of risk within each flood zone."""
     out = B.zone_spread(_tract_risk(spark, sf_dir).filter(F.col("in_sfha")), "flood_zone", "annual_risk_usd")
@@ -272,7 +281,7 @@ def top_precision(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     auc_gini, youden, decile_calibration, cohort_table, training_frame, model_coefficients, spearman, decile_ratio, stratified_split,
     group_sample, prefer_then_fill, masked_composite, criterion_separation, calibrated_weights, random_points, state_backtest,
-    coverage_report, claims_by_tract, recent_claims, flood_backtest, flood_backtest_metrics, claimed_vs_unclaimed, zone_spread,
+    coverage_report, claims_by_tract, recent_claims, flood_backtest, flood_backtest_metrics, claimed_vs_unclaimed, claim_rank_correlation, zone_spread,
     zone_share, chain_vs_random, harness_summary, bootstrap_ci, top_precision,
 )}
 
@@ -402,6 +411,11 @@ SELECT count(*) AS n, round(corr(rp, ra), 5) AS spearman,
 SELECT count(*) FILTER (WHERE has) AS n_claimed, count(*) FILTER (WHERE NOT has) AS n_unclaimed, round(avg(usd) FILTER (WHERE has), 4) AS claimed_mean,
   round(avg(usd) FILTER (WHERE NOT has), 4) AS unclaimed_mean, round(count(*) FILTER (WHERE has AND sfha) * 100e0 / count(*) FILTER (WHERE has), 4) AS sfha_hit_pct,
   round(avg(usd) FILTER (WHERE has) / avg(usd) FILTER (WHERE NOT has), 4) AS ratio FROM x"""),
+    "claim_rank_correlation": with_ctes(*RISK, body=f"""
+, m AS (SELECT tract_id, round(avg(usd), 6) AS x FROM risk GROUP BY tract_id), k AS (SELECT tract_id, count(*) AS n FROM claims GROUP BY tract_id),
+b AS (SELECT x, coalesce(n, 0)::DOUBLE AS y FROM m LEFT JOIN k USING (tract_id)),
+ranked AS (SELECT {AVG_RANK.format('x')} AS rx, {AVG_RANK.format('y')} AS ry FROM b)
+SELECT count(*) AS n, round(corr(rx, ry), 8) AS spearman FROM ranked"""),
     "zone_spread": with_ctes(*RISK, body="""
 SELECT flood_zone, count(*) AS n, round(min(usd), 4) AS lowest, round(median(usd), 4) AS median, round(max(usd), 4) AS highest FROM risk WHERE sfha GROUP BY flood_zone"""),
     "zone_share": with_ctes("structures", body="""

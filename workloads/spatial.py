@@ -184,6 +184,14 @@ def nearest_perimeters(spark, sf_dir):
     return near.select("property_id", "rank", "zone_id", "contains_point", F.round("dist", 2).alias("dist_m"))
 
 
+def latest_fires(spark, sf_dir):
+    """The ten latest perimeters within 5 miles of each property."""
+    props = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
+    near = overlap.boundary_distances(props, zones(spark, sf_dir, "zone_id", "year_num"), "property_id", "zone_id", ["year_num"], 8_047.0, zone_cell(spark, sf_dir))
+    out = X.top_k_per_key(near, ["property_id"], [F.desc("year_num"), F.col("zone_id")], 10)
+    return out.select("property_id", "rank", "zone_id", F.round("year_num", 0).alias("fire_year"), F.round("dist", 2).alias("dist_m"))
+
+
 def perimeter_preferring_containment(spark, sf_dir):
     """One perimeter per property, containing ones first, then the closest."""
     props = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
@@ -298,7 +306,7 @@ def state_by_box(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     pip_pairs, pip_region, pip_exists, parcel_touches_zone, radius_count, radius_count_mercator, probe_nearest,
     line_distance, nearest_structure, nearest_unbounded, nearest_degree, nearest_of_layers, knearest_poi,
-    nearest_perimeters, perimeter_preferring_containment, radius_capacity, largest_projects, areal_rollup, union_cover, bbox_layer,
+    nearest_perimeters, latest_fires, perimeter_preferring_containment, radius_capacity, largest_projects, areal_rollup, union_cover, bbox_layer,
     dissolve, dissolved_rings, enrich_layers, state_by_box,
 )}
 
@@ -409,6 +417,8 @@ SELECT loc_id, rank, poi_id, poi_name, round(d, 2) AS dist_m FROM (
     "nearest_perimeters": with_ctes("properties", "zones", ZONE_EDGES, BOUNDARY, body="""
 SELECT property_id, rank, zone_id, contains_point, round(dist, 2) AS dist_m FROM (
   SELECT *, row_number() OVER (PARTITION BY property_id ORDER BY dist, zone_id) AS rank FROM boundary) WHERE rank <= 10"""),
+    "latest_fires": with_ctes("properties", "zones", ZONE_EDGES, BOUNDARY, body="""
+SELECT property_id, row_number() OVER (PARTITION BY property_id ORDER BY year_num DESC, zone_id) AS rank, zone_id, round(year_num, 0) AS fire_year, round(dist, 2) AS dist_m FROM boundary QUALIFY rank <= 10"""),
     "perimeter_preferring_containment": with_ctes("properties", "zones", ZONE_EDGES, BOUNDARY, body="""
 SELECT property_id, zone_id, contains_point, round(year_num, 0) AS fire_year FROM boundary
 QUALIFY row_number() OVER (PARTITION BY property_id ORDER BY contains_point DESC, dist, zone_id) = 1"""),

@@ -126,6 +126,12 @@ def json_properties(spark, sf_dir):
     return e.select("event_id", "k", F.to_json(F.struct("event_type", "user_id")).alias("properties"))
 
 
+def json_distinct(spark, sf_dir):
+    """Distinct values of a property inside JSON attributes, with their rows."""
+    e = table(spark, sf_dir, "events").select(F.from_json("props", "k long")["k"].alias("k"))
+    return e.filter(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
 def geojson_points(spark, sf_dir):
     """K5: one GeoJSON feature per row."""
     s = layer(spark, sf_dir, "sites").select("loc_id", "segment", "lng", "lat")
@@ -270,7 +276,7 @@ def audit_stream_once(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     dominant_component, upsert_latest, backfill, table_diff, resume_antijoin, append_new, dedup_first, lookup_found, centroid_fallback,
-    distinct_list, mode_by_group, layer_inventory, json_properties, geojson_points, scalar_parsing, land_cover_labels, raster_slope,
+    distinct_list, mode_by_group, layer_inventory, json_properties, json_distinct, geojson_points, scalar_parsing, land_cover_labels, raster_slope,
     raster_focal, raster_distance, raster_sample, slope_at_properties, raster_summary, raster_nearest, raster_resample, terrain_lattice, audit_events, module_history, methodology_hash,
     audit_stream_once,
 )}
@@ -324,6 +330,7 @@ SELECT kind, array_to_string(list_sort(list(DISTINCT flood_zone)), ', ') AS zone
     "layer_inventory": with_ctes(*_POINT_LAYERS, body="SELECT layer, count(*) AS n, round(min(lng), 4) AS minx, round(min(lat), 4) AS miny, round(max(lng), 4) AS maxx, round(max(lat), 4) AS maxy FROM ("
         + " UNION ALL ".join(f"SELECT '{n}' AS layer, lng, lat FROM {n}" for n in _POINT_LAYERS) + ") GROUP BY layer"),
     "json_properties": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, concat('{"event_type":"', event_type, '","user_id":', user_id, '}') AS properties FROM events""",
+    "json_distinct": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY 1",
     "geojson_points": with_ctes("sites", body="SELECT loc_id, 'Point' AS kind, segment FROM sites"),
     "scalar_parsing": """WITH p AS (SELECT p_partkey AS k FROM part), t AS (SELECT k, CASE k % 4 WHEN 0 THEN k * 1000e0 WHEN 1 THEN k * 1e0 WHEN 2 THEN greatest(69000e0, k * 1e0) END AS v,
     CASE WHEN k % 3 = 0 THEN k % 10 END AS s, k * 157 AS d, (k % 200) - 100 AS la, (k % 300) - 150 AS lo FROM p),
