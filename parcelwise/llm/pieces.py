@@ -15,11 +15,14 @@ gives the text back. Spaces are the vocabulary's space mark; a literal mark in a
 in bytes.
 
 Defined results: a null text has null ids and decodes to null, an empty text has no ids. A
-null key counts as 0. Rows that repeat key and text get equal ids.
+null key counts as 0, a key that is no whole number as a hash of its text. Rows that repeat key and text
+get equal ids. An array with a null or an unknown id decodes to null; bytes that are no
+UTF-8 (of an array that `encode` did not make) decode to replacement characters.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -332,6 +335,19 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _seed(key: object) -> int:
+    if key is None:
+        return 0
+    return key if isinstance(key, int) else int.from_bytes(hashlib.blake2b(str(key).encode(), digest_size=7).digest(), "little")
+
+
+def _text(sampler: PieceSampler, ids: list[int | None] | None) -> str | None:
+    known = range(len(sampler.bytes_of))
+    if ids is None or any(i is None or i not in known for i in ids):
+        return None
+    return b"".join(sampler.bytes_of[i] for i in ids).decode(errors="replace")
+
+
 def encode(docs: DataFrame, path: str, sharpness: float = 1.0, key: str = "doc_id", text: str = "text", name: str = "piece_ids") -> DataFrame:
     """Add the sampled ids (array of int); a column of that name is replaced."""
     docs = docs.drop(name)
@@ -342,7 +358,7 @@ def encode(docs: DataFrame, path: str, sharpness: float = 1.0, key: str = "doc_i
         for whole in batches:
             named = whole.rename_columns([f"c{i}" for i in range(whole.num_columns)])
             for batch in X.slices(iter([named]), f"c{at_text}"):
-                ids, starts = sampler.encode([k or 0 for k in batch.column(at_key).to_pylist()], X.texts(batch.column(at_text)))
+                ids, starts = sampler.encode([_seed(k) for k in batch.column(at_key).to_pylist()], X.texts(batch.column(at_text)))
                 missing = batch.column(at_text).is_null()
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)), mask=missing)
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*whole.schema.names, name])
@@ -358,7 +374,7 @@ def decode(docs: DataFrame, path: str, ids: str = "piece_ids", name: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = shared(path)
         for batch in batches:
-            out = [None if x is None else sampler.decode(np.array(x, np.int64)) for x in batch.column(place).to_pylist()]
+            out = [_text(sampler, x) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))

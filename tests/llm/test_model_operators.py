@@ -118,6 +118,19 @@ def test_pieces_odd_rows(odd, none):
     assert pieces.decode(pieces.encode(none, path), path).count() == 0
 
 
+def test_pieces_odd_keys_and_ids(spark):
+    path = pieces.model_path()
+    docs = spark.createDataFrame([("a", "the thing"), ("b", "the thing"), (None, "x")], "doc_id string, text string")
+    rows = pieces.decode(pieces.encode(docs, path), path).collect()
+    assert [r.decoded for r in rows] == ["the thing", "the thing", "x"]
+    ids = spark.createDataFrame([([5, None],), ([],), (None,), ([-1],), ([1 << 30],)], "piece_ids array<int>")
+    assert [r.decoded for r in pieces.decode(ids, path).collect()] == [None, "", None, None, None]
+    sampler = pieces.shared(path)
+    half = next(i for i, b in enumerate(sampler.bytes_of) if b == b"\xc3")
+    broken = spark.createDataFrame([([half],)], "piece_ids array<int>")
+    assert pieces.decode(broken, path).first().decoded == "\ufffd"
+
+
 # -- suffix tree -------------------------------------------------------------
 def test_suffix_tree_query_base_and_gain(spark):
     folder = "/root/testdata/sf0.01"
