@@ -144,7 +144,9 @@ def test_suffix_tree_query_base_and_gain(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
         assert r.score < 0
-    assert np.mean([got[k].score > got[k].base_score for k in tokens if held[k]]) > 0.9
+    # The base gives every unseen word the whole unseen mass; spelled evenly, byte by byte, its words share it.
+    spelled = {k: got[k].base_score - sum(math.log10(256) * (len(w.encode()) + 1) for w in t if not c[w]) for k, t in tokens.items()}
+    assert np.mean([got[k].score > spelled[k] for k in tokens if held[k]]) > 0.9
 
 
 def plain_symbols(text):
