@@ -24,6 +24,7 @@ from ..functions import geo
 from ..functions.cells import disk_cells, polygon_cells, squares
 from ..functions.clip import ring_edges
 from ..functions.geo import HAVERSINE, Metric
+from ..session import spread
 
 # Task functions travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,7 +136,7 @@ def sums_within_radius(points: DataFrame, features: DataFrame, key: str, radius:
     disks = points.select("lng", "lat").distinct().withColumn("_shape", F.struct("lng", "lat"))
     sized = disks.select("_shape", "lng", "lat", dx.alias("_dx"), dy.alias("_dy"), F.lit(float(radius)).alias("_radius"))
     key_type = pa.struct([("lng", pa.float64()), ("lat", pa.float64())])
-    cut = sized.mapInArrow(_cut_disks(key_type, metric.name, cell, levels), "_shape struct<lng:double,lat:double>, _level int, _cx long, _cy long")
+    cut = spread(sized, "lng", "lat").mapInArrow(_cut_disks(key_type, metric.name, cell, levels), "_shape struct<lng:double,lat:double>, _level int, _cx long, _cy long")
     inside = metric.distance("_shape.lng", "_shape.lat", "f_lng", "f_lat") <= float(radius)
     found = _summed(cut, spots, list(measures), by, "_at", cell, levels, 0, inside)
     at = points.select(key, F.struct("lng", "lat").alias("_at"))
@@ -156,7 +157,7 @@ def sums_in_polygons(polygons: DataFrame, features: DataFrame, key: str, measure
     shapes = polygons.select(F.col(key).alias("_shape"), "rings")
     kind = shapes.schema["_shape"].dataType
     edge = "array<struct<ax:double,ay:double,bx:double,by:double>>"
-    cut = shapes.mapInArrow(_cut_polygons(to_arrow_type(kind), cell, levels), f"_shape {kind.simpleString()}, _level int, _cx long, _cy long, _edges {edge}")
+    cut = spread(shapes, "_shape").mapInArrow(_cut_polygons(to_arrow_type(kind), cell, levels), f"_shape {kind.simpleString()}, _level int, _cx long, _cy long, _edges {edge}")
     return _summed(cut, spots, list(measures), by, key, cell, levels, up, geo.odd_crossings("_edges", "f_lng", "f_lat"))
 
 

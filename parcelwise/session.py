@@ -44,6 +44,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return tune(spark)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows to as many tasks as a shuffle or the cluster has, for stages whose work is in Python:
+    adaptive coalescing counts bytes and would give a small table with costly rows to one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
