@@ -38,7 +38,7 @@ def split_at_vertices(edges: DataFrame, group: str) -> DataFrame:
     size = dx * dx + dy * dy
     t = ((F.col("vx") - F.col("ax")) * dx + (F.col("vy") - F.col("ay")) * dy) / size
     off = F.abs(dx * (F.col("vy") - F.col("ay")) - dy * (F.col("vx") - F.col("ax"))) / size
-    on = left.join(right, [group, *X.CELL]).withColumn("_t", t).filter((F.col("_t") > 0) & (F.col("_t") < 1) & (off <= OFF_EDGE))
+    on = X.meet(left, right, [group, *X.CELL]).withColumn("_t", t).filter((F.col("_t") > 0) & (F.col("_t") < 1) & (off <= OFF_EDGE))
     on = on.filter(~((F.col("vx") == F.col("ax")) & (F.col("vy") == F.col("ay")))).filter(~((F.col("vx") == F.col("bx")) & (F.col("vy") == F.col("by"))))
     cuts = on.groupBy(group, *ENDS).agg(F.array_sort(F.collect_list(F.struct(F.col("_t"), F.col("vx").alias("x"), F.col("vy").alias("y")))).alias("_cuts"))
     stops = F.concat(

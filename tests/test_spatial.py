@@ -336,3 +336,64 @@ def test_dissolve_gives_one_ring_with_the_exact_perimeter(spark):
     assert {k: sorted(v) for k, v in rings.items()} == {"one": [(12.0, 16.0)], "ring": [(-1.0, 4.0), (1.0, 4.0), (9.0, 12.0)]}
     summary = {r.region: (r.members, r.rings, r.perimeter_deg, r.area_deg2) for r in D.dissolve_summary(df, "region").collect()}
     assert summary == {"one": (8, 1, 16.0, 12.0), "ring": (9, 3, 20.0, 9.0)}
+
+
+def test_exploded_sides_are_never_broadcast(spark, world):
+    """Spark sizes an exploded side by the rows before; a small layer with a wide reach would be collected on the driver."""
+    _, _, p, f = world
+    box = F.struct(F.lit(-99.0).alias("x"), F.lit(31.0).alias("y"))
+    polygons = X.with_extent(f.select(F.col("fid").alias("zid"), geo.box_rings(F.col("f_lng"), F.col("f_lat"), F.col("f_lng") + 1, F.col("f_lat") + 1).alias("rings")))
+    lines = f.select(F.col("fid").alias("sid"), F.col("f_lng").alias("ax"), F.col("f_lat").alias("ay"), (F.col("f_lng") + 0.3).alias("bx"), F.col("f_lat").alias("by"))
+    at = p.select(F.col("pid"), "lng", "lat", box.alias("_box"))
+    plans = {
+        "radius": X.within_radius(at, f, 60_000.0),
+        "polygons": X.points_in_polygons(at, polygons, 0.5),
+        "lines": X.lines_within(at, lines, 50_000.0),
+        "counts": counts._summed(
+            f.select(F.struct("fid").alias("_shape"), F.lit(0).alias("_level"), X.cell_index(F.col("f_lng"), 0.5).alias("_cx"), X.cell_index(F.col("f_lat"), 0.5).alias("_cy")),
+            counts.spot_sums(f, {"n": F.count(F.lit(1))}, []), ["n"], [], "key", 0.5, 0, 0, F.lit(True),
+        ),
+    }
+    for name, df in plans.items():
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_large_shapes_are_cut_a_few_at_a_time():
+    """What a task holds while it cuts disks doesn't grow with the batch."""
+    n = 3 * counts.SHAPES_A_STEP + 1
+    xs = pa.array([float(i) for i in range(n)])
+    key = pa.StructArray.from_arrays([xs, xs], ["lng", "lat"])
+    reach = pa.array([0.4] * n)
+    batch = pa.RecordBatch.from_arrays([key, xs, pa.array([1.0] * n), reach, reach, pa.array([40_000.0] * n)], ["_shape", "lng", "lat", "_dx", "_dy", "_radius"])
+    out = list(counts._cut_disks(key.type, "haversine", 0.1, 1)(iter([batch])))
+    assert len(out) == 4
+    shapes = {s["lng"] for b in out for s in b.column("_shape").to_pylist()}
+    assert len(shapes) == n
+
+
+def test_segments_lie_only_in_the_cells_they_pass(spark):
+    """A long diagonal takes cells in proportion to its length, not to its box, and none is missed."""
+    rng = random.Random(3)
+    segs = [(x, y, x + rng.uniform(-3, 3), y + rng.uniform(-3, 3)) for x, y in ((rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(40))]
+    segs += [(0.0, 0.0, 0.0, 3.0), (0.0, 0.0, 3.0, 0.0), (1.0, 1.0, 1.0, 1.0), (-3.0, -3.0, 3.0, 3.0)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(segs)], "sid long, ax double, ay double, bx double, by double")
+    got = {(r.sid, r._cx, r._cy) for r in X.cells_along(df, F.lit(0.1)).select("sid", "_cx", "_cy").collect()}
+    for i, (ax, ay, bx, by) in enumerate(segs):
+        for t in np.linspace(0, 1, 997):
+            assert (i, math.floor((ax + t * (bx - ax)) / 0.1), math.floor((ay + t * (by - ay)) / 0.1)) in got
+        assert sum(s == i for s, _, _ in got) <= 4 * (abs(bx - ax) + abs(by - ay)) / 0.1 + 9
+
+
+def test_line_distance_within_equals_pair_list(spark, world):
+    """Keys may repeat; only the nearest within the radius counts."""
+    rng = random.Random(11)
+    _, _, p, _ = world
+    p = p.unionByName(p.limit(20).withColumn("lng", F.col("lng") + 0.7))
+    segs = [(rng.uniform(-101, -89), rng.uniform(29, 41)) for _ in range(60)]
+    segs = [(x, y, x + rng.uniform(-2, 2), y + rng.uniform(-2, 2)) for x, y in segs]
+    s = spark.createDataFrame([(i, *c) for i, c in enumerate(segs)], "sid long, ax double, ay double, bx double, by double")
+    want = X.lines_within(p, s, 30_000.0).groupBy("pid").agg(F.min(F.struct("dist", "sid")).alias("b")).select("pid", "b.*")
+    got = X.line_distance_within(p, s, "pid", "sid", 30_000.0)
+    assert {(r.pid, r.sid, r.dist) for r in got.collect()} == {(r.pid, r.sid, r.dist) for r in want.collect()}

@@ -162,9 +162,10 @@ def measured_sites(spark, sf_dir):
     """Sites with every measurement the composite needs, from the layer joins."""
     sites = layer(spark, sf_dir, "sites")
     slim = sites.select("loc_id", "lng", "lat")
-    lines = X.lines_within(slim, layer(spark, sf_dir, "lines").select("ax", "ay", "bx", "by"), 50_000.0)
-    lines_m = lines.groupBy("loc_id").agg(F.min("dist").alias("nearest_hifld_transmission"))
-    subs = X.within_radius(slim, as_features(layer(spark, sf_dir, "substations")).select("f_lng", "f_lat"), 50_000.0)
+    lines = layer(spark, sf_dir, "lines").select("ax", "ay", "bx", "by", F.lit(0).alias("_s"))
+    lines_m = X.line_distance_within(slim, lines, "loc_id", "_s", 50_000.0).select("loc_id", F.col("dist").alias("nearest_hifld_transmission"))
+    stations = as_features(layer(spark, sf_dir, "substations")).select("f_lng", "f_lat", F.lit(0).alias("_s"))
+    subs = X.nearest_within(slim, stations, "loc_id", 50_000.0, "_s", []).filter(F.col("dist").isNotNull())
     subs_m = subs.groupBy("loc_id").agg(F.min("dist").alias("nearest_osm_substations"))
     hits = X.points_in_polygons(slim, zones(spark, sf_dir, "zone_id", "kind", "gap_status", "flood_zone"), zone_cell(spark, sf_dir))
     flags = hits.groupBy("loc_id").agg(
