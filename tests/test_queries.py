@@ -5,6 +5,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -40,3 +41,11 @@ def test_query_equals_sql(spark, con, data_dir, name):
     cur = con.execute(contract.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     assert ordered(df.columns, [tuple(r) for r in df.collect()]) == ordered(cols, cur.fetchall())
+
+
+def test_guarded_result_reads_all_orders_in_both_cases(spark, data_dir):
+    got = contract.queries()["guarded_result"](spark, data_dir).collect()[0]
+    orders = spark.read.parquet(f"{data_dir}/orders.parquet")
+    n, last = orders.agg(F.count(F.lit(1)), F.max("o_orderkey")).first()
+    assert (got.orders_small, got.last_small, got.n_large, got.rows_large) == (n, last, n, 5)
+    assert got.rows_small == got.n_small == orders.select("o_orderstatus", "o_orderpriority").distinct().count()
