@@ -397,3 +397,22 @@ def test_line_distance_within_equals_pair_list(spark, world):
     want = X.lines_within(p, s, 30_000.0).groupBy("pid").agg(F.min(F.struct("dist", "sid")).alias("b")).select("pid", "b.*")
     got = X.line_distance_within(p, s, "pid", "sid", 30_000.0)
     assert {(r.pid, r.sid, r.dist) for r in got.collect()} == {(r.pid, r.sid, r.dist) for r in want.collect()}
+
+
+def test_held_by_equals_pair_list_without_listing_it(spark, world):
+    """Every aggregate equals that over all pairs, with repeated keys, copies of polygons and none at all."""
+    rng = random.Random(5)
+    _, _, p, _ = world
+    p = p.unionByName(p.limit(20).withColumn("lng", F.col("lng") + 0.7))
+    rows = []
+    for i in range(60):
+        x, y, r = rng.uniform(-100, -90), rng.uniform(30, 40), rng.choice([0.3, 1.0, 9.0])
+        ring = [(x - r, y - r), (x + 1.2 * r, y - 0.8 * r), (x + 0.6 * r, y + 1.1 * r), (x - 0.9 * r, y + 0.7 * r), (x - r, y - r)]
+        rows += [(i, "ab"[i % 2], [ring])] * (1 + i % 3)
+    z = X.with_extent(spark.createDataFrame(rows, "zid long, kind string, rings array<array<struct<x:double,y:double>>>"))
+    aggs = {"n": (F.count(F.lit(1)), F.sum), "first": (F.min(F.struct("zid", "kind")), F.min), "a": (F.bool_or(F.col("kind") == "a"), F.bool_or)}
+    want = X.points_in_polygons(p, z, 1.0).groupBy("pid").agg(*[c.alias(n) for n, (c, _) in aggs.items()])
+    rows_of = lambda df: {(r.pid, r.n, tuple(r.first), r.a) for r in df.select("pid", "n", "first", "a").collect()}
+    for usual in (0.5, 4.0):
+        assert rows_of(counts.held_by(p, z, "pid", aggs, usual)) == rows_of(want)
+    assert counts.held_by(p, z.limit(0), "pid", aggs, 1.0).count() == 0

@@ -167,14 +167,15 @@ def measured_sites(spark, sf_dir):
     stations = as_features(layer(spark, sf_dir, "substations")).select("f_lng", "f_lat", F.lit(0).alias("_s"))
     subs = X.nearest_within(slim, stations, "loc_id", 50_000.0, "_s", []).filter(F.col("dist").isNotNull())
     subs_m = subs.groupBy("loc_id").agg(F.min("dist").alias("nearest_osm_substations"))
-    hits = X.points_in_polygons(slim, zones(spark, sf_dir, "zone_id", "kind", "gap_status", "flood_zone"), zone_cell(spark, sf_dir))
-    flags = hits.groupBy("loc_id").agg(
-        F.bool_or((F.col("kind") == "protected") & F.col("gap_status").isin(1, 2)).alias("in_gap12"),
-        F.bool_or(F.col("kind") == "protected").alias("in_protected_zone"),
-        F.bool_or(F.col("kind") == "wetland").alias("in_wetland"),
-        F.bool_or(F.col("kind") == "habitat").alias("in_habitat"),
-        F.min_by("flood_zone", "zone_id").alias("_zone"),
-    )
+    held = {
+        "in_gap12": (F.bool_or((F.col("kind") == "protected") & F.col("gap_status").isin(1, 2)), F.bool_or),
+        "in_protected_zone": (F.bool_or(F.col("kind") == "protected"), F.bool_or),
+        "in_wetland": (F.bool_or(F.col("kind") == "wetland"), F.bool_or),
+        "in_habitat": (F.bool_or(F.col("kind") == "habitat"), F.bool_or),
+        "_first": (F.min(F.when(F.col("zone_id").isNotNull(), F.struct("zone_id", "flood_zone"))), F.min),
+    }
+    flags = counts.held_by(slim, zones(spark, sf_dir, "zone_id", "kind", "gap_status", "flood_zone"), "loc_id", held, zone_cell(spark, sf_dir))
+    flags = flags.withColumn("_zone", F.col("_first.flood_zone")).drop("_first")
     out = sites.join(lines_m, "loc_id", "left").join(subs_m, "loc_id", "left").join(flags, "loc_id", "left")
     fixed = {E.has(s): c for s, c in E.catalog_availability().items() if c is not None}
     probed = {
