@@ -189,7 +189,7 @@ def cell_of(points: DataFrame, x0: float, y0: float, px: float, py: float, x: st
 def sample(points: DataFrame, cells: DataFrame, values: list[str], nodata: float, **affine: float) -> DataFrame:
     """Cell values at points; outside the raster or nodata gives null."""
     side = cells.select("row", "col", *[F.when(F.col(v) != nodata, F.col(v)).alias(v) for v in values])
-    return cell_of(points, **affine).join(side, ["row", "col"], "left")
+    return X.meet(cell_of(points, **affine), side, ["row", "col"], "left")
 
 
 def resample_nearest(targets: DataFrame, source: DataFrame, value: str, nodata: float, **affine: float) -> DataFrame:
@@ -219,6 +219,6 @@ def resample_bilinear(
     )
     four = base.select(*key, corner.alias("_k")).select(*key, F.col("_k.row").alias("_sr"), F.col("_k.col").alias("_sc"), F.col("_k.w").alias("_w"))
     side = source.filter(F.col(value) != nodata).select(F.col("row").alias("_sr"), F.col("col").alias("_sc"), F.col(value).alias("_val"))
-    hit = four.join(side, ["_sr", "_sc"], "left")
+    hit = X.meet(four, side, ["_sr", "_sc"], "left")
     known = F.when(F.col("_val").isNotNull(), F.col("_w"))
     return hit.groupBy(*key).agg(F.try_divide(F.sum(F.col("_w") * F.col("_val")), F.sum(known)).alias(value))

@@ -69,3 +69,22 @@ def test_sampling_and_bilinear(spark):
     assert near == {1: 10.0, 2: None, 3: None, 4: None}
     mix = {r.k: r.v for r in G.resample_bilinear(pts, ["k"], src, "v", -9999.0, **aff).collect()}
     assert mix[1] == 10.0 and mix[2] == pytest.approx(20.0) and mix[3] is None
+
+
+def test_rasters_are_never_broadcast(spark, folder):
+    """A raster's file is a small part of its rows, so the driver would collect it."""
+    from parcelwise.session import TABLE_CONF, tune
+
+    spark.range(200_000).selectExpr("id DIV 1000 AS row", "id % 1000 AS col", "CAST(id % 7 AS DOUBLE) AS v").write.parquet(f"{folder}/r")
+    pts = spark.createDataFrame([(1, 3.5, -2.5)], "pid long, lng double, lat double")
+    read = G.sample(pts, spark.read.parquet(f"{folder}/r"), ["v"], -1.0, x0=0.0, y0=0.0, px=1.0, py=1.0)
+    assert read.collect()[0].v == 2003 % 7
+    assert "Broadcast" not in read._jdf.queryExecution().executedPlan().toString()
+    size = lambda: int(str(spark.read.parquet(f"{folder}/r")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+    before = size()
+    try:
+        tune(spark, TABLE_CONF)
+        assert size() > 5 * before
+    finally:
+        spark.conf.unset("spark.sql.sources.fileCompressionFactor")
