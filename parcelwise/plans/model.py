@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import scoring as S
 from ..operators import aggregates as A
+from ..operators import counts
 from ..operators import spatial as X
 from ..session import cut_lineage
 from .portfolio import destruction_log_odds, is_res1
@@ -29,13 +30,11 @@ def training_frame(
     """
     labelled = inspections.filter(F.col("damage").isin(DESTROYED, UNDAMAGED))
     recent = perimeters.filter((F.col("fire_year") >= min_year) & (F.col("gis_acres") > min_acres))
-    hits = X.points_in_polygons(
-        labelled.select("oid", "damage", "lng", "lat"), recent.select("event", "gis_acres", "rings", "x0", "y0", "x1", "y1"), cell
-    )
+    places = labelled.select(F.struct("oid", "damage", "lng", "lat").alias("_at"), "lng", "lat")
     # The first event name breaks a tie in acres.
-    one = hits.groupBy("oid", "damage", "lng", "lat").agg(
-        F.min(F.struct((-F.col("gis_acres")).alias("_neg"), F.col("event"))).alias("_p")
-    ).select("oid", "damage", "lng", "lat", "_p.event")
+    first = F.min(F.struct((-F.col("gis_acres")).alias("_neg"), F.col("event")))
+    hits = counts.held_by(places, recent.select("event", "gis_acres", "rings", "x0", "y0", "x1", "y1"), "_at", {"_p": (first, F.min)}, cell)
+    one = hits.select("_at.*", "_p.event")
     feats = ["occtype", "burn_probability", "distance_to_fuel_m", "canopy_cover_100m", "slope_degrees"]
     layer = structures.withColumnsRenamed({"lng": "f_lng", "lat": "f_lat"}).select("fd_id", "f_lng", "f_lat", *feats)
     near = X.nearest_within(one, layer, "oid", match_m, "fd_id", feats, geo.HAVERSINE, geo.DEGREE)

@@ -221,3 +221,25 @@ def test_bootstrap_equals_a_row_bootstrap(spark):
     again = B.bootstrap_mean_ci(df.coalesce(1), "v", "id").first()
     assert (again.lo, again.hi) == pytest.approx((r.lo, r.hi), rel=1e-12)
     assert B.bootstrap_mean_ci(df.limit(0), "v", "id").first().lo is None
+
+
+def test_training_frame_lists_no_pairs(spark, monkeypatch):
+    """The perimeter of an inspection is aggregated; the pairs of a crowded place are not listed."""
+    from parcelwise.functions import geo
+    from parcelwise.operators import spatial
+    from parcelwise.plans import model as M
+
+    rows = [(i, -100.0 + i / 100.0, 40.0, M.DESTROYED if i % 2 else M.UNDAMAGED) for i in range(40)]
+    seen = spark.createDataFrame(rows + rows[:3], "oid long, lng double, lat double, damage string")
+    boxes = [(f"f{i % 7}", 2020, 2000.0 + i % 3, -100.105 + i / 100.0, 39.9, -99.905 + i / 100.0, 40.1) for i in range(30)]
+    boxes += [("old", 2000, 9e9, -101.0, 39.0, -99.0, 41.0), ("small", 2020, 1.0, -101.0, 39.0, -99.0, 41.0)]
+    fires = spark.createDataFrame(boxes, "event string, fire_year long, gis_acres double, x0 double, y0 double, x1 double, y1 double")
+    fires = fires.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1"))
+    houses = spark.createDataFrame([(r[0], r[1], r[2], "RES1", 0.1, 5.0, 7.0, 2.0) for r in rows], "fd_id long, lng double, lat double, occtype string, burn_probability double, distance_to_fuel_m double, canopy_cover_100m double, slope_degrees double")
+    monkeypatch.setattr(spatial, "points_in_polygons", lambda *a: pytest.fail("lists pairs"))
+    got = {(r.oid, r.event, r.fd_id, r.destroyed) for r in M.training_frame(seen, fires, houses, 0.2).collect()}
+    want = set()
+    for oid, x, y, _ in rows:
+        held = [(-b[2], b[0]) for b in boxes if b[1] >= 2017 and b[2] > 1000 and b[3] < x < b[5]]
+        want |= {(oid, min(held)[1], oid, oid % 2)} if held else set()
+    assert got == want
