@@ -456,12 +456,10 @@ def queue_context(sites: DataFrame, queue: DataFrame, key: str, radius_m: float
 def largest_projects(sites: DataFrame, queue: DataFrame, plants: DataFrame, key: str, k: int = 5, radius_m: float = 50_000.0) -> DataFrame:
     """The k largest active queue projects near each site, with the operating capacity in the same radius.
 
-    Ties go by ``queue_id``. At one position only the k largest projects can be among them.
+    Ties go by ``queue_id``.
     """
     active = queue.filter((F.col("status") == "Active") & F.col("capacity_mw").isNotNull())
-    few = X.top_k_per_key(active, ["f_lng", "f_lat"], [F.desc("capacity_mw"), F.col("queue_id")], k).drop("rank")
-    pairs = X.within_radius(sites.select(key, "lng", "lat"), few, radius_m)
-    top = X.top_k_per_key(pairs, [key], [F.desc("capacity_mw"), F.col("queue_id")], k)
+    top = X.largest_within(sites, active, key, radius_m, "capacity_mw", "queue_id", k)
     running = counts.sums_within_radius(sites, plants.filter(F.col("operating_status") == "OP"), key, radius_m, {"operating_mw": F.sum("capacity_mw"), "n_operating": F.count(F.lit(1))})
     return top.join(running, key, "left").select(
         key, "rank", "queue_id", "capacity_mw", "dist", F.coalesce("operating_mw", F.lit(0.0)).alias("operating_mw"), F.coalesce("n_operating", F.lit(0)).alias("n_operating")

@@ -418,6 +418,30 @@ def test_held_by_equals_pair_list_without_listing_it(spark, world):
     assert counts.held_by(p, z.limit(0), "pid", aggs, 1.0).count() == 0
 
 
+def test_largest_within_equals_pair_list_and_reads_few_runs(spark, world):
+    """Large values just outside the radius, ties, copies of features, repeated keys, fewer than k."""
+    rng = random.Random(9)
+    _, feats, p, f = world
+    p = p.unionByName(p.limit(20).withColumn("lng", F.col("lng") + 0.7)).unionByName(p.limit(5))
+    f = f.unionByName(f.limit(30)).withColumn("v", F.when(F.col("f_lng") > -95.0, 1000.0).otherwise(0.0) + F.col("fid") % 7)
+    for radius in (20_000.0, 150_000.0):
+        want = X.top_k_per_key(X.within_radius(p, f, radius), ["pid"], [F.desc("v"), F.col("fid")], 3)
+        got = X.largest_within(p, f, "pid", radius, "v", "fid", 3)
+        rows_of = lambda df: sorted(map(tuple, df.select("pid", "rank", "fid", "v").collect()))
+        assert rows_of(got) == rows_of(want)
+        assert got.agg(F.max("dist")).first()[0] <= radius
+    # A crowd: 3,000 features in reach, of which a point meets some runs only.
+    crowd = spark.createDataFrame([(i, -95 + rng.uniform(-1, 1), 35 + rng.uniform(-1, 1), rng.random()) for i in range(3000)], "fid long, f_lng double, f_lat double, v double")
+    one = spark.createDataFrame([(1, -95.0, 35.0)], "pid long, lng double, lat double")
+    met, keep = [], X.meet
+    try:
+        X.meet = lambda *a, **k: met.append(keep(*a, **k)) or met[-1]
+        X.largest_within(one, crowd, "pid", 150_000.0, "v", "fid", 3)
+    finally:
+        X.meet = keep
+    assert sum(m.count() for m in met) < 500
+
+
 def test_cells_of_a_small_layer_are_dealt_out(spark, world):
     """A nearest search puts features into the cells of many grids, and one task would hold those of a small table."""
     _, _, p, f = world
