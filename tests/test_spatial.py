@@ -418,6 +418,24 @@ def test_held_by_equals_pair_list_without_listing_it(spark, world):
     assert counts.held_by(p, z.limit(0), "pid", aggs, 1.0).count() == 0
 
 
+def test_first_holders_and_counts_by_kind_equal_pair_list(spark, world):
+    rng = random.Random(6)
+    _, _, p, _ = world
+    p = p.unionByName(p.limit(20).withColumn("lng", F.col("lng") + 0.7))
+    rows = []
+    for i in range(60):
+        x, y, r = rng.uniform(-100, -90), rng.uniform(30, 40), rng.choice([0.3, 1.0, 9.0])
+        ring = [(x - r, y - r), (x + 1.2 * r, y - 0.8 * r), (x + 0.6 * r, y + 1.1 * r), (x - 0.9 * r, y + 0.7 * r), (x - r, y - r)]
+        rows += [(i, "ab"[i % 2], [ring])] * (1 + i % 3)
+    z = X.with_extent(spark.createDataFrame(rows, "zid long, kind string, rings array<array<struct<x:double,y:double>>>"))
+    pairs = X.points_in_polygons(p, z, 1.0)
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    want = X.top_k_per_key(pairs, ["pid", "kind"], [F.col("zid")], 2).select("pid", "kind", "zid", "rank")
+    assert rows_of(counts.first_holders(p, z, "pid", ["kind"], "zid", 2, 4.0).select("pid", "kind", "zid", "rank")) == rows_of(want)
+    n = {"n": (F.count(F.lit(1)), F.sum)}
+    assert rows_of(counts.held_by(p, z, "pid", n, 4.0, by=["kind"])) == rows_of(pairs.groupBy("pid", "kind").agg(F.count(F.lit(1)).alias("n")))
+
+
 def test_largest_within_equals_pair_list_and_reads_few_runs(spark, world):
     """Large values just outside the radius, ties, copies of features, repeated keys, fewer than k."""
     rng = random.Random(9)
@@ -442,6 +460,17 @@ def test_largest_within_equals_pair_list_and_reads_few_runs(spark, world):
     assert sum(m.count() for m in met) < 500
 
 
+def test_k_nearest_by_group_equals_pair_list(spark, world):
+    _, _, p, f = world
+    f = f.withColumn("kind", F.substring(F.lit("abc"), (F.col("fid") % 3 + 1).cast("int"), 1))
+    asked = p.unionByName(p.limit(5)).withColumn("kind", F.explode(F.array(*map(F.lit, "abc"))))
+    pairs = X.within_radius(p.unionByName(p.limit(5)), f, 150_000.0)
+    want = X.top_k_per_key(pairs, ["pid", "kind"], [F.col("dist"), F.col("fid")], 2)
+    got = X.k_nearest_within(asked, f, "pid", 150_000.0, "fid", 2, by=["kind"])
+    rows_of = lambda df: sorted(map(tuple, df.select("pid", "kind", "rank", "fid").collect()))
+    assert rows_of(got) == rows_of(want)
+
+
 def test_cells_of_a_small_layer_are_dealt_out(spark, world):
     """A nearest search puts features into the cells of many grids, and one task would hold those of a small table."""
     _, _, p, f = world
