@@ -49,3 +49,18 @@ def test_guarded_result_reads_all_orders_in_both_cases(spark, data_dir):
     n, last = orders.agg(F.count(F.lit(1)), F.max("o_orderkey")).first()
     assert (got.orders_small, got.last_small, got.n_large, got.rows_large) == (n, last, n, 5)
     assert got.rows_small == got.n_small == orders.select("o_orderstatus", "o_orderpriority").distinct().count()
+
+
+def test_probe_nearest_adds_up_repeated_sites(spark, data_dir, folder):
+    """A key on two rows counts the points of both, on each of its rows."""
+    for t in ("customer", "part"):
+        df = spark.read.parquet(f"{data_dir}/{t}.parquet")
+        (df.unionByName(df.limit(40)) if t == "customer" else df).write.parquet(f"{folder}/{t}.parquet")
+    run = contract.queries()["probe_nearest"]
+    once = {(r.loc_id, r.layer): (r.n, r.nearest_m) for r in run(spark, data_dir).collect()}
+    twice = run(spark, folder).collect()
+    seen = {}
+    for r in twice:
+        seen.setdefault((r.loc_id, r.layer), []).append((r.n, r.nearest_m))
+    assert len(twice) == len(once) + 40 * len({r.layer for r in twice})
+    assert all(v == [(once[k][0] * len(v), once[k][1])] * len(v) for k, v in seen.items())

@@ -127,7 +127,8 @@ def probe_nearest(spark, sf_dir):
         n = counts.sums_within_radius(sites, mine, "loc_id", radius, {"n": F.count(F.lit(1))}, by=["layer"])
         first = X.close_pairs(asked.filter(_radius("layer") == radius), mine.select("layer", "f_lng", "f_lat").distinct(), radius, 1, by=["layer"])
         first = first.groupBy("loc_id", "layer").agg(F.round(F.min("dist"), 2).alias("nearest_m"))
-        parts.append(n.join(first, ["loc_id", "layer"], "left"))
+        # A key that repeats adds up its rows.
+        parts.append(n.groupBy("loc_id", "layer").agg(F.sum("n").alias("n")).join(first, ["loc_id", "layer"], "left"))
     found = reduce(DataFrame.unionByName, parts)
     return asked.join(found, ["loc_id", "layer"], "left").select("loc_id", "layer", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "nearest_m")
 
