@@ -2,13 +2,15 @@
 
 The tokenizer's own pre-tokenizer never joins what ASCII white space parts, so a
 text's ids are its words' ids in a row. Each task keeps the ids of the words it has
-met and asks the tokenizer only for new ones.
+met and asks the tokenizer only for new ones. A word of ASCII letters is one
+pre-token, so its ids come straight from the tokenizer's model.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 from itertools import chain
 
@@ -36,6 +38,12 @@ class WordTokens:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        letters = normalizer.normalize_str(string.ascii_letters) if normalizer else string.ascii_letters
+        lowers = letters == string.ascii_letters.lower()
+        # Whether letters are only lowered, if anything, and stay one pre-token.
+        self.by_model = (lowers or letters == string.ascii_letters) and (not cutter or [t for t, _ in cutter.pre_tokenize_str(letters)] == [letters])
+        self.written = bytes.lower if lowers else bytes
         self._forget()
 
     def _forget(self) -> None:
@@ -46,9 +54,15 @@ class WordTokens:
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
-        cut = [w[: m.start()] if (m := _TAIL.search(w)) else w for w in new]
+        cut = [w if w.isalpha() or not (m := _TAIL.search(w)) else w[: m.start()] for w in new]
         tails = [w[len(c) :] for w, c in zip(new, cut)]
-        unknown = list({p for p in (*cut, *tails) if p and p not in self.parts})
+        unknown = {p for p in (*cut, *tails) if p and p not in self.parts}
+        if self.by_model:
+            cut_up = self.tokenizer.model.tokenize
+            for p in filter(bytes.isalpha, unknown):
+                self.parts[p] = array("I", [t.id for t in cut_up(self.written(p).decode())]).tobytes()
+            unknown = {p for p in unknown if not p.isalpha()}
+        unknown = list(unknown)
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for p, e in zip(unknown, encode([p.decode() for p in unknown], add_special_tokens=False)):
             self.parts[p] = array("I", e.ids).tobytes()

@@ -298,6 +298,31 @@ def test_word_ids_equal_whole_text_ids():
         assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_letters_come_from_the_model():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from parcelwise.llm.wordtokens import WordTokens
+
+    t, fast = Tokenizer.from_file(packing.tokenizer_path()), WordTokens(packing.tokenizer_path())
+    asked: list[str] = []
+
+    class Asked:
+        model = fast.tokenizer.model
+
+        def encode_batch(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return t.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+        encode_batch_fast = encode_batch
+
+    fast.tokenizer = Asked()
+    text = "Ertionnt. rethshnt ORHAHA tistth, it's 12 oned."
+    ids, _ = fast(*X.text_bytes(pa.array([text])))
+    assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == [",", ".", "12", "it's"]
+
+
 def test_best_two_fit():
     rng = np.random.default_rng(4)
     for high, size in ((100, 400), (30, 900), (100, 1), (1, 50)):
