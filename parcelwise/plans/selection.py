@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import scoring as S
-from ..operators import overlap
+from ..operators import counts, overlap
 from ..operators import spatial as X
 from ..sources import catalog
 from ..sources.catalog import Criterion
@@ -103,12 +103,12 @@ def probe_layers(
     parts = [probe_sources(locations, points, key, {s: radii[s] for s in named["points"]}).filter("n > 0")]
     for radius in sorted({radii[s] for s in named["lines"]}):
         names = [s for s in named["lines"] if radii[s] == radius]
-        near = X.lines_within(at, lines.filter(F.col("source_id").isin(names)), radius)
-        parts.append(near.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("nearest_m")))
+        n = counts.segments_near(at, lines.filter(F.col("source_id").isin(names)), key, radius, ["source_id"])
+        nearest = reduce(DataFrame.unionByName, [X.line_distance_within(at, lines.filter(F.col("source_id") == s), key, "source_id", radius) for s in names])
+        parts.append(n.join(nearest.withColumnRenamed("dist", "nearest_m"), [key, "source_id"], "left"))
     for radius in sorted({radii[s] for s in named["polygons"]}):
         names = [s for s in named["polygons"] if radii[s] == radius]
-        near = overlap.boundary_distances(at, polygons.filter(F.col("source_id").isin(names)), key, "feature_id", ["source_id"], radius, cell)
-        parts.append(near.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("nearest_m")))
+        parts.append(overlap.boundary_counts(at, polygons.filter(F.col("source_id").isin(names)), key, "feature_id", "source_id", radius, cell))
     parts.append(known.groupBy(key, "source_id").agg(F.count(F.lit(1)).alias("n"), F.lit(0.0).alias("nearest_m")))
     found = reduce(DataFrame.unionByName, parts)
     every = F.explode(F.array(*[F.lit(s) for names in named.values() for s in names])).alias("source_id")

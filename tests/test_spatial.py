@@ -518,3 +518,57 @@ def test_cells_of_a_small_layer_are_dealt_out(spark, world):
     _, _, p, f = world
     plan = X.nearest(p, f, "pid", "fid", [])._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def _near_inputs(spark, seed=5):
+    rng = random.Random(seed)
+    points = [(i, rng.uniform(-100, -97), rng.uniform(30, 33)) for i in range(120)] + [(3, -98.0, 31.0), (4, -99.0, 32.0), (4, -99.0, 32.0)]
+    shapes = []
+    for i in range(60):
+        x, y, s = rng.uniform(-100, -97), rng.uniform(30, 33), rng.choice([0.002, 0.05, 0.6, 1.4])
+        shapes.append((i % 57, i % 7, "ab"[i % 2], [[(x, y), (x + s, y + s / 3), (x + s / 2, y + s), (x, y)]]))
+    shapes.append(shapes[5])
+    p = spark.createDataFrame(points, "pid long, lng double, lat double")
+    z = spark.createDataFrame(shapes, "zid long, yr long, src string, rings array<array<struct<x:double,y:double>>>")
+    return p, z.withColumns(geo.ring_extent("rings"))
+
+
+@pytest.mark.parametrize("radius", [800.0, 30_000.0])
+def test_near_boundaries_are_aggregated_as_pairs_would_be(spark, radius, monkeypatch):
+    """Counts, first polygons and holders against the list of pairs, with repeated points and polygons."""
+    p, z = _near_inputs(spark)
+    pairs = overlap.boundary_distances(p, z, "pid", "zid", ["yr", "src"], radius, 0.8).cache()
+    want = {(r.pid, r.src): (r.n, round(r.d, 6)) for r in pairs.groupBy("pid", "src").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("d")).collect()}
+    got = overlap.boundary_counts(p, z, "pid", "zid", "src", radius, 0.8).collect()
+    assert {(r.pid, r.src): (r.n, round(r.nearest_m, 6)) for r in got} == want and len(got) == len(want)
+    for order in ([F.col("dist"), F.col("zid")], [F.desc("yr"), F.col("zid")]):
+        listed = lambda df: sorted((r.pid, r["rank"], r.zid, r.yr, r.contains_point, round(r.dist, 6)) for r in df.collect())
+        assert listed(overlap.first_boundaries(p, z, "pid", "zid", ["yr"], order, radius, 3, 0.8)) == listed(X.top_k_per_key(pairs, ["pid"], order, 3))
+    best = pairs.groupBy("pid").agg(F.min(F.struct(~F.col("contains_point"), "dist", "zid", "yr", "contains_point")).alias("b"))
+    own = overlap.holder_or_nearest(p, z, "pid", "zid", ["yr"], radius, 0.8)
+    assert sorted((r.pid, r.zid, r.yr, r.contains_point) for r in own.collect()) == sorted((r.pid, r.b.zid, r.b.yr, r.b.contains_point) for r in best.collect())
+    # Where no key repeats, no pairs are listed.
+    monkeypatch.setattr(overlap, "boundary_distances", lambda *a: pytest.fail("lists pairs"))
+    overlap.boundary_counts(p.dropDuplicates(["pid"]), z.dropDuplicates(["zid"]), "pid", "zid", "src", radius, 0.8).collect()
+
+
+@pytest.mark.parametrize("radius", [2_000.0, 50_000.0])
+def test_segments_near_counts_without_pairs(spark, radius):
+    rng = random.Random(8)
+    p = spark.createDataFrame([(i, rng.uniform(-100, -97), rng.uniform(58, 61)) for i in range(150)], "pid long, lng double, lat double")
+    rows = []
+    for i in range(80):
+        x, y, s = rng.uniform(-100, -97), rng.uniform(58, 61), rng.choice([0.0, 0.01, 0.4, 6.0])
+        rows.append(("ab"[i % 2], x, y, x + rng.uniform(-s, s), y + rng.choice([0.0, rng.uniform(-s, s)])))
+    s = spark.createDataFrame([*rows, ("a", None, 59.0, -98.0, 59.0)], "src string, ax double, ay double, bx double, by double")
+    at = p.crossJoin(s).withColumn("d", geo.segment_distance_m("lng", "lat", "ax", "ay", "bx", "by")).filter(F.col("d") <= radius)
+    want = {(r.pid, r.src): r["count"] for r in at.groupBy("pid", "src").count().collect()}
+    assert {(r.pid, r.src): r.n for r in counts.segments_near(p, s, "pid", radius, ["src"]).collect()} == want
+    listed = {(r.pid, r.src): r["count"] for r in X.lines_within(p, s, radius).groupBy("pid", "src").count().collect()}
+    assert listed == want
+
+
+def test_lines_within_takes_cells_along_a_segment(spark):
+    """A diagonal takes the cells near it, not those of its box."""
+    s = spark.createDataFrame([(-100.0, 30.0, -97.0, 33.0)], "ax double, ay double, bx double, by double")
+    assert X.cells_along(s, F.lit(0.03), F.lit(0.01), F.lit(0.01)).count() < 100 * 100 / 10
