@@ -197,22 +197,19 @@ def nearest_perimeters(spark, sf_dir):
 def latest_fires(spark, sf_dir):
     """The ten latest perimeters within 5 miles of each property."""
     props = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
-    near = overlap.boundary_distances(props, zones(spark, sf_dir, "zone_id", "year_num"), "property_id", "zone_id", ["year_num"], 8_047.0, zone_cell(spark, sf_dir))
-    out = X.top_k_per_key(near, ["property_id"], [F.desc("year_num"), F.col("zone_id")], 10)
+    order = [F.desc("year_num"), F.col("zone_id")]
+    out = overlap.first_boundaries(props, zones(spark, sf_dir, "zone_id", "year_num"), "property_id", "zone_id", ["year_num"], order, 8_047.0, 10, zone_cell(spark, sf_dir))
     return out.select("property_id", "rank", "zone_id", F.round("year_num", 0).alias("fire_year"), F.round("dist", 2).alias("dist_m"))
 
 
 def perimeter_preferring_containment(spark, sf_dir):
     """One perimeter per property, containing ones first, then the closest."""
     props = layer(spark, sf_dir, "properties").select("property_id", "lng", "lat")
-    near = overlap.boundary_distances(
+    best = overlap.holder_or_nearest(
         props, zones(spark, sf_dir, "zone_id", "year_num"), "property_id", "zone_id", ["year_num"], 8_047.0,
         zone_cell(spark, sf_dir),
     )
-    best = near.groupBy("property_id").agg(
-        F.min(F.struct(~F.col("contains_point"), "dist", "zone_id", "year_num", "contains_point")).alias("b")
-    )
-    return best.select("property_id", "b.zone_id", F.col("b.contains_point"), F.round("b.year_num", 0).alias("fire_year"))
+    return best.select("property_id", "zone_id", "contains_point", F.round("year_num", 0).alias("fire_year"))
 
 
 def radius_capacity(spark, sf_dir):
