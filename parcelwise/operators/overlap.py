@@ -7,12 +7,12 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip, geo
-from ..functions.clip import ring_edges
-from ..functions.sweep import union_area
+from ..functions.clip import edge_lists
+from ..functions.sweep import union_pieces
 from . import counts
 from . import spatial as X
 
@@ -20,7 +20,7 @@ from . import spatial as X
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BOX = ("x0", "y0", "x1", "y1")
-#: Features of one sweep, on average; a parcel with more is cut into a lattice of windows.
+#: Features of one sweep, on average; a cell with more is cut into a lattice of windows.
 FEATURES_A_SWEEP = 64
 
 
@@ -84,50 +84,81 @@ def summed_overlap(parcels: DataFrame, layer: DataFrame, key: str, cell: float)
     return pairs.select(key, area.alias("_a")).groupBy(key).agg(F.sum("_a").alias("area_deg2"))
 
 
-def _sweep(key: str, kind: str):
+_RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def _sweep(kind: str):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         one = rows.slice(0, 1)
-        parcel = ring_edges(one.column("rings").combine_chunks())
-        features = ring_edges(rows.column("b_rings").combine_chunks())
-        owner = np.concatenate((np.zeros(len(parcel[0]), np.int64), features[0] + 1))
         window = tuple(one.column(c)[0].as_py() for c in ("_w", "_s", "_e", "_n"))
-        area = union_area(window, owner, *(np.concatenate((p, f)) for p, f in zip(parcel[1:], features[1:])))
-        return pa.table({key: one.column(key), kind: one.column(kind), "area_deg2": [area]})
+        area, found = union_pieces(window, *edge_lists(rows.column("_edges").combine_chunks()))
+        west, east, low_w, high_w, low_e, high_e = found.T
+        x, y = np.stack((west, east, east, west, west), axis=1).ravel(), np.stack((low_w, low_e, high_e, high_w, low_w), axis=1).ravel()
+        points = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+        rings = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, 5), pa.int32()), points)
+        pieces = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), rings)
+        return pa.table({kind: one.column(kind), "_cx": one.column("_cx"), "_cy": one.column("_cy"), "_area": [area], "_pieces": pieces})
 
     return run
 
 
-def union_cover(parcels: DataFrame, layer: DataFrame, key: str, kind: str, cell: float) -> DataFrame:
-    """Exact area (square degrees) of each parcel under the union of the features of a kind.
+def _leaves(squares: DataFrame) -> DataFrame:
+    """Squares of any level as cells."""
+    side = F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, _level) - 1"))
+    cells = squares.withColumn("_i", F.explode(side)).withColumn("_j", F.explode(side))
+    return cells.withColumns({"_cx": F.expr("shiftleft(_cx, _level) + _i"), "_cy": F.expr("shiftleft(_cy, _level) + _j")}).drop("_level", "_i", "_j")
+
+
+def _union_cells(shapes: DataFrame, kind: str, width: float, levels: int) -> DataFrame:
+    """The union of the shapes of a kind in each cell: its area, and the polygons without overlap that make it up.
 
-    ``parcels`` has rings and box. Copies of a feature count once. A parcel with one feature is
-    measured as a pair; otherwise a plane sweep per window counts covered stretches. A window
-    is the whole parcel, or a square of a lattice fine enough for the number of its features, so that
-    many features over one parcel spread over tasks. Parcels without cover give no row.
+    A cell that a shape fills needs no other. Else the boundaries in it are swept, once for all parcels; a cell with many is
+    divided into windows.
     """
-    shapes = layer.select(kind, "rings", *BOX).distinct()
-    pairs = X.boxes_meeting(parcels.select(key, "rings", *BOX), _as_side(shapes, [kind]), cell)
-    counts = pairs.groupBy(key, kind).agg(F.count(F.lit(1)).alias("_c"))
-    sized = pairs.join(counts, [key, kind])
-    alone = sized.filter(F.col("_c") == 1).select(key, kind, clip.overlap_area("rings", "b_rings").alias("area_deg2"))
-    side = F.ceil(F.sqrt(F.col("_c") / FEATURES_A_SWEEP)).cast("int")
-    many = sized.filter(F.col("_c") > 1).withColumns({"_k": side, "_dx": F.col("x1") - F.col("x0"), "_dy": F.col("y1") - F.col("y0")}).filter("_dx > 0 AND _dy > 0")
-
-    def windows(low: str, extent: str, start: Column, stop: Column) -> Column:
-        place = lambda v: F.least(F.greatest(F.floor((v - F.col(low)) / F.col(extent) * F.col("_k")).cast("int"), F.lit(0)), F.col("_k") - 1)
+    cut, _ = counts.cut_shapes(shapes, width, levels, upright=True)
+    filled = _leaves(cut.filter("_level >= 0").select("_level", *X.CELL, F.col(f"_shape.{kind}").alias(kind))).distinct()
+    edges = _leaves(cut.filter("_level < 0").select((-1 - F.col("_level")).alias("_level"), *X.CELL, F.col(f"_shape.{kind}").alias(kind), *[F.col(f"_shape._{c}").alias(c) for c in BOX], "_edges"))
+    left = X.meet(edges, filled, [kind, *X.CELL], "left_anti")
+    count = F.count(F.lit(1)).over(Window.partitionBy(kind, *X.CELL))
+    west, south = F.col("_cx") * width, F.col("_cy") * width
+    many = left.withColumn("_k", F.ceil(F.sqrt(count / FEATURES_A_SWEEP)).cast("int"))
+
+    def windows(start: Column, stop: Column, low: Column) -> Column:
+        place = lambda v: F.least(F.greatest(F.floor((v - low) / width * F.col("_k")).cast("int"), F.lit(0)), F.col("_k") - 1)
         return F.explode(F.sequence(place(start), place(stop)))
 
-    many = many.withColumn("_px", windows("x0", "_dx", F.greatest("x0", "b_x0"), F.least("x1", "b_x1")))
-    many = many.withColumn("_py", windows("y0", "_dy", F.greatest("y0", "b_y0"), F.least("y1", "b_y1")))
-    edge = lambda low, extent, p: F.col(low) + F.col(extent) * p / F.col("_k")
+    many = many.withColumn("_px", windows(F.col("x0"), F.col("x1"), west)).withColumn("_py", windows(F.col("y0"), F.col("y1"), south))
+    edge = lambda low, p: low + p * width / F.col("_k")
     many = many.select(
-        key, kind, "_px", "_py", "rings", "b_rings", edge("x0", "_dx", F.col("_px")).alias("_w"), edge("y0", "_dy", F.col("_py")).alias("_s"),
-        edge("x0", "_dx", F.col("_px") + 1).alias("_e"), edge("y0", "_dy", F.col("_py") + 1).alias("_n"),
+        kind, *X.CELL, "_px", "_py", "_edges", edge(west, F.col("_px")).alias("_w"), edge(south, F.col("_py")).alias("_s"),
+        edge(west, F.col("_px") + 1).alias("_e"), edge(south, F.col("_py") + 1).alias("_n"),
     )
-    schema = f"{key} {parcels.schema[key].dataType.simpleString()}, {kind} {layer.schema[kind].dataType.simpleString()}, area_deg2 double"
-    swept = many.groupBy(key, kind, "_px", "_py").applyInArrow(_sweep(key, kind), schema)
-    return alone.unionByName(swept).groupBy(key, kind).agg(F.sum("area_deg2").alias("area_deg2")).filter("area_deg2 > 0")
+    schema = f"{kind} {shapes.schema[kind].dataType.simpleString()}, _cx long, _cy long, _area double, _pieces {_RINGS}"
+    swept = many.groupBy(kind, *X.CELL, "_px", "_py").applyInArrow(_sweep(kind), schema).filter("_area > 0")
+    box = geo.box_rings(west, south, west + width, south + width)
+    return filled.select(kind, *X.CELL, F.lit(width * width).alias("_area"), box.alias("_pieces")).unionByName(swept)
+
+
+def union_cover(parcels: DataFrame, layer: DataFrame, key: str, kind: str, cell: float) -> DataFrame:
+    """Exact area (square degrees) of each parcel under the union of the features of a kind.
+
+    ``parcels`` has rings and box, ``cell`` is the width of a usual feature. Features are united per grid cell, once for all parcels. A parcel is cut
+    into squares inside it, which take the sums of their cells, and boundary cells, whose part of the union is measured
+    as a pair. So no parcel meets a feature, however many lie over it. Parcels without cover give no row.
+    """
+    width, levels = counts.wide_grid(cell)
+    shapes = layer.filter(F.col(kind).isNotNull()).select(kind, "rings", *BOX).distinct().withColumns({f"_{c}": F.col(c) for c in BOX})
+    own = parcels.filter(F.col(key).isNotNull()).filter("x1 > x0 AND y1 > y0").select(key, "rings", *BOX).distinct()
+    cells = _union_cells(shapes, kind, width, levels)
+    cut, up = counts.cut_shapes(own, width, levels, upright=True)
+    mine = F.col(f"_shape.{key}").alias(key)
+    lifted = cells.select(kind, *X.CELL, "_area").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels + up))))
+    sums = lifted.groupBy("_level", F.expr("shiftright(_cx, _level)").alias("_cx"), F.expr("shiftright(_cy, _level)").alias("_cy"), kind).agg(F.sum("_area").alias("_area"))
+    whole = X.meet(cut.filter("_level >= 0").select(*counts.PLACE, mine), sums, counts.PLACE).select(key, kind, F.col("_area").alias("area_deg2"))
+    edges = _leaves(cut.filter("_level < 0").select((-1 - F.col("_level")).alias("_level"), *X.CELL, mine, "_edges"))
+    part = X.meet(edges, cells, X.CELL).select(key, kind, clip.overlap_area("_edges", "_pieces").alias("area_deg2"))
+    return whole.unionByName(part).groupBy(key, kind).agg(F.sum("area_deg2").alias("area_deg2")).filter("area_deg2 > 0")
 
 
 # ── boundaries ──────────────────────────────────────────────────────────────

@@ -572,3 +572,25 @@ def test_lines_within_takes_cells_along_a_segment(spark):
     """A diagonal takes the cells near it, not those of its box."""
     s = spark.createDataFrame([(-100.0, 30.0, -97.0, 33.0)], "ax double, ay double, bx double, by double")
     assert X.cells_along(s, F.lit(0.03), F.lit(0.01), F.lit(0.01)).count() < 100 * 100 / 10
+
+
+def test_union_cover_meets_cells_not_features(spark, monkeypatch):
+    """Parcels meet the united features of a cell, however many lie over them; repeated parcels and features count once."""
+    rng = random.Random(3)
+    rows = [(("a", "b", None)[i % 3], x, y, x + rng.uniform(0.1, 2.0), y + rng.uniform(0.1, 2.0)) for i in range(90) for x, y in [(rng.uniform(0, 8), rng.uniform(0, 8))]]
+    boxes = spark.createDataFrame([*rows, rows[0]], "kind string, x0 double, y0 double, x1 double, y1 double")
+    own = [(1, 0.3, 0.2, 7.7, 8.1), (2, 2.01, 2.02, 2.03, 2.05), (3, -9.0, -9.0, -8.0, -8.0), (4, -1.0, 3.0, 12.0, 3.5), (4, -1.0, 3.0, 12.0, 3.5), (5, 1.0, 1.0, 1.0, 1.0)]
+    parcels = spark.createDataFrame(own, "loc_id long, x0 double, y0 double, x1 double, y1 double")
+    with_rings = lambda df: df.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1"))
+    monkeypatch.setattr(X, "boxes_meeting", lambda *a: pytest.fail("lists pairs"))
+    got = {(r.loc_id, r.kind): r.area_deg2 for r in overlap.union_cover(with_rings(parcels), with_rings(boxes), "loc_id", "kind", 1.2).collect()}
+    want = {}
+    for k, w, s, e, n in own:
+        for kind in "ab":
+            clipped = [(max(w, x0), max(s, y0), min(e, x1), min(n, y1)) for name, x0, y0, x1, y1 in rows if name == kind]
+            clipped = [c for c in clipped if c[0] < c[2] and c[1] < c[3]]
+            xs, ys = sorted({v for c in clipped for v in c[::2]}), sorted({v for c in clipped for v in c[1::2]})
+            area = sum((x1 - x0) * (y1 - y0) for x0, x1 in zip(xs, xs[1:]) for y0, y1 in zip(ys, ys[1:]) if any(c[0] <= x0 and x1 <= c[2] and c[1] <= y0 and y1 <= c[3] for c in clipped))
+            if area > 0:
+                want[k, kind] = area
+    assert got == pytest.approx(want, rel=1e-9)
