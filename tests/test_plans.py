@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwise.functions import constants as K
+from parcelwise.functions import geo
 from parcelwise.functions import scoring as S
 from parcelwise.plans import backtest as B
 from parcelwise.plans import calibrate as C
@@ -243,3 +244,26 @@ def test_training_frame_lists_no_pairs(spark, monkeypatch):
         held = [(-b[2], b[0]) for b in boxes if b[1] >= 2017 and b[2] > 1000 and b[3] < x < b[5]]
         want |= {(oid, min(held)[1], oid, oid % 2)} if held else set()
     assert got == want
+
+
+def test_competitor_points_lists_pairs_once(spark):
+    """Rank and count come from one pass over the pairs; a ring without a point gives no row."""
+    pois = spark.createDataFrame([(i, 0.1 * i, 0.5, "amenity:cafe" if i % 3 else "amenity:bank") for i in range(12)], "poi_id long, lng double, lat double, category string")
+    boxes = spark.createDataFrame([(1, 0.05, 0.0, 0.75, 1.0), (2, 0.35, 0.0, 2.0, 1.0), (3, 5.0, 0.0, 6.0, 1.0)], "loc_id long, x0 double, y0 double, x1 double, y1 double")
+    out = T.competitor_points(boxes.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1")), pois, "loc_id", "coffee_shop", 0.5)
+    got = sorted((r.loc_id, r["rank"], r.poi_id, r.n_total) for r in out.collect())
+    assert got == [(1, i + 1, p, 5) for i, p in enumerate((1, 2, 4, 5, 7))] + [(2, i + 1, p, 6) for i, p in enumerate((4, 5, 7, 8, 10, 11))]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_trade_area_score_counts_both_rings_in_one_pass(spark):
+    """Circles are cut once for both rings, and no road is listed but the nearest."""
+    at = spark.createDataFrame([(1, -97.0, 32.0), (2, -96.9, 32.1)], "loc_id long, lng double, lat double")
+    tracts = spark.createDataFrame([(-97.2, 31.8, -96.7, 32.3, 50000.0, 100.0, 60000.0, 10.0, 20.0)], "x0 double, y0 double, x1 double, y1 double, population double, households double, median_income double, age_18_34 double, jobs double")
+    pois = spark.createDataFrame([(-97.0, 32.0 + i / 1000, "amenity:cafe" if i % 2 else "amenity:bank") for i in range(40)], "lng double, lat double, category string")
+    roads = spark.createDataFrame([(-97.0, 32.0 + d, -96.9, 32.0 + d) for d in (0.01, 0.01, 0.02, 0.5)], "ax double, ay double, bx double, by double")
+    flags = at.select("loc_id", F.lit(False).alias("in_sfha"))
+    out = T.score_trade_area(at, tracts.withColumn("rings", geo.box_rings("x0", "y0", "x1", "y1")), pois, roads, flags, "loc_id", "coffee_shop", 0.5)
+    one = {r.loc_id: r for r in out.collect()}[1]
+    assert (one.competitors, one.complements_5, one.poi_count_5) == (20, 14, 27) and one.road_m == pytest.approx(1111.949, abs=1e-2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
